@@ -10,9 +10,10 @@ frequent come last, the others by hash) such sets share c shingles within short
 The boundary is the largest n for which enumerating subsets costs less than scanning lists of the measured mean length. The order and
 the boundary decide about cost only; every linked pair is found for any of them, and every candidate is verified on whole sets.
 
-Equal sets are joined as one beforehand. Only components are asked for, so lists aren't expanded into pairs at first: each member is
-verified against its lists' first member, and components are formed; then only members of different components are paired.
-Shingles are 64-bit hashes; sets are told apart by a 128-bit digest.
+Equal sets count as one. Only components are asked for, so lists aren't expanded into pairs at first: each member is verified against
+its lists' first member, and components are formed; then only members of different components are paired. Lists of shingles known to
+be frequent are shuffled as joins whose hot keys can be split; the others, short by selection, are shuffled once.
+Shingles are 64-bit hashes; sets are told apart by a 128-bit digest, and by its first half while pairs are sought.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ from notelake.llm.text import as_bytes, map_batches, window_hashes, word_hashes,
 WIDTH = 5
 #: Documents about that are looked at to find frequent shingles, in how many of them one is frequent, and how many are kept.
 ORDER_SAMPLE, FREQUENT_IN, FREQUENT = 8192, 6, 200_000
+#: Bits of the filter that says which documents' whole sets are wanted (it may pass others too).
+WANTED_BITS = 1 << 23
+#: Lists that a pair of sets of n shingles must share, as a share of n, to be compared in the first round.
+SHARED = 0.02
 #: One in so many prefix shingles measures the mean length of the lists.
 LIST_SAMPLE = 64
 
@@ -70,32 +75,41 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(top["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
+def digest(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
 def shingle_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, set_key and prefix (the longest that is needed, in the global order) of each document."""
+    """doc_id, n_shingles, set_key, set_id (its first half), prefix (the longest that is needed, in the global order) and how many of
+    its shingles aren't frequent."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
         common = known.value
 
         def f(doc_id, text):
-            sizes, keys, prefixes = [], [], []
+            sizes, keys, prefixes, rare = [], [], [], []
             for x in as_bytes(text):
                 own = shingles(x)
                 sizes.append(len(own))
-                keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                keys.append(digest(own))
                 k = prefix(len(own), 2) if len(own) > 1 else 0
+                few = k
                 if len(common) and k:
                     late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
                     first = own[~late]
+                    few = min(k, len(first))
                     own = first if len(first) >= k else np.concatenate([first, own[late]])
                 prefixes.append(own[:k].view(np.int64))
+                rare.append(few)
             ends = np.cumsum([0, *map(len, prefixes)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
-            return doc_id, sizes, keys, flat
+            return doc_id, sizes, keys, [int.from_bytes(k[:8], "little", signed=True) for k in keys], flat, rare
 
         return f
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, n_shingles long, set_key binary, prefix array<long>", make)
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return map_batches(own, "doc_id long, n_shingles long, set_key binary, set_id long, prefix array<long>, rare int", make)
 
 
 def cheapest_boundary(mean_list: float, most: int = 2000) -> int:
@@ -105,29 +119,69 @@ def cheapest_boundary(mean_list: float, most: int = 2000) -> int:
 
 
 def postings(sets: DataFrame, boundary: int) -> DataFrame:
-    """key, id, n, and kind: bit 0 says that the key lies in the short prefix, bit 1 that the set is light, bit 2 that the key is a subset."""
+    """key, id and meta of each set (set_id, n_shingles, prefix, rare). meta is 16 n + bits: 1 the key lies in the short prefix, 2 the set
+    is light, 4 the key is a subset, 8 the key is made of frequent shingles."""
 
-    def f(ident, size, rows):
-        keys, ids, sizes, kinds = [], [], [], []
+    def f(ident, size, rows, rare):
+        keys, ids, metas = [], [], []
         flat, ends = rows.flatten().to_numpy().view(np.uint64), rows.offsets.to_numpy() - rows.offsets[0].as_py()
-        for k, (i, n) in enumerate(zip(ident.to_pylist(), size.to_pylist())):
-            own, light = flat[ends[k] : ends[k + 1]], n <= boundary
+        for k, (i, n, few) in enumerate(zip(ident.to_pylist(), size.to_pylist(), rare.to_pylist())):
+            own, light, made = flat[ends[k] : ends[k + 1]], n <= boundary, 0
             if light:
                 a, b = np.triu_indices(len(own), 1)
                 low, high = np.minimum(own[a], own[b]), np.maximum(own[a], own[b])
                 keys.append(low * np.uint64(0x9E3779B97F4A7C15) ^ (high + np.uint64(0x7F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F))
-                kinds.append((b < short_prefix(n, 2)) | np.int64(6))
+                metas.append(16 * n + 6 + (b < short_prefix(n, 2)) + 8 * (a >= few))
+                made += len(a)
             if not light or n >= -(-4 * (boundary + 1) // 5):  # a light set that a heavy one may link to
                 single = own[: prefix(n, 1)]
+                place = np.arange(len(single))
                 keys.append(single)
-                kinds.append((np.arange(len(single)) < short_prefix(n, 1)) | np.int64(2 * light))
-            made = sum(map(len, keys)) - sum(map(len, ids))
-            ids.append(np.full(made, i))
-            sizes.append(np.full(made, n))
-        empty = [np.empty(0, np.int64)]
-        return [np.concatenate(x or empty).astype(np.int64, copy=False) if x is not keys else np.concatenate(x or [np.empty(0, np.uint64)]).view(np.int64) for x in (keys, ids, sizes, kinds)]
+                metas.append(16 * n + 2 * light + (place < short_prefix(n, 1)) + 8 * (place >= few))
+                made += len(single)
+            ids.append(np.full(made, i, np.int64))
+        if not keys:
+            return [], [], []
+        return np.concatenate(keys).view(np.int64), np.concatenate(ids), np.concatenate(metas).astype(np.int64)
+
+    return map_batches(sets.select("set_id", "n_shingles", "prefix", "rare"), "key long, id long, meta long", lambda: f)
+
+
+def met_in_lists(posted: DataFrame) -> DataFrame:
+    """The postings whose key two different sets have, each with the list's first member: key, id, meta, a, an."""
+    out = []
+    for hot in (False, True):
+        own = posted.filter(F.col("meta").bitwiseAND(8) == 8 * hot)
+        own = own if hot else own.repartition("key")  # one exchange serves the aggregate and the join
+        first = F.min(F.struct(F.xxhash64("id"), "id", "meta")).alias("first")
+        lists = own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), first).filter("low <> high")
+        lists = lists.select("key", F.col("first.id").alias("a"), F.shiftright("first.meta", 4).alias("an"))
+        out.append(own.join(lists if hot else lists.hint("merge"), "key"))
+    return out[0].unionByName(out[1]).distinct()
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, own: the whole sets of the documents in ``wanted`` (doc_id), and of a few others. A bit array of bounded size takes the
+    wanted ids to the tasks, so texts aren't shuffled."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS))
+    word = wanted.select(F.shiftright(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("m"))
+    words = word.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    bits = np.zeros(WANTED_BITS // 64, np.int64)
+    bits[words.w.to_numpy(np.int64)] = words.m.to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def make():
+        have = shared.value.view(np.uint64)
+
+        def f(at, text):
+            at = at.to_numpy()
+            take = np.flatnonzero(have[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            sets = [shingles(x) for x in as_bytes(text.take(pa.array(take)))]
+            return [int.from_bytes(digest(x)[:8], "little", signed=True) for x in sets], [x.view(np.int64) for x in sets]
+
+        return f
 
-    return map_batches(sets.select("id", "n", "prefix"), "key long, id long, n long, kind long", lambda: f)
+    return map_batches(docs.select(bit.alias("at"), "text"), "id long, own array<long>", make)
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -152,59 +206,73 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def set_components(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, comp of the distinct sets ``reps`` (id, n, prefix) that link with another; ``docs`` gives their texts."""
-    sampled = reps.filter("n > 1").select(F.explode("prefix").alias("key")).filter(F.pmod("key", F.lit(LIST_SAMPLE)) == 0).groupBy("key").count()
+def doc_ids(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The documents that stand for the sets of the pairs."""
+    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    return ids.join(classes, "set_id").select("doc_id")
+
+
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that may link by their prefixes: common shingles up to the earlier one of the prefixes' ends lie in both prefixes, so
+    the overlap is at most those and the rest of the set whose prefix ends earlier."""
+    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    end = F.struct(F.size("prefix") > F.col("rare"), F.element_at("prefix", -1).bitwiseXOR(F.lit(-(1 << 63))))  # in the global order
+    heads = sets.join(wanted, "set_id", "left_semi").select("set_id", F.struct(F.col("n_shingles").alias("n"), "prefix", end.alias("end")).alias("h")).dropDuplicates(["set_id"])
+    both = pairs.join(heads.select(F.col("set_id").alias("b"), F.col("h").alias("y")), "b").join(heads.select(F.col("set_id").alias("a"), F.col("h").alias("x")), "a")
+    left = F.when(F.col("x.end") <= F.col("y.end"), F.col("x.n") - F.size("x.prefix")).otherwise(F.col("y.n") - F.size("y.prefix"))
+    return both.filter(9 * (F.size(F.array_intersect("x.prefix", "y.prefix")) + left) >= 4 * (F.col("x.n") + F.col("y.n"))).select("a", "b")
+
+
+def set_components(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, comp (both set_ids) of the sets that link with another. ``rows``: shingle sets; ``classes``: set_id and first doc_id."""
+    many = rows.filter("n_shingles > 1")
+    sampled = many.select("set_id", F.explode("prefix").alias("key")).filter(F.pmod("key", F.lit(LIST_SAMPLE)) == 0).distinct().groupBy("key").count()
     mean = sampled.agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("m")).first()["m"] or 1.0
-    posted = postings(reps.filter("n > 1"), cheapest_boundary(mean))
-    lists = posted.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct(F.xxhash64("id"), "id", "n")).alias("first")).filter("many > 1")
-    lists = lists.select("key", F.col("first.id").alias("a"), F.col("first.n").alias("an"))
-    met = written(posted.join(lists, "key"))
-    near = (5 * F.least("n", "an") >= 4 * F.greatest("n", "an")) & (F.col("a") != F.col("id"))
-    first = written(met.filter(near).select("a", F.col("id").alias("b")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    wanted = met.select("id").distinct()
-    whole = map_batches(
-        texts.join(wanted, "id", "left_semi"), "id long, own array<long>", lambda: lambda i, text: (i, [shingles(x).view(np.int64) for x in as_bytes(text)])
-    )
-    sets = written(whole)
-    stars = written(linked(first, sets))
+    met = written(met_in_lists(postings(many, cheapest_boundary(mean))))
+    n = F.shiftright("meta", 4)
+    near = (5 * F.least(n, "an") >= 4 * F.greatest(n, "an")) & (F.col("a") != F.col("id"))
+    pairs = met.filter(near).groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("many"), F.max(n).alias("n"))
+    # Pairs that share few lists are left to the second round.
+    first = written(pairs.filter(F.col("many") >= SHARED * F.col("n")).select("a", "b"))
+    stars = written(linked(first, whole_sets(docs, doc_ids(first, classes))))
     labels = components(stars)
     # What is left: members of one list that lie in different components and were not compared.
-    placed = met.join(labels, "id", "left").select("key", "id", "n", "kind", F.coalesce("comp", "id").alias("comp"))
+    placed = met.join(labels, "id", "left").select("key", "id", "meta", F.coalesce("comp", "id").alias("comp"))
     open_lists = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("key")
     placed = written(placed.join(open_lists, "key", "left_semi"))
-    x = placed.filter(F.col("kind").bitwiseAND(1) == 1).select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("kind").alias("ak"), F.col("comp").alias("ac"))
-    y = placed.select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("kind").alias("bk"), F.col("comp").alias("bc"))
+    x = placed.filter(F.col("meta").bitwiseAND(1) == 1).select("key", F.col("id").alias("a"), F.col("meta").alias("am"), F.col("comp").alias("ac"))
+    y = placed.select("key", F.col("id").alias("b"), F.col("meta").alias("bm"), F.col("comp").alias("bc"))
+    an, bn = F.shiftright("am", 4), F.shiftright("bm", 4)
     fits = (
         (F.col("ac") != F.col("bc"))
-        & ((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") < F.col("b"))))
-        & (5 * F.col("an") >= 4 * F.col("bn"))
-        & ((F.col("ak").bitwiseAND(F.col("bk")).bitwiseAND(2) == 0) | (F.col("ak").bitwiseAND(4) == 4))
+        & ((an < bn) | ((an == bn) & (F.col("a") < F.col("b"))))
+        & (5 * an >= 4 * bn)
+        & ((F.col("am").bitwiseAND(F.col("bm")).bitwiseAND(2) == 0) | (F.col("am").bitwiseAND(4) == 4))
     )
     rest = x.join(y, "key").filter(fits).select("a", "b").distinct()
-    rest = rest.join(first.union(first.select("b", "a")), ["a", "b"], "left_anti")
-    more = written(linked(rest, sets))
+    rest = written(rest.join(first.union(first.select("b", "a")), ["a", "b"], "left_anti"))
+    rest = written(plausible(rest, many))
+    more = written(linked(rest, whole_sets(docs, doc_ids(rest, classes))))
     return labels if more.isEmpty() else components(stars.union(more).union(labels.select(F.col("comp").alias("a"), F.col("id").alias("b"))))
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_copies (documents of the same set, itself included).
 
-    A null or blank text has no shingles and stays alone. Rows of one doc_id are one document: they lie in one component. A null doc_id
-    links with nothing and has a null component. Other columns of ``docs`` are not looked at; an empty table gives no rows.
+    A null or blank text has no shingles and stays alone. Rows that share a doc_id are looked at one by one. A null doc_id links with
+    nothing and has a null component. Other columns of ``docs`` are not looked at; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(shingle_sets(docs, frequent_shingles(docs)))
     filled = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.count("*").alias("n_copies"))
-    classes = written(classes)
-    prefixes = filled.select(F.col("doc_id").alias("id"), "set_key", "prefix").dropDuplicates(["id", "set_key"])
-    reps = written(classes.join(prefixes, ["id", "set_key"]).select("id", "n", "prefix"))
-    labels = set_components(reps, docs)
-    place = classes.join(labels, "id", "left").select("set_key", "n_copies", F.coalesce("comp", "id").alias("_comp"), F.lit(True).alias("_filled"))
+    classes = written(filled.groupBy("set_key", "set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")))
+    labels = set_components(filled, classes, docs)
+    named = labels.join(classes.select(F.col("set_id").alias("id"), "doc_id"), "id")
+    first = named.groupBy("comp").agg(F.min("doc_id").alias("_first"))
+    place = named.select(F.col("id").alias("set_id"), "comp").distinct().join(first, "comp").select("set_id", "_first")
+    place = classes.join(place, "set_id", "left").select("set_key", "n_copies", F.coalesce("_first", "doc_id").alias("component_id"))
     keyed = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key"))
-    joined = keyed.filter("set_key IS NOT NULL").join(place, "set_key").select("doc_id", "n_shingles", F.col("_comp").alias("component_id"), "n_copies")
+    joined = keyed.filter("set_key IS NOT NULL").join(place, "set_key").select("doc_id", "n_shingles", "component_id", "n_copies")
     alone = keyed.filter("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
     return joined.unionByName(alone)
 
