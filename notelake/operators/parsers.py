@@ -12,13 +12,11 @@ from notelake.functions import columns as C
 from notelake.functions import helpers as H
 from notelake.operators.chunking import chunked, part_title
 
-NONE = F.lit(None).cast("map<string,string>")
-
 
 def as_items(df: DataFrame, order: list, tags: Column | None = None, meta: Column | None = None) -> DataFrame:
     """Rows with path, format, title, content as chunked, titled items."""
     rows = df.withColumn("_n", F.row_number().over(W.partitionBy("path").orderBy(*order)))
-    rows = rows.select("path", "format", "_n", "title", "content", (tags if tags is not None else F.array().cast("array<string>")).alias("tags"), (meta if meta is not None else NONE).alias("source_meta"))
+    rows = rows.select("path", "format", "_n", "title", "content", (tags if tags is not None else F.array().cast("array<string>")).alias("tags"), (meta if meta is not None else F.lit(None).cast("map<string,string>")).alias("source_meta"))
     parts = chunked(rows).withColumn("title", part_title(F.col("title"), F.col("part"), F.col("n_parts")))
     pos = F.row_number().over(W.partitionBy("path").orderBy("_n", "part"))
     return parts.select("path", pos.alias("pos"), "title", "content", F.lit("reference").alias("type"), "tags", "source_meta", "format")

@@ -77,7 +77,8 @@ def mail_items(spark: SparkSession, files: DataFrame, root: str, include_bulk: b
     boxes = S.read_mbox(spark, [r[0] for r in files.filter("format = 'mbox' AND status IS NULL").select("path").limit(10_000).collect()]) if files.filter("format = 'mbox' AND status IS NULL").limit(1).count() else eml.limit(0)
     parsed, _ = drop_bulk(S.parse_messages(eml.unionByName(boxes)), include_bulk)
     unique = threads.dedupe_messages(parsed.filter("error IS NULL"))
-    numbered = unique.drop("pos").withColumn("pos", F.xxhash64("path", unique["pos"], "message_id"))
+    ranks = unique.select("path").distinct().withColumn("_file", F.row_number().over(W.orderBy("path")))  # one narrow row a file
+    numbered = unique.join(ranks, "path").withColumn("pos", F.col("_file") * F.lit(1 << 40) + F.col("pos")).drop("_file")
     placed = threads._written(threads.assign_threads(numbered))
     items, facts = threads.thread_items(placed), threads.thread_facts(placed)
     meta = F.create_map(F.lit("message_count"), F.col("message_count").cast("string"), F.lit("participants"), F.array_join("participants", ", "))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-AS_OF = F.lit("2024-12-31 00:00:00").cast("timestamp")
 OWNER, SHARED = "alice", "firma"
 
 
+def as_of() -> Column:
+    """The time that stands for now."""
+    return F.lit("2024-12-31 00:00:00").cast("timestamp")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values: list[str], k) -> F.Column:
+def _pick(values: list[str], k) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
 
 

@@ -50,7 +50,7 @@ _STEM = f"""case when length(w) > 4 and suffix(w, 'ies') then left(w, length(w)
  when length(w) > 3 and suffix(w, 's') and not suffix(w, 'ss') then left(w, length(w) - 1) else w end"""
 _columns("fn5_stems", lambda: F.array_join(F.transform(C.tokenize(F.col("title")), C.stem), " "), f"array_to_string(list_transform({_TOKENS.format('title')}, lambda w: {_STEM}), ' ')")
 _columns("fn7_key_terms", lambda: F.array_join(C.key_terms(F.col("title"), F.col("content")), " "), None)
-_columns("fn8_decay", lambda: F.round(C.decay_score(F.col("last_validated_at"), V.AS_OF), 6), "round(coalesce(greatest(0.0, least(1.0, 1 - date_diff('second', last_validated_at, timestamp '2024-12-31') / 86400.0 / 180)), 0.0), 6)")
+_columns("fn8_decay", lambda: F.round(C.decay_score(F.col("last_validated_at"), V.as_of()), 6), "round(coalesce(greatest(0.0, least(1.0, 1 - date_diff('second', last_validated_at, timestamp '2024-12-31') / 86400.0 / 180)), 0.0), 6)")
 _columns("fn14_relation", lambda: C.relation_hint(F.col("type"), F.lit("pattern")), "case when type = 'insight' then 'derived_from' else 'supports' end")
 _columns("det1_format", lambda: C.detect_format(F.concat("id", F.lit("."), V._pick(["md", "CSV", "htm", "bin", "pptx"], F.col("doc_id") % 5))), "(['markdown','csv','html',null,'pptx'])[doc_id % 5 + 1]")
 
@@ -77,12 +77,12 @@ def _(spark, sf_dir):
 
 @query("agg3_stale", f"with k as ({K}) select count(*) filter (where last_validated_at < timestamp '2024-12-31' - interval 90 days) as stale, count(*) as total from k")
 def _(spark, sf_dir):
-    return stats.stale_count(V.knowledge(spark, sf_dir), V.AS_OF)
+    return stats.stale_count(V.knowledge(spark, sf_dir), V.as_of())
 
 
 @query("agg4_decay_report", f"with k as ({K}) select id, title, type, round(greatest(0.0, least(1.0, 1 - date_diff('second', last_validated_at, timestamp '2024-12-31') / 86400.0 / 180)), 6) as score from k where owner_id in ('alice','firma') and last_validated_at < timestamp '2024-12-31' - interval 90 days order by last_validated_at, id limit 20")
 def _(spark, sf_dir):
-    return stats.decay_report(filters.scope(V.knowledge(spark, sf_dir), "knowledge", V.OWNER, V.SHARED), V.AS_OF).drop("last_validated_at")
+    return stats.decay_report(filters.scope(V.knowledge(spark, sf_dir), "knowledge", V.OWNER, V.SHARED), V.as_of()).drop("last_validated_at")
 
 
 @query("agg5_count", f"with k as ({K}) select count(*) as n from k where (type = 'fact' and doc_id > 100) or list_contains(tags, 'de')")
@@ -214,7 +214,7 @@ def _items(spark, sf_dir):
     k = V.knowledge(spark, sf_dir).filter("doc_id % 3 > 0")
     rows = k.select(F.concat("owner_id", F.lit("/"), "id").alias("path"), F.lit(1).alias("pos"), "title", "content", "type", "tags", F.lit(None).cast("map<string,string>").alias("source_meta"), F.lit("text").alias("format"), F.lit("alice").alias("owner_id"))
     have = V.knowledge(spark, sf_dir).filter("doc_id % 3 = 0").select("type", "title", F.lit("alice").alias("owner_id"), C.content_hash(F.col("content")).alias("metadata_hash"), F.lit(True).alias("has_metadata"))
-    return dedupe.classify(dedupe.dedupe_batch(dedupe.clip_records(rows, V.AS_OF)), have)
+    return dedupe.classify(dedupe.dedupe_batch(dedupe.clip_records(rows, V.as_of())), have)
 
 
 _DDP = f"""with k as ({K}), i as (select owner_id || '/' || id as path, regexp_replace(title, {WS}, '', 'g') as t, type, content from k where doc_id % 3 > 0),
@@ -290,21 +290,21 @@ def _(spark, sf_dir):
 
 @query("mnt1_load", "select cast(o_orderkey as varchar) as id, 'Order ' || o_orderkey as title, 'todo' as status, case when o_orderpriority like '1%' then 'urgent' when o_orderpriority like '2%' then 'high' else 'medium' end as priority from orders where o_orderpriority not like '5%'")
 def _(spark, sf_dir):
-    return records.load_records("tasks", V.tasks(spark, sf_dir), V.AS_OF)[0].select("id", "title", "status", "priority")
+    return records.load_records("tasks", V.tasks(spark, sf_dir), V.as_of())[0].select("id", "title", "status", "priority")
 
 
 @query("mnt2_patch", f"with k as ({K}) select id, case when doc_id % 10 = 0 then 'patched' else title end as title, doc_id % 10 = 0 as touched from k")
 def _(spark, sf_dir):
     rows = V.knowledge(spark, sf_dir).withColumn("updated_at", F.lit(None).cast("timestamp"))
     patches = rows.filter("doc_id % 10 = 0").select("id", F.lit("patched").alias("title"))
-    return records.patch_records(rows, patches, "knowledge", V.AS_OF)[0].select("id", "title", F.col("updated_at").isNotNull().alias("touched"))
+    return records.patch_records(rows, patches, "knowledge", V.as_of())[0].select("id", "title", F.col("updated_at").isNotNull().alias("touched"))
 
 
 @query("mnt5_revalidate", f"with k as ({K}) select id, coalesce(last_validated_at = timestamp '2024-12-31' or (doc_id % 7 = 0 and owner_id in ('alice','firma')), false) as fresh from k")
 def _(spark, sf_dir):
     k = V.knowledge(spark, sf_dir)
-    out, _ = records.revalidate(k, k.filter("doc_id % 7 = 0").select("id"), V.OWNER, V.SHARED, V.AS_OF)
-    return out.select("id", F.coalesce(F.col("last_validated_at") == V.AS_OF, F.lit(False)).alias("fresh"))
+    out, _ = records.revalidate(k, k.filter("doc_id % 7 = 0").select("id"), V.OWNER, V.SHARED, V.as_of())
+    return out.select("id", F.coalesce(F.col("last_validated_at") == V.as_of(), F.lit(False)).alias("fresh"))
 
 
 @query("mnt6_upsert", "select c_name as name, case when c_custkey % 2 = 0 then 'new role' else c_mktsegment end as role from customer")
