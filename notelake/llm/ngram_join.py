@@ -22,18 +22,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.llm.text import as_bytes, map_batches, window_hashes, word_hashes, written
 
 WIDTH = 5
-#: Documents about that are looked at to find frequent shingles, in how many of them one is frequent, and how many are kept.
-ORDER_SAMPLE, FREQUENT_IN, FREQUENT = 8192, 6, 200_000
+#: One in so many documents is looked at to find frequent shingles, in how many of them one is frequent, and how many are kept at most.
+ORDER_SAMPLE, FREQUENT_IN, FREQUENT = 6, 3, 500_000
 #: Bits of the filter that says which documents' whole sets are wanted (it may pass others too).
 WANTED_BITS = 1 << 23
-#: Lists that a pair of sets of n shingles must share, as a share of n, to be compared in the first round.
-SHARED = 0.02
+#: Bits that stand for a prefix where lists are joined.
+SKETCH = 512
+#: Rounds in which list members are compared with first members: how many different first members lists of the same sets can have.
+STARS = (8, 64)
 #: One in so many prefix shingles measures the mean length of the lists.
 LIST_SAMPLE = 64
 
@@ -62,8 +64,7 @@ def short_prefix(n: int, c: int) -> int:
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles of many sampled documents, ascending: a hint for the order, bounded by FREQUENT."""
-    n = docs.count()
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // ORDER_SAMPLE))) == 0)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(ORDER_SAMPLE)) == 0)
 
     def f(text):
         sets = [shingles(x) for x in as_bytes(text)]
@@ -80,15 +81,15 @@ def digest(own: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, set_key, set_id (its first half), prefix (the longest that is needed, in the global order) and how many of
-    its shingles aren't frequent."""
+    """doc_id, n_shingles, set_key, set_id (its first half), prefix (the longest that is needed, in the global order), how many of
+    its shingles aren't frequent, and bits (SKETCH bits, those of the prefix's shingles are set)."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
         common = known.value
 
         def f(doc_id, text):
-            sizes, keys, prefixes, rare = [], [], [], []
+            sizes, keys, prefixes, rare, bits = [], [], [], [], []
             for x in as_bytes(text):
                 own = shingles(x)
                 sizes.append(len(own))
@@ -102,14 +103,17 @@ def shingle_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     own = first if len(first) >= k else np.concatenate([first, own[late]])
                 prefixes.append(own[:k].view(np.int64))
                 rare.append(few)
+                marks = np.zeros(SKETCH, np.uint8)
+                marks[(own[:k] >> np.uint64(20)) % np.uint64(SKETCH)] = 1
+                bits.append(np.packbits(marks).view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
-            return doc_id, sizes, keys, [int.from_bytes(k[:8], "little", signed=True) for k in keys], flat, rare
+            return doc_id, sizes, keys, [int.from_bytes(k[:8], "little", signed=True) for k in keys], flat, rare, bits
 
         return f
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_batches(own, "doc_id long, n_shingles long, set_key binary, set_id long, prefix array<long>, rare int", make)
+    return map_batches(own, "doc_id long, n_shingles long, set_key binary, set_id long, prefix array<long>, rare int, bits array<long>", make)
 
 
 def cheapest_boundary(mean_list: float, most: int = 2000) -> int:
@@ -148,14 +152,12 @@ def postings(sets: DataFrame, boundary: int) -> DataFrame:
 
 
 def met_in_lists(posted: DataFrame) -> DataFrame:
-    """The postings whose key two different sets have, each with the list's first member: key, id, meta, a, an."""
+    """The postings whose key two different sets have: key, id, meta."""
     out = []
     for hot in (False, True):
         own = posted.filter(F.col("meta").bitwiseAND(8) == 8 * hot)
         own = own if hot else own.repartition("key")  # one exchange serves the aggregate and the join
-        first = F.min(F.struct(F.xxhash64("id"), "id", "meta")).alias("first")
-        lists = own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), first).filter("low <> high")
-        lists = lists.select("key", F.col("first.id").alias("a"), F.shiftright("first.meta", 4).alias("an"))
+        lists = own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
         out.append(own.join(lists if hot else lists.hint("merge"), "key"))
     return out[0].unionByName(out[1]).distinct()
 
@@ -206,21 +208,49 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def star_pairs(met: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(a, b): each list's first member, by one of ``most`` hashes, and its members of other components."""
+    placed = met.join(labels, "id", "left").select("key", "id", "meta", F.coalesce("comp", "id").alias("comp"))
+    order = F.xxhash64("id", F.pmod("key", F.lit(most)))
+    lists = placed.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("i"), F.col("meta").alias("m"), F.col("comp").alias("c"))).alias("f"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    rows = placed.join(lists.filter("low <> high").select("key", "f"), "key").filter("comp <> f.c")
+    n, m = F.shiftright("meta", 4), F.shiftright("f.m", 4)
+    return rows.filter(5 * F.least(n, m) >= 4 * F.greatest(n, m)).select(F.least("f.i", "id").alias("a"), F.greatest("f.i", "id").alias("b")).distinct()
+
+
 def doc_ids(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The documents that stand for the sets of the pairs."""
     ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
     return ids.join(classes, "set_id").select("doc_id")
 
 
+def _left(x: str, y: str) -> Column:
+    """What the overlap can have beyond the prefixes: common shingles up to the earlier one of the prefixes' ends lie in both prefixes, so
+    the rest of the set whose prefix ends earlier."""
+    return F.when(F.col(f"{x}.end") <= F.col(f"{y}.end"), F.col(f"{x}.n") - F.col(f"{x}.p")).otherwise(F.col(f"{y}.n") - F.col(f"{y}.p"))
+
+
+def heads(sets: DataFrame, wanted: DataFrame, *more: str) -> DataFrame:
+    """id and h (size, length and end of the prefix, and the columns ``more``) of the sets in ``wanted`` (id)."""
+    end = F.struct(F.size("prefix") > F.col("rare"), F.element_at("prefix", -1).bitwiseXOR(F.lit(-(1 << 63))))
+    own = sets.join(wanted.withColumnRenamed("id", "set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
+    return own.select(F.col("set_id").alias("id"), F.struct(F.col("n_shingles").alias("n"), F.size("prefix").alias("p"), end.alias("end"), *more).alias("h"))
+
+
+def may_share() -> Column:
+    """Whether x and y may link by the bits of their prefixes: common shingles set common bits, and at most those that fell together with
+    others in the set that lost fewer are missed."""
+    ones = lambda c: F.aggregate(c, F.lit(0), lambda a, w: a + F.bit_count(w))
+    both = ones(F.zip_with("x.bits", "y.bits", lambda a, b: a.bitwiseAND(b)))
+    lost = F.least(F.col("x.p") - ones(F.col("x.bits")), F.col("y.p") - ones(F.col("y.bits")))
+    return 9 * (both + lost + _left("x", "y")) >= 4 * (F.col("x.n") + F.col("y.n"))
+
+
 def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that may link by their prefixes: common shingles up to the earlier one of the prefixes' ends lie in both prefixes, so
-    the overlap is at most those and the rest of the set whose prefix ends earlier."""
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    end = F.struct(F.size("prefix") > F.col("rare"), F.element_at("prefix", -1).bitwiseXOR(F.lit(-(1 << 63))))  # in the global order
-    heads = sets.join(wanted, "set_id", "left_semi").select("set_id", F.struct(F.col("n_shingles").alias("n"), "prefix", end.alias("end")).alias("h")).dropDuplicates(["set_id"])
-    both = pairs.join(heads.select(F.col("set_id").alias("b"), F.col("h").alias("y")), "b").join(heads.select(F.col("set_id").alias("a"), F.col("h").alias("x")), "a")
-    left = F.when(F.col("x.end") <= F.col("y.end"), F.col("x.n") - F.size("x.prefix")).otherwise(F.col("y.n") - F.size("y.prefix"))
-    return both.filter(9 * (F.size(F.array_intersect("x.prefix", "y.prefix")) + left) >= 4 * (F.col("x.n") + F.col("y.n"))).select("a", "b")
+    """The pairs that may link by their prefixes."""
+    own = heads(sets, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "prefix")
+    both = pairs.join(own.select(F.col("id").alias("b"), F.col("h").alias("y")), "b").join(own.select(F.col("id").alias("a"), F.col("h").alias("x")), "a")
+    return both.filter(9 * (F.size(F.array_intersect("x.prefix", "y.prefix")) + _left("x", "y")) >= 4 * (F.col("x.n") + F.col("y.n"))).select("a", "b")
 
 
 def set_components(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -229,28 +259,30 @@ def set_components(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> Data
     sampled = many.select("set_id", F.explode("prefix").alias("key")).filter(F.pmod("key", F.lit(LIST_SAMPLE)) == 0).distinct().groupBy("key").count()
     mean = sampled.agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("m")).first()["m"] or 1.0
     met = written(met_in_lists(postings(many, cheapest_boundary(mean))))
-    n = F.shiftright("meta", 4)
-    near = (5 * F.least(n, "an") >= 4 * F.greatest(n, "an")) & (F.col("a") != F.col("id"))
-    pairs = met.filter(near).groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("many"), F.max(n).alias("n"))
-    # Pairs that share few lists are left to the second round.
-    first = written(pairs.filter(F.col("many") >= SHARED * F.col("n")).select("a", "b"))
-    stars = written(linked(first, whole_sets(docs, doc_ids(first, classes))))
-    labels = components(stars)
+    labels = met.select("id").distinct().withColumn("comp", F.col("id"))
+    stars = compared = None
+    for most in STARS:
+        tried = written(plausible(star_pairs(met, labels, most), many))
+        found = written(linked(tried, whole_sets(docs, doc_ids(tried, classes))))
+        stars, compared = (found, tried) if stars is None else (stars.union(found), compared.union(tried))
+        labels = components(stars)
     # What is left: members of one list that lie in different components and were not compared.
     placed = met.join(labels, "id", "left").select("key", "id", "meta", F.coalesce("comp", "id").alias("comp"))
     open_lists = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("key")
     placed = written(placed.join(open_lists, "key", "left_semi"))
-    x = placed.filter(F.col("meta").bitwiseAND(1) == 1).select("key", F.col("id").alias("a"), F.col("meta").alias("am"), F.col("comp").alias("ac"))
-    y = placed.select("key", F.col("id").alias("b"), F.col("meta").alias("bm"), F.col("comp").alias("bc"))
+    placed = placed.join(heads(many, placed.select("id").distinct(), "bits"), "id")
+    x = placed.filter(F.col("meta").bitwiseAND(1) == 1).select("key", F.col("id").alias("a"), F.col("meta").alias("am"), F.col("comp").alias("ac"), F.col("h").alias("x"))
+    y = placed.select("key", F.col("id").alias("b"), F.col("meta").alias("bm"), F.col("comp").alias("bc"), F.col("h").alias("y"))
     an, bn = F.shiftright("am", 4), F.shiftright("bm", 4)
     fits = (
         (F.col("ac") != F.col("bc"))
         & ((an < bn) | ((an == bn) & (F.col("a") < F.col("b"))))
         & (5 * an >= 4 * bn)
         & ((F.col("am").bitwiseAND(F.col("bm")).bitwiseAND(2) == 0) | (F.col("am").bitwiseAND(4) == 4))
+        & may_share()
     )
     rest = x.join(y, "key").filter(fits).select("a", "b").distinct()
-    rest = written(rest.join(first.union(first.select("b", "a")), ["a", "b"], "left_anti"))
+    rest = written(rest.join(compared.union(compared.select("b", "a")), ["a", "b"], "left_anti"))
     rest = written(plausible(rest, many))
     more = written(linked(rest, whole_sets(docs, doc_ids(rest, classes))))
     return labels if more.isEmpty() else components(stars.union(more).union(labels.select(F.col("comp").alias("a"), F.col("id").alias("b"))))
