@@ -13,7 +13,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,7 +31,7 @@ MARGIN = 2.0
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGITS = re.compile(r"[0-9][0-9 .-]*")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")  # a match never starts within digits; saying so keeps long ones linear
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -272,11 +274,13 @@ class Finder:
     def find(self, text: str):
         base = base_spans(text)
         taken = sorted((a, b) for _, a, b in base)
-        extra = []
+        starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+        extra = set()
         for kind, a, b in field_spans(text, self.weights):
-            if not any(x < b and a < y for x, y in taken) and (kind, a, b) not in extra:
-                extra.append((kind, a, b))
-        return base, sorted(base + extra)
+            before = bisect_left(starts, b)  # base spans that begin before this one ends
+            if not before or ends[before - 1] <= a:
+                extra.add((kind, a, b))
+        return base, sorted([*base, *extra])
 
 
 def rendered(spans) -> str:

@@ -38,6 +38,8 @@ MORE = [
 #: settles the rest. (Counters of several open-ended rules would multiply the states.)
 REPEATS, BARE_REPEATS = 1, 16
 LANES = 2048
+#: With so few lanes left, each is walked on its own: a numpy step costs as much as that many plain ones.
+FEW_LANES = 48
 
 
 class _Positions:
@@ -167,6 +169,8 @@ class Automaton:
         at, what = [], []
         for t in range(width):
             n = active[t]
+            if n <= FEW_LANES:
+                break
             here = starts[:n] + t
             state[:n] = now = self.flat[state[:n] + group[here]]
             fired = fires[now]
@@ -174,6 +178,17 @@ class Automaton:
                 k = np.flatnonzero(fired)
                 at.append(here[k])
                 what.append(fired[k])
+        if n <= FEW_LANES:
+            flat, ends = self.flat.tolist(), fires.tolist()
+            for k in range(n):
+                now, places, rules = int(state[k]), [], []
+                for place, code in enumerate(group[starts[k] + t : starts[k] + lengths[k]].tolist(), int(starts[k]) + t):
+                    now = flat[now + code]
+                    if ends[now]:
+                        places.append(place)
+                        rules.append(ends[now])
+                at.append(np.array(places, np.int64))
+                what.append(np.array(rules, np.int64))
         return (np.concatenate(at), np.concatenate(what)) if at else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
@@ -214,7 +229,7 @@ class Scanner:
                     where = np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
                     place = lambda b: int(np.searchsorted(where, b))
                     spans = [(place(a), place(b), k) for a, b, k in spans]
-                found[row] = sorted(spans)
+                found[row] = sorted(spans, key=lambda x: (x[0], x[2]))
         return found
 
 
