@@ -32,7 +32,7 @@ WIDTH = 5
 ORDER_SAMPLE, FREQUENT_IN, FREQUENT = 6, 3, 500_000
 #: Bits of the filter that says which documents' whole sets are wanted (it may pass others too).
 WANTED_BITS = 1 << 23
-#: Bits that stand for a prefix where lists are joined.
+#: Bits of a set's odd sketch (Mitzenmacher, Pagh and Pham, "Efficient Estimation for High Similarities using Odd Sketches", 2014).
 SKETCH = 512
 #: Rounds in which list members are compared with first members: how many different first members lists of the same sets can have.
 STARS = (8, 64)
@@ -82,7 +82,7 @@ def digest(own: np.ndarray) -> bytes:
 
 def shingle_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """doc_id, n_shingles, set_key, set_id (its first half), prefix (the longest that is needed, in the global order), how many of
-    its shingles aren't frequent, and bits (SKETCH bits, those of the prefix's shingles are set)."""
+    its shingles aren't frequent, and bits (SKETCH bits; one is set when an odd number of the set's shingles fall on it)."""
     known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
@@ -94,6 +94,8 @@ def shingle_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 own = shingles(x)
                 sizes.append(len(own))
                 keys.append(digest(own))
+                marks = np.bincount((own >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+                bits.append(np.packbits(marks.astype(np.uint8)).view(np.int64))
                 k = prefix(len(own), 2) if len(own) > 1 else 0
                 few = k
                 if len(common) and k:
@@ -103,9 +105,6 @@ def shingle_sets(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     own = first if len(first) >= k else np.concatenate([first, own[late]])
                 prefixes.append(own[:k].view(np.int64))
                 rare.append(few)
-                marks = np.zeros(SKETCH, np.uint8)
-                marks[(own[:k] >> np.uint64(20)) % np.uint64(SKETCH)] = 1
-                bits.append(np.packbits(marks).view(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
             return doc_id, sizes, keys, [int.from_bytes(k[:8], "little", signed=True) for k in keys], flat, rare, bits
@@ -230,26 +229,21 @@ def _left(x: str, y: str) -> Column:
     return F.when(F.col(f"{x}.end") <= F.col(f"{y}.end"), F.col(f"{x}.n") - F.col(f"{x}.p")).otherwise(F.col(f"{y}.n") - F.col(f"{y}.p"))
 
 
-def heads(sets: DataFrame, wanted: DataFrame, *more: str) -> DataFrame:
-    """id and h (size, length and end of the prefix, and the columns ``more``) of the sets in ``wanted`` (id)."""
-    end = F.struct(F.size("prefix") > F.col("rare"), F.element_at("prefix", -1).bitwiseXOR(F.lit(-(1 << 63))))
-    own = sets.join(wanted.withColumnRenamed("id", "set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
-    return own.select(F.col("set_id").alias("id"), F.struct(F.col("n_shingles").alias("n"), F.size("prefix").alias("p"), end.alias("end"), *more).alias("h"))
-
-
-def may_share() -> Column:
-    """Whether x and y may link by the bits of their prefixes: common shingles set common bits, and at most those that fell together with
-    others in the set that lost fewer are missed."""
-    ones = lambda c: F.aggregate(c, F.lit(0), lambda a, w: a + F.bit_count(w))
-    both = ones(F.zip_with("x.bits", "y.bits", lambda a, b: a.bitwiseAND(b)))
-    lost = F.least(F.col("x.p") - ones(F.col("x.bits")), F.col("y.p") - ones(F.col("y.bits")))
-    return 9 * (both + lost + _left("x", "y")) >= 4 * (F.col("x.n") + F.col("y.n"))
+def may_share(x: str, y: str, n: Column, m: Column) -> Column:
+    """Whether sets of n and m shingles may link by their odd sketches: no more bits differ than the shingles that only one has, and of
+    those linked sets have at most (n + m) / 9."""
+    differ = [F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(SKETCH // 64)]
+    return 9 * sum(differ[1:], differ[0]) <= n + m
 
 
 def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that may link by their prefixes."""
-    own = heads(sets, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "prefix")
-    both = pairs.join(own.select(F.col("id").alias("b"), F.col("h").alias("y")), "b").join(own.select(F.col("id").alias("a"), F.col("h").alias("x")), "a")
+    """The pairs that may link by their sketches and prefixes."""
+    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    end = F.struct(F.size("prefix") > F.col("rare"), F.element_at("prefix", -1).bitwiseXOR(F.lit(-(1 << 63))))
+    own = sets.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
+    own = own.select("set_id", F.struct(F.col("n_shingles").alias("n"), F.size("prefix").alias("p"), end.alias("end"), "prefix", "bits").alias("h"))
+    both = pairs.join(own.select(F.col("set_id").alias("b"), F.col("h").alias("y")), "b").join(own.select(F.col("set_id").alias("a"), F.col("h").alias("x")), "a")
+    both = both.filter(may_share("x.bits", "y.bits", F.col("x.n"), F.col("y.n")))
     return both.filter(9 * (F.size(F.array_intersect("x.prefix", "y.prefix")) + _left("x", "y")) >= 4 * (F.col("x.n") + F.col("y.n"))).select("a", "b")
 
 
@@ -270,16 +264,17 @@ def set_components(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> Data
     placed = met.join(labels, "id", "left").select("key", "id", "meta", F.coalesce("comp", "id").alias("comp"))
     open_lists = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("key")
     placed = written(placed.join(open_lists, "key", "left_semi"))
-    placed = placed.join(heads(many, placed.select("id").distinct(), "bits"), "id")
-    x = placed.filter(F.col("meta").bitwiseAND(1) == 1).select("key", F.col("id").alias("a"), F.col("meta").alias("am"), F.col("comp").alias("ac"), F.col("h").alias("x"))
-    y = placed.select("key", F.col("id").alias("b"), F.col("meta").alias("bm"), F.col("comp").alias("bc"), F.col("h").alias("y"))
+    sketches = many.select(F.col("set_id").alias("id"), "bits").join(placed.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    placed = placed.join(sketches, "id")
+    x = placed.filter(F.col("meta").bitwiseAND(1) == 1).select("key", F.col("id").alias("a"), F.col("meta").alias("am"), F.col("comp").alias("ac"), F.col("bits").alias("x"))
+    y = placed.select("key", F.col("id").alias("b"), F.col("meta").alias("bm"), F.col("comp").alias("bc"), F.col("bits").alias("y"))
     an, bn = F.shiftright("am", 4), F.shiftright("bm", 4)
     fits = (
         (F.col("ac") != F.col("bc"))
         & ((an < bn) | ((an == bn) & (F.col("a") < F.col("b"))))
         & (5 * an >= 4 * bn)
         & ((F.col("am").bitwiseAND(F.col("bm")).bitwiseAND(2) == 0) | (F.col("am").bitwiseAND(4) == 4))
-        & may_share()
+        & may_share("x", "y", an, bn)
     )
     rest = x.join(y, "key").filter(fits).select("a", "b").distinct()
     rest = written(rest.join(compared.union(compared.select("b", "a")), ["a", "b"], "left_anti"))
