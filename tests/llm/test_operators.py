@@ -300,3 +300,26 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r[0] for r in corpus_pipeline.near_copies_stage(spark, docs, str(tmp_path)).filter("doc_id IN (20, 21)").select("doc_id").collect()) == [20]
     assert "<EMAIL>" in corpus_pipeline.pii_stage(spark, docs, str(tmp_path)).filter("doc_id = 23").first()["text"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 15
+
+
+def test_sketches_cannot_turn_down_a_link(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (2, 9, 60, 900, 4000):
+        for _ in range(6):
+            own = [f"w{x}" for x in rng.integers(0, 10**9, n + 4)]
+            other = [*own[: len(own) - n // 12], *(f"v{x}" for x in rng.integers(0, 10**9, n // 12))]
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(other))]
+    sets = {i: set(ngram_join.shingles(t.encode()).tolist()) for i, t in rows}
+    made = ngram_join.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"), np.empty(0, np.uint64)).select("doc_id", "n_shingles", "bits")
+    x = made.filter("doc_id % 2 = 0").selectExpr("doc_id AS a", "n_shingles AS n", "bits AS x")
+    y = made.filter("doc_id % 2 = 1").selectExpr("doc_id - 1 AS a", "n_shingles AS m", "bits AS y")
+    passed = {r.a for r in x.join(y, "a").filter(ngram_join.may_share("x", "y", F.col("n"), F.col("m"))).collect()}
+    links = {i for i in range(0, len(rows), 2) if 100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1])}
+    assert links and links <= passed
+
+
+def test_long_stretches_are_scanned_whole():
+    scanner = secret_scan.Scanner()
+    long = "a" * 50_000
+    assert scanner.scan([long.encode(), b"x\n" * 3 + b"token = " * 2001 + b"abcdefgh1"]) == [[(0, 50_000, 2)], [(6 + 8 * 2000, 6 + 8 * 2001 + 9, 0)]]  # a dropped match takes its value, the next token, along
