@@ -274,3 +274,33 @@ def cosine_block(queries, k: int):
                     yield pd.DataFrame({"query_id": name, "id": ids[top], "score": near[top, q]})
 
     return run
+
+
+def vector_blocks(rows: int):
+    """For mapInPandas over (id, vector): blocks of at most ``rows`` vectors (ids, numbers of unit length as bytes)."""
+    import numpy as np
+
+    def run(frames):
+        for frame in frames:
+            for at in range(0, len(frame), rows):
+                part = frame.iloc[at : at + rows]
+                own = np.stack(part.vector.to_numpy()).astype(float)
+                own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+                yield pd.DataFrame({"ids": [part.id.to_numpy(np.int64).tobytes()], "numbers": [own.tobytes()]})
+
+    return run
+
+
+def block_neighbours(k: int):
+    """For mapInPandas over pairs of blocks (query_ids, query_numbers, ids, numbers): the k nearest of each query within the pair."""
+    import numpy as np
+
+    def run(frames):
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                names, ids = np.frombuffer(row.query_ids, np.int64), np.frombuffer(row.ids, np.int64)
+                near = np.round(np.frombuffer(row.numbers).reshape(len(ids), -1) @ np.frombuffer(row.query_numbers).reshape(len(names), -1).T, 9)
+                top = np.lexsort((np.broadcast_to(ids[:, None], near.shape), -near), axis=0)[:k]
+                yield pd.DataFrame({"query_id": np.repeat(names, len(top)), "id": ids[top].T.ravel(), "score": np.take_along_axis(near, top, 0).T.ravel()})
+
+    return run

@@ -27,6 +27,15 @@ def _terms(spark, values):
     return spark.createDataFrame([(k, v) for k, v in enumerate(values)], "query_id int, query string")
 
 
+def _with_titles(spark, sf_dir, values):
+    """The stated queries, and the titles of the records whose number is divisible by 20, so that queries grow with the table."""
+    return _terms(spark, values).withColumn("query_id", F.col("query_id").cast("long")).unionByName(_titles(spark, sf_dir).withColumn("query_id", F.col("query_id") + 100))
+
+
+def _titles(spark, sf_dir):
+    return V.knowledge(spark, sf_dir).filter("doc_id % 20 = 0").select(F.col("doc_id").cast("long").alias("query_id"), F.col("title").alias("query"))
+
+
 def _columns(name, build, sql):
     """A query of id and one computed column over all of knowledge."""
     QUERIES[name] = lambda spark, sf_dir: V.knowledge(spark, sf_dir).select("id", build().alias("v"))
@@ -120,7 +129,7 @@ def _(spark, sf_dir):
 
 @query("sch2_all_terms")
 def _(spark, sf_dir):
-    return search.match_all_terms(V.knowledge(spark, sf_dir), _terms(spark, ["thing ation", "password token", "streets"]), ["title", "content"])
+    return search.match_all_terms(V.knowledge(spark, sf_dir), _with_titles(spark, sf_dir, ["thing ation", "password token", "streets"]), ["title", "content"])
 
 
 @query("sch3_ilike", f"""with k as ({K}), q(query_id, query) as (values {_VALUES}), m as (select query_id, id, created_at from k, q where contains(lower(title), query) or contains(lower(content), query)),
@@ -147,13 +156,13 @@ def _(spark, sf_dir):
 
 @query("sch6_fallback")
 def _(spark, sf_dir):
-    asked = _terms(spark, [*NEEDLES, "thing zzzz", "password rotation plan"]).withColumn("terms", C.fallback_terms(F.col("query"), F.array().cast("array<string>")))
+    asked = _with_titles(spark, sf_dir, [*NEEDLES, "thing zzzz", "password rotation plan"]).withColumn("terms", C.fallback_terms(F.col("query"), F.array().cast("array<string>")))
     return search.search_with_fallback(V.knowledge(spark, sf_dir), asked, ["title", "content"])
 
 
 @query("sch7_recall")
 def _(spark, sf_dir):
-    return search.recall(V.knowledge(spark, sf_dir), V.decisions(spark, sf_dir), _terms(spark, [*NEEDLES, "germany password", ""]), _aliases(spark, sf_dir))
+    return search.recall(V.knowledge(spark, sf_dir), V.decisions(spark, sf_dir), _with_titles(spark, sf_dir, [*NEEDLES, "germany password", ""]), _aliases(spark, sf_dir))
 
 
 @query("sch8_cosine", """with q as (select vec_id as query_id, embedding as e from embeddings where vec_id < 5), m as (select query_id, vec_id as id, list_cosine_similarity(embedding::double[], e::double[]) as s from embeddings, q),
@@ -169,6 +178,39 @@ def _(spark, sf_dir):
     return search.search_collection(V.contacts(spark, sf_dir), "contacts", _terms(spark, ["GERMANY"])).drop("query_id")
 
 
+_TITLES = "q as (select doc_id as query_id, lower(title) as query from k where doc_id % 20 = 0 and trim(title, ' ') <> '')"
+
+
+@query("sch10_neighbours", """with q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 20 = 0), m as (select query_id, vec_id as id, list_cosine_similarity(embedding::double[], e::double[]) as s from embeddings, q),
+ r as (select *, row_number() over (partition by query_id order by round(s, 9) desc, id) as rank from m) select query_id, id, rank from r where rank <= 10""")
+def _(spark, sf_dir):
+    vectors = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return search.cosine_neighbours(vectors, vectors.filter("id % 20 = 0")).select("query_id", "id", "rank")
+
+
+@query("sch11_title_search", f"""with k as ({K}), {_TITLES},
+ m as (select query_id, id, case when contains(lower(array_to_string(tags, chr(10))), query) then 3 when contains(lower(title), query) then 2 else 1 end as score from k, q
+   where contains(lower(array_to_string(tags, chr(10))), query) or contains(lower(title), query) or contains(lower(content), query)),
+ r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from m) select query_id, id, score, rank from r where rank <= 50""")
+def _(spark, sf_dir):
+    return search.text_search(V.knowledge(spark, sf_dir), _titles(spark, sf_dir))
+
+
+@query("sch12_title_ilike", f"""with k as ({K}), {_TITLES}, m as (select query_id, id, created_at from k, q where contains(lower(title), query) or contains(lower(content), query)),
+ r as (select query_id, id, row_number() over (partition by query_id order by created_at desc, id) as rank from m) select * from r where rank <= 50""")
+def _(spark, sf_dir):
+    return search.ilike_search(V.knowledge(spark, sf_dir), _titles(spark, sf_dir).filter("trim(query) <> ''"), ["title", "content"])
+
+
+@query("sch13_contact_names", """with c as (select c_custkey, lower(c_name) as name, coalesce(lower(n_name), '') as company, lower(c_mktsegment) as role from customer left join nation on c_nationkey = n_nationkey),
+ q as (select c_custkey as query_id, name as query from c where c_custkey % 20 = 0), m as (select query_id, cast(c_custkey as varchar) as id from c, q where contains(name, query) or contains(company, query) or contains(role, query)),
+ r as (select *, row_number() over (partition by query_id order by id) as rank from m) select query_id, id, rank from r where rank <= 10""")
+def _(spark, sf_dir):
+    contacts = V.contacts(spark, sf_dir)
+    asked = contacts.filter("key % 20 = 0").select(F.col("key").cast("long").alias("query_id"), F.col("name").alias("query"))
+    return search.search_collection(contacts, "contacts", asked).select("query_id", "id", "rank")
+
+
 @query("lnk1_load", f"with l as ({L}), r as (select *, row_number() over (partition by source_id, target_id, relation_type order by created_at, id) as n from l where source_id <> target_id) select source_id, target_id, relation_type, id from r where n = 1")
 def _(spark, sf_dir):
     rows = V.links(spark, sf_dir)

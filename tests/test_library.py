@@ -3,6 +3,7 @@
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from notelake.functions import columns as C
 from notelake.functions import helpers as H
 from notelake.operators import chat, chunking, filters, links, parsers, records, search, threads
 from notelake.plans import ingest as I
+from notelake.queries import QUERIES
 from notelake.sources import files as S
 from notelake.streaming.ingest import ingest_stream
 
@@ -182,3 +184,24 @@ def test_registry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.oracle_sql()) > 30
+
+
+def test_neighbours_of_every_twentieth_row(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    own = rng.normal(0, 1, (130, 6))
+    own[7] = own[3]
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 16)
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(own)], "id long, vector array<double>").repartition(3)
+    got = {}
+    for r in search.cosine_neighbours(vectors, vectors.filter("id % 20 = 0"), 4).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.id
+    unit = own / np.linalg.norm(own, axis=1, keepdims=True)
+    want = {q: dict(enumerate(sorted(range(130), key=lambda k: (-round(float(unit[k] @ unit[q]), 9), k))[:4], 1)) for q in range(0, 130, 20)}
+    assert got == want
+
+
+def test_searches_grow_with_the_table(spark, tmp_path):
+    rows = [(k, f"title number{k} here\nthe text", "en", "s", 1) for k in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.query_id for r in QUERIES["sch11_title_search"](spark, str(tmp_path)).collect()} == {0, 20, 40, 60, 80}
+    assert {r.query_id for r in QUERIES["sch2_all_terms"](spark, str(tmp_path)).collect()} >= {100, 120, 140, 160, 180}
