@@ -10,8 +10,9 @@ frequent come last, the others by hash) such sets share c shingles within short
 The boundary is the largest n for which enumerating subsets costs less than scanning lists of the measured mean length. The order and
 the boundary decide about cost only; every linked pair is found for any of them, and every candidate is verified on whole sets.
 
-Equal sets count as one. Only components are asked for, so lists aren't expanded into pairs at first: each member is verified against
-its lists' first member, and components are formed; then only members of different components are paired. Lists of shingles known to
+Equal sets count as one. All fitting pairs of different sets in a list are verified, and give the links of each document and the
+components. ``one_of_each`` asks for components only, so there lists aren't expanded into pairs at first: each member is verified
+against its lists' first member, and components are formed; then only members of different components are paired. Lists of shingles known to
 be frequent are shuffled as joins whose hot keys can be split; the others, short by selection, are shuffled once.
 Shingles are 64-bit hashes; sets are told apart by a 128-bit digest, and by its first half while pairs are sought.
 """
@@ -247,12 +248,41 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(9 * (F.size(F.array_intersect("x.prefix", "y.prefix")) + _left("x", "y")) >= 4 * (F.col("x.n") + F.col("y.n"))).select("a", "b")
 
 
+def fitting_pairs(placed: DataFrame, many: DataFrame, apart: bool) -> DataFrame:
+    """(a, b), a the smaller set: all members of one list (key, id, meta, comp) that may link by size and sketch; ``apart``: only those of
+    different components."""
+    sketches = many.select(F.col("set_id").alias("id"), "bits").join(placed.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    placed = placed.join(sketches, "id")
+    x = placed.filter(F.col("meta").bitwiseAND(1) == 1).select("key", F.col("id").alias("a"), F.col("meta").alias("am"), F.col("comp").alias("ac"), F.col("bits").alias("x"))
+    y = placed.select("key", F.col("id").alias("b"), F.col("meta").alias("bm"), F.col("comp").alias("bc"), F.col("bits").alias("y"))
+    an, bn = F.shiftright("am", 4), F.shiftright("bm", 4)
+    fits = (
+        ((an < bn) | ((an == bn) & (F.col("a") < F.col("b"))))
+        & (5 * an >= 4 * bn)
+        & ((F.col("am").bitwiseAND(F.col("bm")).bitwiseAND(2) == 0) | (F.col("am").bitwiseAND(4) == 4))
+        & may_share("x", "y", an, bn)
+    )
+    return x.join(y, "key").filter(fits & (F.col("ac") != F.col("bc")) if apart else fits).select("a", "b").distinct()
+
+
+def met_sets(many: DataFrame) -> DataFrame:
+    """The lists of at least two different sets: key, id, meta."""
+    sampled = many.select("set_id", F.explode("prefix").alias("key")).filter(F.pmod("key", F.lit(LIST_SAMPLE)) == 0).distinct().groupBy("key").count()
+    mean = sampled.agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("m")).first()["m"] or 1.0
+    return written(met_in_lists(postings(many, cheapest_boundary(mean))))
+
+
+def set_links(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): every two different sets that link, once, both as set_ids."""
+    many = rows.filter("n_shingles > 1")
+    pairs = written(plausible(fitting_pairs(met_sets(many).withColumn("comp", F.col("id")), many, apart=False), many))
+    return written(linked(pairs, whole_sets(docs, doc_ids(pairs, classes))))
+
+
 def set_components(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """id, comp (both set_ids) of the sets that link with another. ``rows``: shingle sets; ``classes``: set_id and first doc_id."""
     many = rows.filter("n_shingles > 1")
-    sampled = many.select("set_id", F.explode("prefix").alias("key")).filter(F.pmod("key", F.lit(LIST_SAMPLE)) == 0).distinct().groupBy("key").count()
-    mean = sampled.agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("m")).first()["m"] or 1.0
-    met = written(met_in_lists(postings(many, cheapest_boundary(mean))))
+    met = met_sets(many)
     labels = met.select("id").distinct().withColumn("comp", F.col("id"))
     stars = compared = None
     for most in STARS:
@@ -264,47 +294,61 @@ def set_components(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> Data
     placed = met.join(labels, "id", "left").select("key", "id", "meta", F.coalesce("comp", "id").alias("comp"))
     open_lists = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("key")
     placed = written(placed.join(open_lists, "key", "left_semi"))
-    sketches = many.select(F.col("set_id").alias("id"), "bits").join(placed.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    placed = placed.join(sketches, "id")
-    x = placed.filter(F.col("meta").bitwiseAND(1) == 1).select("key", F.col("id").alias("a"), F.col("meta").alias("am"), F.col("comp").alias("ac"), F.col("bits").alias("x"))
-    y = placed.select("key", F.col("id").alias("b"), F.col("meta").alias("bm"), F.col("comp").alias("bc"), F.col("bits").alias("y"))
-    an, bn = F.shiftright("am", 4), F.shiftright("bm", 4)
-    fits = (
-        (F.col("ac") != F.col("bc"))
-        & ((an < bn) | ((an == bn) & (F.col("a") < F.col("b"))))
-        & (5 * an >= 4 * bn)
-        & ((F.col("am").bitwiseAND(F.col("bm")).bitwiseAND(2) == 0) | (F.col("am").bitwiseAND(4) == 4))
-        & may_share("x", "y", an, bn)
-    )
-    rest = x.join(y, "key").filter(fits).select("a", "b").distinct()
+    rest = fitting_pairs(placed, many, apart=True)
     rest = written(rest.join(compared.union(compared.select("b", "a")), ["a", "b"], "left_anti"))
     rest = written(plausible(rest, many))
     more = written(linked(rest, whole_sets(docs, doc_ids(rest, classes))))
     return labels if more.isEmpty() else components(stars.union(more).union(labels.select(F.col("comp").alias("a"), F.col("id").alias("b"))))
 
 
-def ngram_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_copies (documents of the same set, itself included).
-
-    A null or blank text has no shingles and stays alone. Rows that share a doc_id are looked at one by one. A null doc_id links with
-    nothing and has a null component. Other columns of ``docs`` are not looked at; an empty table gives no rows.
-    """
+def set_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(docs, a row of each document's set, those that can link, classes of equal sets with their first doc_id and n_copies)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(shingle_sets(docs, frequent_shingles(docs)))
     filled = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(filled.groupBy("set_key", "set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")))
-    labels = set_components(filled, classes, docs)
+    return docs, rows, filled, written(filled.groupBy("set_key", "set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")))
+
+
+def placed_documents(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_copies, set_id (null where a document has no set) by the components of sets."""
     named = labels.join(classes.select(F.col("set_id").alias("id"), "doc_id"), "id")
     first = named.groupBy("comp").agg(F.min("doc_id").alias("_first"))
     place = named.select(F.col("id").alias("set_id"), "comp").distinct().join(first, "comp").select("set_id", "_first")
-    place = classes.join(place, "set_id", "left").select("set_key", "n_copies", F.coalesce("_first", "doc_id").alias("component_id"))
+    place = classes.join(place, "set_id", "left").select("set_key", "set_id", "n_copies", F.coalesce("_first", "doc_id").alias("component_id"))
     keyed = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_key")).alias("set_key"))
-    joined = keyed.filter("set_key IS NOT NULL").join(place, "set_key").select("doc_id", "n_shingles", "component_id", "n_copies")
-    alone = keyed.filter("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
+    joined = keyed.filter("set_key IS NOT NULL").join(place, "set_key").select("doc_id", "n_shingles", "component_id", "n_copies", "set_id")
+    alone = keyed.filter("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(None).cast("long").alias("set_id"))
     return joined.unionByName(alone)
 
 
+def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs: a, b, every two classes of equal sets that link; members: doc_id, class). A class is named by its smallest doc_id; its
+    members link with each other and with all members of the linked classes."""
+    docs, rows, filled, classes = set_rows(docs)
+    name = classes.select("set_id", F.col("doc_id").alias("class"))
+    pairs = set_links(filled, classes, docs)
+    pairs = pairs.join(name.select(F.col("set_id").alias("a"), F.col("class").alias("_a")), "a").join(name.select(F.col("set_id").alias("b"), F.col("class").alias("_b")), "b")
+    return pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")), filled.select("doc_id", "set_id").join(name, "set_id").select("doc_id", "class")
+
+
+def ngram_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_copies (documents of the same set, itself included), n_links (other documents it links with,
+    those of the same set included).
+
+    A null or blank text has no shingles and stays alone. Rows that share a doc_id are looked at one by one. A null doc_id links with
+    nothing and has a null component. Other columns of ``docs`` are not looked at; an empty table gives no rows.
+    """
+    docs, rows, filled, classes = set_rows(docs)
+    links = set_links(filled, classes, docs)
+    ends = links.select(F.col("a").alias("set_id"), F.col("b").alias("other")).union(links.select("b", "a"))
+    far = ends.join(classes.select(F.col("set_id").alias("other"), F.col("n_copies").alias("_n")), "other").groupBy("set_id").agg(F.sum("_n").alias("_far"))
+    placed = placed_documents(rows, classes, components(links)).join(far, "set_id", "left")
+    return placed.select("doc_id", "n_shingles", "component_id", "n_copies", (F.col("n_copies") - 1 + F.coalesce("_far", F.lit(0))).alias("n_links"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row of the smallest doc_id stays."""
-    kept = ngram_join(docs).filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
+    """The rows of ``docs`` without near copies: of each component the row of the smallest doc_id stays. Only components are sought."""
+    narrow, rows, filled, classes = set_rows(docs)
+    placed = placed_documents(rows, classes, set_components(filled, classes, narrow))
+    kept = placed.filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")

@@ -323,3 +323,25 @@ def test_long_stretches_are_scanned_whole():
     scanner = secret_scan.Scanner()
     long = "a" * 50_000
     assert scanner.scan([long.encode(), b"x\n" * 3 + b"token = " * 2001 + b"abcdefgh1"]) == [[(0, 50_000, 2)], [(6 + 8 * 2000, 6 + 8 * 2001 + 9, 0)]]  # a dropped match takes its value, the next token, along
+
+
+def test_join_counts_every_link_of_a_group(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(150)]
+    texts = [" ".join(words), " ".join(words)]
+    for _ in range(40):  # differing near copies: many link with each other, not all
+        own = list(words)
+        for at in rng.choice(150, 2, replace=False):
+            own[at] = f"n{rng.integers(0, 10**6)}"
+        texts.append(" ".join(own))
+    texts += ["short text", "short text", "", None]
+    sets = [shingles(t) for t in texts]
+    link = lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(ngram_join.ngram_join(docs))
+    assert [got[k]["n_links"] for k in range(len(texts))] == [sum(a != b and link(a, b) for b in range(len(texts))) for a in range(len(texts))]
+    pairs, members = ngram_join.class_links(docs)
+    classes = {r.doc_id: r["class"] for r in members.collect()}
+    names = set(classes.values())
+    assert classes[1] == 0 and classes[43] == 42
+    assert sorted((r.a, r.b) for r in pairs.collect()) == [(a, b) for a, b in combinations(sorted(names), 2) if link(a, b)]
