@@ -2,8 +2,9 @@
 
 Sarawagi and Cohen, "Semi-Markov Conditional Random Fields for Information Extraction" (2004): a label covers a whole segment, so
 features look at whole spans (its digits, separators, checks). Dynamic programming over segments of at most ``LONGEST`` words
-chooses boundaries and kinds jointly. Words that hold neither a digit, an ``@`` nor a spelt-out ``at`` can't lie in an entity, so
-they part a text into windows that are decoded on their own; this equals decoding the whole text.
+chooses boundaries and kinds jointly. An entity holds a word with a digit, an ``@`` or a spelt-out ``at`` (in any case), a hook. No
+segment reaches further than LONGEST - 1 words from its hook, so the windows of that reach are decoded on their own; this equals
+decoding the whole text.
 
 The patterns' spans always stay; the field adds spans that overlap none of them.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
@@ -25,7 +26,7 @@ from notelake.llm.text import as_bytes, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words at most in a segment, and examples and rounds of the training.
-LONGEST, EXAMPLES, ROUNDS = 6, 240, 60
+LONGEST, EXAMPLES, ROUNDS = 9, 240, 60
 #: The score by which the best labelling must beat the one without the span.
 MARGIN = 2.0
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -75,7 +76,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # The random field: label 0 is "outside" and covers one word, label k is KINDS[k - 1].
 _WORD = re.compile(r"[^\s]+")
-_HOOK = re.compile(r"[0-9@]|[\[(<{]at[\])>}]", re.A)
+_HOOK = re.compile(r"[0-9@]|[\[(<{]at[\])>}]", re.I)
 _AT, _DOT = re.compile(r"^[\[(<{](?:at)[\])>}]$", re.I), re.compile(r"^[\[(<{](?:dot)[\])>}]$", re.I)
 _PIECE = re.compile(r"^[A-Za-z0-9._%+-]+$")
 _N_FEATURES = 16
@@ -148,8 +149,9 @@ def _invented(seed: int):
     def entity(kind):
         form = rng.integers(0, 3)
         if kind == 0:
-            a, b, c = word(), word(), word()
-            return [[f"{a}@{b}.{c}"], [a, "[at]", b, "[dot]", c], [f"{a}.{b}", "(at)", c, "(dot)", "com"]][form]
+            a, b, c, d = word(), word(), word(), word()
+            two, three = [a, "[at]", b, "[dot]", c, "[dot]", d], [a, "(at)", b, "(dot)", c, "(dot)", d, "(dot)", "com"]
+            return [[f"{a}@{b}.{c}"], [a, "[at]", b, "[dot]", c], [f"{a}.{b}", "(at)", c, "(dot)", "com"], two, three][rng.integers(0, 5)]
         if kind == 1:
             parts = [str(x) for x in rng.integers(0, 256, 4)]
             return [[".".join(parts)], ["[.]".join(parts)], [".".join(parts)]][form]
@@ -207,9 +209,12 @@ def trained(seed: int = 3) -> np.ndarray:
 
 
 def decoded(words: list[str], weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation's entities (first word, end, label), each at least MARGIN better than leaving its words outside."""
-    where, x = segments(words)
-    scores = np.where(allowed(where), x @ weights.T, -np.inf)
+    """The best segmentation's entities (first word, end, label), each with a hook and at least MARGIN better than leaving its words
+    outside."""
+    hooks = list(accumulate((bool(_HOOK.search(w)) for w in words), initial=0))
+    where = [(i, j) for j in range(1, len(words) + 1) for i in range(max(0, j - LONGEST), j) if j - i == 1 or hooks[j] > hooks[i]]
+    scores = np.where(allowed(where), np.array([features(tuple(words[i:j])) for i, j in where]) @ weights.T, -np.inf)
+    scores[[hooks[j] == hooks[i] for i, j in where], 1:] = -np.inf
     best = np.full(len(words) + 1, -np.inf)
     best[0], back = 0.0, [None] * (len(words) + 1)
     label, top = scores.argmax(1), scores.max(1)
@@ -226,11 +231,25 @@ def decoded(words: list[str], weights: np.ndarray) -> list[tuple[int, int, int]]
     return out[::-1]
 
 
-def field_spans(text: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """(kind, start, end) found by the field. A window reaches LONGEST words beyond each word with a hook."""
-    found, window, spans = [], [], []
-
-    def close():
+def field_spans(text: str, weights: np.ndarray, reach: int = LONGEST - 1) -> list[tuple[int, int, int]]:
+    """(kind, start, end) found by the field. A window reaches ``reach`` whole words beyond each word with a hook; windows that meet are
+    one."""
+    hooks = [m.start() for m in _HOOK.finditer(text)]
+    if not hooks:
+        return []
+    bounds = [m.span() for m in _WORD.finditer(text)]
+    starts = [a for a, _ in bounds]
+    found, windows, last = [], [], -1
+    for hook in hooks:
+        k = bisect_right(starts, hook) - 1
+        if k > last:
+            low, high, last = max(0, k - reach), min(len(bounds), k + reach + 1), k
+            if windows and low <= windows[-1][1]:
+                windows[-1][1] = high
+            else:
+                windows.append([low, high])
+    for low, high in windows:
+        window = bounds[low:high]
         words = [text[a:b].strip(",;:!?\"'").rstrip(".") or text[a:b] for a, b in window]
         for i, j, kind in decoded(words, weights):
             a, b = window[i][0], window[j - 1][1]
@@ -239,29 +258,6 @@ def field_spans(text: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
             while a < b and text[a] in ",;:!?\"'":
                 a += 1
             found.append((kind - 1, a, b))
-
-    for hook in _HOOK.finditer(text):
-        a = hook.start()
-        if not spans or a >= spans[-1][1]:
-            while a > 0 and not text[a - 1].isspace():
-                a -= 1
-            spans.append(_WORD.match(text, a).span())
-    k = 0
-    while k < len(spans):
-        group = [spans[k]]
-        while k + 1 < len(spans) and len(_WORD.findall(text, group[-1][1], spans[k + 1][0])) <= 2:
-            k += 1
-            group += [m.span() for m in _WORD.finditer(text, group[-1][1], spans[k][0])] + [spans[k]]
-        left = [m.span() for m in _WORD.finditer(text, max(0, group[0][0] - 40), group[0][0])][-2:]
-        left = [(a, b) for a, b in left if a == 0 or text[a - 1].isspace()]
-        right = []
-        for m in _WORD.finditer(text, group[-1][1], group[-1][1] + 60):
-            if len(right) == 4 or m.end() == group[-1][1] + 60:
-                break
-            right.append(m.span())
-        window = left + group + right
-        close()
-        k += 1
     return found
 
 

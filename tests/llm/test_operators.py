@@ -345,3 +345,15 @@ def test_join_counts_every_link_of_a_group(spark):
     names = set(classes.values())
     assert classes[1] == 0 and classes[43] == 42
     assert sorted((r.a, r.b) for r in pairs.collect()) == [(a, b) for a, b in combinations(sorted(names), 2) if link(a, b)]
+
+
+def test_field_sees_whole_addresses_and_windows_lose_nothing():
+    weights = pii.trained()
+    found = lambda t: [(pii.KINDS[k], t[a:b]) for k, a, b in pii.Finder(weights).find(t)[1]]
+    for own in ("Joe [AT] host [DOT] com", "joe [at] mail [dot] host [dot] com", "joe (at) a (dot) mail (dot) host (dot) com", "j" * 60 + " [at] host [dot] com", "joe [at] " + "h" * 70 + " [dot] com"):
+        assert found(f"please mail {own} today or write") == [("email", own)]
+    rng = np.random.default_rng(6)
+    parts = ["word", "then,", "joe", "[at]", "(AT)", "[dot]", "(DOT)", "host", "com", "555", "(555)", "123-4567", "4111", "1111", "10.2.3.44", "x@y", "+1", "a.", "7"]
+    for _ in range(150):
+        text = " ".join("plain" if rng.random() < 0.7 else rng.choice(parts) for _ in range(rng.integers(1, 90)))
+        assert pii.field_spans(text, weights) == pii.field_spans(text, weights, reach=10**6), text
