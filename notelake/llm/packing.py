@@ -3,10 +3,12 @@
 Documents are routed to tiers of context sizes (``TIERS``): whole windows of the longest tier are cut off first, the rest goes to
 the shortest tier that holds it. Each tier is packed best-fit, longest first. Gaps of longer windows are then filled from shorter
 tiers: whole pieces while they fit, then a piece cut to the gap. What is left at the end is laid out in windows of powers of two,
-so no window is padded. Windows are dealt to step groups of nearly equal tokens.
+so no window is padded.
 
-Documents are packed within an Arrow batch (some hundred documents), so nothing is shuffled, a lost task is simply run again, and
-memory is bounded by the batch.
+Documents are packed within an Arrow batch (some hundred documents), so no text is shuffled, a lost task is simply run again, and
+memory is bounded by the batch. Then the windows of the whole table are dealt to step groups of nearly equal tokens: a group holds
+windows of one tier, or windows shorter than all tiers. Each window knows the tokens before it within its partition; prefix sums of
+the partitions' totals (a row a partition and tier) give its place among all, so groups span batches and partitions.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
-from notelake.llm.text import as_bytes, map_batches
+from notelake.llm.text import as_bytes, map_batches, written
 
 TIERS = (256, 512, 1024, 2048)
-#: Tokens of a step group, which holds windows of one size.
+#: Tokens at most of a step group, which holds windows of one tier (or of the sizes below the shortest).
 STEP_TOKENS = 16_384
 #: The id that ends each document.
 END = 1
@@ -165,47 +168,79 @@ def pack(lengths: list[int], tiers=TIERS) -> list[tuple[int, list[tuple[int, int
     return windows
 
 
-def step_groups(windows, tokens: int = STEP_TOKENS) -> list[int]:
-    """A group for each window: groups hold windows of one size, and as many tokens as fit in ``tokens``."""
-    filled: dict[int, tuple[int, int]] = {}
-    out, groups = [], 0
+def tier_of(size: int, tiers=TIERS) -> int:
+    """The tier of a window; 0 for those shorter than all tiers, which are dealt together."""
+    return size if size >= tiers[0] else 0
+
+
+def room(tier: int, tokens: int = STEP_TOKENS, tiers=TIERS) -> int:
+    """Tokens for which one group is made. A group takes the windows that begin in its equal share, so of mixed sizes it may hold up to
+    half the shortest tier more than its share."""
+    return max(1, tokens if tier else tokens - tiers[0] // 2)
+
+
+def step_groups(windows, tokens: int = STEP_TOKENS, tiers=TIERS) -> list[int]:
+    """A group for each window: each tier's windows are dealt to as few groups as hold them, with nearly equal tokens a group."""
+    total, before, first = {}, {}, {}
     for size, _ in windows:
-        group, room = filled.get(size, (0, 0))
-        if room < size:
-            group, room, groups = groups, tokens, groups + 1
-        filled[size] = group, room - size
-        out.append(group)
+        total[tier_of(size, tiers)] = total.get(tier_of(size, tiers), 0) + size
+    groups = {t: -(-n // room(t, tokens, tiers)) for t, n in sorted(total.items())}
+    for t, g in groups.items():
+        first[t], before[t] = sum(n for x, n in groups.items() if x < t), 0
+    out = []
+    for size, _ in windows:
+        t = tier_of(size, tiers)
+        out.append(first[t] + before[t] * groups[t] // total[t])
+        before[t] += size
     return out
 
 
+def dealt(pieces: DataFrame, step_tokens: int = STEP_TOKENS, tiers=TIERS) -> DataFrame:
+    """The pieces with the step group of their window among all windows: ``step_groups`` over the windows in order of partition. Columns
+    part, tier and before (tokens of the tier's earlier windows in the partition) are used up."""
+    own = pieces.groupBy("tier", "part").agg(F.max(F.col("before") + F.col("context")).alias("n"))
+    own = own.withColumn("at", F.sum("n").over(W.partitionBy("tier").orderBy("part")) - F.col("n"))  # a row a partition
+    least = F.when(F.col("tier") > 0, room(tiers[0], step_tokens, tiers)).otherwise(room(0, step_tokens, tiers))
+    totals = own.groupBy("tier").agg(F.sum("n").alias("total")).withColumn("groups", F.ceil(F.col("total") / least))
+    totals = totals.withColumn("first", F.sum("groups").over(W.orderBy("tier")) - F.col("groups"))  # a row a tier
+    places = own.join(F.broadcast(totals), "tier").select("tier", "part", "at", "total", "groups", "first")
+    big = lambda c: F.col(c).cast("decimal(18,0)")
+    placed = pieces.join(F.broadcast(places), ["tier", "part"]).withColumn("at", F.col("at") + F.col("before"))
+    placed = placed.select(*pieces.columns, "first", big("at").alias("x"), big("groups").alias("g"), big("total").alias("t"))
+    return placed.withColumn("step_group", F.expr("first + (x * g) div t")).drop("part", "tier", "before", "first", "x", "g", "t")
+
+
 def packed(docs: DataFrame, path: str, tiers=TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and context, step_group.
 
     A null or empty text is the end id alone. A repeated row is a document of its own; a null doc_id stays null; other columns are not
-    looked at; an empty table gives no rows. A sequence_id holds the partition, the batch and the window.
+    looked at; an empty table gives no rows. A sequence_id holds the partition, the batch and the window. Step groups count from 0.
     """
 
     def make():
-        words, batch = Words(path), [0]
+        words, batch, seen = Words(path), [0], {}
 
         def f(doc_id, text):
             ids = words.encoded(as_bytes(text))
             names = doc_id.to_pylist()
             windows = pack([len(x) // 4 for x in ids], tiers)
-            groups = step_groups(windows, step_tokens)
-            first = (TaskContext.get().partitionId() << 40) + (batch[0] << 24)
+            part = TaskContext.get().partitionId()
+            first = (part << 40) + (batch[0] << 24)
             if len(windows) >= 1 << 24:
                 raise ValueError("a batch has more windows than a sequence_id can name")
             batch[0] += 1
             rows = []
             for k, (size, pieces) in enumerate(windows):
-                offset = 0
+                offset, tier = 0, tier_of(size, tiers)
+                before = seen.get(tier, 0)
+                seen[tier] = before + size
                 for d, s, n in pieces:
-                    rows.append((names[d], s, n, zlib.crc32(ids[d][4 * s : 4 * (s + n)]), len(ids[d]) // 4, first + k, offset, size, first + groups[k]))
+                    rows.append((names[d], s, n, zlib.crc32(ids[d][4 * s : 4 * (s + n)]), len(ids[d]) // 4, first + k, offset, size, part, tier, before))
                     offset += n
             return list(zip(*rows))
 
         return f
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_batches(own, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int, step_group long", make)
+    pieces = map_batches(own, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int, part int, tier int, before long", make)
+    return dealt(written(pieces), step_tokens, tiers)

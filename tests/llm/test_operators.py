@@ -357,3 +357,21 @@ def test_field_sees_whole_addresses_and_windows_lose_nothing():
     for _ in range(150):
         text = " ".join("plain" if rng.random() < 0.7 else rng.choice(parts) for _ in range(rng.integers(1, 90)))
         assert pii.field_spans(text, weights) == pii.field_spans(text, weights, reach=10**6), text
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_step_groups_span_batches_and_are_nearly_equal(spark, parts):
+    rng = np.random.default_rng(10)
+    rows = [(k, " ".join(["word"] * int(n))) for k, n in enumerate(rng.integers(1, 3000, 700))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = packing.packed(docs, tokenizer("word_bpe_49k.json")).toPandas()
+    windows = got.groupby("sequence_id").agg(size=("context", "first"), tokens=("length", "sum"), groups=("step_group", "nunique"), group=("step_group", "first"))
+    assert (windows["size"] == windows.tokens).all() and (windows.groups == 1).all()
+    windows["tier"] = windows["size"].where(windows["size"] >= packing.TIERS[0], 0)
+    assert windows.groupby("group").tier.nunique().max() == 1
+    assert sorted(set(windows.group)) == list(range(windows.group.max() + 1))
+    for tier, own in windows.groupby("tier"):
+        tokens = own.groupby("group").tokens.sum()
+        assert len(tokens) == -(-own.tokens.sum() // packing.room(tier))
+        assert tokens.max() <= packing.STEP_TOKENS and tokens.max() - tokens.min() <= (tier or packing.TIERS[0])
+    assert len(set(windows[windows.tier == 2048].group)) > 20
