@@ -19,6 +19,7 @@ Shingles are 64-bit hashes; sets are told apart by a 128-bit digest, and by its
 
 from __future__ import annotations
 
+import gc
 import hashlib
 
 import numpy as np
@@ -272,11 +273,24 @@ def met_sets(many: DataFrame) -> DataFrame:
     return written(met_in_lists(postings(many, cheapest_boundary(mean))))
 
 
+def let_go(docs: DataFrame) -> None:
+    """Spark deletes the shuffle files of plans that are no longer referred to when the driver collects garbage: have it do so now."""
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
+
+
 def set_links(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): every two different sets that link, once, both as set_ids."""
     many = rows.filter("n_shingles > 1")
-    pairs = written(plausible(fitting_pairs(met_sets(many).withColumn("comp", F.col("id")), many, apart=False), many))
-    return written(linked(pairs, whole_sets(docs, doc_ids(pairs, classes))))
+    met = met_sets(many)
+    let_go(docs)
+    fitting = written(fitting_pairs(met.withColumn("comp", F.col("id")), many, apart=False))
+    let_go(docs)
+    pairs = written(plausible(fitting, many))
+    let_go(docs)
+    links = written(linked(pairs, whole_sets(docs, doc_ids(pairs, classes))))
+    let_go(docs)
+    return links
 
 
 def set_components(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
