@@ -32,8 +32,9 @@ def knowledge(spark, sf_dir) -> DataFrame:
 
 
 def decisions(spark, sf_dir) -> DataFrame:
+    """``context`` is the whole text, so that a search meets all of it and no slice breaks a match."""
     t = F.col("text")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.substring(t, 1, 60).alias("title"), F.substring(t, 61, 200).alias("context"), F.substring(t, 261, 40).alias("chosen_option"), (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(F.col("item_id").cast("int"))).alias("created_at"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.substring(t, 1, 60).alias("title"), t.alias("context"), F.substring(t, F.lit(261), F.length(t)).alias("chosen_option"), (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(F.col("item_id").cast("int"))).alias("created_at"))
 
 
 def links(spark, sf_dir) -> DataFrame:

@@ -11,6 +11,7 @@ from notelake.functions import columns as C
 from notelake.functions import helpers as H
 from notelake.operators import chat, chunking, filters, links, parsers, records, search, threads
 from notelake.plans import ingest as I
+from notelake.plans import views as V
 from notelake.queries import QUERIES
 from notelake.sources import files as S
 from notelake.streaming.ingest import ingest_stream
@@ -205,3 +206,11 @@ def test_searches_grow_with_the_table(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.query_id for r in QUERIES["sch11_title_search"](spark, str(tmp_path)).collect()} == {0, 20, 40, 60, 80}
     assert {r.query_id for r in QUERIES["sch2_all_terms"](spark, str(tmp_path)).collect()} >= {100, 120, 140, 160, 180}
+
+
+def test_recall_searches_whole_decisions(spark, tmp_path):
+    text = "a" * 55 + " across bounds " + "b" * 400 + " late needle"
+    spark.createDataFrame([(1, text), (2, "other")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    decisions = V.decisions(spark, str(tmp_path))
+    asked = spark.createDataFrame([(0, "late needle"), (1, "across bounds")], "query_id int, query string")
+    assert {(r.query_id, r.id) for r in search.text_search(decisions, asked, ["title", "context", "chosen_option"]).collect()} == {(0, "1"), (1, "1")}
