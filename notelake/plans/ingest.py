@@ -13,6 +13,8 @@ from notelake.operators.dedupe import classify, clip_records, dedupe_batch, file
 from notelake.operators.filters import drop_bulk, owners_of
 from notelake.sources import files as S
 
+#: Mail archives that one read names.
+MAIL_BLOCK = 10_000
 ITEM = "path string, pos int, title string, content string, type string, tags array<string>, source_meta map<string,string>, format string"
 
 
@@ -74,8 +76,13 @@ def slack_items(files: DataFrame) -> DataFrame:
 def mail_items(spark: SparkSession, files: DataFrame, root: str, include_bulk: bool) -> DataFrame:
     """Thread records of all mail files together; an item belongs to the file of its oldest message."""
     eml = files.filter("format = 'eml'").select("path", F.lit(1).cast("long").alias("pos"), F.col("text").alias("raw"))
-    boxes = S.read_mbox(spark, [r[0] for r in files.filter("format = 'mbox' AND status IS NULL").select("path").limit(10_000).collect()]) if files.filter("format = 'mbox' AND status IS NULL").limit(1).count() else eml.limit(0)
-    parsed, _ = drop_bulk(S.parse_messages(eml.unionByName(boxes)), include_bulk)
+    raw, block, paths = eml, [], files.filter("format = 'mbox' AND status IS NULL").select("path")
+    for row in paths.toLocalIterator():
+        block.append(row["path"])
+        if len(block) == MAIL_BLOCK:
+            raw, block = raw.unionByName(S.read_mbox(spark, block)), []
+    raw = raw.unionByName(S.read_mbox(spark, block)) if block else raw
+    parsed, _ = drop_bulk(S.parse_messages(raw), include_bulk)
     unique = threads.dedupe_messages(parsed.filter("error IS NULL"))
     ranks = unique.select("path").distinct().withColumn("_file", F.row_number().over(W.orderBy("path")))  # one narrow row a file
     numbered = unique.join(ranks, "path").withColumn("pos", F.col("_file") * F.lit(1 << 40) + F.col("pos")).drop("_file")

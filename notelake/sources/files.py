@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -14,14 +14,18 @@ SKIPPED_FOLDERS = ("node_modules", "__pycache__", "dist", ".git")
 MESSAGE_MOST = 4 << 20
 
 
+def relative_path(root: str) -> Column:
+    """The column ``path`` from the root on."""
+    base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*(?=/)", "")
+    plain = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
+    return F.regexp_replace(F.substring(plain, F.length(base) + 2, F.lit(1 << 30)), "%20", " ")
+
+
 def scan_files(spark: SparkSession, root: str, limit: int | None = None, content: bool = True) -> DataFrame:
     """path, rel_path, base_name, length, content, status (skipped_too_large or null). Files over their limit aren't carried along."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*(?=/)", "")
-    plain = F.regexp_replace("path", "^[a-z]+:/*(?=/)", "")
-    rel = F.regexp_replace(F.substring(plain, F.length(base) + 2, F.lit(1 << 30)), "%20", " ")
     names = "|".join(x.replace(".", r"\.") for x in SKIPPED_FOLDERS)
-    df = df.withColumn("rel_path", rel).filter(~F.col("rel_path").rlike(rf"(^|/)(\.[^/]*|{names})(/|$)"))
+    df = df.withColumn("rel_path", relative_path(root)).filter(~F.col("rel_path").rlike(rf"(^|/)(\.[^/]*|{names})(/|$)"))
     file = F.element_at(F.split("rel_path", "/"), -1)
     size_ok = F.col("length") <= C.size_limit(F.col("path"))
     out = df.select("path", "rel_path", F.regexp_replace(file, r"(?<=.)\.[^.]*$", "").alias("base_name"), "length", F.when(size_ok, F.col("content")).alias("content"), F.when(~size_ok, "skipped_too_large").alias("status"))

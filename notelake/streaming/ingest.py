@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.operators.dedupe import classify, clip_records, dedupe_batch
-from notelake.plans.ingest import gated, parse_files
+from notelake.plans.ingest import export_kind, gated, parse_files, slack_items
+from notelake.sources import files as S
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
 STORE = "type string, title string, content string, summary string, tags array<string>, source string, content_hash string, owner_id string, created_at timestamp"
@@ -19,8 +20,14 @@ def ingest_stream(spark: SparkSession, root: str, store: str, checkpoint: str, o
     def add(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
         name = F.element_at(F.split("path", "/"), -1)
-        files = gated(batch.select("path", name.alias("rel_path"), F.regexp_replace(name, r"\.[^.]*$", "").alias("base_name"), "length", "content", F.lit(None).cast("string").alias("status")))
-        items = clip_records(parse_files(session, files), as_of).withColumn("owner_id", F.lit(owner))
+        files = gated(batch.select("path", S.relative_path(root).alias("rel_path"), F.regexp_replace(name, r"\.[^.]*$", "").alias("base_name"), "length", "content", F.lit(None).cast("string").alias("status")))
+        kind = export_kind(S.scan_files(session, root, content=False)).first()["kind"]  # of the whole folder: a batch may hold a part of an export
+        if kind == "slack":
+            users = gated(S.scan_files(session, root).filter("rel_path = 'users.json'"))
+            items = slack_items(files.filter("status IS NULL AND rel_path <> 'users.json'").unionByName(users))
+        else:
+            items = parse_files(session, files, root, kind=kind)
+        items = clip_records(items, as_of).withColumn("owner_id", F.lit(owner))
         have = session.read.schema(STORE).parquet(store).select("type", "title", "owner_id", F.col("content_hash").alias("metadata_hash"), F.lit(True).alias("has_metadata"))
         new = classify(dedupe_batch(items), have).filter("status = 'created'")
         new.select(*(x.split(" ")[0] for x in STORE.split(", "))).write.mode("append").parquet(store)

@@ -214,3 +214,23 @@ def test_recall_searches_whole_decisions(spark, tmp_path):
     decisions = V.decisions(spark, str(tmp_path))
     asked = spark.createDataFrame([(0, "late needle"), (1, "across bounds")], "query_id int, query string")
     assert {(r.query_id, r.id) for r in search.text_search(decisions, asked, ["title", "context", "chosen_option"]).collect()} == {(0, "1"), (1, "1")}
+
+
+def test_mail_of_every_block_of_archives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "MAIL_BLOCK", 2)
+    for k in range(5):
+        (tmp_path / f"box{k}.mbox").write_text(f"From a@x.org Mon Jan  1 00:00:00 2024\nFrom: a@x.org\nSubject: topic {k}\nMessage-ID: <m{k}@x>\nDate: Mon, 01 Jan 2024 00:00:00 +0000\n\nbody of box {k}\n")
+    files = I.gated(S.scan_files(spark, f"file://{tmp_path}"))
+    items = I.mail_items(spark, files, f"file://{tmp_path}", False).collect()
+    assert sorted(r.content[-13:].strip()[-1] for r in items) == ["0", "1", "2", "3", "4"]
+
+
+def test_stream_knows_slack_exports(spark, tmp_path):
+    root = tmp_path / "in"
+    (root / "general").mkdir(parents=True)
+    (root / "users.json").write_text(json.dumps([{"id": "U1", "name": "ana"}]))
+    (root / "channels.json").write_text("[]")
+    (root / "general" / "2024-01-02.json").write_text(json.dumps([{"type": "message", "user": "U1", "text": "hello there", "ts": "1704153600.000100"}]))
+    ingest_stream(spark, f"file://{root}", f"file://{tmp_path}/store", f"file://{tmp_path}/ck", "alice", as_of()).awaitTermination()
+    rows = spark.read.parquet(f"file://{tmp_path}/store").collect()
+    assert [set(r.tags) >= {"slack", "general"} for r in rows] == [True] and "ana" in rows[0].content
