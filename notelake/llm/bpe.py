@@ -11,6 +11,7 @@ import hashlib
 import heapq
 import json
 from array import array
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -144,11 +145,17 @@ class Codec:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(2)
+def codec_of(path: str) -> Codec:
+    """The codec of a vocabulary, kept as long as the Python process: later tasks find most pre-tokens in its memory."""
+    return Codec(path)
+
+
 def encoded_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids: the general form, for those who want the ids themselves."""
 
     def make():
-        codec = Codec(path)
+        codec = codec_of(path)
         return lambda doc_id, text: (doc_id, [np.frombuffer(codec.encoded(x.decode("utf-8", "replace")), "<u4").astype(np.int32) for x in as_bytes(text)])
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id long, ids array<int>", make)
@@ -161,7 +168,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def make():
-        codec = Codec(path)
+        codec = codec_of(path)
 
         def f(doc_id, text):
             ids = [codec.encoded(x.decode("utf-8", "replace")) for x in as_bytes(text)]

@@ -2,8 +2,8 @@
 
 Documents are routed to tiers of context sizes (``TIERS``): whole windows of the longest tier are cut off first, the rest goes to
 the shortest tier that holds it. Each tier is packed best-fit, longest first. Gaps of longer windows are then filled from shorter
-tiers: whole pieces while they fit, then a piece cut to the gap. What is left at the end is laid out in windows of powers of two,
-so no window is padded.
+tiers: whole pieces while they fit, then a piece cut to the gap. What no window is filled with (less than one window) goes into the
+task's next batch; at the task's end it is laid out in windows of powers of two, so no window is padded.
 
 Documents are packed within an Arrow batch (some hundred documents), so no text is shuffled, a lost task is simply run again, and
 memory is bounded by the batch. Then the windows of the whole table are dealt to step groups of nearly equal tokens: a group holds
@@ -15,23 +15,30 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 from tokenizers import Tokenizer
 
-from notelake.llm.text import as_bytes, map_batches, written
+from notelake.llm.text import as_bytes, small_batches, written
 
 TIERS = (256, 512, 1024, 2048)
 #: Tokens at most of a step group, which holds windows of one tier (or of the sizes below the shortest).
 STEP_TOKENS = 16_384
 #: The id that ends each document.
 END = 1
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int, part int, tier int, before long"
+#: Rows of partition totals (one a partition and tier) up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Words that a worker remembers, twice: when the young half is full it becomes the old half, from which what is met again moves back.
 REMEMBERED = 300_000
 #: How the vocabulary parts words that hold Latin-1 letters, digits and marks only, and its mark of a word's end.
@@ -89,6 +96,12 @@ class Words:
         return out
 
 
+@lru_cache(2)
+def words_of(path: str) -> Words:
+    """The word memory of a vocabulary, kept as long as the Python process: later tasks find most words there."""
+    return Words(path)
+
+
 def routed(lengths: list[int], tiers=TIERS):
     """Full windows of the longest tier, and by tier the remaining pieces (document, start, length)."""
     longest = tiers[-1]
@@ -101,8 +114,8 @@ def routed(lengths: list[int], tiers=TIERS):
     return full, waiting
 
 
-def pack(lengths: list[int], tiers=TIERS) -> list[tuple[int, list[tuple[int, int, int]]]]:
-    """Windows (size, pieces (document, start, length)); each is full, and every token lies in exactly one piece."""
+def filled(lengths: list[int], tiers=TIERS) -> tuple[list[tuple[int, list[tuple[int, int, int]]]], list[tuple[int, int, int]]]:
+    """(full windows of the tiers: (size, pieces (document, start, length)); what is left, less than a window of the longest tier)."""
     windows, waiting = routed(lengths, tiers)
     below: list[tuple[int, int, int]] = []  # (length, document, start) of shorter tiers, ascending
     partly: list[tuple[int, int, list]] = []
@@ -151,23 +164,34 @@ def pack(lengths: list[int], tiers=TIERS) -> list[tuple[int, list[tuple[int, int
         else:
             windows.append((tier, pieces))
         k += 1
-    rest = sorted(below, key=lambda p: (p[1], p[2]))
-    left = sum(n for n, _, _ in rest)
+    return windows, sorted((d, s, n) for n, d, s in below)
+
+
+def laid_out(rest: list[tuple[int, int, int]], tiers=TIERS) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """Windows of powers of two for the pieces in ``rest``."""
+    windows, rest = [], list(rest)
+    left = sum(n for _, _, n in rest)
     while left:
         size = gap = min(tiers[-1], 1 << (left.bit_length() - 1))
         pieces = []
         while gap:
-            n, d, s = rest.pop(0)
+            d, s, n = rest.pop(0)
             take = min(n, gap)
             pieces.append((d, s, take))
             if n > take:
-                rest.insert(0, (n - take, d, s + take))
+                rest.insert(0, (d, s + take, n - take))
             gap -= take
         windows.append((size, pieces))
         left -= size
     return windows
 
 
+def pack(lengths: list[int], tiers=TIERS) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """Windows (size, pieces (document, start, length)); each is full, and every token lies in exactly one piece."""
+    windows, rest = filled(lengths, tiers)
+    return windows + laid_out(rest, tiers)
+
+
 def tier_of(size: int, tiers=TIERS) -> int:
     """The tier of a window; 0 for those shorter than all tiers, which are dealt together."""
     return size if size >= tiers[0] else 0
@@ -203,9 +227,10 @@ def dealt(pieces: DataFrame, step_tokens: int = STEP_TOKENS, tiers=TIERS) -> Dat
     least = F.when(F.col("tier") > 0, room(tiers[0], step_tokens, tiers)).otherwise(room(0, step_tokens, tiers))
     totals = own.groupBy("tier").agg(F.sum("n").alias("total")).withColumn("groups", F.ceil(F.col("total") / least))
     totals = totals.withColumn("first", F.sum("groups").over(W.orderBy("tier")) - F.col("groups"))  # a row a tier
-    places = own.join(F.broadcast(totals), "tier").select("tier", "part", "at", "total", "groups", "first")
+    places = own.join(F.broadcast(totals), "tier").select("tier", "part", "at", "total", "groups", "first")  # totals: five rows
+    places = F.broadcast(places) if pieces.select("tier", "part").distinct().count() <= BROADCAST_ROWS else places
     big = lambda c: F.col(c).cast("decimal(18,0)")
-    placed = pieces.join(F.broadcast(places), ["tier", "part"]).withColumn("at", F.col("at") + F.col("before"))
+    placed = pieces.join(places, ["tier", "part"]).withColumn("at", F.col("at") + F.col("before"))
     placed = placed.select(*pieces.columns, "first", big("at").alias("x"), big("groups").alias("g"), big("total").alias("t"))
     return placed.withColumn("step_group", F.expr("first + (x * g) div t")).drop("part", "tier", "before", "first", "x", "g", "t")
 
@@ -217,30 +242,39 @@ def packed(docs: DataFrame, path: str, tiers=TIERS, step_tokens: int = STEP_TOKE
     looked at; an empty table gives no rows. A sequence_id holds the partition, the batch and the window. Step groups count from 0.
     """
 
-    def make():
-        words, batch, seen = Words(path), [0], {}
+    struct = _parse_datatype_string(PIECES)
+
+    def run(batches):
+        words, part, seen, arrow = words_of(path), TaskContext.get().partitionId(), {}, to_arrow_schema(struct)
 
-        def f(doc_id, text):
-            ids = words.encoded(as_bytes(text))
-            names = doc_id.to_pylist()
-            windows = pack([len(x) // 4 for x in ids], tiers)
-            part = TaskContext.get().partitionId()
-            first = (part << 40) + (batch[0] << 24)
+        def rows(windows, docs, first):
+            """``docs``: (doc_id, ids before, ids as bytes, tokens of the document)."""
             if len(windows) >= 1 << 24:
                 raise ValueError("a batch has more windows than a sequence_id can name")
-            batch[0] += 1
-            rows = []
             for k, (size, pieces) in enumerate(windows):
                 offset, tier = 0, tier_of(size, tiers)
                 before = seen.get(tier, 0)
                 seen[tier] = before + size
                 for d, s, n in pieces:
-                    rows.append((names[d], s, n, zlib.crc32(ids[d][4 * s : 4 * (s + n)]), len(ids[d]) // 4, first + k, offset, size, part, tier, before))
+                    doc_id, start, ids, total = docs[d]
+                    yield doc_id, start + s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), total, first + k, offset, size, part, tier, before
                     offset += n
-            return list(zip(*rows))
 
-        return f
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), arrow)], schema=arrow)
+
+        left, number = [], 0
+        for batch in batches:
+            docs = left + [(d, 0, ids, len(ids) // 4) for d, ids in zip(batch.column(0).to_pylist(), words.encoded(as_bytes(batch.column(1))))]
+            windows, rest = filled([len(x[2]) // 4 for x in docs], tiers)
+            if found := list(rows(windows, docs, (part << 40) + (number << 24))):
+                yield batch_of(found)
+            left = [(docs[d][0], docs[d][1] + s, docs[d][2][4 * s : 4 * (s + n)], docs[d][3]) for d, s, n in rest]
+            number += 1
+        if left:
+            windows = laid_out([(d, 0, len(x[2]) // 4) for d, x in enumerate(left)], tiers)
+            yield batch_of(rows(windows, left, (part << 40) + (number << 24)))
 
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = map_batches(own, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int, part int, tier int, before long", make)
-    return dealt(written(pieces), step_tokens, tiers)
+    return dealt(written(own.mapInArrow(run, struct)), step_tokens, tiers)
