@@ -246,6 +246,51 @@ def test_lm_base_equals_brute_force(docs, empty, monkeypatch, common):
     assert lm.document_scores(empty).count() == 0
 
 
+def test_lm_score_equals_a_plain_recurrence(docs):
+    """The whole score of each document, token by token, from the weights that the rounds gave."""
+    own = docs.withColumn("held_out", lm.fold(F.col("doc_id")) == lm.HELD_OUT)
+    counts = lm.written(lm.word_counts(own.filter("NOT held_out")))
+    words = lm.vocabulary(counts)
+    model = lm.trained(lm.prepared(own, words, 1, 8), words, 1, 8)
+    got, h = by_id(lm.document_scores(docs)), lm.STATE
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for k in (0, 3, 5, 9, 12):
+        state, total = np.zeros(h), 0.0
+        for w in [*lm.tokens((TEXTS[k] or "").encode()), lm.END]:
+            place, base, share = words.of(w, words.counts.get(w, 0))
+            c, o = divmod(place, lm.CLASS_WORDS)
+            by_class, by_word = state @ model.of_class + model.class_bias, state @ model.of_word[c] + model.word_bias[c]
+            total += (by_class[c] - np.log(np.exp(by_class).sum()) + by_word[o] - np.log(np.exp(by_word).sum())) / np.log(10) + share
+            g, b = model.gates[place], state @ model.back
+            z, r = sigmoid(g[:h] + b[:h]), sigmoid(g[h : 2 * h] + b[h : 2 * h])
+            state = state + z * (np.tanh(g[2 * h :] + r * b[2 * h :]) - state)
+        assert got[k]["score"] == pytest.approx(total, rel=1e-4)
+    share = sum(10 ** words.of(w, n)[2] for w, n in words.counts.items() if words.ids.get(w) is None and lm.ending(w) == 3) + 1 / words.start[4]
+    assert share == pytest.approx(1)  # the words of an ending and an unseen one
+
+
+def test_lm_is_one_model_however_the_table_lies(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 20_000)
+    rng = np.random.default_rng(11)
+    tongues = [[f"{a}{b}{end}" for a in "bdkmpt" for b in "aeiou"] for end in ("ok", "una", "eth")]
+    rows = [(k, " ".join(rng.choice(tongues[k % 3], 80))) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (lm.document_scores(docs.repartition(n)).toPandas().sort_values("doc_id") for n in (4, 64))
+    assert np.allclose(one.score, two.score, rtol=1e-5)
+    held = one[one.held_out]
+    assert (held.score.sum() - held.base_score.sum()) / held.n_tokens.sum() > 0.1
+
+
+def test_long_documents_are_scored_like_short_ones():
+    model = lm.Model.start(np.ones(lm.MODEL_WORDS))
+    rng = np.random.default_rng(12)
+    docs = [rng.integers(1, lm.MODEL_WORDS, n).astype(np.int16) for n in (3, 20_000, 1, 5000, 40)]
+    whole = lm.log_likelihood(model, docs)
+    assert np.allclose(whole, [lm.log_likelihood(model, [d])[0] for d in docs], rtol=1e-4)
+    parts = list(lm._gathered([(k, d.tobytes()) for k, d in enumerate(docs)]))
+    assert sorted(r[0] for p in parts for r in p) == [0, 1, 2, 3, 4] and len(parts) == 2
+
+
 def test_shards_are_exact_and_uniform(spark, docs, empty):
     rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))
     got = sharding.shuffled_documents(rows).toPandas()
