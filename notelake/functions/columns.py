@@ -25,6 +25,17 @@ MAIL = {"eml": "eml", "mbox": "mbox"}
 #: Blanks that trimming takes away: those of Unicode and the byte order mark.
 BLANKS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 MB = 1 << 20
+#: Fixed value: one reply or forward prefix of a subject.
+SUBJECT_PREFIX = r"(?:re|fwd?|aw|sv|odp)(?:\s*\[\d+\])?\s*:\s*"
+#: What turns HTML into text, in this order; entities are decoded after it.
+HTML_STEPS = (
+    (r"(?is)<(script|style|noscript|iframe|svg|head)\b.*?</\1>", " "),
+    (r"(?s)<!--.*?-->", " "),
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)</(p|div|li|h[1-6]|tr|blockquote|section|article)>", "\n\n"),
+    (r"<[^>]+>", " "),
+)
+SQUEEZE_STEPS = ((r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"))
 
 
 def ws_trim(c: Column) -> Column:
@@ -89,7 +100,7 @@ def fallback_terms(query: Column, alias_terms: Column, most: int = 8) -> Column:
 
 def key_terms(title: Column, content: Column) -> Column:
     both = F.concat_ws(" ", title, F.substring(content, 1, 200))
-    words = F.split(F.regexp_replace(F.lower(both), r"[^a-z0-9\s-]", " "), r"\s+")
+    words = F.split(F.regexp_replace(F.lower(both), r"[^a-z0-9\s]", " "), r"\s+")
     return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*KEY_STOP_WORDS))), 1, 5)
 
 
@@ -99,10 +110,20 @@ def decay_score(last_validated: Column, as_of: Column) -> Column:
 
 
 def normalize_subject(subject: Column) -> Column:
-    bare = F.regexp_replace(ws_trim(subject), r"(?i)^(?:(?:re|fwd?|aw|sv|odp)(?:\s*\[\d+\])?\s*:\s*)++", "")
+    bare = F.regexp_replace(ws_trim(subject), f"(?i)^(?:{SUBJECT_PREFIX})++", "")
     return ws_trim(F.regexp_replace(F.lower(bare), r"\s+", " "))
 
 
+def is_reply(subject: Column) -> Column:
+    """Whether a subject begins with a reply or forward prefix."""
+    return F.coalesce(ws_trim(subject).rlike(f"(?i)^{SUBJECT_PREFIX}"), F.lit(False))
+
+
+def bare_subject(subject: Column) -> Column:
+    """A subject without its first prefix; null where nothing but prefixes is there."""
+    return F.when(normalize_subject(subject) != "", F.nullif(ws_trim(F.regexp_replace(subject, f"(?i)^{SUBJECT_PREFIX}", "")), F.lit("")))
+
+
 def display_name(sender: Column) -> Column:
     name = ws_trim(F.substring_index(sender, "<", 1))
     name = F.when(name.rlike('^".*"$') & (F.length(name) >= 2), ws_trim(F.regexp_replace(name, '^"|"$', ""))).otherwise(name)
@@ -112,7 +133,7 @@ def display_name(sender: Column) -> Column:
 
 def addresses(sender: Column, to: Column) -> Column:
     text = F.concat_ws(" ", sender, to)
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)"), 1), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"([\w.+-]+@[\w-]+\.[\w.-]+)"), 1), F.lower))
 
 
 def to_iso(value: Column) -> Column:
@@ -126,7 +147,7 @@ def to_iso(value: Column) -> Column:
 def relation_hint(source: Column, target: Column) -> Column:
     return (
         F.when(source == target, "supports")
-        .when((source == "lesson") & (target == "decision"), "derived_from")
+        .when(((source == "lesson") & (target == "decision")) | ((source == "decision") & (target == "lesson")), "derived_from")
         .when((source == "insight") & (target == "pattern"), "derived_from")
         .when((source == "pattern") & (target == "insight"), "example_of")
         .otherwise("supports")
@@ -149,12 +170,13 @@ def detect_format(path: Column) -> Column:
 
 
 def refine_json(content: Column) -> Column:
+    """The shape of a JSON text by its first 65,536 characters; only ``current_node`` may come later."""
     head = F.substring(content, 1, 65_536)
-    is_list = content.rlike(r"^\s*\[")
+    objects = head.rlike(r"^\s*\[\s*\{")
     return (
-        F.when(content.rlike(r"^\s*\{") & content.contains('"userEditedTimestampUsec"'), "keep")
-        .when(is_list & head.contains('"mapping"') & content.contains('"current_node"'), "chatgpt")
-        .when(is_list & head.contains('"chat_messages"'), "claude")
+        F.when(head.rlike(r"^\s*\{") & head.contains('"userEditedTimestampUsec"'), "keep")
+        .when(objects & head.contains('"mapping"') & content.contains('"current_node"'), "chatgpt")
+        .when(objects & head.contains('"chat_messages"'), "claude")
         .otherwise("json")
     )
 
@@ -185,28 +207,23 @@ def size_limit(path: Column) -> Column:
 
 def html_skeleton(html: Column) -> Column:
     """Markup to text, character entities left in place."""
-    t = F.regexp_replace(html, r"(?is)<(script|style|noscript|iframe|svg|head)\b.*?</\1>", " ")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
-    t = F.regexp_replace(t, r"(?i)</(p|div|li|h[1-6]|tr|blockquote|section|article)>", "\n\n")
-    return F.regexp_replace(t, r"<[^>]+>", " ")
+    return reduce(lambda c, step: F.regexp_replace(c, *step), HTML_STEPS, html)
 
 
 def squeezed(text: Column) -> Column:
-    t = F.regexp_replace(text, r"[ \t]+", " ")
-    t = F.regexp_replace(t, r" ?\n ?", "\n")
-    return ws_trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    return ws_trim(reduce(lambda c, step: F.regexp_replace(c, *step), SQUEEZE_STEPS, text))
 
 
 def html_title(html: Column) -> Column:
-    return F.nullif(ws_trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    """The title's text, entities left in place."""
+    return F.nullif(ws_trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")), F.lit(""))
 
 
 def sanitize_markdown(text: Column) -> Column:
     t = F.regexp_replace(text, r"(?is)<(script|iframe|object|embed|style)\b.*?</\1>", "")
-    t = F.regexp_replace(t, r"(?i)<(script|iframe|object|embed|style)\b[^>]*>", "")
-    t = F.regexp_replace(t, r"""(?i)\son[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "")
-    return F.regexp_replace(t, r"(?i)\]\(\s*javascript:[^)]*\)", "](#)")
+    t = F.regexp_replace(t, r"(?i)<(script|iframe|object|embed)\b[^>]*>", "")
+    t = F.regexp_replace(t, r"""(?i)\s+on[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "")
+    return F.regexp_replace(t, r"(?i)(\]\(\s*)javascript:[^)]*\)", "$1#)")
 
 
 def render_slack_text(text: Column, users: Column) -> Column:
@@ -215,20 +232,28 @@ def render_slack_text(text: Column, users: Column) -> Column:
     plain = F.regexp_replace(text, r"<@([A-Z0-9]+)\|[^>]*>", "<@$1>")
     named = F.aggregate(ids, plain, lambda t, u: F.replace(t, F.concat(F.lit("<@"), u, F.lit(">")), F.concat(F.lit("@"), F.coalesce(users[u], u))))
     t = F.regexp_replace(named, r"<#[A-Z0-9]+\|([^>]+)>", "#$1")
-    t = F.regexp_replace(t, r"<((?:https?|mailto):[^|>]+)\|([^>]+)>", "$2 ($1)")
-    t = F.regexp_replace(t, r"<((?:https?|mailto):[^>]+)>", "$1")
+    t = F.regexp_replace(t, r"<(https?://[^|>]+)\|([^>]+)>", "$2 ($1)")
+    t = F.regexp_replace(t, r"<(https?://[^>]+)>", "$1")
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), [("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")], t)
 
 
 def notion_title(name: Column) -> Column:
-    return ws_trim(F.regexp_replace(name, r"(?i)\s+[0-9a-f]{32}(?=$|\.)", ""))
+    """A name without the page id at its end; the name itself where nothing else is there."""
+    return F.coalesce(F.nullif(ws_trim(F.regexp_replace(name, r"(?i) [0-9a-f]{32}$", "")), F.lit("")), ws_trim(name))
 
 
 def notion_body(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(?i)(%20| )[0-9a-f]{32}(?=\.(md|csv))", ""), r"(?i) [0-9a-f]{32}(?=\])", "")
+    """Page ids taken out of link texts and targets."""
+    inside = F.regexp_replace(text, r"(?i)(?<=\[[^\[\]]{0,500}) [0-9a-f]{32}\s*(?=\]\()", "")
+    return F.regexp_replace(inside, r"(?i)(?<=\]\([^()]{0,2000})(?:%20| )[0-9a-f]{32}(?=\.(?:md|csv)|\)|/)", "")
 
 
 def notion_tags(rel_path: Column) -> Column:
     parts = F.split(rel_path, "/")
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    return F.array_distinct(F.concat(F.array(F.lit("notion")), F.filter(F.transform(folders, lambda p: F.lower(notion_title(p))), lambda p: p != "")))
+    return F.concat(F.array(F.lit("notion")), F.filter(F.transform(folders, lambda p: F.lower(notion_title(p))), lambda p: p != ""))
+
+
+def iso_time(t: Column) -> Column:
+    """A timestamp (UTC session) as text with milliseconds."""
+    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

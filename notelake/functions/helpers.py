@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import csv
 import email
 import email.header
 import email.policy
 import email.utils
-import io
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from notelake.functions.columns import HTML_STEPS, SQUEEZE_STEPS
+
 #: Named character entities.
 ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "—", "ndash": "–", "hellip": "…",
@@ -76,28 +77,26 @@ def chunk_text(text, most: int = 4000):
     return run(text)
 
 
+#: What a quoted line and an attribution look like.
 _QUOTED = re.compile(r"\s*>")
 _ATTRIBUTION = re.compile(r"\s*(?:On .{0,200}wrote:?\s*$|-{2,}\s*(?:Original Message|Forwarded message)\s*-{2,})", re.I)
+#: Of line kinds (q quoted, b blank, a attribution, t text): a run of at least two quoted lines with what stands above it; an attribution
+#: right above a quoted line.
+_RUNS = re.compile(r"(?<![ab])[ab]*+qb*q[qb]*|a(?=q)")
+
+
+def _kind(line: str) -> str:
+    return "q" if _QUOTED.match(line) else "b" if not line.strip() else "a" if _ATTRIBUTION.match(line) else "t"
 
 
 def without_quotes(body: str) -> str:
-    """Runs of two quoted lines or more go, with the attribution above; a single quoted line stays."""
-    lines, kept, k = body.split("\n"), [], 0
-    quoted = [bool(_QUOTED.match(x)) for x in lines]
-    while k < len(lines):
-        if quoted[k]:
-            end = k
-            while end < len(lines) and (quoted[end] or not lines[end].strip()):
-                end += 1
-            if sum(quoted[k:end]) >= 2:
-                while kept and (not kept[-1].strip() or _ATTRIBUTION.match(kept[-1])):
-                    kept.pop()
-                k = end
-                continue
-        if not (_ATTRIBUTION.match(lines[k]) and k + 1 < len(lines) and quoted[k + 1]):
-            kept.append(lines[k])
-        k += 1
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip()
+    """Runs of two quoted lines or more go, with the attribution above; a single quoted line stays. Lines become letters, so that the runs
+    are found by one pattern."""
+    lines = body.split("\n")
+    gone = set()
+    for m in _RUNS.finditer("".join(map(_kind, lines))):
+        gone.update(range(*m.span()))
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(x for k, x in enumerate(lines) if k not in gone)).strip()
 
 
 @vectorized("string")
@@ -105,11 +104,86 @@ def trim_quotes(s: pd.Series) -> pd.Series:
     return _series(without_quotes)(s)
 
 
+#: A field (plain characters and quoted stretches in any mix) and what ends it.
+_FIELD = re.compile(r'((?:[^",\n]++|"(?:[^"]|"")*+(?:"|\Z))*+)(,|\n|\Z)')
+_STRETCH = re.compile(r'"((?:[^"]|"")*+)(?:"|\Z)|\r')
+
+
+def table_rows(text: str) -> list[list[str]]:
+    """Rows of RFC 4180 text; a row of one blank field is left out."""
+    out, row = [], []
+    for m in _FIELD.finditer(text):
+        if m.end() == m.start() and not row:  # the end of the text after a line end
+            break
+        row.append(_STRETCH.sub(lambda q: (q[1] or "").replace('""', '"'), m[1]))
+        if m[2] != ",":
+            if len(row) > 1 or row[0].strip():
+                out.append(row)
+            row = []
+            if not m[2]:
+                break
+    return out
+
+
 @vectorized("array<array<string>>")
 def csv_rows(s: pd.Series) -> pd.Series:
-    """Rows of RFC 4180 text; blank rows are left out."""
-    csv.field_size_limit(1 << 30)
-    return s.map(lambda x: [] if x is None else [r for r in csv.reader(io.StringIO(x)) if any(c.strip() for c in r)])
+    return s.map(lambda x: [] if x is None else table_rows(x))
+
+
+#: Lines that open or close a code fence, and headings of the first two levels.
+_MARKS = re.compile(r"^(?:(```|~~~).*|#{1,2}\s+?(?=\S|$)[ \t]*(.*))$", re.M)
+
+
+def sections_of(body: str) -> list[tuple[str | None, str]]:
+    """(heading or None, text) between level 1 and 2 headings outside code fences; those without text are left out."""
+    bounds, fenced = [(0, 0, None)], False
+    for m in _MARKS.finditer(body):
+        if m[1]:
+            fenced = not fenced
+        elif not fenced:
+            bounds.append((m.start(), m.end(), m[2].strip() or None))
+    ends = [start for start, _, _ in bounds[1:]] + [len(body)]
+    found = [(heading, body[end:stop].strip()) for (_, end, heading), stop in zip(bounds, ends)]
+    return [x for x in found if x[1]]
+
+
+@vectorized("array<struct<heading:string,text:string>>")
+def markdown_sections(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: [{"heading": h, "text": t} for h, t in sections_of(x or "")])
+
+
+def packed(keys: list[str], most: int):
+    """For mapInPandas over (keys, text) sorted by keys and place: (keys, part, content). Whole messages are packed up to ``most`` characters
+    and joined by two line ends, an oversized one is chunked on its own; only the current chunk is held."""
+
+    def run(frames):
+        key, part, held = None, 0, ""
+        for frame in frames:
+            rows = []
+
+            def done(text):
+                nonlocal part
+                part += 1
+                rows.append((*key, part, text))
+
+            for *own, text in frame[[*keys, "text"]].itertuples(index=False, name=None):
+                if own != key:
+                    if held:
+                        done(held)
+                    key, part, held = own, 0, ""
+                if held and len(held) + 2 + len(text) > most:
+                    done(held)
+                    held = ""
+                if len(text) > most:
+                    for piece in chunks(text, most):
+                        done(piece)
+                else:
+                    held = f"{held}\n\n{text}" if held else text
+            yield pd.DataFrame(rows, columns=[*keys, "part", "content"])
+        if held:
+            yield pd.DataFrame([(*key, part + 1, held)], columns=[*keys, "part", "content"])
+
+    return run
 
 
 @vectorized("string")
@@ -200,13 +274,18 @@ def _text(part) -> str:
         return data.decode("utf-8", "replace")
 
 
+_CLOSERS = re.compile(r"(?i)</(?:script|style|noscript|iframe|svg|head)>")
+
+
 def html_text(html: str) -> str:
-    """The same steps as ``columns.html_skeleton`` and ``squeezed``, for the HTML part of a mail."""
-    html = html[:HTML_MOST]
-    for pattern, into in ((r"(?is)<(script|style|noscript|iframe|svg|head)\b.*?</\1>", " "), (r"(?s)<!--.*?-->", " "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|li|h[1-6]|tr|blockquote|section|article)>", "\n\n"), (r"<[^<>]+>", " ")):
-        html = re.sub(pattern, into, html)
-    text = re.sub(r" ?\n ?", "\n", re.sub(r"[ \t]+", " ", entities(html)))
-    return re.sub(r"\n{3,}", "\n\n", text).strip()
+    """The steps of ``columns.html_skeleton`` and ``squeezed`` for the HTML part of a mail. Elements and tags are sought up to the last place
+    that can close one, so unclosed ones stay cheap."""
+    text = html[:HTML_MOST]
+    for k, step in enumerate(HTML_STEPS):
+        ends = [m.end() for m in _CLOSERS.finditer(text)] if k == 0 else []
+        cut = (ends[-1] if ends else 0) if k == 0 else text.rfind(">") + 1
+        text = re.sub(*step, text[:cut]) + text[cut:]
+    return reduce(lambda t, step: re.sub(*step, t), SQUEEZE_STEPS, entities(text)).strip()
 
 
 def parsed_message(raw: str) -> dict:
@@ -255,27 +334,6 @@ def parse_messages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def cosine_block(queries, k: int):
-    """For mapInPandas over (id, vector): the k nearest of each query within the batch."""
-    import numpy as np
-
-    names = [q[0] for q in queries]
-    matrix = np.array([q[1] for q in queries], float).reshape(len(names), -1)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-
-    def run(frames):
-        for frame in frames:
-            if len(frame) and len(names):
-                own = np.stack(frame.vector.to_numpy()).astype(float)
-                near = (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)) @ matrix.T
-                ids = frame.id.to_numpy()
-                for q, name in enumerate(names):
-                    top = np.lexsort((ids, -near[:, q]))[:k]
-                    yield pd.DataFrame({"query_id": name, "id": ids[top], "score": near[top, q]})
-
-    return run
-
-
 def vector_blocks(rows: int):
     """For mapInPandas over (id, vector): blocks of at most ``rows`` vectors (ids, numbers of unit length as bytes)."""
     import numpy as np

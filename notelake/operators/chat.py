@@ -8,9 +8,10 @@ from pyspark.sql import Window as W
 
 from notelake.functions import columns as C
 from notelake.operators.chunking import chunk_conversation, part_title
-from notelake.operators.threads import _written
+from notelake.sources.scratch import written
 
-TOOL_TYPES = ("code", "execution_output", "tether_browsing_display", "tether_quote", "system_error")
+#: Types of messages that only say what a tool did.
+TOOL_TYPES = ("code", "execution_output", "tether_quote", "tether_browsing_display")
 #: Messages that only say what happened to a channel.
 NOISE = ("channel_join", "channel_leave", "group_join", "group_leave", "channel_topic", "channel_purpose", "channel_name")
 
@@ -21,27 +22,27 @@ def canonical_path(nodes: DataFrame, heads: DataFrame) -> DataFrame:
     edges = nodes.select("conv", "node", "parent")
     known = edges.select("conv", F.col("node").alias("parent"), F.lit(True).alias("_is"))
     dangling = edges.filter("parent IS NOT NULL").join(known, ["conv", "parent"], "left_anti").select("conv", F.col("node").alias("bad"))
-    path = _written(heads.join(nodes.select("conv", F.col("node").alias("current")), ["conv", "current"]).select("conv", F.col("current").alias("node"), F.lit(0).cast("long").alias("up")))
-    jump = _written(edges.select("conv", "node", F.col("parent").alias("to")))
+    path = written(heads.join(nodes.select("conv", F.col("node").alias("current")), ["conv", "current"]).select("conv", F.col("current").alias("node"), F.lit(0).cast("long").alias("up")))
+    jump = written(edges.select("conv", "node", F.col("parent").alias("to")))
     step = 1
     while True:  # the path doubles: the nodes met so far, and each one's 2**k-th ancestor
         far = path.join(jump, ["conv", "node"]).filter("to IS NOT NULL").select("conv", F.col("to").alias("node"), (F.col("up") + step).alias("up"))
-        grown = _written(path.unionByName(far).groupBy("conv", "node").agg(F.min("up").alias("up")))
+        grown = written(path.unionByName(far).groupBy("conv", "node").agg(F.min("up").alias("up")))
         if grown.count() == path.count():
             break
         path, step = grown, step * 2
         second = jump.select("conv", F.col("node").alias("to"), F.col("to").alias("next"))
-        jump = _written(jump.join(second, ["conv", "to"], "left").select("conv", "node", F.col("next").alias("to")))
+        jump = written(jump.join(second, ["conv", "to"], "left").select("conv", "node", F.col("next").alias("to")))
     broken = path.join(dangling.withColumnRenamed("bad", "node"), ["conv", "node"]).select("conv").distinct()
     top = F.max("up").over(W.partitionBy("conv"))
     return path.join(broken, "conv", "left_anti").withColumn("pos", top - F.col("up")).drop("up")
 
 
 def collapse_tool_runs(messages: DataFrame) -> DataFrame:
-    """(conv, pos, role, type, text) without system and empty messages; each run of tool messages becomes one ``[tool use]``, and a
+    """(conv, pos, role, type, text) of users, assistants and tools, without empty messages; each run of tool messages becomes one ``[tool use]``, and a
     conversation of nothing else goes."""
-    is_tool = (F.col("role") == "tool") | F.coalesce(F.col("type").isin(*TOOL_TYPES), F.lit(False))
-    rows = messages.withColumn("_tool", is_tool).filter("role <> 'system' AND (_tool OR trim(coalesce(text, '')) <> '')")
+    is_tool = F.coalesce(F.col("role") == "tool", F.lit(False)) | F.coalesce(F.col("type").isin(*TOOL_TYPES), F.lit(False))
+    rows = messages.withColumn("_tool", is_tool).filter("coalesce(role, '') <> 'system' AND (_tool OR (role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> ''))")
     w = W.partitionBy("conv").orderBy("pos")
     rows = rows.withColumn("_again", F.coalesce(F.lag("_tool").over(w), F.lit(False)) & F.col("_tool")).filter("NOT _again")
     talk = rows.filter("NOT _tool").select("conv").distinct()
@@ -65,7 +66,7 @@ def slack_user_map(users: DataFrame) -> DataFrame:
 def slack_channel_days(messages: DataFrame, users: DataFrame, most: int = 8000) -> DataFrame:
     """channel, day, title, part, n_parts, content: parents in time order with their replies below, orphan replies last. ``users`` (id,
     name) is a workspace's member list; names are joined by id, mentions inside texts take the map of the mentioned users."""
-    kept = messages.filter((F.coalesce("type", F.lit("message")) == "message") & ~F.coalesce(F.col("subtype").isin(*NOISE), F.lit(False)) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    kept = messages.filter((F.col("type") == "message") & ~F.coalesce(F.col("subtype").isin(*NOISE), F.lit(False)) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
     kept = kept.withColumn("_id", F.xxhash64("channel", "day", "ts", "user", "text"))
     asked = kept.select("_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"<@([A-Z0-9]+)"), 1))).alias("id")).join(users, "id")
     maps = asked.distinct().groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "name"))).alias("_users"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from notelake.functions.helpers import chunk_text
+from notelake.functions.helpers import chunk_text, packed
+from notelake.sources.scratch import written
 
 
 def chunked(items: DataFrame, most: int = 4000) -> DataFrame:
@@ -20,30 +21,30 @@ def part_title(title: Column, part: Column, n: Column) -> Column:
     return F.when(n > 1, F.concat(title, F.lit(" (part "), part.cast("string"), F.lit("/"), n.cast("string"), F.lit(")"))).otherwise(title)
 
 
-def packed_messages(messages: Column, most: int = 8000) -> Column:
-    """An ordered array of texts packed into texts of at most ``most`` characters, joined by two line ends; none is split here."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
-
-    def fold(acc, text):
-        fits = (acc["held"] == "") | (F.length(acc["held"]) + 2 + F.length(text) <= most)
-        joined = F.when(acc["held"] == "", text).otherwise(F.concat(acc["held"], F.lit("\n\n"), text))
-        return F.struct(F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["held"]))).alias("done"), F.when(fits, joined).otherwise(text).alias("held"))
-
-    return F.aggregate(messages, start, fold, lambda a: F.when(a["held"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["held"]))))
-
-
 def chunk_conversation(messages: DataFrame, keys: list[str], most: int = 8000) -> DataFrame:
-    """keys, part, n_parts, content of (keys, pos, text): whole messages are packed, an oversized one is cut on its own."""
-    cut = messages.filter("trim(text) <> ''").withColumn("_long", F.length("text") > most)
-    whole = cut.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "text", "_long"))).alias("m"))
-    runs = whole.select(*keys, packed_messages(F.transform("m", lambda x: x["text"]), most).alias("_p")).select(*keys, F.posexplode("_p").alias("_k", "content"))
-    parts = chunked(runs, most).withColumn("part", F.row_number().over(W.partitionBy(*keys).orderBy("_k", "part")))
-    return parts.withColumn("n_parts", F.count("*").over(W.partitionBy(*keys))).drop("_k")
+    """keys, part, n_parts, content of (keys, pos, text): whole messages are packed, an oversized one is cut on its own. A key's messages
+    stream through one task in order; only the current chunk is held."""
+    rows = messages.filter("trim(text) <> ''").select(*keys, "pos", "text").repartition(*keys).sortWithinPartitions(*keys, "pos", "text")
+    kinds = dict(messages.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", part int, content string"
+    parts = written(rows.select(*keys, "text").mapInPandas(packed(keys, most), schema))
+    return parts.join(parts.groupBy(*keys).agg(F.count("*").alias("n_parts")), keys)
+
+
+def ranked(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """The place (from 1, in ``order``) of each row among those equal in ``by``. Rows are dealt by ranges of ``order``; a place is that within
+    the range plus the counts of earlier ranges, so a value that most rows share isn't one task."""
+    placed = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = placed.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(W.partitionBy(*by).orderBy("_range")) - F.col("_n")).drop("_n")
+    before = before.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_range").alias("_r"), "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_range") == F.col("_r")]
+    own = placed.withColumn("_own", F.row_number().over(W.partitionBy(*by, "_range").orderBy(*order)))
+    return own.join(before, same).withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_r", "_own", "_before", *(f"_by_{c}" for c in by))
 
 
 def dedupe_titles(df: DataFrame, export: list[str], order: list[Column], blank: str = "Untitled conversation") -> DataFrame:
     """Within an export the n-th equal title gets `` (n)``; blank ones get a name."""
     base = F.when(F.trim(F.coalesce("title", F.lit(""))) == "", blank).otherwise(F.trim("title"))
-    out = df.withColumn("_base", base)
-    n = F.row_number().over(W.partitionBy(*export, "_base").orderBy(*order))
-    return out.withColumn("title", F.when(n > 1, F.concat("_base", F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.col("_base"))).drop("_base")
+    out, n = ranked(df.withColumn("_base", base), [*export, "_base"], order, "_k"), F.col("_k")
+    return out.withColumn("title", F.when(n > 1, F.concat("_base", F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.col("_base"))).drop("_base", "_k")

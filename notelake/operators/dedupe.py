@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from notelake.functions import columns as C
 
@@ -64,6 +63,3 @@ def ingest_summary(reports: DataFrame) -> DataFrame:
     s = F.col("status")
     return reports.agg(F.count("*").alias("files_scanned"), count(s.isin("created", "dry_run")).alias("files_ingested"), count(s.startswith("skipped")).alias("files_skipped"), count(s == "error").alias("files_errored"), F.coalesce(F.sum("records"), F.lit(0)).alias("records_created"), F.coalesce(F.sum("duplicates"), F.lit(0)).alias("records_deduplicated"))
 
-
-def running(order: list[Column], by: list[str]):
-    return W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

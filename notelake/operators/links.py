@@ -39,15 +39,18 @@ def link_counts(links: DataFrame) -> DataFrame:
 
 
 def suggest_links(knowledge: DataFrame, links: DataFrame, items: DataFrame, limit: int = 5) -> DataFrame:
-    """item_id, id, relation, preview, rank: records that hold all key terms of an item, not linked with it. The join starts from each
-    item's rarest term; the others are verified on the record's own terms."""
+    """item_id, id, relation, preview, rank: records that hold all key terms of an item, not linked with it. The join starts from the two
+    rarest terms of an item, once for all items that share them; the others are verified on the record's own terms."""
     words = knowledge.select("id", "type", "created_at", C.stems(F.concat_ws(" ", "title", "content")).alias("have"))
     each = words.select("id", F.explode("have").alias("term"))
     asked = knowledge.join(items, "id", "left_semi").select(F.col("id").alias("item_id"), F.col("type").alias("item_type"), F.array_distinct(F.transform(C.key_terms(F.col("title"), F.col("content")), C.stem)).alias("need")).filter("size(need) > 0")
     terms = asked.select("item_id", F.explode("need").alias("term"))
     rare = each.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").count()
-    start = top(terms.join(rare, "term"), ["item_id"], [F.asc("count"), F.asc("term")], 1).select("item_id", "term")
-    met = asked.join(start, "item_id").join(each, "term").filter("id <> item_id").join(words, "id").filter("size(array_except(need, have)) = 0")
+    two = top(terms.join(rare, "term"), ["item_id"], [F.asc("count"), F.asc("term")], 2)
+    start = two.groupBy("item_id").agg(F.min_by("term", "rank").alias("term"), F.max_by("term", "rank").alias("second"))
+    held = each.join(start.select("term", "second").distinct(), "term")
+    held = held.join(each.select("id", F.col("term").alias("second")), ["id", "second"]).select("id", "term", "second")
+    met = asked.join(start, "item_id").join(held, ["term", "second"]).filter("id <> item_id").join(words, "id").filter("size(array_except(need, have)) = 0")
     ends = links.filter("source_type = 'knowledge' AND target_type = 'knowledge'")
     linked = ends.select(F.col("source_id").alias("item_id"), F.col("target_id").alias("id")).union(ends.select("target_id", "source_id"))
     best = top(met.join(linked, ["item_id", "id"], "left_anti"), ["item_id"], [F.desc("created_at"), F.asc("id")], limit)

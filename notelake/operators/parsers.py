@@ -13,56 +13,60 @@ from notelake.functions import helpers as H
 from notelake.operators.chunking import chunked, part_title
 
 
-def as_items(df: DataFrame, order: list, tags: Column | None = None, meta: Column | None = None) -> DataFrame:
-    """Rows with path, format, title, content as chunked, titled items."""
-    rows = df.withColumn("_n", F.row_number().over(W.partitionBy("path").orderBy(*order)))
-    rows = rows.select("path", "format", "_n", "title", "content", (tags if tags is not None else F.array().cast("array<string>")).alias("tags"), (meta if meta is not None else F.lit(None).cast("map<string,string>")).alias("source_meta"))
+def plain_items(df: DataFrame, tags: Column | None = None, meta: Column | None = None, pos: str = "_n") -> DataFrame:
+    """Rows with path, format, title, content as items at place ``pos``."""
+    none = F.array().cast("array<string>")
+    return df.select("path", F.col(pos).cast("int").alias("pos"), "title", "content", F.lit("reference").alias("type"), (tags if tags is not None else none).alias("tags"), (meta if meta is not None else F.lit(None).cast("map<string,string>")).alias("source_meta"), "format")
+
+
+def as_items(df: DataFrame, place: str | None = None, tags: Column | None = None, meta: Column | None = None) -> DataFrame:
+    """Rows with path, format, title, content as chunked, titled items; ``place`` orders the rows of a file (by default it has one)."""
+    none = F.array().cast("array<string>")
+    rows = df.select("path", "format", (F.col(place) if place else F.lit(0)).cast("long").alias("_n"), "title", "content", (tags if tags is not None else none).alias("tags"), (meta if meta is not None else F.lit(None).cast("map<string,string>")).alias("source_meta"))
     parts = chunked(rows).withColumn("title", part_title(F.col("title"), F.col("part"), F.col("n_parts")))
-    pos = F.row_number().over(W.partitionBy("path").orderBy("_n", "part"))
-    return parts.select("path", pos.alias("pos"), "title", "content", F.lit("reference").alias("type"), "tags", "source_meta", "format")
+    if place:
+        parts = parts.withColumn("part", F.row_number().over(W.partitionBy("path").orderBy("_n", "part")))
+    return plain_items(parts, F.col("tags"), F.col("source_meta"), "part")
 
 
 def front_matter(text: Column) -> Column:
-    """Struct of title, tags and body of a Markdown text (PAR-1)."""
-    pattern = r"(?s)^---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|$)"
-    head = F.regexp_extract(text, pattern, 1)
-    bare = lambda c: F.regexp_replace(C.ws_trim(c), "^[\"'#]+|[\"']+$", "")
-    inline = F.split(F.regexp_extract(head, r"(?m)^tags:\s*\[(.*?)\]", 1), ",")
-    block = F.split(F.regexp_extract(head, r"(?m)^tags:[ \t]*\n((?:[ \t]*-[^\n]*\n?)+)", 1), "\n")
-    block = F.transform(block, lambda t: F.regexp_replace(t, r"^[ \t]*-[ \t]*", ""))
-    tags = F.array_distinct(F.filter(F.transform(F.concat(inline, block), bare), lambda t: t != ""))
-    return F.struct(F.nullif(bare(F.regexp_extract(head, r"(?m)^title:[ \t]*(.*)$", 1)), F.lit("")).alias("title"), tags.alias("tags"), F.regexp_replace(text, pattern, "").alias("body"))
-
-
-def split_sections(df: DataFrame, most: int = 4000) -> DataFrame:
-    """(path, title, body) to (path, sec, title, content): split at level 1 and 2 headings outside code fences; a short text or a single
-    section is one record with its headings."""
-    lines = df.select("path", "title", F.length(C.ws_trim(F.col("body"))).alias("_size"), F.posexplode(F.split("body", "\n")).alias("n", "line"))
-    w = W.partitionBy("path").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    fence = F.col("line").rlike(r"^\s*```")
-    lines = lines.withColumn("_in", F.sum(fence.cast("int")).over(w) % 2 == 1)
-    head = ~F.col("_in") & ~fence & F.col("line").rlike(r"^#{1,2}\s+\S")
-    lines = lines.withColumn("_head", head).withColumn("sec", F.sum(head.cast("int")).over(w))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("_head"), F.struct("n", "line")))), lambda x: x["line"]), "\n")
-    secs = lines.groupBy("path", "sec").agg(F.first("title").alias("title"), F.first("_size").alias("_size"), F.max(F.when(F.col("_head"), F.regexp_replace("line", r"^#{1,2}\s+", ""))).alias("heading"), C.ws_trim(text).alias("text")).filter("text <> ''")
-    each = W.partitionBy("path")
-    one = (F.col("_size") <= most) | (F.count("*").over(each) == 1)
-    secs = secs.withColumn("_one", one)
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec", "heading", "text"))), lambda x: F.concat(F.when(x["heading"].isNotNull(), F.concat(F.lit("## "), x["heading"], F.lit("\n\n"))).otherwise(""), x["text"])), "\n\n")
-    joined = secs.filter("_one").groupBy("path").agg(F.lit(0).cast("long").alias("sec"), F.first("title").alias("title"), whole.alias("content"))
-    apart = secs.filter("NOT _one").select("path", "sec", F.when(F.col("heading").isNotNull(), F.concat("title", F.lit(" — "), "heading")).otherwise(F.col("title")).alias("title"), F.col("text").alias("content"))
-    return joined.unionByName(apart)
+    """Struct of title, tags and body of a Markdown text (PAR-1): tags inline, with or without brackets, or as a block."""
+    pattern = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?"
+    head = F.regexp_replace(F.regexp_extract(text, pattern, 1), "\r", "")
+    tag = lambda c: F.regexp_replace(C.ws_trim(c), "^[\"'#]|[\"']$", "")
+    inline = F.split(F.regexp_replace(F.regexp_extract(head, r"(?m)^tags:[ \t]*(.*)$", 1), r"^\[|\]$", ""), ",")
+    block = F.split(F.regexp_extract(head, r"(?m)^tags:[ \t]*\n((?:[ \t]+-[ \t]+[^\n]*\n?)+)", 1), "\n")
+    block = F.transform(block, lambda t: F.regexp_replace(t, r"^[ \t]+-[ \t]+", ""))
+    tags = F.array_distinct(F.filter(F.transform(F.concat(inline, block), tag), lambda t: t != ""))
+    title = C.ws_trim(F.regexp_replace(F.regexp_extract(head, r"(?m)^title:[ \t]*(.*)$", 1), "^[\"']|[\"']$", ""))
+    return F.struct(F.nullif(title, F.lit("")).alias("title"), tags.alias("tags"), F.regexp_replace(text, pattern, "").alias("body"))
+
+
+def _headed(title: Column, heading: Column) -> Column:
+    return F.when(heading.isNotNull(), F.concat(title, F.lit(" — "), heading)).otherwise(title)
+
+
+def split_sections(df: DataFrame, most: int | None = 4000) -> DataFrame:
+    """(path, title, body) to (path, sec, title, content): split at level 1 and 2 headings outside code fences; sections of ``most``
+    characters together, or a single one, are one record with its headings (never with most=None). Each text is cut within its row."""
+    found = df.select("path", "title", H.markdown_sections(F.col("body")).alias("_s")).filter("size(_s) > 0")
+    total = F.aggregate("_s", F.lit(0), lambda n, x: n + F.length(x["text"]))
+    found = found.withColumn("_one", (F.size("_s") == 1) | (total <= most) if most is not None else F.lit(False))
+    whole = F.array_join(F.transform("_s", lambda x: F.concat(F.when(x["heading"].isNotNull(), F.concat(F.lit("## "), x["heading"], F.lit("\n\n"))).otherwise(""), x["text"])), "\n\n")
+    apart = F.transform("_s", lambda x, k: F.struct(k.alias("sec"), _headed(F.col("title"), x["heading"]).alias("title"), x["text"].alias("content")))
+    recs = F.when(F.col("_one"), F.array(F.struct(F.lit(0).alias("sec"), F.col("title").alias("title"), whole.alias("content")))).otherwise(apart)
+    return found.select("path", F.explode(recs).alias("r")).select("path", F.col("r.sec").cast("long").alias("sec"), "r.title", "r.content")
 
 
 def parse_markdown(files: DataFrame) -> DataFrame:
     own = files.select("path", "format", "base_name", front_matter(F.col("text")).alias("f"))
     named = own.select("path", "format", F.col("f.tags").alias("tags"), F.coalesce("f.title", "base_name").alias("title"), F.col("f.body").alias("body"))
     secs = split_sections(named).join(named.select("path", "format", "tags"), "path")
-    return as_items(secs, ["sec"], F.col("tags"))
+    return as_items(secs, "sec", F.col("tags"))
 
 
 def parse_text(files: DataFrame) -> DataFrame:
-    return as_items(files.select("path", "format", F.col("base_name").alias("title"), F.col("text").alias("content")), ["title"])
+    return as_items(files.select("path", "format", F.col("base_name").alias("title"), F.col("text").alias("content")))
 
 
 def html_to_text(html: Column) -> Column:
@@ -70,8 +74,8 @@ def html_to_text(html: Column) -> Column:
 
 
 def parse_html(files: DataFrame) -> DataFrame:
-    title = F.coalesce(H.decode_entities(C.html_title(F.col("text"))), "base_name")
-    return as_items(files.select("path", "format", title.alias("title"), html_to_text(F.col("text")).alias("content")), ["title"])
+    title = F.coalesce(F.nullif(C.ws_trim(F.regexp_replace(H.decode_entities(C.html_title(F.col("text"))), r"\s+", " ")), F.lit("")), "base_name")
+    return as_items(files.select("path", "format", title.alias("title"), html_to_text(F.col("text")).alias("content")))
 
 
 def _table(files: DataFrame) -> DataFrame:
@@ -79,76 +83,103 @@ def _table(files: DataFrame) -> DataFrame:
     return rows.select("path", "format", "base_name", F.element_at("_r", 1).alias("head"), F.posexplode(F.slice("_r", F.lit(2), F.size("_r") - 1)).alias("row", "cells"))
 
 
-def _lines(skip_empty: bool = False) -> Column:
-    pairs = F.arrays_zip(F.col("head").alias("h"), F.col("cells").alias("v"))
-    pairs = F.filter(pairs, lambda p: p["h"].isNotNull() & (F.trim(F.coalesce(p["v"], F.lit(""))) != "")) if skip_empty else pairs
-    return F.array_join(F.transform(pairs, lambda p: F.concat(F.coalesce(p["h"], F.lit("")), F.lit(": "), F.coalesce(p["v"], F.lit("")))), "\n")
+def _cells(head: Column, cells: Column, clean=lambda v: v) -> Column:
+    """(h, v) for each column of the header; missing cells are empty, cells beyond it don't count."""
+    return F.transform(head, lambda h, k: F.struct(h.alias("h"), clean(F.coalesce(F.get(cells, k), F.lit(""))).alias("v")))
+
+
+def _labelled(pairs: Column) -> Column:
+    return F.array_join(F.transform(pairs, lambda p: F.concat(p["h"], F.lit(": "), p["v"])), "\n")
 
 
 def parse_csv(files: DataFrame, group: int = 50) -> DataFrame:
-    """Fifty rows a record; more rows give records titled by their rows."""
-    rows = _table(files).withColumn("g", F.floor(F.col("row") / group)).withColumn("_all", F.count("*").over(W.partitionBy("path")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", _lines().alias("t")))), lambda x: x["t"]), "\n\n---\n\n")
-    recs = rows.groupBy("path", "format", "base_name", "g", "_all").agg(text.alias("content"), F.min("row").alias("a"), F.max("row").alias("b"), F.first("head").alias("head"))
-    label = F.when(F.col("_all") > group, F.concat("base_name", F.lit(" (rows "), (F.col("a") + 1).cast("string"), F.lit("-"), (F.col("b") + 1).cast("string"), F.lit(")"))).otherwise(F.col("base_name"))
-    return as_items(recs.withColumn("title", label), ["g"], meta=F.create_map(F.lit("columns"), F.array_join("head", ",")))
+    """Fifty rows a record; more rows give records titled by their rows. Records are grouped within the file's row."""
+    rows = files.withColumn("_r", H.csv_rows(F.col("text"))).filter("size(_r) > 1")
+    head, n = F.element_at("_r", 1), F.size("_r") - 1
+    rows = rows.select("path", "format", "base_name", head.alias("_h"), F.slice("_r", F.lit(2), n).alias("_d"), n.alias("_all"))
+    rows = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_all") / group).cast("int") - 1)))
+    own = F.slice("_d", F.col("g") * group + 1, F.lit(group))
+    text = F.array_join(F.transform(own, lambda r: _labelled(_cells(F.col("_h"), r))), "\n\n---\n\n")
+    label = F.concat("base_name", F.lit(" (rows "), (F.col("g") * group + 1).cast("string"), F.lit("-"), (F.col("g") * group + F.size(own)).cast("string"), F.lit(")"))
+    title = F.when(F.col("_all") > group, label).otherwise(F.col("base_name"))
+    recs = rows.select("path", "format", (F.col("g") + 1).alias("_n"), title.alias("title"), text.alias("content"), F.size(own).cast("string").alias("_k"), F.array_join("_h", ",").alias("_c"))
+    return plain_items(recs, meta=F.create_map(F.lit("rows"), F.col("_k"), F.lit("columns"), F.col("_c")))
 
 
 def parse_json_doc(files: DataFrame) -> DataFrame:
-    return as_items(files.select("path", "format", F.col("base_name").alias("title"), H.pretty_json(F.col("text")).alias("content")).filter("content IS NOT NULL"), ["title"])
+    return as_items(files.select("path", "format", F.col("base_name").alias("title"), H.pretty_json(F.col("text")).alias("content")).filter("content IS NOT NULL"))
+
+
+def _dated(key: str, date: str) -> Column:
+    return F.when(F.col(date).isNotNull(), F.create_map(F.lit(key), F.col(date)))
 
 
 def parse_enex(files: DataFrame) -> DataFrame:
+    """A record for each note with text; the first untitled one has no number."""
     note = files.select("path", "format", "base_name", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s)<note>(.*?)</note>"), 1)).alias("n", "x"))
-    pick = lambda tag: F.regexp_extract("x", rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1)
-    body = F.regexp_replace(pick("content"), r"(?s)^\s*<!\[CDATA\[|\]\]>\s*$", "")
-    title = F.nullif(C.ws_trim(H.decode_entities(pick("title"))), F.lit(""))
-    rows = note.withColumn("_t", title)
+    pick = lambda tag: C.ws_trim(F.regexp_extract("x", rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1))
+    body = F.regexp_replace(pick("content"), r"(?s)^<!\[CDATA\[|\]\]>$", "")
+    rows = note.select("path", "format", "base_name", "n", "x", html_to_text(body).alias("content"), F.nullif(pick("title"), F.lit("")).alias("_t")).filter("content <> ''")
     count = F.sum(F.col("_t").isNull().cast("int")).over(W.partitionBy("path").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("title", F.coalesce("_t", F.concat("base_name", F.lit(" — untitled note ("), count.cast("string"), F.lit(")"))))
-    tags = F.array_distinct(F.concat(F.array(F.lit("evernote")), F.regexp_extract_all("x", F.lit(r"(?s)<tag>(.*?)</tag>"), 1)))
-    date = F.date_format(F.try_to_timestamp(pick("created"), F.lit("yyyyMMdd'T'HHmmss'Z'")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    rows = rows.select("path", "format", "n", "title", html_to_text(body).alias("content"), tags.alias("_tags"), date.alias("_date"))
-    return as_items(rows, ["n"], F.col("_tags"), F.create_map(F.lit("date"), F.col("_date")))
+    rows = rows.withColumn("_c", count)
+    untitled = F.concat("base_name", F.lit(" — untitled note"), F.when(F.col("_c") > 1, F.concat(F.lit(" ("), F.col("_c").cast("string"), F.lit(")"))).otherwise(""))
+    own = F.filter(F.transform(F.regexp_extract_all("x", F.lit(r"(?s)<tag>(.*?)</tag>"), 1), C.ws_trim), lambda t: t != "")
+    date = F.coalesce(F.try_to_timestamp(pick("created"), F.lit("yyyyMMdd'T'HHmmss'Z'")), C.to_iso(pick("created")))
+    rows = rows.select("path", "format", "n", F.coalesce("_t", untitled).alias("title"), "content", F.concat(F.array(F.lit("evernote")), own).alias("_tags"), C.iso_time(date).alias("_date"))
+    return as_items(rows, "n", F.col("_tags"), _dated("note_date", "_date"))
 
 
 KEEP = "title string, textContent string, isArchived boolean, isTrashed boolean, userEditedTimestampUsec long, labels array<struct<name:string>>, listContent array<struct<text:string,isChecked:boolean>>"
 
 
 def parse_keep(files: DataFrame) -> DataFrame:
+    """Text and list of a note, a blank line between them; blank list entries and labels don't count."""
     rows = files.withColumn("k", F.from_json("text", KEEP)).filter("NOT coalesce(k.isArchived, false) AND NOT coalesce(k.isTrashed, false)")
-    boxes = F.transform("k.listContent", lambda i: F.concat(F.when(i["isChecked"], "- [x] ").otherwise("- [ ] "), F.coalesce(i["text"], F.lit(""))))
-    text = C.ws_trim(F.concat_ws("\n", "k.textContent", F.array_join(boxes, "\n")))
-    tags = F.concat(F.array(F.lit("keep")), F.coalesce(F.transform("k.labels", lambda x: x["name"]), F.array().cast("array<string>")))
-    date = F.date_format(F.timestamp_micros("k.userEditedTimestampUsec"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    full = lambda c: F.filter(c, lambda t: t != "")
+    trimmed = lambda c: C.ws_trim(F.coalesce(c, F.lit("")))
+    items = F.filter("k.listContent", lambda i: trimmed(i["text"]) != "")
+    boxes = F.array_join(F.transform(items, lambda i: F.concat(F.when(i["isChecked"], "- [x] ").otherwise("- [ ] "), trimmed(i["text"]))), "\n")
+    text = F.array_join(full(F.array(trimmed(F.col("k.textContent")), F.coalesce(boxes, F.lit("")))), "\n\n")
+    labels = full(F.transform("k.labels", lambda x: trimmed(x["name"])))
+    tags = F.concat(F.array(F.lit("keep")), F.coalesce(labels, F.array().cast("array<string>")))
+    date = C.iso_time(F.when(F.col("k.userEditedTimestampUsec") > 0, F.timestamp_micros("k.userEditedTimestampUsec")))
     title = F.coalesce(F.nullif(C.ws_trim(F.col("k.title")), F.lit("")), "base_name")
-    return as_items(rows.select("path", "format", title.alias("title"), text.alias("content"), tags.alias("_t"), date.alias("_d")), ["title"], F.col("_t"), F.create_map(F.lit("date"), F.col("_d")))
+    return as_items(rows.select("path", "format", title.alias("title"), text.alias("content"), tags.alias("_t"), date.alias("_d")), None, F.col("_t"), _dated("note_date", "_d"))
 
 
 def parse_notion_md(files: DataFrame) -> DataFrame:
     rows = files.select("path", "format", C.notion_title(F.col("base_name")).alias("title"), C.notion_body(F.col("text")).alias("content"), C.notion_tags(F.col("rel_path")).alias("_t"))
-    return as_items(rows, ["title"], F.col("_t"))
+    return as_items(rows, None, F.col("_t"))
 
 
 def parse_notion_db(files: DataFrame) -> DataFrame:
-    rows = _table(files.withColumn("base_name", C.notion_title(F.col("base_name"))))
-    first = F.trim(F.coalesce(F.element_at("cells", 1), F.lit("")))
-    name = F.when(first != "", F.concat("base_name", F.lit(" — "), first)).otherwise(F.concat(F.lit("Row "), (F.col("row") + 1).cast("string")))
-    meta = F.create_map(F.lit("database"), F.col("base_name"), F.lit("row"), (F.col("row") + 1).cast("string"))
-    return as_items(rows.withColumn("title", name).withColumn("content", _lines(skip_empty=True)), ["row"], F.array(F.lit("notion")), meta)
+    """A record for each row with a value; its title is its first cell."""
+    rows = files.withColumn("base_name", C.notion_title(F.col("base_name"))).withColumn("_r", H.csv_rows(F.col("text"))).filter("size(_r) > 1")
+    rows = rows.select("path", "format", "base_name", F.element_at("_r", 1).alias("_h"), F.posexplode(F.slice("_r", F.lit(2), F.size("_r") - 1)).alias("row", "cells"))
+    pairs = F.filter(_cells(F.col("_h"), F.col("cells"), lambda v: C.ws_trim(C.notion_body(v))), lambda p: p["v"] != "")
+    first = C.ws_trim(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))
+    number = (F.col("row") + 1).cast("string")
+    title = F.concat("base_name", F.lit(" — "), F.when(first != "", C.notion_title(first)).otherwise(F.concat(F.lit("Row "), number)))
+    rows = rows.select("path", "format", (F.col("row") + 1).alias("_n"), title.alias("title"), _labelled(pairs).alias("content"), F.lower("base_name").alias("_db"), F.col("base_name").alias("_name"), number.alias("_row")).filter("content <> ''")
+    return plain_items(rows, F.array(F.lit("notion"), F.lit("database"), F.col("_db")), F.create_map(F.lit("database"), F.col("_name"), F.lit("row"), F.col("_row")))
 
 
 def split_converted(files: DataFrame) -> DataFrame:
-    """Markdown that a converter made: slides by their marks, sheets and others by headings (PAR-17)."""
-    text = C.sanitize_markdown(F.col("text"))
-    slides = files.filter("format = 'pptx'").select("path", "format", "base_name", F.posexplode(F.split(text, r"<!-- Slide number: ")).alias("n", "x")).filter("n > 0")
-    number, body = F.regexp_extract("x", r"^(\d+)", 1), C.ws_trim(F.regexp_replace("x", r"^\d+\s*-->", ""))
-    heading = F.regexp_extract("x", r"(?m)^#+\s+(.+)$", 1)
-    slides = slides.select("path", "format", "n", F.concat("base_name", F.lit(" — Slide "), number, F.when(heading != "", F.concat(F.lit(" ("), C.ws_trim(heading), F.lit(")"))).otherwise("")).alias("title"), body.alias("content"))
-    sheets = files.filter("format IN ('xlsx', 'xls')").select("path", "format", F.col("base_name").alias("title"), text.alias("body"))
-    other = files.filter("format NOT IN ('pptx', 'xlsx', 'xls')").select("path", "format", F.col("base_name").alias("title"), text.alias("body"))
-    secs = split_sections(sheets, 0).unionByName(split_sections(other)).join(files.select("path", "format"), "path")
-    return as_items(slides, ["n"]).unionByName(as_items(secs, ["sec"]))
+    """Markdown that a converter made (PAR-17): a record for each slide or sheet; other texts, and slide sets without marks, by headings."""
+    own = files.select("path", "format", F.col("base_name").alias("title"), C.sanitize_markdown(F.col("text")).alias("body"))
+    mark = r"(?i)<!--\s*Slide number:\s*(\d+)\s*-->"
+    marked = F.col("format").isin("pptx", "ppt") & F.col("body").rlike(mark)
+    numbers = F.regexp_extract_all("body", F.lit(mark), 1)
+    each = own.filter(marked).select("path", "format", "title", F.posexplode(F.arrays_zip(numbers.alias("n"), F.slice(F.split("body", mark), F.lit(2), F.size(numbers)).alias("x"))).alias("n", "s"))
+    text, line = C.ws_trim(F.col("s.x")), r"(?m)^#{1,3}\s+(.*)$"
+    heading = C.ws_trim(F.regexp_extract(text, line, 1))
+    bare = C.ws_trim(F.regexp_replace(text, r"(?s)^(.*?)(?:(?<=\n)|(?<![\s\S]))#{1,3}\s+[^\n]*\n?(.*)$", "$1$2"))
+    label = F.concat("title", F.lit(" — Slide "), F.col("s.n").cast("int").cast("string"), F.when(heading != "", F.concat(F.lit(" ("), heading, F.lit(")"))).otherwise(""))
+    slides = each.select("path", "format", "n", label.alias("title"), F.when(bare != "", bare).otherwise(text).alias("content"), F.col("s.n").cast("int").cast("string").alias("_m"))
+    rest = own.filter(~marked)
+    sheet = F.col("format").isin("xlsx", "xls")
+    secs = split_sections(rest.filter(sheet), None).unionByName(split_sections(rest.filter(~sheet))).join(files.select("path", "format"), "path")
+    return as_items(slides, "n", meta=F.create_map(F.lit("slide"), F.col("_m"))).unionByName(as_items(secs, "sec"))
 
 
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {

@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from notelake.functions import columns as C
 from notelake.functions.helpers import trim_quotes
 from notelake.operators.chunking import chunk_conversation, dedupe_titles, part_title
 from notelake.operators.search import top
-
-REPLY = r"(?i)^\s*(re|aw|sv|odp)(\s*\[\d+\])?\s*:"
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """The rows in the folder that the cluster shares for checkpoints; they outlive lost executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from notelake.sources.scratch import written
 
 def dedupe_messages(messages: DataFrame) -> DataFrame:
     """The first row of each message id; messages without any stay; blank body and subject together go."""
@@ -34,13 +20,13 @@ def dedupe_messages(messages: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, comp: the least node that edges (a, b) reach; least labels spread and jump until none changes."""
-    both = _written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = nodes.select("node", F.col("node").alias("comp"))
     while True:
         seen = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("m"))
         near = labels.join(seen, F.col("node") == F.col("a"), "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("m", "comp")).alias("comp"))
         up = near.select(F.col("node").alias("r"), F.col("comp").alias("up"))
-        done = _written(near.join(up, F.col("comp") == F.col("r"), "left").select("node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
+        done = written(near.join(up, F.col("comp") == F.col("r"), "left").select("node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
         labels = done.select("node", "comp")
         if done.filter("old <> comp").isEmpty():
             return labels
@@ -50,8 +36,8 @@ def assign_threads(messages: DataFrame) -> DataFrame:
     """messages and thread_id (the least position of the thread). Messages (pos unique) are joined by own, parent and reference ids; then
     a thread whose first message has no ids or a reply prefix joins the earliest message of its subject."""
     ids = F.array_distinct(F.array_compact(F.concat(F.array("message_id", "in_reply_to"), F.coalesce("references", F.array().cast("array<string>")))))
-    own = messages.select(F.col("pos").alias("node"), ids.alias("ids"), C.normalize_subject(F.coalesce("subject", F.lit(""))).alias("subject"), F.coalesce(F.col("subject").rlike(REPLY), F.lit(False)).alias("reply"))
-    own = _written(own)
+    own = messages.select(F.col("pos").alias("node"), ids.alias("ids"), C.normalize_subject(F.coalesce("subject", F.lit(""))).alias("subject"), C.is_reply(F.col("subject")).alias("reply"))
+    own = written(own)
     each = own.select("node", F.explode("ids").alias("name"))
     hubs = each.groupBy("name").agg(F.min("node").alias("a"))
     by_id = components(own, each.join(hubs, "name").filter("a <> node").select("a", F.col("node").alias("b")))
@@ -65,18 +51,19 @@ def assign_threads(messages: DataFrame) -> DataFrame:
 
 
 def thread_items(messages: DataFrame, most: int = 8000) -> DataFrame:
-    """thread_id, title, part, n_parts, content: messages by date; quotes go in threads of several, but never a whole body."""
-    size = F.count("*").over(W.partitionBy("thread_id"))
-    trimmed = trim_quotes(F.coalesce("body", F.lit("")))
-    body = F.when((size > 1) & (trimmed != ""), trimmed).otherwise(F.coalesce("body", F.lit("")))
+    """thread_id, title, part, n_parts, content: messages by date (undated first); quotes go in threads of several, but never a whole body;
+    blank bodies are left out, and threads of nothing else."""
+    size = messages.groupBy("thread_id").agg(F.count("*").alias("_size"), F.min_by("subject", F.struct("date", "pos")).alias("_subject"))
+    own, trimmed = C.ws_trim(F.coalesce("body", F.lit(""))), trim_quotes(F.coalesce("body", F.lit("")))
     when = F.when(F.col("date").isNotNull(), F.concat(F.lit(" ("), F.date_format("date", "yyyy-MM-dd"), F.lit(")"))).otherwise("")
+    rows = messages.withColumn("_body", own).filter("_body <> ''").join(size.select("thread_id", "_size"), "thread_id")
+    body = F.when((F.col("_size") > 1) & (trimmed != ""), trimmed).otherwise(F.col("_body"))
     text = F.concat(F.lit("From "), C.display_name(F.coalesce("sender", F.lit(""))), when, F.lit(": "), body)
-    rank = F.row_number().over(W.partitionBy("thread_id").orderBy(F.asc_nulls_last("date"), "pos"))
-    rows = messages.select("thread_id", rank.alias("pos"), text.alias("text"), "subject", "date")
-    first = rows.filter("pos = 1").select("thread_id", "date", F.regexp_replace(F.coalesce("subject", F.lit("")), r"(?i)^\s*(re|fwd?|aw|sv|odp)(\s*\[\d+\])?\s*:\s*", "").alias("title"))
-    titles = dedupe_titles(first, [], [F.asc_nulls_last("date"), F.asc("thread_id")], "Untitled email thread").select("thread_id", "title")
+    rows = rows.select("thread_id", F.struct("date", F.col("pos").alias("at")).alias("pos"), text.alias("text"))
+    first = size.join(rows.select("thread_id").distinct(), "thread_id", "left_semi").select("thread_id", C.bare_subject(F.col("_subject")).alias("title"))
+    titles = dedupe_titles(first, [], [F.asc("thread_id")], "Untitled email thread")
     parts = chunk_conversation(rows, ["thread_id"], most).join(titles, "thread_id")
-    return parts.withColumn("title", part_title(F.col("title"), F.col("part"), F.col("n_parts")))
+    return parts.withColumn("title", part_title(F.col("title"), F.col("part"), F.col("n_parts"))).select("thread_id", "part", "content", "n_parts", "title")
 
 
 def thread_facts(messages: DataFrame) -> DataFrame:
@@ -85,6 +72,6 @@ def thread_facts(messages: DataFrame) -> DataFrame:
     facts = messages.groupBy("thread_id").agg(
         F.count("*").alias("message_count"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("date", "pos", "attachments"))), lambda x: F.coalesce(x["attachments"], F.array().cast("array<string>")))).alias("attachments"),
-        F.min_by("path", F.struct(F.coalesce("date", F.lit("9999-12-31").cast("timestamp")), "pos")).alias("origin"),
+        F.min_by("path", F.struct("date", "pos")).alias("origin"),
     )
     return facts.join(people, "thread_id", "left").withColumn("participants", F.coalesce("participants", F.array().cast("array<string>")))

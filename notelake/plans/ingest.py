@@ -12,6 +12,7 @@ from notelake.operators.chunking import dedupe_titles
 from notelake.operators.dedupe import classify, clip_records, dedupe_batch, file_reports, ingest_summary
 from notelake.operators.filters import drop_bulk, owners_of
 from notelake.sources import files as S
+from notelake.sources.scratch import written
 
 #: Mail archives that one read names.
 MAIL_BLOCK = 10_000
@@ -59,18 +60,18 @@ def chat_items(files: DataFrame) -> DataFrame:
         named = dedupe_titles(facts.join(talk.select("conv").distinct(), "conv", "left_semi"), ["path"], [F.asc_nulls_last("created"), F.asc("conv")])
         items = chat.conversation_items(talk, named, vendor).join(named.select("conv", "path", "created"), "conv")
         pos = F.row_number().over(W.partitionBy("path").orderBy("conv", "part"))
-        meta = F.create_map(F.lit("date"), F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        date = C.iso_time(F.col("created"))
+        meta = F.when(date.isNotNull(), F.create_map(F.lit("conversation_date"), date))
         items = items.select("path", pos.alias("pos"), "title", "content", "type", "tags", meta.alias("source_meta"), F.lit(vendor).alias("format"))
         out = items if out is None else out.unionByName(items)
     return out
 
 
 def slack_items(files: DataFrame) -> DataFrame:
-    own = files.filter(F.col("rel_path").rlike(r"^[^/]+/\d{4}-\d{2}-\d{2}\.json$"))
-    each = own.select("path", F.regexp_extract("rel_path", "^([^/]+)/", 1).alias("channel"), F.col("base_name").alias("day"), F.explode(F.from_json("text", f"array<struct<{S.SLACK.replace(' string', ':string')}>>")).alias("m"))
-    users = files.filter("rel_path = 'users.json'").select(F.explode(F.from_json("text", "array<struct<id:string,name:string,profile:struct<display_name:string,real_name:string>>>")).alias("u")).select("u.*")
-    items = chat.slack_channel_days(each.select("channel", "day", "m.*"), chat.slack_user_map(users))
-    return items.join(each.select("path", "channel", "day").distinct(), ["channel", "day"]).select("path", F.col("part").alias("pos"), "title", "content", F.lit("reference").alias("type"), F.array(F.lit("slack"), F.col("channel")).alias("tags"), F.create_map(F.lit("channel"), F.col("channel"), F.lit("date"), F.col("day")).alias("source_meta"), F.lit("slack").alias("format"))
+    each, users = S.slack_tables(files)
+    items = chat.slack_channel_days(each.drop("path"), chat.slack_user_map(users))
+    tags, meta = F.array(F.lit("slack"), F.concat(F.lit("#"), F.col("channel"))), F.create_map(F.lit("date"), F.col("day"), F.lit("channel"), F.col("channel"))
+    return items.join(each.select("path", "channel", "day").distinct(), ["channel", "day"]).select("path", F.col("part").alias("pos"), "title", "content", F.lit("reference").alias("type"), tags.alias("tags"), meta.alias("source_meta"), F.lit("slack").alias("format"))
 
 
 def mail_items(spark: SparkSession, files: DataFrame, root: str, include_bulk: bool) -> DataFrame:
@@ -84,9 +85,8 @@ def mail_items(spark: SparkSession, files: DataFrame, root: str, include_bulk: b
     raw = raw.unionByName(S.read_mbox(spark, block)) if block else raw
     parsed, _ = drop_bulk(S.parse_messages(raw), include_bulk)
     unique = threads.dedupe_messages(parsed.filter("error IS NULL"))
-    ranks = unique.select("path").distinct().withColumn("_file", F.row_number().over(W.orderBy("path")))  # one narrow row a file
-    numbered = unique.join(ranks, "path").withColumn("pos", F.col("_file") * F.lit(1 << 40) + F.col("pos")).drop("_file")
-    placed = threads._written(threads.assign_threads(numbered))
+    numbered = unique.withColumn("pos", F.concat("path", F.lit("\x00"), F.lpad(F.col("pos").cast("string"), 12, "0")))  # files in order of path
+    placed = written(threads.assign_threads(numbered))
     items, facts = threads.thread_items(placed), threads.thread_facts(placed)
     meta = F.create_map(F.lit("message_count"), F.col("message_count").cast("string"), F.lit("participants"), F.array_join("participants", ", "))
     rows = items.join(facts, "thread_id")
@@ -114,7 +114,7 @@ def ingest(spark: SparkSession, root: str, existing: DataFrame, owner: str, shar
     the new records to ``store``, which may not overlap the root."""
     if store and (store.rstrip("/") + "/").startswith(root.rstrip("/") + "/"):
         raise ValueError("the store lies inside the root")
-    files = threads._written(gated(S.scan_files(spark, root)))
+    files = written(gated(S.scan_files(spark, root)))
     kind = export_kind(files).first()["kind"]
     if kind == "slack":
         files = files.withColumn("status", F.coalesce("status", F.when(~F.col("rel_path").contains("/"), "skipped_unsupported")))
@@ -122,7 +122,7 @@ def ingest(spark: SparkSession, root: str, existing: DataFrame, owner: str, shar
     else:
         items = parse_files(spark, files, root, include_bulk, kind)
     clipped = clip_records(items, as_of).withColumn("owner_id", F.lit(owners_of(owner, shared, owner_scope)[0]))
-    rows = threads._written(classify(dedupe_batch(clipped), existing))
+    rows = written(classify(dedupe_batch(clipped), existing))
     new = rows.filter("status = 'created'").select("type", "title", "content", "summary", "tags", "source", "confidence", "source_meta", "content_hash", "owner_id", "created_at")
     reports = file_reports(files, rows, dry_run)
     if store and not dry_run:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from notelake.functions import columns as C
 from notelake.functions import helpers as H
+from notelake.sources.scratch import written
 
 #: Folders that are never looked into.
 SKIPPED_FOLDERS = ("node_modules", "__pycache__", "dist", ".git")
@@ -39,15 +40,17 @@ def size_gate(files: DataFrame) -> DataFrame:
 
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     """path, pos, raw: one row a message. The file is read in splits at lines that begin with ``From ``; a piece that is no envelope is
-    glued to the one before. Order over splits comes from the block start and the row within."""
+    glued to the one before. A message's place is that within its split plus the counts of earlier splits of the file."""
     rows = spark.read.option("lineSep", "\nFrom ").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    value = F.regexp_replace("value", "\r", "")
-    first = F.row_number().over(W.partitionBy("path").orderBy("block", "id"))
-    rows = rows.select("path", first.alias("n"), value.alias("v"))
-    body = F.when((F.col("n") == 1) & F.col("v").startswith("From "), F.substring("v", F.lit(6), F.lit(1 << 30))).otherwise(F.col("v"))
-    rows = rows.withColumn("v", body).withColumn("env", F.col("v").rlike(r"^\S+ +\S"))
-    pos = F.sum(F.col("env").cast("int")).over(W.partitionBy("path").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
-    glued = rows.withColumn("pos", pos).groupBy("path", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda x: x["v"]), "\nFrom ").alias("raw"))
+    first = F.row_number().over(W.partitionBy("path", "block").orderBy("id"))
+    rows = rows.select("path", "block", first.alias("n"), F.regexp_replace("value", "\r", "").alias("v"))
+    body = F.when((F.col("block") == 0) & (F.col("n") == 1) & F.col("v").startswith("From "), F.substring("v", F.lit(6), F.lit(1 << 30))).otherwise(F.col("v"))
+    rows = written(rows.withColumn("v", body).withColumn("env", F.col("v").rlike(r"^\S+ +\S").cast("int")))
+    counts = rows.groupBy("path", "block").agg(F.sum("env").alias("_n"))  # a row a split
+    before = counts.withColumn("_before", F.sum("_n").over(W.partitionBy("path").orderBy("block")) - F.col("_n")).drop("_n")
+    within = F.sum("env").over(W.partitionBy("path", "block").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
+    placed = rows.withColumn("_own", within).join(before, ["path", "block"]).withColumn("pos", F.col("_own") + F.col("_before"))
+    glued = placed.groupBy("path", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "n", "v"))), lambda x: x["v"]), "\nFrom ").alias("raw"))
     raw = F.regexp_replace(F.regexp_replace("raw", r"^[^\n]*\n?", ""), r"^\n+", "")
     raw = F.regexp_replace(F.substring(raw, 1, MESSAGE_MOST), r"(?m)^>(>*From )", "$1")
     return glued.filter("pos > 0").select("path", F.col("pos").cast("long"), raw.alias("raw")).filter("trim(raw) <> ''")
@@ -96,22 +99,32 @@ def read_claude(spark: SparkSession, path: str):
 
 
 SLACK = "type string, subtype string, user string, text string, ts string, thread_ts string"
+USERS = "id string, name string, profile struct<display_name:string,real_name:string>"
+
+
+def slack_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages with path, channel and day; users) of (path, rel_path, text): day files ``<channel>/<yyyy-MM-dd>.json`` and users.json; other
+    files are metadata."""
+    day = r"^(?:.*/)?([^/]+)/(\d{4}-\d{2}-\d{2})\.json$"
+    listed = lambda schema: F.explode(F.from_json("text", f"array<struct<{schema.replace(' string', ':string').replace(' struct', ':struct')}>>")).alias("r")
+    days = files.filter(F.col("rel_path").rlike(day)).select("path", F.regexp_extract("rel_path", day, 1).alias("channel"), F.regexp_extract("rel_path", day, 2).alias("day"), listed(SLACK))
+    return days.select("path", "channel", "day", "r.*"), files.filter("rel_path = 'users.json'").select(listed(USERS)).select("r.*")
 
 
 def read_slack(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(messages with channel and day, users): day files ``<channel>/<yyyy-MM-dd>.json``; other files of the root are metadata."""
-    path = F.col("_metadata.file_path")
-    days = spark.read.schema(SLACK).option("multiLine", "true").json(f"{root}/*/*.json").withColumn("_p", path)
-    day = F.regexp_extract("_p", r"/([^/]+)/(\d{4}-\d{2}-\d{2})\.json$", 2)
-    messages = days.withColumn("channel", F.regexp_extract("_p", r"/([^/]+)/[^/]+\.json$", 1)).withColumn("day", day).filter("day <> ''").drop("_p")
-    users = spark.read.schema("id string, name string, profile struct<display_name:string,real_name:string>").option("multiLine", "true").json(f"{root}/users.json")
-    return messages, users
+    """``slack_tables`` of an export's folder."""
+    texts = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
+    return slack_tables(texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).withColumn("rel_path", relative_path(root)))
 
 
 def read_markdown_store(spark: SparkSession, root: str, collection: str, schema: str) -> DataFrame:
-    """Records of ``<root>/<collection>/<id>.md``: front matter fields by ``schema``, the rest as content; archives are left out."""
-    texts = _texts(spark, f"{root}/{collection}/*.md").withColumn("id", F.regexp_extract("path", r"/([^/]+)\.md$", 1))
-    rows = texts.withColumn("r", H.read_front_matter(F.col("text")))
+    """Records of ``<root>/<collection>/<id>.md``; archives are left out."""
+    return markdown_records(_texts(spark, f"{root}/{collection}/*.md"), schema)
+
+
+def markdown_records(texts: DataFrame, schema: str) -> DataFrame:
+    """Records of (path, text): front matter fields by ``schema``, the rest as content, the file's name as id."""
+    rows = texts.withColumn("id", F.regexp_extract("path", r"([^/]+)\.md$", 1)).withColumn("r", H.read_front_matter(F.col("text")))
     return rows.select("id", F.from_json("r.fields", schema).alias("f"), F.col("r.body").alias("content")).select("id", "f.*", "content")
 
 
