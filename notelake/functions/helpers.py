@@ -64,7 +64,7 @@ def chunks(text: str, most: int = 4000) -> list[str]:
             cut = next((k for mark in ("\n", " ") if (k := held.rfind(mark, 0, most + 1)) >= least), most)
             out.append(held[:cut].rstrip())
             held = held[cut:].lstrip()
-    return [x for x in [*out, held] if x.strip()]
+    return [y for x in [*out, held] if (y := x.strip())]
 
 
 def chunk_text(text, most: int = 4000):

@@ -114,7 +114,15 @@ def ingest(spark: SparkSession, root: str, existing: DataFrame, owner: str, shar
     the new records to ``store``, which may not overlap the root."""
     if store and (store.rstrip("/") + "/").startswith(root.rstrip("/") + "/"):
         raise ValueError("the store lies inside the root")
-    files = written(gated(S.scan_files(spark, root)))
+    out = ingest_files(spark, S.scan_files(spark, root), existing, owner, shared, as_of, dry_run, owner_scope, include_bulk, root)
+    if store and not dry_run:
+        S.write_collection(out[0], store, scoped=True)
+    return out
+
+
+def ingest_files(spark: SparkSession, files: DataFrame, existing: DataFrame, owner: str, shared: str, as_of: Column, dry_run: bool = True, owner_scope: str = "private", include_bulk: bool = False, root: str = ""):
+    """``ingest`` of file rows (path, rel_path, base_name, length, content, status); nothing is stored."""
+    files = written(gated(files))
     kind = export_kind(files).first()["kind"]
     if kind == "slack":
         files = files.withColumn("status", F.coalesce("status", F.when(~F.col("rel_path").contains("/"), "skipped_unsupported")))
@@ -125,6 +133,4 @@ def ingest(spark: SparkSession, root: str, existing: DataFrame, owner: str, shar
     rows = written(classify(dedupe_batch(clipped), existing))
     new = rows.filter("status = 'created'").select("type", "title", "content", "summary", "tags", "source", "confidence", "source_meta", "content_hash", "owner_id", "created_at")
     reports = file_reports(files, rows, dry_run)
-    if store and not dry_run:
-        S.write_collection(new, store, scoped=True)
     return new, reports, ingest_summary(reports)
