@@ -405,18 +405,24 @@ def _(spark, sf_dir):
     return filters.drop_bulk(bulk)[0].select("pos")
 
 
-@query("par16_transcripts", "with m as (select conv_id, turn, case when role = 'user' then 'User: ' else 'Assistant: ' end || " + TRIM.format("text") + " as line from conversations where role <> 'system'), c as (select conv_id, string_agg(line, chr(10) || chr(10) order by turn) as content from m group by conv_id) select conv_id, sha256(content) as hash from c where length(content) <= 8000")
+def packed_sql(source: str, most: int) -> str:
+    """The packs (key, part, n_parts, piece) of ``source`` (key, n from 1, text), none longer than ``most`` in itself."""
+    full = f"c.held <> '' and (m.text is null or length(c.held) + 2 + length(m.text) > {most})"
+    return f"""m_ as ({source}), packing(key, n, held, piece) as (select key, 0, '', null::varchar from m_ where n = 1 union all
+  select c.key, c.n + 1, case when m.text is null then '' when c.held = '' or {full} then m.text else c.held || chr(10) || chr(10) || m.text end, case when {full} then c.held end from packing c left join m_ m on m.key = c.key and m.n = c.n + 1 where m.text is not null or c.held <> ''),
+ packs as (select key, row_number() over (partition by key order by n) as part, count(*) over (partition by key) as n_parts, piece from packing where piece is not null)"""
+
+
+@query("par16_transcripts", "with recursive r as (select conv_id as key, row_number() over (partition by conv_id order by turn) as n, case when role = 'user' then 'User: ' else 'Assistant: ' end || " + TRIM.format("text") + " as text from conversations where role <> 'system'), " + packed_sql("select * from r", 2000)
+ + " select key as conv_id, part, 'Conversation ' || key || case when n_parts > 1 then ' (part ' || part || '/' || n_parts || ')' else '' end as title, sha256(piece) as hash from packs")
 def _(spark, sf_dir):
     talk = chat.collapse_tool_runs(V.chat(spark, sf_dir))
     facts = V.chat(spark, sf_dir).select("conv").distinct().withColumn("title", F.concat(F.lit("Conversation "), "conv"))
-    return chat.conversation_items(talk, facts, "chatgpt").filter("n_parts = 1").select(F.col("conv").cast("long").alias("conv_id"), sha(F.col("content")).alias("hash"))
+    items = chat.conversation_items(talk, facts, "chatgpt", 2000)
+    return items.select(F.col("conv").cast("long").alias("conv_id"), F.col("part").cast("long").alias("part"), "title", sha(F.col("content")).alias("hash"))
 
 
-@query("chk2_conversations", """with recursive m as (select conv_id, row_number() over (partition by conv_id order by turn) as n, text from conversations where trim(text) <> ''),
- c(conv_id, n, held, piece) as (select conv_id, 0, '', null::varchar from m where n = 1 union all
-  select c.conv_id, c.n + 1, case when m.text is null then '' when c.held = '' or length(c.held) + 2 + length(m.text) > 3000 then m.text else c.held || chr(10) || chr(10) || m.text end, case when c.held <> '' and (m.text is null or length(c.held) + 2 + length(m.text) > 3000) then c.held end
-  from c left join m on m.conv_id = c.conv_id and m.n = c.n + 1 where m.text is not null or c.held <> '')
- select conv_id, row_number() over (partition by conv_id order by n) as part, count(*) over (partition by conv_id) as n_parts, sha256(piece) as hash from c where piece is not null""")
+@query("chk2_conversations", "with recursive r as (select conv_id as key, row_number() over (partition by conv_id order by turn) as n, text from conversations where trim(text) <> ''), " + packed_sql("select * from r", 3000) + " select key as conv_id, part, n_parts, sha256(piece) as hash from packs")
 def _(spark, sf_dir):
     rows = V.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), "text")
     parts = chunking.chunk_conversation(rows, ["conv_id"], 3000)

@@ -58,11 +58,16 @@ def contacts(spark, sf_dir) -> DataFrame:
 
 
 def mail(spark, sf_dir) -> DataFrame:
+    """A mail for each turn, answering the one before; every fifth turn knows no ids and begins with one of several prefixes. Senders come in
+    three forms."""
     c, t = F.col("conv_id"), F.col("turn")
     mid = lambda k: F.concat(F.lit("c"), c.cast("string"), F.lit("-t"), k.cast("string"))
+    prefix = F.when(t == 0, "").when(t % 5 != 0, "Re: ").otherwise(_pick(["Re: ", "Fwd: ", "fw[2]: re : "], c % 3))
+    address = F.concat("role", F.lit("@example.org"))
+    sender = F.when(t % 3 == 0, F.concat("role", F.lit(" <"), address, F.lit(">"))).when(t % 3 == 1, F.concat(F.lit('"The '), "role", F.lit('" <'), address, F.lit(">"))).otherwise(address)
     return table(spark, sf_dir, "conversations").select(
         (c * 100_000 + t).alias("pos"), F.lit("mail.mbox").alias("path"), mid(t).alias("message_id"), F.when((t > 0) & (t % 5 != 0), mid(t - 1)).alias("in_reply_to"), F.lit(None).cast("array<string>").alias("references"),
-        F.concat(F.when(t > 0, "Re: ").otherwise(""), F.lit("Topic "), F.floor(c / 2).cast("string")).alias("subject"), F.concat("role", F.lit(" <"), "role", F.lit("@example.org>")).alias("sender"), F.lit("all@example.org").alias("recipient"),
+        F.concat(prefix, F.lit("Topic "), F.floor(c / 2).cast("string")).alias("subject"), sender.alias("sender"), F.lit("all@example.org, root@localhost, a%b").alias("recipient"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(c * 100 + t).cast("int"))).alias("date"), F.col("text").alias("body"), F.array().cast("array<string>").alias("attachments"), F.lit(False).alias("is_bulk"),
     )
 
@@ -71,6 +76,13 @@ def chat(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("conv"), F.col("turn").alias("pos"), "role", F.lit(None).cast("string").alias("type"), "text")
 
 
+def chat_with_tools(spark, sf_dir) -> DataFrame:
+    """Chat in which every fourth turn is a tool's, and the ones before and after it are code in every third conversation."""
+    c, t = F.col("conv_id"), F.col("turn")
+    role = F.when(t % 4 == 3, "tool").when(t % 7 == 6, "critic").otherwise(F.col("role"))
+    return table(spark, sf_dir, "conversations").select(c.cast("string").alias("conv"), t.alias("pos"), role.alias("role"), F.when((c % 3 == 0) & (t % 4 != 1), "code").alias("type"), "text")
+
+
 def nodes(spark, sf_dir) -> DataFrame:
     """A node for each turn, and in every seventh conversation one off the path."""
     t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), F.col("turn").cast("string").alias("node"), F.when(F.col("turn") > 0, (F.col("turn") - 1).cast("string")).alias("parent"))
@@ -79,7 +91,7 @@ def nodes(spark, sf_dir) -> DataFrame:
 
 def slack(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("channel"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.lit("message").alias("type"), F.lit(None).cast("string").alias("subtype"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user"), F.concat(F.lit("value "), F.round("value", 1).cast("string")).alias("text"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("ts"), F.when(F.col("event_id") % 3 == 0, F.lpad((F.col("event_id") - 1).cast("string"), 12, "0")).alias("thread_ts"))
+    return e.select(F.col("event_type").alias("channel"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.lit("message").alias("type"), F.lit(None).cast("string").alias("subtype"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user"), F.concat(F.lit("event "), F.col("event_id").cast("string"), F.lit(" by <@U"), F.col("user_id").cast("string"), F.lit(">")).alias("text"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("ts"), F.when(F.col("event_id") % 3 == 0, F.lpad((F.col("event_id") - 1).cast("string"), 12, "0")).alias("thread_ts"))
 
 
 SQL = {

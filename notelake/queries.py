@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from notelake import file_queries
 from notelake.functions import columns as C
 from notelake.operators import chat, chunking, dedupe, filters, links, parsers, records, search, stats, threads
 from notelake.plans import views as V
@@ -44,6 +45,8 @@ def _columns(name, build, sql):
 
 
 WS = "'^[\\s]+|[\\s]+$'"
+#: SQL: the distinct members of a list in order.
+_FIRST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 _columns("fn1_summary", lambda: C.summary(F.col("content")), """case when length(content) <= 200 then content else (
  with h as (select substring(content, 1, 200) as h),
  p as (select h, greatest(case when position(' .' in reverse(h)) > 0 then 199 - position(' .' in reverse(h)) else -1 end, case when position(' !' in reverse(h)) > 0 then 199 - position(' !' in reverse(h)) else -1 end,
@@ -58,9 +61,14 @@ _STEM = f"""case when length(w) > 4 and suffix(w, 'ies') then left(w, length(w)
  when length(w) > 4 and suffix(w, 'ed') then {_UNDO.format('left(w, length(w) - 2)')} when length(w) > 4 and suffix(w, 'es') then left(w, length(w) - 2)
  when length(w) > 3 and suffix(w, 's') and not suffix(w, 'ss') then left(w, length(w) - 1) else w end"""
 _columns("fn5_stems", lambda: F.array_join(F.transform(C.tokenize(F.col("title")), C.stem), " "), f"array_to_string(list_transform({_TOKENS.format('title')}, lambda w: {_STEM}), ' ')")
-_columns("fn7_key_terms", lambda: F.array_join(C.key_terms(F.col("title"), F.col("content")), " "), None)
+_KEY_WORDS = "list_filter(regexp_split_to_array(regexp_replace(lower(title || ' ' || substring(content, 1, 200)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 and not list_contains([" + ",".join(f"'{w}'" for w in C.KEY_STOP_WORDS) + "], w))"
+_KEY_TERMS = f"{_FIRST.format(_KEY_WORDS)}[1:5]"
+_columns("fn7_key_terms", lambda: F.array_join(C.key_terms(F.col("title"), F.col("content")), " "), f"array_to_string({_KEY_TERMS}, ' ')")
 _columns("fn8_decay", lambda: F.round(C.decay_score(F.col("last_validated_at"), V.as_of()), 6), "round(coalesce(greatest(0.0, least(1.0, 1 - date_diff('second', last_validated_at, timestamp '2024-12-31') / 86400.0 / 180)), 0.0), 6)")
-_columns("fn14_relation", lambda: C.relation_hint(F.col("type"), F.lit("pattern")), "case when type = 'insight' then 'derived_from' else 'supports' end")
+_TARGETS = ["pattern", "insight", "decision", "lesson"]
+_columns("fn14_relation", lambda: C.relation_hint(F.when(F.col("doc_id") % 11 == 0, "decision").otherwise(F.col("type")), V._pick(_TARGETS, F.floor(F.col("doc_id") / 5) % 4)),
+    """(with p as (select case when doc_id % 11 = 0 then 'decision' else type end as s, (['pattern', 'insight', 'decision', 'lesson'])[doc_id // 5 % 4 + 1] as t)
+ select case when s || '-' || t in ('lesson-decision', 'decision-lesson', 'insight-pattern') then 'derived_from' when s || '-' || t = 'pattern-insight' then 'example_of' else 'supports' end from p)""")
 _columns("det1_format", lambda: C.detect_format(F.concat("id", F.lit("."), V._pick(["md", "CSV", "htm", "bin", "pptx"], F.col("doc_id") % 5))), "(['markdown','csv','html',null,'pptx'])[doc_id % 5 + 1]")
 
 
@@ -69,14 +77,23 @@ def _(spark, sf_dir):
     return V.mail(spark, sf_dir).select("pos", C.normalize_subject(F.col("subject")).alias("subject"))
 
 
-@query("fn11_sender", "select conv_id * 100000 + turn as pos, role as name, lower(role) || '@example.org,all@example.org' as people from conversations")
+_NAME = "case turn % 3 when 0 then role when 1 then 'The ' || role else role || '@example.org' end"
+
+
+@query("fn11_sender", f"select conv_id * 100000 + turn as pos, {_NAME} as name from conversations")
+def _(spark, sf_dir):
+    return V.mail(spark, sf_dir).select("pos", C.display_name(F.col("sender")).alias("name"))
+
+
+@query("fn12_addresses", "select conv_id * 100000 + turn as pos, lower(role) || '@example.org,all@example.org' as people from conversations")
 def _(spark, sf_dir):
-    return V.mail(spark, sf_dir).select("pos", C.display_name(F.col("sender")).alias("name"), F.array_join(C.addresses(F.col("sender"), F.col("recipient")), ",").alias("people"))
+    return V.mail(spark, sf_dir).select("pos", F.array_join(C.addresses(F.col("sender"), F.col("recipient")), ",").alias("people"))
 
 
-@query("agg1_counts", "select 'contacts' as collection, count(*) as n from customer union all select 'knowledge', count(*) from documents union all select 'tasks', count(*) from orders")
+@query("agg1_counts", f"with k as ({K}) select 'contacts' as collection, count(*) as n from customer union all select 'knowledge', count(*) from k where owner_id in ('alice', 'firma') union all select 'tasks', count(*) from orders union all select unnest(['decisions', 'sessions', 'goals']), 0")
 def _(spark, sf_dir):
-    return stats.brain_counts({"contacts": V.contacts(spark, sf_dir), "knowledge": V.knowledge(spark, sf_dir), "tasks": V.tasks(spark, sf_dir)})
+    tables = {"contacts": V.contacts(spark, sf_dir), "knowledge": V.knowledge(spark, sf_dir), "tasks": V.tasks(spark, sf_dir)}
+    return stats.brain_counts(tables, V.OWNER, V.SHARED)
 
 
 @query("agg2_by_type", f"with k as ({K}), t as (select unnest(['fact','pattern','insight','lesson','reference']) as type) select t.type, count(k.id) as n from t left join k on k.type = t.type and owner_id in ('alice', 'firma') group by t.type")
@@ -89,9 +106,9 @@ def _(spark, sf_dir):
     return stats.stale_count(V.knowledge(spark, sf_dir), V.as_of())
 
 
-@query("agg4_decay_report", f"with k as ({K}) select id, title, type, round(greatest(0.0, least(1.0, 1 - date_diff('second', last_validated_at, timestamp '2024-12-31') / 86400.0 / 180)), 6) as score from k where owner_id in ('alice','firma') and last_validated_at < timestamp '2024-12-31' - interval 90 days order by last_validated_at, id limit 20")
+@query("agg4_decay_report", f"with k as ({K}) select id, title, type, last_validated_at, round(greatest(0.0, least(1.0, 1 - date_diff('second', last_validated_at, timestamp '2024-12-31') / 86400.0 / 180)), 6) as score, count(*) over () as total from k where owner_id in ('alice','firma') and last_validated_at < timestamp '2024-12-31' - interval 90 days order by last_validated_at, id limit 20")
 def _(spark, sf_dir):
-    return stats.decay_report(filters.scope(V.knowledge(spark, sf_dir), "knowledge", V.OWNER, V.SHARED), V.as_of()).drop("last_validated_at")
+    return stats.decay_report(filters.scope(V.knowledge(spark, sf_dir), "knowledge", V.OWNER, V.SHARED), V.as_of())
 
 
 @query("agg5_count", f"with k as ({K}) select count(*) as n from k where (type = 'fact' and doc_id > 100) or list_contains(tags, 'de')")
@@ -127,7 +144,19 @@ def _(spark, sf_dir):
     return search.text_search(V.knowledge(spark, sf_dir), _terms(spark, NEEDLES))
 
 
-@query("sch2_all_terms")
+def _stems(text: str) -> str:
+    return f"list_distinct(list_transform({_TOKENS.format(text)}, lambda w: {_STEM}))"
+
+
+def _asked(values, titles: str = "100 + doc_id") -> str:
+    stated = ", ".join(f"({k}, '{v}')" for k, v in enumerate(values))
+    return f"select query_id, query from (values {stated}) v(query_id, query) union all select {titles}, title from k where doc_id % 20 = 0"
+
+
+@query("sch2_all_terms", f"""with k as ({K}), q as ({_asked(["thing ation", "password token", "streets"])}), w as (select id, created_at, unnest({_stems("title || ' ' || content")}) as term from k),
+ n as (select query_id, {_stems("query")} as need from q), a as (select query_id, len(need) as n, unnest(need) as term from n),
+ m as (select query_id, id, any_value(created_at) as created_at from a join w on a.term = w.term group by query_id, id having count(*) = any_value(n)),
+ r as (select query_id, id, row_number() over (partition by query_id order by created_at desc, id) as rank from m) select * from r where rank <= 20""")
 def _(spark, sf_dir):
     return search.match_all_terms(V.knowledge(spark, sf_dir), _with_titles(spark, sf_dir, ["thing ation", "password token", "streets"]), ["title", "content"])
 
@@ -148,40 +177,76 @@ def _aliases(spark, sf_dir):
     return V.table(spark, sf_dir, "nation").join(V.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("canonical"), F.col("n_name").alias("alias"))
 
 
-@query("sch5_expand")
+_PAIRS = """p as (select distinct lower(r_name) as c, lower(n_name) as a from nation join region on n_regionkey = r_regionkey), g as (select c, a as term from p union select c, c from p),
+ x as (select g.term, o.term as other, min(o.term <> g.c) as k from g join g o on g.c = o.c and g.term <> o.term group by 1, 2), al as (select term, list(other order by k, other) as related from x group by term)"""
+
+
+def _expanded(source: str) -> str:
+    """SQL: query_id, query, terms in order and their related ones, of (query_id, query)."""
+    return f"""t as (select query_id, query, unnest(regexp_split_to_array(lower(trim(query)), '\\s+')) as term, generate_subscripts(regexp_split_to_array(lower(trim(query)), '\\s+'), 1) as pos from ({source})),
+ e as (select query_id, any_value(query) as query, list(t.term order by pos) as own, flatten(list(coalesce(related, []) order by pos)) as more from t left join al on al.term = t.term group by query_id)"""
+
+
+_PEOPLE = "select c_custkey as query_id, concat_ws(' ', c_mktsegment, n_name) as query from customer left join nation on c_nationkey = n_nationkey"
+
+
+@query("sch5_expand", f"with {_PAIRS}, {_expanded(_PEOPLE)} select query_id, array_to_string({_FIRST.format('list_concat(own, more)')}, ' ') as expanded from e")
 def _(spark, sf_dir):
     people = V.contacts(spark, sf_dir).select(F.col("key").alias("query_id"), F.concat_ws(" ", "role", "company").alias("query"))
     return search.expand_queries(people, search.alias_expansions(_aliases(spark, sf_dir))).select("query_id", F.array_join("expanded", " ").alias("expanded"))
 
 
-@query("sch6_fallback")
+def _fallback(name: str, source: str, fields: list[tuple[str, int]], limit: int) -> str:
+    """SQL: the search of q (query_id, query, terms) in ``source`` by fields (expression, worth), then by single terms where nothing is found."""
+    worth = lambda needle: "case " + " ".join(f"when contains(lower({f}), lower({needle})) then {n}" for f, n in fields) + " end"
+    return f"""{name}_p as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as rank from (select query_id, id, {worth('query')} as score from {source} s, q where trim(query) <> '') where score is not null qualify rank <= {limit}),
+ {name}_e as (select query_id, query as whole, unnest(terms) as term, generate_subscripts(terms, 1) as pos from q where query_id not in (select query_id from {name}_p)),
+ {name}_h as (select query_id, pos, id, row_number() over (partition by query_id, pos order by score desc, id) as rank from (select query_id, pos, id, {worth('term')} as score from {source} s, {name}_e where lower(trim(whole)) <> term) where score is not null qualify rank <= {limit}),
+ {name}_m as (select query_id, id, count(*) as n, min(rank) as best, min({{'p': pos, 'r': rank}}) as seen from {name}_h group by 1, 2),
+ {name} as (select query_id, id, rank, false as used_fallback from {name}_p union all select query_id, id, row_number() over (partition by query_id order by n desc, best, seen, id) as rank, true from {name}_m qualify rank <= {limit})"""
+
+
+def _terms_of(own: str, more: str | None = None) -> str:
+    stemmed = f"list_transform({own}, lambda w: {_STEM})"
+    return f"{_FIRST.format('list_filter(' + stemmed + ', lambda z: length(z) >= 3)')}[1:8]"
+
+
+_FALLBACKS = [*NEEDLES, "thing zzzz", "password rotation plan"]
+
+
+@query("sch6_fallback", f"""with k as ({K}), a as ({_asked(_FALLBACKS)}), q as (select query_id, query, {_terms_of(_TOKENS.format('query'))} as terms from a), {_fallback('f', 'k', [('title', 2), ('content', 1)], 10)} select * from f""")
 def _(spark, sf_dir):
-    asked = _with_titles(spark, sf_dir, [*NEEDLES, "thing zzzz", "password rotation plan"]).withColumn("terms", C.fallback_terms(F.col("query"), F.array().cast("array<string>")))
+    asked = _with_titles(spark, sf_dir, _FALLBACKS).withColumn("terms", C.fallback_terms(F.col("query"), F.array().cast("array<string>")))
     return search.search_with_fallback(V.knowledge(spark, sf_dir), asked, ["title", "content"])
 
 
-@query("sch7_recall")
-def _(spark, sf_dir):
-    return search.recall(V.knowledge(spark, sf_dir), V.decisions(spark, sf_dir), _with_titles(spark, sf_dir, [*NEEDLES, "germany password", ""]), _aliases(spark, sf_dir))
+_RECALLS = [*NEEDLES, "germany password", ""]
+_BOTH = "flatten(list_transform(list_concat([query], list_filter(more, lambda x: not list_contains(own, x))), lambda x: " + _TOKENS.format("x") + "))"
 
 
-@query("sch8_cosine", """with q as (select vec_id as query_id, embedding as e from embeddings where vec_id < 5), m as (select query_id, vec_id as id, list_cosine_similarity(embedding::double[], e::double[]) as s from embeddings, q),
- r as (select *, row_number() over (partition by query_id order by round(s, 9) desc, id) as rank from m) select query_id, id, rank from r where rank <= 10""")
+@query("sch7_recall", f"""with k as ({K}), {_PAIRS}, b as ({_asked(_RECALLS)}), {_expanded("select * from b where trim(query) <> ''")},
+ z as (select query_id, array_to_string({_FIRST.format('list_concat(own, more)')}, ' ') as query, own, {_FIRST.format('more')} as more from e), q as (select query_id, query, {_terms_of(_BOTH)} as terms from z),
+ d as (select cast(item_id as varchar) as id, substring(text, 1, 60) as title, text as context, substring(text, 261) as chosen from benchmark),
+ {_fallback('f', 'k', [('title', 2), ('content', 1)], 10)}, {_fallback('fd', 'd', [('title', 2), ('context', 1), ('chosen', 1)], 5)},
+ l as (select id, row_number() over (order by created_at desc, id) as rank from k qualify rank <= 10)
+ select *, 'knowledge' as _source from f union all select *, 'decisions' from fd union all select query_id, id, rank, false, 'knowledge' from b, l where trim(query) = ''""")
 def _(spark, sf_dir):
-    vectors = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    asked = [(r.id, list(r.vector)) for r in vectors.filter("id < 5").collect()]  # five stated queries
-    return search.cosine_topk(vectors, asked).select("query_id", "id", "rank")
+    return search.recall(V.knowledge(spark, sf_dir), V.decisions(spark, sf_dir), _with_titles(spark, sf_dir, _RECALLS), _aliases(spark, sf_dir))
+
 
+_WANTED = ["GERMANY", "building", "customer#00000000", "nobody"]
 
-@query("sch9_contacts", "select id, row_number() over (order by score desc, id) as rank, score from (select cast(c_custkey as varchar) as id, 1 as score from customer left join nation on c_nationkey = n_nationkey where contains(lower(c_name), 'germany') or contains(lower(n_name), 'germany') or contains(lower(c_mktsegment), 'germany')) qualify rank <= 10")
+
+@query("sch9_contacts", f"""with q(query_id, query) as (values {', '.join(f"({k}, lower('{v}'))" for k, v in enumerate(_WANTED))}), c as (select cast(c_custkey as varchar) as id, lower(c_name) as name, lower(coalesce(n_name, '')) as company, lower(c_mktsegment) as role from customer left join nation on c_nationkey = n_nationkey)
+ select query_id, id, 1 as score, row_number() over (partition by query_id order by id) as rank from c, q where contains(name, query) or contains(company, query) or contains(role, query) qualify rank <= 10""")
 def _(spark, sf_dir):
-    return search.search_collection(V.contacts(spark, sf_dir), "contacts", _terms(spark, ["GERMANY"])).drop("query_id")
+    return search.search_collection(V.contacts(spark, sf_dir), "contacts", _terms(spark, _WANTED))
 
 
 _TITLES = "q as (select doc_id as query_id, lower(title) as query from k where doc_id % 20 = 0 and trim(title, ' ') <> '')"
 
 
-@query("sch10_neighbours", """with q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 20 = 0), m as (select query_id, vec_id as id, list_cosine_similarity(embedding::double[], e::double[]) as s from embeddings, q),
+@query("sch8_neighbours", """with q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 20 = 0), m as (select query_id, vec_id as id, list_cosine_similarity(embedding::double[], e::double[]) as s from embeddings, q),
  r as (select *, row_number() over (partition by query_id order by round(s, 9) desc, id) as rank from m) select query_id, id, rank from r where rank <= 10""")
 def _(spark, sf_dir):
     vectors = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
@@ -211,10 +276,11 @@ def _(spark, sf_dir):
     return search.search_collection(contacts, "contacts", asked).select("query_id", "id", "rank")
 
 
-@query("lnk1_load", f"with l as ({L}), r as (select *, row_number() over (partition by source_id, target_id, relation_type order by created_at, id) as n from l where source_id <> target_id) select source_id, target_id, relation_type, id from r where n = 1")
+@query("lnk1_load", f"with l as ({L}), r as (select *, row_number() over (partition by source_id, target_id, relation_type order by created_at, id) as n from l where source_id <> target_id and id % 3 > 0), h as (select source_id, target_id, relation_type from l where id % 3 = 0) select source_id, target_id, relation_type, id, 0.8::double as confidence from r anti join h using (source_id, target_id, relation_type) where n = 1")
 def _(spark, sf_dir):
     rows = V.links(spark, sf_dir)
-    return links.load_links(rows.limit(0), rows)[0].select("source_id", "target_id", "relation_type", "id")
+    new = links.load_links(rows.filter("id % 3 = 0"), rows.filter("id % 3 > 0"))[0]
+    return new.select("source_id", "target_id", "relation_type", "id", "confidence")
 
 
 @query("lnk2_related", f"""with l as ({L}), e as (select cast(s_suppkey as varchar) as id from supplier),
@@ -231,20 +297,17 @@ def _(spark, sf_dir):
     return links.link_counts(V.links(spark, sf_dir)).drop("type")
 
 
-@query("lnk4_suggest")
-def _(spark, sf_dir):
-    k = V.knowledge(spark, sf_dir)
-    return links.suggest_links(k, V.links(spark, sf_dir), k.select("id"))
+_HINT = "case when s = t then 'supports' when s = 'insight' and t = 'pattern' then 'derived_from' when s = 'pattern' and t = 'insight' then 'example_of' else 'supports' end"
 
 
-@query("chk1_chunks")
+@query("lnk4_suggest", f"""with k as ({K}), l as ({L}), w as (select id, unnest({_stems("title || ' ' || content")}) as term from k), a as (select id as item_id, type as s, list_distinct(list_transform({_KEY_TERMS}, lambda w: {_STEM})) as need from k),
+ n as (select item_id, s, len(need) as n, unnest(need) as term from a), m as (select item_id, any_value(s) as s, w.id from n join w on n.term = w.term where item_id <> w.id group by item_id, w.id having count(*) = any_value(n)),
+ b as (select source_id as item_id, target_id as id from l union select target_id, source_id from l),
+ r as (select m.item_id, m.id, s, k.type as t, case when length(content) > 100 then substring(content, 1, 100) || '...' else content end as preview, row_number() over (partition by m.item_id order by created_at desc, m.id) as rank from m join k on k.id = m.id anti join b on b.item_id = m.item_id and b.id = m.id)
+ select item_id, id, {_HINT} as relation, preview, rank from r where rank <= 5""")
 def _(spark, sf_dir):
-    return chunking.chunked(V.knowledge(spark, sf_dir).select("id", "content"))
-
-
-@query("chk2_conversations")
-def _(spark, sf_dir):
-    return chunking.chunk_conversation(V.chat(spark, sf_dir).select("conv", "pos", "text"), ["conv"])
+    k = V.knowledge(spark, sf_dir)
+    return links.suggest_links(k, V.links(spark, sf_dir), k.select("id"))
 
 
 @query("chk4_titles", f"with k as ({K}), r as (select id, trim(title) as b, row_number() over (partition by trim(title) order by created_at, id) as n from k) select id, case when b = '' then 'Untitled conversation' else b end || case when n > 1 then ' (' || n || ')' else '' end as title from r")
@@ -277,7 +340,7 @@ def _(spark, sf_dir):
 
 
 # A thread's later starts (every fifth turn) carry ``Re:`` and match no ids, so they join the first message of their subject.
-_THREADS = """with t as (select *, conv_id * 100000 + turn as pos, case when turn < 5 then min(conv_id * 100000 + turn) over (partition by conv_id)
+_THREADS = """with recursive t as (select *, conv_id * 100000 + turn as pos, case when turn < 5 then min(conv_id * 100000 + turn) over (partition by conv_id)
   else min(conv_id * 100000 + turn) over (partition by conv_id // 2) end as thread_id from conversations)"""
 
 
@@ -286,9 +349,12 @@ def _(spark, sf_dir):
     return threads.assign_threads(threads.dedupe_messages(V.mail(spark, sf_dir))).select("pos", "thread_id")
 
 
-@query("thr3_items")
+@query("thr3_items", _THREADS + f""", n as (select *, row_number() over (partition by thread_id order by pos) as n, 'Topic ' || conv_id // 2 as base, 'From ' || {_NAME} || ' (' || strftime(timestamp '2024-01-01' + to_minutes(conv_id * 100 + turn), '%Y-%m-%d') || '): ' || trim(text) as line from t),
+ b as (select thread_id, base, row_number() over (partition by base order by thread_id) as k from n where n = 1), {file_queries.packed_sql('select thread_id as key, n, line as text from n', 8000)}
+ select key as thread_id, part, n_parts, base || case when k > 1 then ' (' || k || ')' else '' end || case when n_parts > 1 then ' (part ' || part || '/' || n_parts || ')' else '' end as title, sha256(piece) as hash from packs join b on b.thread_id = key""")
 def _(spark, sf_dir):
-    return threads.thread_items(threads.assign_threads(V.mail(spark, sf_dir)))
+    items = threads.thread_items(threads.assign_threads(V.mail(spark, sf_dir)))
+    return items.select("thread_id", F.col("part").cast("long").alias("part"), "n_parts", "title", F.sha2("content", 256).alias("hash"))
 
 
 @query("thr4_facts", _THREADS + " select thread_id, count(*) as message_count, string_agg(distinct role || '@example.org', ',' order by role || '@example.org') as people from t group by thread_id")
@@ -297,20 +363,37 @@ def _(spark, sf_dir):
     return facts.select("thread_id", "message_count", F.array_join(F.array_remove("participants", "all@example.org"), ",").alias("people"))
 
 
-@query("par2_sections")
+_SECTION = "trim(' ' || replace(text, chr(10), chr(10) || ' '))"
+
+
+@query("par2_sections", f"""with t as (select cast(doc_id as varchar) as path, lang, {_SECTION} || chr(10) || '```' || chr(10) || '# no' || chr(10) || '```' as a, case when doc_id % 3 = 0 then '' else lang end as b from documents)
+ select path, 0 as sec, path as title, sha256('## A' || chr(10) || chr(10) || a || case when b = '' then '' else chr(10) || chr(10) || '## B' || chr(10) || chr(10) || b end) as hash from t where b = '' or length(a) + length(b) <= 4000
+ union all select path, k, path || ' — ' || case k when 0 then 'A' else 'B' end, sha256(case k when 0 then a else b end) from t, (values (0), (1)) v(k) where b <> '' and length(a) + length(b) > 4000""")
 def _(spark, sf_dir):
-    return parsers.split_sections(V.knowledge(spark, sf_dir).select(F.col("id").alias("path"), "title", F.col("content").alias("body")))
+    d, text = F.col("doc_id").cast("string"), F.replace("text", F.lit("\n"), F.lit("\n "))
+    body = F.concat(F.lit("#  A \n "), text, F.lit("\n```\n# no\n```\n## B\n"), F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("lang")))
+    secs = parsers.split_sections(V.table(spark, sf_dir, "documents").select(d.alias("path"), d.alias("title"), body.alias("body")))
+    return secs.select("path", F.col("sec").cast("int").alias("sec"), "title", F.sha2("content", 256).alias("hash"))
+
 
+_BLOCKS = "|".join(f"<{x}\\b.*?</{x}>" for x in ("script", "style", "noscript", "iframe", "svg", "head"))
+_BARE = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is){_BLOCKS}', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)<br\\s*/?>', chr(10), 'g'), '(?i)</(p|div|li|h[1-6]|tr|blockquote|section|article)>', chr(10) || chr(10), 'g'), '<[^>]+>', ' ', 'g')"""
+_DECODED = f"replace(replace(replace(replace({_BARE}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 
-@query("par5_html")
+
+@query("par5_html", f"select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_DECODED}, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n\\n\\n+', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') as text from pages")
 def _(spark, sf_dir):
     return V.table(spark, sf_dir, "pages").select("page_id", parsers.html_to_text(F.col("html")).alias("text"))
 
 
-@query("par11_slack")
+@query("par11_slack", f"""with recursive e as (select event_type as channel, strftime(ts, '%Y-%m-%d') as day, event_id as id, 'U' || user_id as u, case when event_id % 3 = 0 then event_id - 1 end as up, user_id from events),
+ m as (select e.*, r.id is not null as rooted from e left join e r on r.channel = e.channel and r.day = e.day and r.id = e.up and r.up is null), x as (select m.*, coalesce(c_name, u) as name from m left join customer on c_custkey = user_id),
+ n as (select *, row_number() over (partition by channel, day order by up is not null and not rooted, case when up is not null then up else id end, up is not null, id) as n, case when up is not null and rooted then '  ↳ ' else '' end || name || ': event ' || id || ' by @' || name as line from x),
+ {file_queries.packed_sql("select channel || ' ' || day as key, n, line as text from n", 8000)} select '#' || key || case when n_parts > 1 then ' (part ' || part || '/' || n_parts || ')' else '' end as title, part, sha256(piece) as hash from packs""")
 def _(spark, sf_dir):
     users = V.table(spark, sf_dir, "customer").select(F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"))
-    return chat.slack_channel_days(V.slack(spark, sf_dir), users)
+    days = chat.slack_channel_days(V.slack(spark, sf_dir), users)
+    return days.select("title", F.col("part").cast("long").alias("part"), F.sha2("content", 256).alias("hash"))
 
 
 @query("par14_path", "select conv_id as conv, cast(turn as varchar) as node, turn as pos from conversations")
@@ -319,15 +402,13 @@ def _(spark, sf_dir):
     return chat.canonical_path(V.nodes(spark, sf_dir), heads)
 
 
-@query("par15_collapse", "select cast(conv_id as varchar) as conv, turn as pos, role from conversations where role <> 'system' and trim(text) <> ''")
-def _(spark, sf_dir):
-    return chat.collapse_tool_runs(V.chat(spark, sf_dir)).select("conv", "pos", "role")
+_TALK = """with m as (select conv_id, turn, case when turn % 4 = 3 then 'tool' when turn % 7 = 6 then 'critic' else role end as role, case when conv_id % 3 = 0 and turn % 4 <> 1 then 'code' end as type, text from conversations),
+ r as (select *, role = 'tool' or coalesce(type = 'code', false) as tool from m where role <> 'system'), l as (select *, lag(tool) over (partition by conv_id order by turn) as again from r where tool or (role in ('user', 'assistant') and trim(text) <> ''))"""
 
 
-@query("par16_transcripts")
+@query("par15_collapse", _TALK + " select cast(conv_id as varchar) as conv, turn as pos, role, case when tool then '[tool use]' else text end as text from l where not (tool and coalesce(again, false)) and conv_id in (select conv_id from l where not tool)")
 def _(spark, sf_dir):
-    facts = V.chat(spark, sf_dir).select("conv").distinct().withColumn("title", F.concat(F.lit("Conversation "), "conv"))
-    return chat.conversation_items(chat.collapse_tool_runs(V.chat(spark, sf_dir)), facts, "chatgpt")
+    return chat.collapse_tool_runs(V.chat_with_tools(spark, sf_dir)).select("conv", "pos", "role", "text")
 
 
 @query("mnt1_load", "select cast(o_orderkey as varchar) as id, 'Order ' || o_orderkey as title, 'todo' as status, case when o_orderpriority like '1%' then 'urgent' when o_orderpriority like '2%' then 'high' else 'medium' end as priority from orders where o_orderpriority not like '5%'")
@@ -335,11 +416,13 @@ def _(spark, sf_dir):
     return records.load_records("tasks", V.tasks(spark, sf_dir), V.as_of())[0].select("id", "title", "status", "priority")
 
 
-@query("mnt2_patch", f"with k as ({K}) select id, case when doc_id % 10 = 0 then 'patched' else title end as title, doc_id % 10 = 0 as touched from k")
+@query("mnt2_patch", f"with k as ({K}) select id, case when doc_id % 10 = 0 then 'patched ' || doc_id else title end as title, doc_id % 10 = 0 as touched from k")
 def _(spark, sf_dir):
+    """Two patches an id, of which the later counts, and one with a field that an update doesn't know."""
     rows = V.knowledge(spark, sf_dir).withColumn("updated_at", F.lit(None).cast("timestamp"))
-    patches = rows.filter("doc_id % 10 = 0").select("id", F.lit("patched").alias("title"))
-    return records.patch_records(rows, patches, "knowledge", V.as_of())[0].select("id", "title", F.col("updated_at").isNotNull().alias("touched"))
+    own = rows.filter("doc_id % 10 = 0")
+    patches = own.select("id", F.lit("earlier").alias("title"), F.lit(1).alias("_at")).unionByName(own.select("id", F.concat(F.lit(" patched "), "id").alias("title"), F.lit(2).alias("_at"))).unionByName(rows.filter("doc_id % 10 = 1").select("id", F.repeat(F.lit("x"), 501).alias("title"), F.lit(3).alias("_at")))
+    return records.patch_records(rows, patches, "knowledge", V.as_of(), [F.col("_at")])[0].select("id", "title", F.col("updated_at").isNotNull().alias("touched"))
 
 
 @query("mnt5_revalidate", f"with k as ({K}) select id, coalesce(last_validated_at = timestamp '2024-12-31' or (doc_id % 7 = 0 and owner_id in ('alice','firma')), false) as fresh from k")
@@ -349,11 +432,16 @@ def _(spark, sf_dir):
     return out.select("id", F.coalesce(F.col("last_validated_at") == V.as_of(), F.lit(False)).alias("fresh"))
 
 
-@query("mnt6_upsert", "select c_name as name, case when c_custkey % 2 = 0 then 'new role' else c_mktsegment end as role from customer")
+@query("mnt6_upsert", "select c_name as name, case when c_custkey % 2 = 0 then 'new role' else c_mktsegment end as role from customer union all select 'new ' || c_custkey, 'new role' from customer where c_custkey % 50 = 0")
 def _(spark, sf_dir):
+    """Names that differ by case only are one key, both among the new rows and against the old ones."""
     c = V.contacts(spark, sf_dir).select("id", "name", "role", F.lit("alice").alias("owner_id"))
-    new = V.contacts(spark, sf_dir).filter("key % 2 = 0").select("id", F.upper("name").alias("name"), F.lit("new role").alias("role"), F.lit("alice").alias("owner_id"))
-    return records.upsert(c, new, "contacts", ["name"]).select(F.concat(F.substring("name", 1, 1), F.lower(F.substring("name", 2, 100))).alias("name"), "role")
+    even = V.contacts(spark, sf_dir).filter("key % 2 = 0")
+    new = lambda name, role: even.select("id", name.alias("name"), F.lit(role).alias("role"), F.lit("alice").alias("owner_id"), "key")
+    more = new(F.concat(F.lit("new "), "id"), "new role").filter("key % 50 = 0")
+    both = new(F.upper("name"), "an older role").unionByName(new(F.lower("name"), "new role")).unionByName(more).drop("key")
+    out = records.upsert(c, both, "contacts", ["name"], [F.col("role")])
+    return out.select(F.when(F.col("name").startswith("customer"), F.initcap("name")).otherwise(F.col("name")).alias("name"), "role")
 
 
 @query("mnt8_delete", f"with k as ({K}) select id from k where doc_id % 9 <> 0")
