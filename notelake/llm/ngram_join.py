@@ -10,10 +10,11 @@ frequent come last, the others by hash) such sets share c shingles within short
 The boundary is the largest n for which enumerating subsets costs less than scanning lists of the measured mean length. The order and
 the boundary decide about cost only; every linked pair is found for any of them, and every candidate is verified on whole sets.
 
-Equal sets count as one. All fitting pairs of different sets in a list are verified, and give the links of each document and the
-components. ``one_of_each`` asks for components only, so there lists aren't expanded into pairs at first: each member is verified
-against its lists' first member, and components are formed; then only members of different components are paired. Lists of shingles known to
-be frequent are shuffled as joins whose hot keys can be split; the others, short by selection, are shuffled once.
+Equal sets count as one, and of lists with the same members one is kept. Lists aren't expanded into pairs: each member is verified
+against its lists' first members, and components are formed; then members of one list that lie in different components are compared by
+their sketches, block by block, and what may link is verified. Every link lies within a component, so the links of each document are
+counted there, again block by block on whole sets: no pair of a dense group becomes a row. Lists of shingles known to be frequent are
+shuffled as joins whose hot keys can be split; the others, short by selection, are shuffled once.
 Shingles are 64-bit hashes; sets are told apart by a 128-bit digest, and by its first half while pairs are sought.
 """
 
@@ -32,8 +33,12 @@ from notelake.llm.text import as_bytes, map_batches, window_hashes, word_hashes,
 WIDTH = 5
 #: One in so many documents is looked at to find frequent shingles, in how many of them one is frequent, and how many are kept at most.
 ORDER_SAMPLE, FREQUENT_IN, FREQUENT = 6, 3, 500_000
-#: Bits of the filter that says which documents' whole sets are wanted (it may pass others too).
-WANTED_BITS = 1 << 23
+#: Ids of documents whose whole sets are wanted are broadcast up to this many; beyond, they are joined by a shuffle.
+WANTED = 1_000_000
+#: Members and shingles in a chunk of a component or list, about; two chunks make a block.
+CHUNK, CHUNK_SHINGLES = 192, 500_000
+#: Columns of a slab of a block's incidence matrix.
+SLAB = 4096
 #: Bits of a set's odd sketch (Mitzenmacher, Pagh and Pham, "Efficient Estimation for High Similarities using Odd Sketches", 2014).
 SKETCH = 512
 #: Rounds in which list members are compared with first members: how many different first members lists of the same sets can have.
@@ -153,38 +158,30 @@ def postings(sets: DataFrame, boundary: int) -> DataFrame:
 
 
 def met_in_lists(posted: DataFrame) -> DataFrame:
-    """The postings whose key two different sets have: key, id, meta."""
-    out = []
+    """key, id and meta of lists of at least two sets; of lists with the same members only the one of the least key."""
+    parts, found = [], None
     for hot in (False, True):
         own = posted.filter(F.col("meta").bitwiseAND(8) == 8 * hot)
         own = own if hot else own.repartition("key")  # one exchange serves the aggregate and the join
-        lists = own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
-        out.append(own.join(lists if hot else lists.hint("merge"), "key"))
-    return out[0].unionByName(out[1]).distinct()
+        h = F.xxhash64("id").cast("decimal(20,0)")
+        lists = own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum(h).alias("sum"), F.bit_xor("id").alias("xor"), F.count("*").alias("n")).filter("low <> high")
+        parts.append(own)
+        found = lists if found is None else found.unionByName(lists)
+    kept = written(found.groupBy("low", "high", "sum", "xor", "n").agg(F.min("key").alias("key")).select("key"))
+    return parts[0].join(kept.hint("merge"), "key").unionByName(parts[1].join(kept, "key"))
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, own: the whole sets of the documents in ``wanted`` (doc_id), and of a few others. A bit array of bounded size takes the
-    wanted ids to the tasks, so texts aren't shuffled."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS))
-    word = wanted.select(F.shiftright(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("m"))
-    words = word.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
-    bits = np.zeros(WANTED_BITS // 64, np.int64)
-    bits[words.w.to_numpy(np.int64)] = words.m.to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    """id, own: the whole sets of the documents in ``wanted`` (doc_id)."""
+    ids = written(wanted.select(F.col("doc_id").alias("_id")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= WANTED else ids
+    some = docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select("text")
 
-    def make():
-        have = shared.value.view(np.uint64)
-
-        def f(at, text):
-            at = at.to_numpy()
-            take = np.flatnonzero(have[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
-            sets = [shingles(x) for x in as_bytes(text.take(pa.array(take)))]
-            return [int.from_bytes(digest(x)[:8], "little", signed=True) for x in sets], [x.view(np.int64) for x in sets]
-
-        return f
+    def f(text):
+        sets = [shingles(x) for x in as_bytes(text)]
+        return [int.from_bytes(digest(x)[:8], "little", signed=True) for x in sets], [x.view(np.int64) for x in sets]
 
-    return map_batches(docs.select(bit.alias("at"), "text"), "id long, own array<long>", make)
+    return map_batches(some, "id long, own array<long>", lambda: f)
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -219,6 +216,92 @@ def star_pairs(met: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return rows.filter(5 * F.least(n, m) >= 4 * F.greatest(n, m)).select(F.least("f.i", "id").alias("a"), F.greatest("f.i", "id").alias("b")).distinct()
 
 
+def in_blocks(members: DataFrame, columns: str) -> DataFrame:
+    """``members`` (g, id, n, weight and the columns) dealt to the blocks of their group: a group of several chunks (by a hash of the id) has a
+    block for each two of them, i <= j, and ``side`` says which of them a row is of. Rows of a block lie together in a partition."""
+    size = members.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("_k"))
+    own = members.join(size, "g").withColumn("_c", F.pmod(F.xxhash64("id", F.lit(5)), F.col("_k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_d")
+    dealt = own.select("*", other).select("g", F.least("_c", "_d").alias("i"), F.greatest("_c", "_d").alias("j"), (F.col("_c") > F.col("_d")).alias("side"), *columns.split())
+    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+
+
+def blocks_of(batches):
+    """Of sorted rows (g, i, j, side, …): (whether both chunks are the same one, whether each row is of the second, columns) of each block."""
+    key, held = None, []
+    for batch in batches:
+        columns = [c.to_pylist() if not pa.types.is_list(c.type) else list(_arrays(c)) for c in batch.columns]
+        for row in zip(*columns):
+            if row[:3] != key:
+                if held:
+                    yield key[1] == key[2], np.array([r[3] for r in held]), list(zip(*(r[4:] for r in held)))
+                key, held = row[:3], []
+            held.append(row)
+    if held:
+        yield key[1] == key[2], np.array([r[3] for r in held]), list(zip(*(r[4:] for r in held)))
+
+
+def _arrays(column: pa.Array):
+    """The lists of a list column as numpy arrays."""
+    flat, ends = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+    return (flat[a:b].view(np.uint64) for a, b in zip(ends, ends[1:]))
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets, by products of incidence slabs; shingles that only one set has are left out."""
+    value, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = count[code] > 1
+    rows, code = rows[shared], (np.cumsum(count > 1) - 1)[code[shared]]
+    order = np.argsort(code, kind="stable")
+    rows, code = rows[order], code[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, SLAB):
+        a, b = np.searchsorted(code, [at, at + SLAB])
+        slab = np.zeros((len(sets), min(SLAB, int(code[-1]) + 1 - at)), np.float32)
+        slab[rows[a:b], code[a:b] - at] = 1
+        out += slab @ slab.T
+    return out
+
+
+def links_of(same: bool, side: np.ndarray, sets) -> np.ndarray:
+    """Which two members of a block link; within one chunk each two, else only those of different chunks."""
+    n = np.array([len(x) for x in sets], np.float64)
+    hit = 9 * overlaps(list(sets)).astype(np.float64) >= 4 * (n[:, None] + n[None])
+    np.fill_diagonal(hit, False)
+    return hit if same else hit & (side[:, None] != side[None])
+
+
+def component_members(labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """g (component), id, n, weight (copies) and own (the whole set) of every set that links with another."""
+    members = labels.join(classes.select(F.col("set_id").alias("id"), "doc_id", F.col("n_shingles").alias("n"), F.col("n_copies").alias("weight")), "id")
+    sets = whole_sets(docs, members).dropDuplicates(["id"])
+    return members.select(F.col("comp").alias("g"), "id", "n", "weight").join(sets, "id")
+
+
+def link_counts(members: DataFrame) -> DataFrame:
+    """id, far: the documents of other sets that each set links with. A row a member and block leaves a task, not one a pair."""
+
+    def run(batches):
+        for same, side, (ids, weights, sets) in blocks_of(batches):
+            far = links_of(same, side, sets) @ np.array(weights, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(far, pa.int64())], names=["id", "far"])
+
+    return in_blocks(members, "id weight own").mapInArrow(run, "id long, far long").groupBy("id").agg(F.sum("far").alias("far"))
+
+
+def link_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): every two sets that link, once. For those who want the pairs themselves."""
+
+    def run(batches):
+        for same, side, (ids, sets) in blocks_of(batches):
+            x, y = np.nonzero(np.triu(links_of(same, side, sets)))
+            ids = np.array(ids, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["a", "b"])
+
+    return in_blocks(members, "id own").mapInArrow(run, "a long, b long")
+
+
 def doc_ids(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The documents that stand for the sets of the pairs."""
     ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
@@ -242,35 +325,40 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that may link by their sketches and prefixes."""
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
     end = F.struct(F.size("prefix") > F.col("rare"), F.element_at("prefix", -1).bitwiseXOR(F.lit(-(1 << 63))))
-    own = sets.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
+    own = written(sets.join(wanted, "set_id", "left_semi"))
     own = own.select("set_id", F.struct(F.col("n_shingles").alias("n"), F.size("prefix").alias("p"), end.alias("end"), "prefix", "bits").alias("h"))
     both = pairs.join(own.select(F.col("set_id").alias("b"), F.col("h").alias("y")), "b").join(own.select(F.col("set_id").alias("a"), F.col("h").alias("x")), "a")
     both = both.filter(may_share("x.bits", "y.bits", F.col("x.n"), F.col("y.n")))
     return both.filter(9 * (F.size(F.array_intersect("x.prefix", "y.prefix")) + _left("x", "y")) >= 4 * (F.col("x.n") + F.col("y.n"))).select("a", "b")
 
 
-def fitting_pairs(placed: DataFrame, many: DataFrame, apart: bool) -> DataFrame:
-    """(a, b), a the smaller set: all members of one list (key, id, meta, comp) that may link by size and sketch; ``apart``: only those of
-    different components."""
-    sketches = many.select(F.col("set_id").alias("id"), "bits").join(placed.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    placed = placed.join(sketches, "id")
-    x = placed.filter(F.col("meta").bitwiseAND(1) == 1).select("key", F.col("id").alias("a"), F.col("meta").alias("am"), F.col("comp").alias("ac"), F.col("bits").alias("x"))
-    y = placed.select("key", F.col("id").alias("b"), F.col("meta").alias("bm"), F.col("comp").alias("bc"), F.col("bits").alias("y"))
-    an, bn = F.shiftright("am", 4), F.shiftright("bm", 4)
-    fits = (
-        ((an < bn) | ((an == bn) & (F.col("a") < F.col("b"))))
-        & (5 * an >= 4 * bn)
-        & ((F.col("am").bitwiseAND(F.col("bm")).bitwiseAND(2) == 0) | (F.col("am").bitwiseAND(4) == 4))
-        & may_share("x", "y", an, bn)
-    )
-    return x.join(y, "key").filter(fits & (F.col("ac") != F.col("bc")) if apart else fits).select("a", "b").distinct()
-
-
-def met_sets(many: DataFrame) -> DataFrame:
+def apart_pairs(placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): members of one list (key, id, meta, comp) of different components that may link by size and sketch, compared block by block."""
+    bits = classes.select(F.col("set_id").alias("id"), "bits")
+    rows = placed.join(bits, "id").select(F.col("key").alias("g"), "id", F.shiftright("meta", 4).alias("n"), "comp", "bits")
+    members = rows.withColumn("size", F.col("n")).withColumn("n", F.lit(SKETCH // 64))
+
+    def run(batches):
+        for same, side, (ids, sizes, comps, sketches) in blocks_of(batches):
+            ids, n, comp, x = np.array(ids, np.int64), np.array(sizes, np.int64), np.array(comps, np.int64), np.stack(sketches)
+            differ = np.zeros((len(ids), len(ids)), np.int64)
+            for w in range(x.shape[1]):
+                differ += np.bitwise_count(x[:, None, w] ^ x[None, :, w])
+            both = n[:, None] + n[None]
+            hit = np.triu((comp[:, None] != comp[None]) & (5 * np.minimum(n[:, None], n[None]) >= 4 * np.maximum(n[:, None], n[None])) & (9 * differ <= both), 1)
+            hit = hit if same else hit & (side[:, None] != side[None])
+            a, b = np.nonzero(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["a", "b"])
+
+    return in_blocks(members, "id size comp bits").mapInArrow(run, "a long, b long").distinct()
+
+
+def met_sets(classes: DataFrame) -> DataFrame:
     """The lists of at least two different sets: key, id, meta."""
-    sampled = many.select("set_id", F.explode("prefix").alias("key")).filter(F.pmod("key", F.lit(LIST_SAMPLE)) == 0).distinct().groupBy("key").count()
+    some = F.filter("prefix", lambda k: F.pmod(k, F.lit(LIST_SAMPLE)) == 0)
+    sampled = classes.select(F.explode(some).alias("key")).groupBy("key").count()
     mean = sampled.agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("m")).first()["m"] or 1.0
-    return written(met_in_lists(postings(many, cheapest_boundary(mean))))
+    return written(met_in_lists(postings(classes, cheapest_boundary(mean))))
 
 
 def let_go(docs: DataFrame) -> None:
@@ -279,40 +367,27 @@ def let_go(docs: DataFrame) -> None:
     docs.sparkSession.sparkContext._jvm.System.gc()
 
 
-def set_links(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): every two different sets that link, once, both as set_ids."""
-    many = rows.filter("n_shingles > 1")
+def set_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, comp (both set_ids) of the sets that link with another."""
+    many = classes.filter("n_shingles > 1")
     met = met_sets(many)
     let_go(docs)
-    fitting = written(fitting_pairs(met.withColumn("comp", F.col("id")), many, apart=False))
-    let_go(docs)
-    pairs = written(plausible(fitting, many))
-    let_go(docs)
-    links = written(linked(pairs, whole_sets(docs, doc_ids(pairs, classes))))
-    let_go(docs)
-    return links
-
-
-def set_components(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, comp (both set_ids) of the sets that link with another. ``rows``: shingle sets; ``classes``: set_id and first doc_id."""
-    many = rows.filter("n_shingles > 1")
-    met = met_sets(many)
     labels = met.select("id").distinct().withColumn("comp", F.col("id"))
-    stars = compared = None
+    found = compared = None
     for most in STARS:
         tried = written(plausible(star_pairs(met, labels, most), many))
-        found = written(linked(tried, whole_sets(docs, doc_ids(tried, classes))))
-        stars, compared = (found, tried) if stars is None else (stars.union(found), compared.union(tried))
-        labels = components(stars)
+        links = written(linked(tried, whole_sets(docs, doc_ids(tried, classes))))
+        found, compared = (links, tried) if found is None else (found.union(links), compared.union(tried))
+        labels = components(found)
+        let_go(docs)
     # What is left: members of one list that lie in different components and were not compared.
     placed = met.join(labels, "id", "left").select("key", "id", "meta", F.coalesce("comp", "id").alias("comp"))
     open_lists = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("key")
-    placed = written(placed.join(open_lists, "key", "left_semi"))
-    rest = fitting_pairs(placed, many, apart=True)
-    rest = written(rest.join(compared.union(compared.select("b", "a")), ["a", "b"], "left_anti"))
-    rest = written(plausible(rest, many))
+    rest = apart_pairs(placed.join(open_lists, "key", "left_semi"), many)
+    rest = written(plausible(written(rest.join(compared, ["a", "b"], "left_anti")), many))
     more = written(linked(rest, whole_sets(docs, doc_ids(rest, classes))))
-    return labels if more.isEmpty() else components(stars.union(more).union(labels.select(F.col("comp").alias("a"), F.col("id").alias("b"))))
+    let_go(docs)
+    return labels if more.isEmpty() else components(found.union(more).union(labels.select(F.col("comp").alias("a"), F.col("id").alias("b"))))
 
 
 def set_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -320,7 +395,8 @@ def set_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(shingle_sets(docs, frequent_shingles(docs)))
     filled = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    return docs, rows, filled, written(filled.groupBy("set_key", "set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies")))
+    classes = filled.groupBy("set_key", "set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), *(F.first(c).alias(c) for c in ("n_shingles", "prefix", "rare", "bits")))
+    return docs, rows, filled, written(classes)
 
 
 def placed_documents(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -340,7 +416,7 @@ def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members link with each other and with all members of the linked classes."""
     docs, rows, filled, classes = set_rows(docs)
     name = classes.select("set_id", F.col("doc_id").alias("class"))
-    pairs = set_links(filled, classes, docs)
+    pairs = written(link_pairs(component_members(set_components(classes, docs), classes, docs)))
     pairs = pairs.join(name.select(F.col("set_id").alias("a"), F.col("class").alias("_a")), "a").join(name.select(F.col("set_id").alias("b"), F.col("class").alias("_b")), "b")
     return pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")), filled.select("doc_id", "set_id").join(name, "set_id").select("doc_id", "class")
 
@@ -353,16 +429,16 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     nothing and has a null component. Other columns of ``docs`` are not looked at; an empty table gives no rows.
     """
     docs, rows, filled, classes = set_rows(docs)
-    links = set_links(filled, classes, docs)
-    ends = links.select(F.col("a").alias("set_id"), F.col("b").alias("other")).union(links.select("b", "a"))
-    far = ends.join(classes.select(F.col("set_id").alias("other"), F.col("n_copies").alias("_n")), "other").groupBy("set_id").agg(F.sum("_n").alias("_far"))
-    placed = placed_documents(rows, classes, components(links)).join(far, "set_id", "left")
-    return placed.select("doc_id", "n_shingles", "component_id", "n_copies", (F.col("n_copies") - 1 + F.coalesce("_far", F.lit(0))).alias("n_links"))
+    labels = set_components(classes, docs)
+    far = written(link_counts(component_members(labels, classes, docs))).withColumnRenamed("id", "set_id")
+    let_go(docs)
+    placed = placed_documents(rows, classes, labels).join(far, "set_id", "left")
+    return placed.select("doc_id", "n_shingles", "component_id", "n_copies", (F.col("n_copies") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row of the smallest doc_id stays. Only components are sought."""
     narrow, rows, filled, classes = set_rows(docs)
-    placed = placed_documents(rows, classes, set_components(filled, classes, narrow))
+    placed = placed_documents(rows, classes, set_components(classes, narrow))
     kept = placed.filter("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")

@@ -370,6 +370,13 @@ def test_long_stretches_are_scanned_whole():
     assert scanner.scan([long.encode(), b"x\n" * 3 + b"token = " * 2001 + b"abcdefgh1"]) == [[(0, 50_000, 2)], [(6 + 8 * 2000, 6 + 8 * 2001 + 9, 0)]]  # a dropped match takes its value, the next token, along
 
 
+def test_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK", 3)
+    monkeypatch.setattr(ngram_join, "SLAB", 16)
+    monkeypatch.setattr(ngram_join, "STARS", (1,))
+    test_join_counts_every_link_of_a_group(spark)
+
+
 def test_join_counts_every_link_of_a_group(spark):
     rng = np.random.default_rng(9)
     words = [f"w{k}" for k in range(150)]
