@@ -1,15 +1,17 @@
 """Secret scans by one combined deterministic automaton.
 
 All rule patterns become one automaton over bytes (position sets, subset construction, Moore minimisation) held in a transition
-array. A batch of texts is scanned in one pass over its bytes: numpy lanes step through the array side by side. Lanes are cut at
-bytes after which every state is the start state, so cutting loses nothing. Where a rule fires, the rule itself then settles the
-exact span inside the stretch between two such bytes.
+array. It reads texts from their end to their start, so where it fires a match of the rule begins; a batch of texts is scanned in one
+pass over its bytes, numpy lanes stepping through the array side by side. Lanes are cut at bytes after which every state is the start
+state, so cutting loses nothing. From the leftmost beginning that is free, the rule's own automaton, read forwards, walks to the last
+place where it accepts: that is the span, and the next one is sought behind it. Both are linear in the text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 from re import _constants as C
 from re import _parser as P
 
@@ -34,9 +36,6 @@ MORE = [
     ("slack", rb"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
     ("stripe", rb"[rs]k_live_[A-Za-z0-9]+", 0, 24),
 ]
-#: Of a repetition, the automaton counts this many for a pattern with a literal start, and so many for one without; the exact check
-#: settles the rest. (Counters of several open-ended rules would multiply the states.)
-REPEATS, BARE_REPEATS = 1, 16
 LANES = 2048
 #: With so few lanes left, each is walked on its own: a numpy step costs as much as that many plain ones.
 FEW_LANES = 48
@@ -46,9 +45,9 @@ class _Positions:
     """Glushkov's position sets of parsed patterns: each position has the bytes that it reads and the positions that may follow."""
 
     def __init__(self):
-        self.most = REPEATS
         self.reads: list[frozenset] = []
         self.follow: list[set] = []
+        self.groups: dict[int, set] = {}
 
     def leaf(self, chars):
         self.reads.append(frozenset(chars))
@@ -75,67 +74,112 @@ class _Positions:
             chars = {c for kind, a in arg if kind is not C.NEGATE for c in ([a] if kind is C.LITERAL else range(a[0], a[1] + 1))}
             return self.leaf(set(range(256)) - chars if arg[0][0] is C.NEGATE else chars)
         if op is C.SUBPATTERN:
-            return self.of(arg[3], bool(fold or arg[1] & re.I))
+            before = len(self.reads)
+            out = self.of(arg[3], bool(fold or arg[1] & re.I))
+            self.groups.setdefault(arg[0], set()).update(range(before, len(self.reads)))
+            return out
         if op is C.BRANCH:
             parts = [self.of(x, fold) for x in arg[1]]
             return set().union(*(p[0] for p in parts)), set().union(*(p[1] for p in parts)), any(p[2] for p in parts)
         if op is C.MAX_REPEAT:
             low, high, body = arg
-            parts = [self.of(body, fold) for _ in range(min(low, self.most))]
-            if high is C.MAXREPEAT and low <= self.most:
-                f, l, _ = self.of(body, fold)
+            parts = [self.of(body, fold) for _ in range(max(low, 1) if high is C.MAXREPEAT else high)]
+            if high is C.MAXREPEAT:
+                f, l, _ = parts[-1]
                 for p in l:
                     self.follow[p] |= f
-                parts.append((f, l, True))
-            elif low <= self.most:
-                parts += [(*self.of(body, fold)[:2], True) for _ in range(min(high, self.most) - low)]
+            parts = [(f, l, e or k >= low) for k, (f, l, e) in enumerate(parts)]
             return self.joined(parts)
         raise ValueError(f"pattern part {op} is not supported")
 
 
+def position_sets(rule) -> tuple[_Positions, set, set]:
+    """(positions, first ones, last ones) of a rule. A rule that is one repetition is compiled with its least length, as shorter stretches
+    are dropped anyway."""
+    _, pattern, group, least = rule
+    items, build = list(P.parse(pattern)), _Positions()
+    if group == 0 and len(items) == 1 and items[0][0] is C.MAX_REPEAT:
+        low, high, body = items[0][1]
+        items[0] = (C.MAX_REPEAT, (max(low, least), high, body))
+    first, last, _ = build.of(items)
+    return build, first, last
+
+
+def subsets(reads, follow, starts, restart: bool):
+    """Subset construction: (groups of bytes, rows of next states, states as position sets). State 0 is the start; with ``restart`` a match may
+    begin at every byte, else a state without positions is dead."""
+    sets = sorted(set(reads), key=sorted)
+    signature = [tuple(b in s for s in sets) for b in range(256)]
+    groups = {s: i for i, s in enumerate(dict.fromkeys(signature))}
+    group = np.array([groups[x] for x in signature], np.int32)
+    sample = [int(np.flatnonzero(group == g)[0]) for g in range(len(groups))]
+    reading = [frozenset(p for p, own in enumerate(reads) if b in own) for b in sample]
+    start, dead = ("start",), frozenset()
+    states, order, rows = {start: 0}, [start], []
+    if restart:
+        states, order = {dead: 0}, [dead]
+    for state in order:  # grows while it is walked
+        after = starts if state == start else set().union(*(follow[p] for p in state), starts if restart else ())
+        row = []
+        for read in reading:
+            to = frozenset(after & read)
+            if to not in states:
+                states[to] = len(states)
+                order.append(to)
+            row.append(states[to])
+        rows.append(row)
+    return group, np.array(rows, np.int64), order
+
+
+class Walker:
+    """The automaton of one rule from a fixed beginning."""
+
+    def __init__(self, rule):
+        build, first, last = position_sets(rule)
+        inside = build.groups.get(rule[2], set())
+        group, rows, states = subsets(build.reads, build.follow, first, restart=False)
+        self.group, self.rows = group.tolist(), rows.tolist()
+        self.accepts = [isinstance(s, frozenset) and bool(s & last) for s in states]
+        self.dead = [s == frozenset() for s in states]
+        self.within = [isinstance(s, frozenset) and bool(s & inside) for s in states]
+
+    def span(self, data: bytes, at: int) -> tuple[int, int]:
+        """(end of the longest match from ``at``, where its group begins)."""
+        state, end, value = 0, at, -1
+        for k in range(at, len(data)):
+            state = self.rows[state][self.group[data[k]]]
+            if self.dead[state]:
+                break
+            if value < 0 and self.within[state]:
+                value = k
+            if self.accepts[state]:
+                end = k + 1
+        return end, at if value < 0 else value
+
+
 class Automaton:
-    """``step[state, group[byte]]`` is the next state, ``fires[state]`` the rules (bits) that end there; state 0 is the start."""
+    """All rules in one, read backwards: ``step[state, group[byte]]`` is the next state, ``fires[state]`` the rules (bits) of which a match
+    begins at that byte; state 0 is the start."""
 
     def __init__(self, rules):
         self.rules = rules
-        build, firsts, ends = _Positions(), set(), {}
-        for k, (_, pattern, group, least) in enumerate(rules):
-            items = list(P.parse(pattern))
-            if group == 0 and items and items[-1][0] is C.MAX_REPEAT:  # the tail's least length, as far as it is compiled
-                low, high, body = items[-1][1]
-                fixed = sum(1 for x in items[:-1] if x[0] in (C.LITERAL, C.IN))
-                if fixed == len(items) - 1:
-                    items[-1] = (C.MAX_REPEAT, (max(low, least - fixed), high, body))
-            build.most = REPEATS if len(items) > 1 else BARE_REPEATS
-            first, last, _ = build.of(items)
-            firsts |= first
-            for p in last:
-                ends[p] = ends.get(p, 0) | 1 << k
-        sets = sorted({s for s in build.reads}, key=sorted)
-        signature = {b: tuple(b in s for s in sets) for b in range(256)}
-        groups = {s: i for i, s in enumerate(dict.fromkeys(signature.values()))}
-        self.group = np.array([groups[signature[b]] for b in range(256)], np.int32)
-        sample = [int(np.flatnonzero(self.group == g)[0]) for g in range(len(groups))]
-        reading = [frozenset(p for p in range(len(build.reads)) if b in build.reads[p]) for b in sample]
-        states, todo, rows = {frozenset(): 0}, [frozenset()], []
-        while todo:  # subset construction; a new match may begin at every byte
-            new = []
-            for state in todo:
-                after = firsts.union(*(build.follow[p] for p in state))
-                row = []
-                for read in reading:
-                    to = frozenset(after & read)
-                    if to not in states:
-                        states[to] = len(states)
-                        new.append(to)
-                    row.append(states[to])
-                rows.append(row)
-            todo = new
-        step = np.array(rows, np.int64)
-        fires = np.array([sum({1 << k for p in s for k in range(len(rules)) if ends.get(p, 0) >> k & 1}) for s in states], np.int64)
+        reads, before, starts, begins = [], [], set(), {}
+        for k, rule in enumerate(rules):
+            build, first, last = position_sets(rule)
+            base = len(reads)
+            reads += build.reads
+            before += [set() for _ in build.reads]
+            for p, follow in enumerate(build.follow):
+                for q in follow:
+                    before[base + q].add(base + p)
+            starts |= {base + p for p in last}
+            for p in first:
+                begins[base + p] = begins.get(base + p, 0) | 1 << k
+        self.group, step, states = subsets(reads, before, starts, restart=True)
+        fires = np.array([sum({1 << k for p in s for k in range(len(rules)) if begins.get(p, 0) >> k & 1}) for s in states], np.int64)
         self.step, self.fires = self.least(step, fires)
         self.resets = np.array([bool((self.step[:, self.group[b]] == 0).all()) for b in range(256)])
-        self.flat = (self.step * len(groups)).astype(np.int64).ravel()
+        self.flat = (self.step * step.shape[1]).astype(np.int64).ravel()
 
     @staticmethod
     def least(step, fires):
@@ -198,41 +242,46 @@ class Scanner:
     def __init__(self, rules=tuple(BASE + MORE)):
         self.rules = list(rules)
         self.automaton = Automaton(self.rules)
-        self.exact = [re.compile(pattern) for _, pattern, _, _ in self.rules]
+        self.walkers = [Walker(rule) for rule in self.rules]
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
         """(start, end, rule) of each text in code points, by start, then rule."""
         found: list[list] = [[] for _ in texts]
         if not texts:
             return found
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        blob = b"\n".join(texts) + b"\n"
-        data = np.frombuffer(blob, np.uint8)
-        at, what = self.automaton.hits(data)
+        blob = b"\n" + b"\n".join(texts) + b"\n"
+        at, what = self.automaton.hits(np.frombuffer(blob, np.uint8)[::-1])
         if not len(at):
             return found
-        resets = np.flatnonzero(self.automaton.resets[data])
-        stretch, group = np.unique(np.searchsorted(resets, at), return_inverse=True)
-        fired = np.zeros(len(stretch), np.int64)
-        np.bitwise_or.at(fired, group, what)
-        for s, rules in zip(stretch.tolist(), fired.tolist()):
-            low, high = int(resets[s - 1]) + 1 if s else 0, int(resets[s])
-            row = int(np.searchsorted(ends, low, side="right"))
-            begin = int(ends[row]) - len(texts[row]) - 1
-            for k, (_, _, group, least) in enumerate(self.rules):
-                if rules >> k & 1:
-                    found[row] += [(m.start() - begin, m.end() - begin, k) for m in self.exact[k].finditer(blob, low, high) if m.end(group) - m.start(group) >= least]
+        at = len(blob) - 1 - at
+        order = np.argsort(at, kind="stable")
+        at, what = at[order], what[order]
+        begins = np.cumsum([1] + [len(t) + 1 for t in texts])[:-1]
+        for k, ((_, _, _, least), walker) in enumerate(zip(self.rules, self.walkers)):
+            done = 0
+            for start in at[what >> k & 1 == 1].tolist():
+                if start >= done:
+                    done, value = walker.span(blob, start)
+                    if done - value >= least:
+                        row = int(np.searchsorted(begins, start, side="right")) - 1
+                        begin = int(begins[row])
+                        found[row].append((start - begin, done - begin, k))
         for row, spans in enumerate(found):
             if spans:
                 text = texts[row]
                 if not text.isascii():
                     where = np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
-                    place = lambda b: int(np.searchsorted(where, b))
-                    spans = [(place(a), place(b), k) for a, b, k in spans]
+                    spans = [(int(np.searchsorted(where, a)), int(np.searchsorted(where, b)), k) for a, b, k in spans]
                 found[row] = sorted(spans, key=lambda x: (x[0], x[2]))
         return found
 
 
+@lru_cache(2)
+def scanner_of(rules) -> Scanner:
+    """A scanner, kept as long as the Python process."""
+    return Scanner(rules)
+
+
 def rendered(spans, names) -> str:
     return ",".join(f"{names[k]}:{a}:{b}" for a, b, k in spans)
 
@@ -245,7 +294,7 @@ def secret_scan(docs: DataFrame, rules=tuple(BASE + MORE), n_base: int = len(BAS
     """
 
     def make():
-        scanner, names = Scanner(rules), [r[0] for r in rules]
+        scanner, names = scanner_of(rules), [r[0] for r in rules]
 
         def f(doc_id, text):
             found = scanner.scan(as_bytes(text))

@@ -377,6 +377,20 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     test_join_counts_every_link_of_a_group(spark)
 
 
+def test_scan_is_linear_on_hostile_texts():
+    import time
+
+    scanner = secret_scan.Scanner()
+    took = []
+    for n in (60_000, 240_000):
+        text = b"eyJaa.eyJbb.cc " + b"eyJ" * (n // 3) + b" x" + b"-----BEGIN " * (n // 11)
+        began = time.time()
+        assert scanner.scan([text]) == [[]]
+        took.append(time.time() - began)
+    assert took[1] < 8 * max(took[0], 0.05)
+    assert scanner.scan([b"", b"x"]) == [[], []] and scanner.scan([]) == []
+
+
 def test_join_counts_every_link_of_a_group(spark):
     rng = np.random.default_rng(9)
     words = [f"w{k}" for k in range(150)]
