@@ -1,10 +1,10 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
 Sarawagi and Cohen, "Semi-Markov Conditional Random Fields for Information Extraction" (2004): a label covers a whole segment, so
-features look at whole spans (its digits, separators, checks). Dynamic programming over segments of at most ``LONGEST`` words
-chooses boundaries and kinds jointly. An entity holds a word with a digit, an ``@`` or a spelt-out ``at`` (in any case), a hook. No
-segment reaches further than LONGEST - 1 words from its hook, so the windows of that reach are decoded on their own; this equals
-decoding the whole text.
+features look at whole spans (its digits, separators, checks), and each label depends on the one before it. Dynamic programming over
+segments of at most ``LONGEST`` words chooses boundaries and kinds jointly. An entity holds a word with a digit, an ``@`` or a spelt-out ``at`` (in any case), a hook. No
+segment reaches further than LONGEST - 1 words from its hook; the words beyond are outside whatever the labels, as are the places before
+and after a text. So the windows of that reach, with "outside" on both sides, are decoded on their own, with the whole text's result.
 
 The patterns' spans always stay; the field adds spans that overlap none of them.
 """
@@ -12,9 +12,9 @@ The patterns' spans always stay; the field adds spans that overlap none of them.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from bisect import bisect_left, bisect_right
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
 
@@ -26,7 +26,7 @@ from notelake.llm.text import as_bytes, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words at most in a segment, and examples and rounds of the training.
-LONGEST, EXAMPLES, ROUNDS = 9, 240, 60
+LONGEST, EXAMPLES, ROUNDS = 9, 240, 40
 #: The score by which the best labelling must beat the one without the span.
 MARGIN = 2.0
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -111,31 +111,6 @@ def features(words: tuple[str, ...]) -> np.ndarray:
     ], float)
 
 
-def segments(words: list[str]) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Every candidate (start, end) of at most LONGEST words, and its features."""
-    where = [(i, j) for j in range(1, len(words) + 1) for i in range(max(0, j - LONGEST), j)]
-    return where, np.array([features(tuple(words[i:j])) for i, j in where])
-
-
-def allowed(where) -> np.ndarray:
-    """"Outside" covers one word at a time."""
-    out = np.ones((len(where), len(KINDS) + 1), bool)
-    out[:, 0] = [j - i == 1 for i, j in where]
-    return out
-
-
-def _sums(where, scores, n):
-    """Log sums over all segmentations of each prefix and each suffix."""
-    ahead, behind = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-    ahead[0] = behind[n] = 0.0
-    total = np.logaddexp.reduce(scores, axis=1)
-    for (i, j), s in zip(where, total):
-        ahead[j] = np.logaddexp(ahead[j], ahead[i] + s)
-    for (i, j), s in sorted(zip(where, total), key=lambda x: -x[0][0]):
-        behind[i] = np.logaddexp(behind[i], behind[j] + s)
-    return ahead, behind
-
-
 def _invented(seed: int):
     """Training lines made by rule: entities in several spellings among plain words and numbers that are none."""
     rng = np.random.default_rng(seed)
@@ -179,59 +154,117 @@ def _invented(seed: int):
         yield words, spans
 
 
+@dataclass(frozen=True)
+class Field:
+    """Weights by label and feature, and by two labels in sequence."""
+
+    segment: np.ndarray
+    sequence: np.ndarray
+
+
+class Lattice:
+    """Training lines side by side: features of every candidate segment by (line, end, length), and the sums over all segmentations."""
+
+    def __init__(self, lines):
+        n, labels = max(len(words) for words, _ in lines), len(KINDS) + 1
+        self.lengths = np.array([len(words) for words, _ in lines])
+        self.x = np.zeros((len(lines), n + 1, LONGEST + 1, _N_FEATURES))
+        self.mask = np.full((len(lines), n + 1, LONGEST + 1, labels), -np.inf)
+        self.gold = np.zeros(self.mask.shape)
+        self.pairs = np.zeros((labels, labels))
+        for e, (words, spans) in enumerate(lines):
+            for j in range(1, len(words) + 1):
+                for d in range(1, min(LONGEST, j) + 1):
+                    self.x[e, j, d] = features(tuple(words[j - d : j]))
+                    self.mask[e, j, d, 1 if d > 1 else 0 :] = 0  # "outside" covers one word at a time
+            at, last, marked = 0, 0, {i: (j, label) for i, j, label in spans}
+            while at < len(words):
+                to, label = marked.get(at, (at + 1, 0))
+                self.gold[e, to, to - at, label] = 1
+                self.pairs[last, label] += 1
+                at, last = to, label
+            self.pairs[last, 0] += 1
+
+    def expected(self, field: Field):
+        """(log sum of each line, expected segments, expected label pairs)."""
+        scores, t = self.x @ field.segment.T + self.mask, field.sequence
+        lines, n, _, labels = scores.shape
+        ahead, behind = np.full((lines, n, labels), -np.inf), np.full((lines, n, labels), -np.inf)
+        ahead[:, 0, 0] = 0
+        behind[np.arange(lines), self.lengths] = t[:, 0]
+        total = lambda v: np.logaddexp.reduce(v, axis=1)
+        for j in range(1, n):
+            came = [total(ahead[:, j - d, :, None] + t)[:, :] + scores[:, j, d] for d in range(1, min(LONGEST, j) + 1)]
+            ahead[:, j] = np.logaddexp.reduce(came, axis=0)
+        for i in range(n - 2, -1, -1):
+            go = [np.logaddexp.reduce(t[None] + (scores[:, i + d, d] + behind[:, i + d])[:, None, :], axis=2) for d in range(1, min(LONGEST, n - 1 - i) + 1)]
+            behind[:, i] = np.logaddexp(behind[:, i], np.logaddexp.reduce(go, axis=0))
+        z = behind[:, 0, 0]
+        segments, pairs = np.zeros(scores.shape), np.zeros(t.shape)
+        for j in range(1, n):
+            for d in range(1, min(LONGEST, j) + 1):
+                p = np.exp(ahead[:, j - d, :, None] + t + (scores[:, j, d] + behind[:, j])[:, None, :] - z[:, None, None])
+                segments[:, j, d], pairs = p.sum(1), pairs + p.sum(0)
+        last = ahead[np.arange(lines), self.lengths] + t[:, 0] - z[:, None]
+        pairs[:, 0] += np.exp(last).sum(0)
+        return z, segments, pairs
+
+
 @lru_cache(2)
-def trained(seed: int = 3) -> np.ndarray:
-    """Weights by label and feature: regularised log-likelihood, climbed with Adam steps."""
-    data = []
-    for words, spans in _invented(seed):
-        where, x = segments(words)
-        gold = np.zeros((len(where), len(KINDS) + 1))
-        place = {s: k for k, s in enumerate(where)}
-        inside = {w for i, j, _ in spans for w in range(i, j)}
-        for i, j, label in spans:
-            gold[place[i, j], label] = 1
-        for w in range(len(words)):
-            if w not in inside:
-                gold[place[w, w + 1], 0] = 1
-        data.append((where, x, gold, np.where(allowed(where), 0.0, -np.inf), len(words)))
-    weights, m, v = (np.zeros((len(KINDS) + 1, _N_FEATURES)) for _ in range(3))
+def trained(seed: int = 3) -> Field:
+    """The field's weights: regularised log-likelihood, climbed with Adam steps."""
+    lattice = Lattice(list(_invented(seed)))
+    labels = len(KINDS) + 1
+    w, m, v = (np.zeros(labels * (_N_FEATURES + labels)) for _ in range(3))
+    part = lambda w: Field(w[: labels * _N_FEATURES].reshape(labels, -1), w[labels * _N_FEATURES :].reshape(labels, -1))
     for step in range(1, ROUNDS + 1):
-        gradient = -0.02 * weights
-        for where, x, gold, mask, n in data:
-            scores = x @ weights.T + mask
-            ahead, behind = _sums(where, scores, n)
-            i, j = np.array(where).T
-            expected = np.exp(ahead[i][:, None] + scores + behind[j][:, None] - ahead[n])
-            gradient += (gold - expected).T @ x / len(data) * 10
+        _, segments, pairs = lattice.expected(part(w))
+        by_segment = np.einsum("ejdl,ejdf->lf", lattice.gold - segments, lattice.x)
+        gradient = np.concatenate([by_segment.ravel(), (lattice.pairs - pairs).ravel()]) / EXAMPLES * 10 - 0.02 * w
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-        weights = weights + 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return weights
+        w = w + 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return part(w)
 
 
-def decoded(words: list[str], weights: np.ndarray) -> list[tuple[int, int, int]]:
+def decoded(words: list[str], field: Field) -> list[tuple[int, int, int]]:
     """The best segmentation's entities (first word, end, label), each with a hook and at least MARGIN better than leaving its words
-    outside."""
+    outside; before and after the words lies "outside"."""
     hooks = list(accumulate((bool(_HOOK.search(w)) for w in words), initial=0))
-    where = [(i, j) for j in range(1, len(words) + 1) for i in range(max(0, j - LONGEST), j) if j - i == 1 or hooks[j] > hooks[i]]
-    scores = np.where(allowed(where), np.array([features(tuple(words[i:j])) for i, j in where]) @ weights.T, -np.inf)
-    scores[[hooks[j] == hooks[i] for i, j in where], 1:] = -np.inf
-    best = np.full(len(words) + 1, -np.inf)
-    best[0], back = 0.0, [None] * (len(words) + 1)
-    label, top = scores.argmax(1), scores.max(1)
-    outside = {i: s for (i, j), s in zip(where, scores[:, 0]) if j - i == 1}
-    for k, (i, j) in enumerate(where):
-        if best[i] + top[k] > best[j]:
-            best[j], back[j] = best[i] + top[k], (i, int(label[k]), top[k])
-    out, j = [], len(words)
+    t, n = field.sequence, len(words)
+    outside = features_of([tuple(words[j : j + 1]) for j in range(n)]) @ field.segment[0]
+    where = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j) if hooks[j] > hooks[i]]
+    kinds = features_of([tuple(words[i:j]) for i, j in where]) @ field.segment[1:].T
+    by_end: dict[int, list] = {}
+    for (i, j), scores in zip(where, kinds):
+        by_end.setdefault(j, []).append((i, scores))
+    best, back = np.full((n + 1, len(t)), -np.inf), {}
+    best[0, 0] = 0.0
+    for j in range(1, n + 1):
+        came = best[j - 1] + t[:, 0]
+        p = int(came.argmax())
+        best[j, 0], back[j, 0] = came[p] + outside[j - 1], (j - 1, p, outside[j - 1])
+        for i, scores in by_end.get(j, ()):
+            came = best[i][:, None] + t[:, 1:]
+            p = came.argmax(0)
+            value = came.max(0) + scores
+            for k in np.flatnonzero(value > best[j, 1:]).tolist():
+                best[j, k + 1], back[j, k + 1] = value[k], (i, int(p[k]), scores[k])
+    out, j, label, after = [], n, int((best[n] + t[:, 0]).argmax()), 0
     while j:
-        i, kind, score = back[j]
-        if kind and score - sum(outside[w] for w in range(i, j)) >= MARGIN:
-            out.append((i, j, kind))
-        j = i
+        i, before, score = back[j, label]
+        if label:
+            alone = t[before, 0] + outside[i:j].sum() + (j - i - 1) * t[0, 0] + t[0, after]
+            if t[before, label] + score + t[label, after] - alone >= MARGIN:
+                out.append((i, j, label))
+        j, label, after = i, before, label
     return out[::-1]
 
 
-def field_spans(text: str, weights: np.ndarray, reach: int = LONGEST - 1) -> list[tuple[int, int, int]]:
+def features_of(segments: list[tuple[str, ...]]) -> np.ndarray:
+    return np.array([features(x) for x in segments]).reshape(len(segments), _N_FEATURES)
+
+
+def field_spans(text: str, weights: Field, reach: int = LONGEST - 1) -> list[tuple[int, int, int]]:
     """(kind, start, end) found by the field. A window reaches ``reach`` whole words beyond each word with a hook; windows that meet are
     one."""
     hooks = [m.start() for m in _HOOK.finditer(text)]
@@ -264,7 +297,7 @@ def field_spans(text: str, weights: np.ndarray, reach: int = LONGEST - 1) -> lis
 class Finder:
     """Base spans of texts, and with them the field's."""
 
-    def __init__(self, weights: np.ndarray):
+    def __init__(self, weights: Field):
         self.weights = weights
 
     def find(self, text: str):

@@ -425,6 +425,61 @@ def test_field_sees_whole_addresses_and_windows_lose_nothing():
         assert pii.field_spans(text, weights) == pii.field_spans(text, weights, reach=10**6), text
 
 
+def segmentations(words):
+    """Every labelling: (start, end, label) of segments in order."""
+    if not words:
+        yield []
+        return
+    for d in range(1, min(pii.LONGEST, len(words)) + 1):
+        for label in range(5):
+            if label == 0 and d > 1:
+                continue
+            for rest in segmentations(words[d:]):
+                yield [(0, d, label), *((i + d, j + d, k) for i, j, k in rest)]
+
+
+def worth(path, words, field):
+    labels = [0, *(k for _, _, k in path), 0]
+    return sum(float(field.segment[k] @ pii.features(tuple(words[i:j]))) for i, j, k in path) + sum(float(field.sequence[a, b]) for a, b in zip(labels, labels[1:]))
+
+
+def test_field_sums_and_decodes_over_all_segmentations():
+    rng = np.random.default_rng(13)
+    field = pii.Field(rng.normal(0, 1, (5, pii._N_FEATURES)), rng.normal(0, 1, (5, 5)))
+    for words in (["mail", "joe@x.org", "now"], ["555", "123", "4567"], ["10.2.3.4", "x", "joe", "[at]"]):
+        values = [worth(p, words, field) for p in segmentations(words)]
+        z, segments, pairs = pii.Lattice([(words, [])]).expected(field)
+        assert z[0] == pytest.approx(np.logaddexp.reduce(values))
+        share = np.exp(np.array(values) - z[0])
+        count = sum(s * sum(label == 1 for _, _, label in p) for s, p in zip(share, segmentations(words)))
+        assert segments[..., 1].sum() == pytest.approx(count) and pairs[:, 1].sum() == pytest.approx(count)
+    trained = pii.trained()
+    for text in ("call (555) 123-4567 now", "at 4111 1111 1111 1111 x", "a joe [at] b [dot] c", "7 of 12"):
+        words = text.split()
+        hook = lambda i, j: any(pii._HOOK.search(w) for w in words[i:j])
+        best = max((p for p in segmentations(words) if all(k == 0 or hook(i, j) for i, j, k in p)), key=lambda p: worth(p, words, trained))
+        assert set(pii.decoded(words, trained)) <= {x for x in best if x[2]}
+    assert len({pii.trained().sequence[k].tobytes() for k in range(5)}) == 5  # labels do depend on the one before
+
+
+def brute_base(t):
+    out = []
+    for k, (pattern, ok) in enumerate([
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(pii.only_digits(m)) <= 19 and pii.luhn(pii.only_digits(m))), (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(pii.only_digits(m)) <= 15),
+    ]):
+        out += [(k, m.start(), m.end()) for m in re.finditer(pattern, t) if ok(m[0])]
+    return sorted(out)
+
+
+def test_base_spans_equal_plain_patterns():
+    rng = np.random.default_rng(14)
+    parts = ["a.b", "@", "host", ".", "com", "-", " ", "+", "1", "22", "255", "256", "(", ")", "4111 1111 1111 1111", "é", "10.2.3.4", "\n", "555-1234", "%"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts, rng.integers(0, 14)))
+        assert pii.base_spans(text) == brute_base(text), text
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_step_groups_span_batches_and_are_nearly_equal(spark, parts):
     rng = np.random.default_rng(10)
