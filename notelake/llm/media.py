@@ -22,7 +22,7 @@ from notelake.llm.text import as_bytes, map_batches
 
 UNIT, RATE = 576, 25
 #: Units in a frame at most (a frame is 24 pixels wide, and 8 high for each unit); units coded at once.
-FRAME_UNITS, AT_ONCE = 16, 256
+FRAME_UNITS, AT_ONCE = 2, 256
 BINS, MEMORY, DEVIATIONS, FLOOR = 16, 0.9, 4.0, 0.1
 #: The zigzag order of a block's 64 coefficients follows from its diagonals.
 ZIGZAG = np.array([r * 8 + c for r, c in sorted(((r, c) for r in range(8) for c in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))])

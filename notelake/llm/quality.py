@@ -1,8 +1,8 @@
 """Quality rules with an isolation forest over rule statistics.
 
 Liu, Ting and Zhou, "Isolation Forest" (2008): random splits isolate odd rows early, so a short mean path marks an anomaly.
-The forest is fitted on a bounded sample of labelled good rows (``SAMPLE``); the threshold is calibrated on the labelled rows.
-Statistics, scores and verdicts cover every row and whole texts.
+The forest is fitted on a bounded sample of labelled rows (``SAMPLE``): each tree on good rows and CONTAMINATION of bad ones. The
+threshold is the score that GOOD_LOSS of the sample's good rows exceed; bad rows only say whether there is anything to reject. Statistics, scores and verdicts cover every row and whole texts.
 """
 
 from __future__ import annotations
@@ -136,9 +136,9 @@ def grow(good: np.ndarray, bad: np.ndarray, seed: int = 7) -> Forest:
     return Forest(feature, value, left, path, average_path(m))
 
 
-
 def fit(rows: np.ndarray, good: np.ndarray) -> Forest | None:
-    """Grow the forest; the threshold parts good from bad best among those that lose ``GOOD_LOSS`` of the good at most."""
+    """Grow the forest. The threshold is the quantile of the good rows' scores that loses GOOD_LOSS of them; where no bad row is above it, it
+    is the greatest score, so that nothing is rejected."""
     if good.sum() < 2:
         return None
     forest = grow(rows[good], rows[~good])

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from notelake.llm import bpe, lm, media, ngram_join, packing, pii, quality, secret_scan, sharding, url_filter
 
-#: The list of op4: URLs of hosts with a label that begins so.
-LISTED_LABEL = "adult"
+#: The list of op4: URLs of pages with such a title (a word with three symbols at its end).
+LISTED_TITLE = "[a-z](%%%|###)"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op3_quality_rules(spark, sf_dir):
 
 def op4_url_filter(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages")
-    return url_filter.url_verdicts(pages, url_filter.urls_of_hosts(pages, LISTED_LABEL))
+    return url_filter.url_verdicts(pages, url_filter.urls_of_pages(pages, LISTED_TITLE))
 
 
 def op5_secret_scan(spark, sf_dir):
@@ -48,6 +48,11 @@ def op6_media(spark, sf_dir):
     return media.media_digest(_table(spark, sf_dir, "documents"))
 
 
+def media_clips(spark, sf_dir):
+    """The timed clips of the films of op6, a row each."""
+    return media.clips(media.films(_table(spark, sf_dir, "documents")))
+
+
 def op7_bpe(spark, sf_dir):
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -66,7 +71,7 @@ def op10_packing(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_join, op2_pii, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_media, op7_bpe, op8_lm, op9_sharding, op10_packing)
+    for f in (op1_ngram_join, op2_pii, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_media, media_clips, op7_bpe, op8_lm, op9_sharding, op10_packing)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,10 +79,10 @@ SQL = {
     "op4_url_filter": f"""
 with p as (
   select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') as host,
-         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) as title
   from pages),
 c as (select *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html|/)$', '') as canon from p),
-l as (select distinct canon from c where regexp_matches(host, '(^|\\.){LISTED_LABEL}')),
+l as (select distinct canon from c where host <> '' and regexp_matches(title, '{LISTED_TITLE}')),
 r as (
   select c.*, case when host = '' then false else l.canon is not null end as listed,
     case when (host = 'example.org' or suffix(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'

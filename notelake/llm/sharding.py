@@ -2,8 +2,8 @@
 
 Sanders, "Random Permutations on Distributed, External and Hierarchical Memory" (1998), and Gustedt's communication matrices: rows
 lie in source buckets; how many rows of each bucket go to each shard is drawn exactly (multivariate hypergeometric), each bucket is
-permuted locally, its rows are exchanged by the matrix, and each shard is permuted again. Only the bucket counts, never rows, reach
-the driver. Buckets and permutations follow from hashes of the rows, so a lost task gives the same rows again.
+permuted locally, its rows are exchanged by the matrix, and each shard is permuted again. Only the bucket counts, a row of n_shards
+numbers for each BUCKET_ROWS rows, reach the driver and go back as a small table, never rows. Buckets and permutations follow from hashes of the rows, so a lost task gives the same rows again.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from notelake.llm.text import written
+
 #: Rows that a bucket holds about; buckets grow in number with the table.
 BUCKET_ROWS = 1 << 17
 LEAST_BUCKETS = 64
@@ -60,6 +62,7 @@ def shards(rows: DataFrame, identity: list[str], n_shards: int = 16, seed: int =
     ``identity``: columns that tell rows apart. Rows equal in all of them are alike and may change places; nulls count as values.
     Columns named _bucket, _at, _part or _order aren't allowed in ``rows``. An empty table stays empty.
     """
+    rows = written(rows)  # read several times
     keyed: list[Column] = [F.col(c) for c in identity]
     total = rows.count()
     n_buckets = max(LEAST_BUCKETS, math.ceil(total / bucket_rows))
@@ -94,7 +97,7 @@ def shuffled_documents(docs: DataFrame, n_shards: int = 16, seed: int = 11) -> D
     """doc_id, size, text_crc32, law, shard, slot, grown_shard under the law ``rows``.
 
     A null text has size 1 and the check sum of an empty one; repeated rows are dealt one by one; a null doc_id stays null; other
-    columns are not looked at. Texts are read but not shuffled.
+    columns are not looked at. Texts are read once and not shuffled.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))

@@ -6,14 +6,14 @@ wide and depends on its bytes only; two different words collide with a chance of
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from notelake.sources.scratch import folder as shared_folder, written  # noqa: F401  for the other modules here
+
 #: Bytes of text that one numpy step looks at; longer texts go piece by piece, cut between words.
 PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -51,22 +51,6 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new name in the folder that all executors share; one is set only where the session has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows as a table in the shared folder, which outlives lost executors."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers (the splitmix64 finaliser)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

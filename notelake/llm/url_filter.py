@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notelake.llm.text import written
+
 #: (verdict, host, path prefix).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Bits set a key, and bits of filter a key.
 BITS, BITS_PER_KEY = 8, 16
 #: The filter is broadcast up to this many bytes; beyond, its blocks are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Keys of the exact list up to which it is broadcast too; beyond, possible hits are shuffled to it.
+BROADCAST_KEYS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,22 +70,25 @@ def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
 
 
 def listed_urls(rows: DataFrame, listed: DataFrame) -> DataFrame:
-    """``rows`` (with a column ``_url``) and ``_listed``: whether it is one of ``listed.url``. Null URLs are not listed."""
-    listed = listed.select(F.col("url").cast("string").alias("url")).dropna().distinct()
+    """``rows`` (with a column ``_url``) and ``_listed``: whether it is one of ``listed.url``. Null URLs are not listed. The list is written
+    once; rows are read once where it is small enough to be broadcast, else possible hits and the rest take two branches."""
+    listed = written(listed.select(F.col("url").cast("string").alias("url")).dropna().distinct())
     n = listed.count()
     n_blocks = max(1, -(-n * BITS_PER_KEY // 256))
     blocks = bloom_blocks(listed, n_blocks)
     blocks = F.broadcast(blocks) if n_blocks * 64 <= BROADCAST_BYTES else blocks
-    masks = _masks(F.col("_url"))
-    hit = F.lit(True)
-    for k, m in enumerate(masks):
+    hit = F.col("_url").isNotNull()
+    for k, m in enumerate(_masks(F.col("_url"))):
         hit = hit & (F.col(f"_w{k}").bitwiseAND(m) == m)
     probed = rows.withColumn("_block", F.pmod(F.xxhash64("_url"), F.lit(n_blocks))).join(blocks, "_block", "left")
-    probed = probed.withColumn("_hit", F.coalesce(hit & F.col("_url").isNotNull(), F.lit(False))).drop("_block", "_w0", "_w1", "_w2", "_w3")
+    probed = probed.withColumn("_hit", F.coalesce(hit, F.lit(False))).drop("_block", "_w0", "_w1", "_w2", "_w3")
+    found = listed.withColumn("_found", F.lit(True))
+    if n <= BROADCAST_KEYS:
+        exact = probed.join(F.broadcast(found), F.when(F.col("_hit"), F.col("_url")) == F.col("url"), "left")
+        return exact.withColumn("_listed", F.coalesce("_found", F.lit(False))).drop("url", "_found", "_hit")
     no = probed.filter(~F.col("_hit")).withColumn("_listed", F.lit(False))
-    exact = probed.filter("_hit").join(listed.withColumn("_found", F.lit(True)), F.col("_url") == F.col("url"), "left")
-    yes = exact.withColumn("_listed", F.coalesce("_found", F.lit(False))).drop("url", "_found")
-    return no.unionByName(yes).drop("_hit")
+    yes = probed.filter("_hit").join(found, F.col("_url") == F.col("url"), "left").withColumn("_listed", F.coalesce("_found", F.lit(False)))
+    return no.unionByName(yes.drop("url", "_found")).drop("_hit")
 
 
 def url_verdicts(pages: DataFrame, listed: DataFrame, rules=tuple(RULES)) -> DataFrame:
@@ -100,8 +107,9 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules=tuple(RULES)) -> Dat
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("_listed").alias("listed"))
 
 
-def urls_of_hosts(pages: DataFrame, label: str) -> DataFrame:
-    """A list of canonical URLs: those of pages whose host has a label that begins with ``label``."""
+def urls_of_pages(pages: DataFrame, title: str) -> DataFrame:
+    """A list of canonical URLs: those under which some page was fetched whose title matches ``title``. Other pages of the same host, and
+    other addresses of the same page, need not match."""
     url = F.col("url").cast("string")
-    rows = pages.select(host_of(url).alias("host"), path_of(url).alias("path"))
-    return rows.filter(F.col("host").rlike(rf"(^|\.){label}")).select(canonical(F.col("host"), F.col("path")).alias("url")).distinct()
+    rows = pages.filter(F.regexp_extract(F.col("html").cast("string"), "(?is)<title>(.*?)</title>", 1).rlike(title)).select(host_of(url).alias("host"), path_of(url).alias("path"))
+    return rows.filter("host <> ''").select(canonical(F.col("host"), F.col("path")).alias("url")).distinct()

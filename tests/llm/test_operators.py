@@ -143,6 +143,28 @@ def test_quality_statistics_and_verdicts(spark, docs, empty):
     assert quality.quality_rules(docs, labels.limit(0)).filter("kept").count() == quality.quality_rules(docs, labels.limit(0)).filter("NOT base_failed").count()
 
 
+def test_verdicts_equal_plain_walks_through_the_trees(spark):
+    rng = np.random.default_rng(16)
+    text = lambda odd: " ".join("".join(rng.choice(list("abcdeé"), rng.integers(2, 9))) + ("###" if odd else "") for _ in range(40))
+    rows = [(k, text(k % 12 == 0)) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 12 > 0)) for k in range(0, 240, 2)], "doc_id long, quality int")
+    forest = quality.fitted(docs, labels)
+    got = by_id(quality.quality_rules(docs, labels))
+    for k, t in rows:
+        s, seen = quality.statistics(t.encode())
+        paths = []
+        for tree in range(len(forest.feature)):
+            node = 0
+            while (f := forest.feature[tree, node]) >= 0:
+                node = forest.left[tree, node] + (seen[f] >= forest.value[tree, node])
+            paths.append(forest.path[tree, node])
+        score = 2 ** (-np.mean(paths) / forest.usual)
+        assert got[k]["score"] == pytest.approx(score)
+        assert got[k]["kept"] == (not quality.base_failed(s[0], s[4]) and score <= forest.threshold)
+    assert not any(got[k]["kept"] for k in range(0, 240, 12)) and sum(got[k]["kept"] for k in range(240)) > 200
+
+
 def test_forest_parts_odd_rows_on_held_out_rows():
     rng = np.random.default_rng(3)
     make = lambda n: (np.concatenate([rng.normal(0, 1, (n, 4)), rng.normal(6, 1, (n // 20, 4))]), np.arange(n + n // 20) < n)
@@ -162,6 +184,21 @@ def test_url_filter_equals_its_list_without_false_positives(spark):
     assert url_filter.url_verdicts(pages.limit(0), listed).count() == 0 and url_filter.url_verdicts(pages, listed.limit(0)).filter("listed").count() == 0
 
 
+def test_list_of_pages_and_both_ways_to_join_it(spark, monkeypatch):
+    pages = spark.createDataFrame([
+        (1, "http://www.a.net/x.html?q=1", "<title>Bad### word</title>"), (2, "https://a.net/x/", "<title>fine</title>"), (3, "https://a.net/y", "<title>fine</title>"), (4, None, "<title>no### url</title>"),
+        (5, "http://b.net/z", None), (6, "http://a.net/x", "<title>fine</title>"),
+    ], "page_id long, url string, html string")
+    listed = url_filter.urls_of_pages(pages, "[a-z](%%%|###)")
+    assert [r.url for r in listed.collect()] == ["a.net/x"]
+    one = sorted(url_filter.url_verdicts(pages, listed).collect())
+    assert [r.listed for r in one] == [True, True, False, False, False, True]
+    monkeypatch.setattr(url_filter, "BROADCAST_KEYS", -1)
+    monkeypatch.setattr(url_filter, "BITS", 1)  # a filter of one bit passes false hits, which the exact join takes out
+    monkeypatch.setattr(url_filter, "BITS_PER_KEY", 1)
+    assert sorted(url_filter.url_verdicts(pages, listed).collect()) == one
+
+
 def test_secret_automaton_equals_the_rules(docs, empty):
     scanner = secret_scan.Scanner()
     rng = np.random.default_rng(4)
@@ -188,6 +225,57 @@ def test_media_round_trip(docs, empty):
     assert media.clips(media.films(docs)).count() >= docs.count()
 
 
+def slow_frame(frame):
+    """The bytes behind a frame by the book: segments, then bits one by one, then amplitudes of size class 8."""
+    at, tables, restart = 2, [], 0
+    while True:
+        marker, size = frame[at + 1], int.from_bytes(frame[at + 2 : at + 4], "big")
+        body = frame[at + 4 : at + 2 + size]
+        at += 2 + size
+        if marker == 0xC4:
+            while body:
+                counts = body[1:17]
+                assert sum(counts) == 1 and counts[0] == 1
+                tables.append((body[0], body[17]))
+                body = body[18:]
+        elif marker == 0xDD:
+            restart = int.from_bytes(body, "big")
+        elif marker == 0xDA:
+            break
+    assert tables == [(0x00, 8), (0x10, 8)] and restart == 3
+    out, bits = bytearray(), ""
+    while True:
+        b = frame[at]
+        at += 1
+        if b == 0xFF:
+            mark = frame[at]
+            at += 1
+            if mark:  # the end of a unit
+                for k in range(0, 9 * 576, 9):
+                    assert bits[k] == "0"
+                    out.append(int(bits[k + 1 : k + 9], 2))
+                bits = ""
+                if mark == 0xD9:
+                    return bytes(out)
+                continue
+        bits += f"{b:08b}"
+
+
+def test_films_are_read_by_an_independent_decoder():
+    rng = np.random.default_rng(15)
+    for n in (0, 5, 576, 577, 3000):
+        text = rng.integers(0, 256, n).astype(np.uint8).tobytes()
+        film, at, payload = media.avi(media.padded(text)), 12, b""
+        while at < len(film):
+            name, size = film[at : at + 4], int.from_bytes(film[at + 4 : at + 8], "little")
+            if name == b"LIST" and film[at + 8 : at + 12] == b"movi":
+                at += 12
+            else:
+                payload += slow_frame(film[at + 8 : at + 8 + size]) if name == b"00dc" else b""
+                at += 8 + size + size % 2
+        assert payload[: len(media.padded(text))] == media.padded(text)
+
+
 def test_shots_are_cut_where_histograms_jump():
     flat, other = np.eye(16)[2], np.eye(16)[9]
     assert media.shots([flat] * 10 + [other] * 10) == [0, 10]
@@ -347,6 +435,19 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 15
 
 
+@pytest.mark.parametrize("n", [0, 1])
+def test_pipeline_of_empty_null_and_repeated_rows(spark, tmp_path, n):
+    import corpus_pipeline
+
+    text = "plain words of every kind " + " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, "en", "s", 9), (1, text, "en", "s", 9), (2, None, None, None, None), (None, text, None, None, None), (3, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    (docs if n else docs.limit(0)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").limit(n).write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
+    assert {r.doc_id for r in got} == ({1, None} if n else set())
+
+
 def test_sketches_cannot_turn_down_a_link(spark):
     rng = np.random.default_rng(5)
     rows = []
