@@ -227,18 +227,18 @@ def in_blocks(members: DataFrame, columns: str) -> DataFrame:
 
 
 def blocks_of(batches):
-    """Of sorted rows (g, i, j, side, …): (whether both chunks are the same one, whether each row is of the second, columns) of each block."""
+    """Of sorted rows (g, i, j, side, …): ((g, i, j), whether each row is of the second chunk, the other columns) of each block."""
     key, held = None, []
     for batch in batches:
         columns = [c.to_pylist() if not pa.types.is_list(c.type) else list(_arrays(c)) for c in batch.columns]
         for row in zip(*columns):
             if row[:3] != key:
                 if held:
-                    yield key[1] == key[2], np.array([r[3] for r in held]), list(zip(*(r[4:] for r in held)))
+                    yield key, np.array([r[3] for r in held]), list(zip(*(r[4:] for r in held)))
                 key, held = row[:3], []
             held.append(row)
     if held:
-        yield key[1] == key[2], np.array([r[3] for r in held]), list(zip(*(r[4:] for r in held)))
+        yield key, np.array([r[3] for r in held]), list(zip(*(r[4:] for r in held)))
 
 
 def _arrays(column: pa.Array):
@@ -283,8 +283,8 @@ def link_counts(members: DataFrame) -> DataFrame:
     """id, far: the documents of other sets that each set links with. A row a member and block leaves a task, not one a pair."""
 
     def run(batches):
-        for same, side, (ids, weights, sets) in blocks_of(batches):
-            far = links_of(same, side, sets) @ np.array(weights, np.int64)
+        for (_, i, j), side, (ids, weights, sets) in blocks_of(batches):
+            far = links_of(i == j, side, sets) @ np.array(weights, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(far, pa.int64())], names=["id", "far"])
 
     return in_blocks(members, "id weight own").mapInArrow(run, "id long, far long").groupBy("id").agg(F.sum("far").alias("far"))
@@ -294,8 +294,8 @@ def link_pairs(members: DataFrame) -> DataFrame:
     """(a, b): every two sets that link, once. For those who want the pairs themselves."""
 
     def run(batches):
-        for same, side, (ids, sets) in blocks_of(batches):
-            x, y = np.nonzero(np.triu(links_of(same, side, sets)))
+        for (_, i, j), side, (ids, sets) in blocks_of(batches):
+            x, y = np.nonzero(np.triu(links_of(i == j, side, sets)))
             ids = np.array(ids, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["a", "b"])
 
@@ -333,24 +333,27 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def apart_pairs(placed: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): members of one list (key, id, meta, comp) of different components that may link by size and sketch, compared block by block."""
-    bits = classes.select(F.col("set_id").alias("id"), "bits")
-    rows = placed.join(bits, "id").select(F.col("key").alias("g"), "id", F.shiftright("meta", 4).alias("n"), "comp", "bits")
-    members = rows.withColumn("size", F.col("n")).withColumn("n", F.lit(SKETCH // 64))
+    """(a, b): members of one list (key, id, meta, comp) of different components that may link by size and sketch, compared block by block.
+    Sets that meet in several lists leave a task once, from the list of the least key that both are in."""
+    more = placed.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # no more than the set's postings
+    rows = placed.join(more, "id").join(classes.select(F.col("set_id").alias("id"), "bits"), "id")
+    members = rows.select(F.col("key").alias("g"), "id", F.shiftright("meta", 4).alias("size"), F.lit(SKETCH // 64).alias("n"), "comp", "bits", "keys")
 
     def run(batches):
-        for same, side, (ids, sizes, comps, sketches) in blocks_of(batches):
+        for (key, i, j), side, (ids, sizes, comps, sketches, keys) in blocks_of(batches):
             ids, n, comp, x = np.array(ids, np.int64), np.array(sizes, np.int64), np.array(comps, np.int64), np.stack(sketches)
             differ = np.zeros((len(ids), len(ids)), np.int64)
             for w in range(x.shape[1]):
                 differ += np.bitwise_count(x[:, None, w] ^ x[None, :, w])
             both = n[:, None] + n[None]
             hit = np.triu((comp[:, None] != comp[None]) & (5 * np.minimum(n[:, None], n[None]) >= 4 * np.maximum(n[:, None], n[None])) & (9 * differ <= both), 1)
-            hit = hit if same else hit & (side[:, None] != side[None])
-            a, b = np.nonzero(hit)
+            hit = hit if i == j else hit & (side[:, None] != side[None])
+            own = [frozenset(k.view(np.int64).tolist()) for k in keys]
+            here = [(a, b) for a, b in np.argwhere(hit).tolist() if min(own[a] & own[b]) == key]
+            a, b = np.array(here, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["a", "b"])
 
-    return in_blocks(members, "id size comp bits").mapInArrow(run, "a long, b long").distinct()
+    return in_blocks(members, "id size comp bits keys").mapInArrow(run, "a long, b long").distinct()
 
 
 def met_sets(classes: DataFrame) -> DataFrame:
@@ -383,7 +386,7 @@ def set_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
     # What is left: members of one list that lie in different components and were not compared.
     placed = met.join(labels, "id", "left").select("key", "id", "meta", F.coalesce("comp", "id").alias("comp"))
     open_lists = placed.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low <> _high").select("key")
-    rest = apart_pairs(placed.join(open_lists, "key", "left_semi"), many)
+    rest = apart_pairs(written(placed.join(open_lists, "key", "left_semi")), many)
     rest = written(plausible(written(rest.join(compared, ["a", "b"], "left_anti")), many))
     more = written(linked(rest, whole_sets(docs, doc_ids(rest, classes))))
     let_go(docs)
