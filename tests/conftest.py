@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
 
     home = tmp_path_factory.mktemp("spark")
     conf = {
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": f"file://{home}/shared",
+        "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.checkpoint.dir": f"file://{home}/shared",
         "spark.sql.warehouse.dir": f"{home}/warehouse", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "3g",
     }
     session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
