@@ -289,7 +289,7 @@ def test_bpe_equals_the_library(docs, empty):
     for text in [*(t or "" for t in TEXTS), "x" * 5000, "aaab" * 999]:
         ids = codec.encoded(text)
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
-        assert codec.decoded(ids).decode() == text
+        assert codec.decoded(ids).decode() == text == library.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
     assert by_id(bpe.encode_decode(docs, path))[0]["n_tokens"] == 0 and bpe.encode_decode(empty, path).count() == 0
 
 
@@ -393,6 +393,28 @@ def test_shards_are_exact_and_uniform(spark, docs, empty):
     assert odd[0]["size"] == 1 and odd[0]["text_crc32"] == 0 and odd[3]["text_crc32"] == zlib.crc32(b"one") and sharding.shuffled_documents(empty).count() == 0
 
 
+def test_matrix_counts_follow_the_hypergeometric_law():
+    from math import comb
+
+    seen = Counter(int(sharding.communication_matrix([4, 3], [5, 2], seed)[0, 0]) for seed in range(6000))
+    for k in range(2, 5):  # of 4 rows of the first bucket, k in the shard of 5 among 7
+        want = comb(5, k) * comb(2, 4 - k) / comb(7, 4)
+        assert abs(seen[k] / 6000 - want) < 0.03
+    many = [sharding.hypergeometric(np.random.default_rng(k), 40, 60, 30) for k in range(3000)]
+    assert abs(np.mean(many) - 12) < 0.2 and abs(np.var(many) - 30 * 0.4 * 0.6 * 70 / 99) < 0.6
+
+
+def test_packing_is_the_same_for_ties_and_repeated_rows(spark):
+    path = tokenizer("word_bpe_49k.json")
+    rows = [(k % 3, "same words again and again") for k in range(50)] + [(None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    one, two = (packing.packed(docs, path).orderBy("sequence_id", "offset").collect() for _ in range(2))
+    assert one == two and sum(r.length for r in one if r.doc_id is None) == 3
+    total = sum(r.length for r in one)
+    sizes = {r.sequence_id: r.context for r in one}
+    assert sum(sizes.values()) == total and sum(s < packing.TIERS[0] for s in sizes.values()) <= 11
+
+
 def test_packing_is_whole_and_tight(docs, empty):
     from tokenizers import Tokenizer
 
