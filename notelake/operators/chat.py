@@ -79,7 +79,7 @@ def slack_channel_days(messages: DataFrame, users: DataFrame, most: int = 8000)
     orphan = F.col("_reply") & F.col("_root").isNull()
     line = F.concat(F.when(F.col("_reply") & ~orphan, "  ↳ ").otherwise(""), F.coalesce("_name", "user", F.lit("unknown")), F.lit(": "), text)
     key = F.struct(orphan.cast("int"), F.when(F.col("_reply"), F.col("thread_ts")).otherwise(F.col("ts")), F.col("_reply").cast("int"), "ts")
-    ordered = rows.select("channel", "day", line.alias("text"), F.row_number().over(W.partitionBy("channel", "day").orderBy(key, "_id")).alias("pos"))
+    ordered = rows.select("channel", "day", line.alias("text"), F.struct(key.alias("k"), "_id").alias("pos"))
     parts = chunk_conversation(ordered, ["channel", "day"], most)
     base = F.concat(F.lit("#"), F.col("channel"), F.lit(" "), F.col("day").cast("string"))
     return parts.withColumn("title", part_title(base, F.col("part"), F.col("n_parts")))

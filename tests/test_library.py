@@ -15,6 +15,7 @@ from notelake.plans import ingest as I
 from notelake.plans import views as V
 from notelake.queries import QUERIES
 from notelake.sources import files as S
+from notelake.sources import scratch
 from notelake.streaming.ingest import ingest_stream
 
 def as_of():
@@ -292,7 +293,12 @@ def test_searches_in_blocks_find_the_same(spark, monkeypatch):
     assert sorted(search.text_search(recs, asked).collect()) == whole and len(whole) == 40
 
 
-def test_claude_export_and_scratch(spark):
+def test_scratch_tables_can_be_cleared(spark):
+    kept = scratch.written(spark.range(3))
+    assert kept.count() == 3 and scratch.clear(spark) >= 1 and scratch.clear(spark) == 0
+
+
+def test_claude_export(spark):
     text = json.dumps([{"uuid": "u", "name": "N", "created_at": "2024-01-02T00:00:00Z", "chat_messages": [{"sender": "human", "text": "hi"}, {"sender": "assistant", "text": "", "content": [{"type": "text", "text": "yo"}, {"type": "x", "text": "no"}]}]}])
     facts, messages = S.claude_conversations(spark.createDataFrame([("p", text)], "path string, text string"))
     assert facts.first()["title"] == "N" and [(r.role, r.text) for r in messages.orderBy("pos").collect()] == [("human", "hi"), ("assistant", "yo")]
