@@ -78,11 +78,6 @@ def parse_html(files: DataFrame) -> DataFrame:
     return as_items(files.select("path", "format", title.alias("title"), html_to_text(F.col("text")).alias("content")))
 
 
-def _table(files: DataFrame) -> DataFrame:
-    rows = files.withColumn("_r", H.csv_rows(F.col("text"))).filter("size(_r) > 1")
-    return rows.select("path", "format", "base_name", F.element_at("_r", 1).alias("head"), F.posexplode(F.slice("_r", F.lit(2), F.size("_r") - 1)).alias("row", "cells"))
-
-
 def _cells(head: Column, cells: Column, clean=lambda v: v) -> Column:
     """(h, v) for each column of the header; missing cells are empty, cells beyond it don't count."""
     return F.transform(head, lambda h, k: F.struct(h.alias("h"), clean(F.coalesce(F.get(cells, k), F.lit(""))).alias("v")))

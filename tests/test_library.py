@@ -293,6 +293,22 @@ def test_searches_in_blocks_find_the_same(spark, monkeypatch):
     assert sorted(search.text_search(recs, asked).collect()) == whole and len(whole) == 40
 
 
+def test_exports_are_read_from_folders(spark, tmp_path):
+    (tmp_path / "s" / "general").mkdir(parents=True)
+    (tmp_path / "s" / "users.json").write_text(json.dumps([{"id": "U1", "name": "n", "profile": {"display_name": " ", "real_name": "Ana"}}]))
+    (tmp_path / "s" / "channels.json").write_text("[]")
+    (tmp_path / "s" / "general" / "2024-01-02.json").write_text(json.dumps([{"type": "message", "user": "U1", "text": "hi", "ts": "1"}, {"type": "message", "user": "U1", "text": "re", "ts": "2", "thread_ts": "1"}]))
+    messages, users = S.read_slack(spark, f"file://{tmp_path}/s")
+    assert [(r.channel, r.day, r.ts, r.thread_ts) for r in messages.orderBy("ts").collect()] == [("general", "2024-01-02", "1", None), ("general", "2024-01-02", "2", "1")]
+    assert [(r.id, r["name"]) for r in chat.slack_user_map(users).collect()] == [("U1", "Ana")]
+    (tmp_path / "c.json").write_text(json.dumps([{"title": "T", "create_time": 1.0, "current_node": "1", "mapping": {"1": {"id": "1", "message": {"author": {"role": "user"}, "content": {"content_type": "text", "parts": ["hello", {"x": 1}]}}}}}]))
+    facts, nodes, heads = S.read_chatgpt(spark, f"file://{tmp_path}/c.json")
+    assert (facts.first()["title"], nodes.first()["text"], heads.first()["current"]) == ("T", "hello", "1")
+    (tmp_path / "d.json").write_text(json.dumps([{"name": "N", "created_at": "2024-01-02T00:00:00Z", "chat_messages": [{"sender": "human", "text": "hi"}]}]))
+    facts, messages = S.read_claude(spark, f"file://{tmp_path}/d.json")
+    assert (facts.first()["title"], messages.first()["text"]) == ("N", "hi")
+
+
 def test_scratch_tables_can_be_cleared(spark):
     kept = scratch.written(spark.range(3))
     assert kept.count() == 3 and scratch.clear(spark) >= 1 and scratch.clear(spark) == 0
