@@ -6,8 +6,9 @@ import os
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from notelake.llm import bpe, lm, media, ngram_join, packing, pii, quality, secret_scan, sharding, url_filter
+from notelake.llm import bpe, conversation_repair, hard_negatives as hard, lm, media, ngram_join, packing, pii, quality, secret_scan, sharding, topk_search, url_filter
 
 #: The list of op4: URLs of pages with such a title (a word with three symbols at its end).
 LISTED_TITLE = "[a-z](%%%|###)"
@@ -69,12 +70,27 @@ def op10_packing(spark, sf_dir):
     return packing.packed(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (op1_ngram_join, op2_pii, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_media, media_clips, op7_bpe, op8_lm, op9_sharding, op10_packing)
-}
+def op11_topk(spark, sf_dir):
+    return topk_search.top_scores(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return conversation_repair.repaired(conversation_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    label = F.col("label").cast("long")
+    return hard.hard_negatives(_table(spark, sf_dir, "embeddings"), F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label), F.col("vec_id") % 100 == 0)
+
+
+_ALL = (
+    op1_ngram_join, op2_pii, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_media, media_clips, op7_bpe, op8_lm, op9_sharding, op10_packing,
+    op11_topk, op12_conversation_repair, op13_hard_negatives,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
 SQL = {
     "op4_url_filter": f"""
 with p as (
@@ -94,4 +110,15 @@ r as (
 select page_id, host, path, rule,
   case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' when listed then 'block' else 'allow' end as verdict, listed
 from r""",
+    "op11_topk": f"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings where {_FINITE} and vec_id is not null),
+m as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from m qualify rank <= 5""",
+    "op13_hard_negatives": f"""
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where {_FINITE} and vec_id is not null and label is not null),
+m as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, cast(list_inner_product(a.v, c.v) as bigint) as score from v a, v c where a.vec_id % 100 = 0 and c.vec_id <> a.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from m where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select m.anchor_id, positive_id, cast(row_number() over (partition by m.anchor_id, positive_id order by score desc, vec_id) as integer) as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join m on m.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score qualify rank <= 10""",
 }
