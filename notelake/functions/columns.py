@@ -68,9 +68,13 @@ def content_hash(content: Column) -> Column:
     return F.sha2(ws_trim(content), 256)
 
 
+def words(text: Column) -> Column:
+    """Runs of three small letters and digits or more."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{3,}"), 0)
+
+
 def tokenize(text: Column) -> Column:
-    words = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s-]", " "), r"[\s-]+")
-    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*STOP_WORDS))
+    return F.filter(words(text), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def stem(word: Column) -> Column:

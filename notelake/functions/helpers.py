@@ -9,18 +9,20 @@ import email.utils
 import json
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from notelake.functions.columns import HTML_STEPS, SQUEEZE_STEPS
+from notelake.functions.columns import STOP_WORDS as _STOPPED
 
 #: Named character entities.
 ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "—", "ndash": "–", "hellip": "…",
     "ldquo": "“", "rdquo": "”", "lsquo": "‘", "rsquo": "’",
 }
+STOP_WORDS = frozenset(_STOPPED)
 BODY_MOST, HTML_MOST, HEADER_MOST, REFERENCES_MOST = 16 << 10, 64 << 10, 1024, 50
 
 
@@ -334,6 +336,102 @@ def parse_messages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+def automaton_hits(needles: list[str], worth: list[int], limit: int):
+    """For mapInArrow over (id, texts in order): (needle, id, score), the best ``limit`` of each needle in a batch. A text is read once for all
+    needles; the first text that holds one decides what it is worth."""
+    import ahocorasick
+    import pyarrow as pa
+
+    def run(batches):
+        machine = ahocorasick.Automaton()
+        for k, x in enumerate(needles):
+            machine.add_word(x, k)
+        machine.make_automaton()
+        for batch in batches:
+            hits: dict[int, list] = {}
+            for id, *texts in zip(*(c.to_pylist() for c in batch.columns)) if needles else ():
+                seen: set[int] = set()
+                for text, score in zip(texts, worth):
+                    new = {k for _, k in machine.iter(text)} - seen
+                    seen |= new
+                    for k in new:
+                        hits.setdefault(k, []).append((-score, id))
+            kept = [(needles[k], id, -score) for k, own in hits.items() for score, id in sorted(own)[:limit]]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), (pa.string(), batch.schema.field(0).type, pa.int32()))], names=["needle", "id", "score"])
+
+    return run
+
+
+def _codes(text: bytes):
+    import numpy as np
+
+    b = np.frombuffer(text, np.uint8).astype(np.int32)
+    return (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+
+
+def grams_of(batches):
+    """For mapInArrow over (needle): (needle, term), its distinct trigrams of bytes as numbers below 2**24."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for needle in batch.column(0).to_pylist():
+            own = np.unique(_codes(needle.encode()))
+            yield pa.RecordBatch.from_arrays([pa.array([needle] * len(own)), pa.array(own, pa.int32())], names=["needle", "term"])
+
+
+def grams_met(terms):
+    """For mapInArrow over (id, text): (id, terms), those of ``terms`` that a text holds."""
+    import numpy as np
+    import pyarrow as pa
+
+    bits = np.zeros(1 << 24, bool)
+    bits[terms] = True
+    packed_bits, piece = np.packbits(bits), 1 << 20
+
+    def run(batches):
+        asked = np.unpackbits(packed_bits).view(bool)
+        for batch in batches:
+            found = []
+            for text in batch.column(1).cast(pa.large_binary()).to_pylist():
+                held = [np.unique(c[asked[c]]) for at in range(0, len(text or b"") - 2, piece) for c in [_codes(text[at : at + piece + 2])]]
+                found.append(held[0] if len(held) == 1 else np.unique(np.concatenate(held)) if held else np.empty(0, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["id", "terms"])
+
+    return run
+
+
+_WORD = re.compile("[a-z0-9]{3,}")
+_DOUBLED = re.compile(r"([^aeiou])\1$")
+
+
+@lru_cache(1 << 18)
+def stem(word: str) -> str | None:
+    """``columns.stem`` of one word, null for a word that searches leave out."""
+    if word in STOP_WORDS:
+        return None
+    n = len(word)
+    if word.endswith("ies") and n > 4:
+        return word[:-3]
+    for end, least in (("ing", 5), ("ed", 4)):
+        if word.endswith(end) and n > least:
+            cut = word[: -len(end)]
+            return _DOUBLED.sub(r"\1", cut) if len(cut) >= 3 else cut
+    if word.endswith("es") and n > 4:
+        return word[:-2]
+    return word[:-1] if word.endswith("s") and n > 3 and not word.endswith("ss") else word
+
+
+def record_stems(batches):
+    """For mapInArrow over (id, text): (id, terms), the distinct stemmed words. A worker keeps the stems of words that it has met."""
+    import pyarrow as pa
+
+    for batch in batches:
+        own = [list({stem(w) for w in set(_WORD.findall((x or "").lower()))} - {None}) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.string()))], names=["id", "terms"])
+
+
 def vector_blocks(rows: int):
     """For mapInPandas over (id, vector): blocks of at most ``rows`` vectors (ids, numbers of unit length as bytes)."""
     import numpy as np

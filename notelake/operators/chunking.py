@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from notelake.functions.helpers import chunk_text, packed
+from notelake.operators.packing import pack_long
+from notelake.operators.ranks import ranked
 from notelake.sources.scratch import written
 
+#: Messages of a key that one task packs.
+LONG = 100_000
+
 
 def chunked(items: DataFrame, most: int = 4000) -> DataFrame:
     """Items (with doc, title, content) as parts: part from 1, n_parts, content; blank items vanish."""
@@ -23,26 +27,21 @@ def part_title(title: Column, part: Column, n: Column) -> Column:
 
 def chunk_conversation(messages: DataFrame, keys: list[str], most: int = 8000) -> DataFrame:
     """keys, part, n_parts, content of (keys, pos, text): whole messages are packed, an oversized one is cut on its own. A key's messages
-    stream through one task in order; only the current chunk is held."""
-    rows = messages.filter("trim(text) <> ''").select(*keys, "pos", "text").repartition(*keys).sortWithinPartitions(*keys, "pos", "text")
+    stream through one task in order, which holds only the current chunk; a key of more than LONG is packed in segments over many tasks."""
+    rows = written(messages.filter("trim(text) <> ''").select(*keys, "pos", "text"))
     kinds = dict(messages.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", part int, content string"
-    parts = written(rows.select(*keys, "text").mapInPandas(packed(keys, most), schema))
+    ordinary = lambda own: own.repartition(*keys).sortWithinPartitions(*keys, "pos", "text").select(*keys, "text").mapInPandas(packed(keys, most), schema)
+    long = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > LONG).drop("_n")
+    if rows.count() <= LONG or long.isEmpty():
+        parts = written(ordinary(rows))
+    else:
+        long = written(long.select(*(F.col(k).alias(f"_l_{k}") for k in keys)))
+        same = [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys]
+        parts = written(ordinary(rows.join(long, same, "left_anti")).unionByName(pack_long(rows.join(long, same, "left_semi"), keys, most)))
     return parts.join(parts.groupBy(*keys).agg(F.count("*").alias("n_parts")), keys)
 
 
-def ranked(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
-    """The place (from 1, in ``order``) of each row among those equal in ``by``. Rows are dealt by ranges of ``order``; a place is that within
-    the range plus the counts of earlier ranges, so a value that most rows share isn't one task."""
-    placed = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    counts = placed.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(W.partitionBy(*by).orderBy("_range")) - F.col("_n")).drop("_n")
-    before = before.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_range").alias("_r"), "_before")
-    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by] + [F.col("_range") == F.col("_r")]
-    own = placed.withColumn("_own", F.row_number().over(W.partitionBy(*by, "_range").orderBy(*order)))
-    return own.join(before, same).withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_r", "_own", "_before", *(f"_by_{c}" for c in by))
-
-
 def dedupe_titles(df: DataFrame, export: list[str], order: list[Column], blank: str = "Untitled conversation") -> DataFrame:
     """Within an export the n-th equal title gets `` (n)``; blank ones get a name."""
     base = F.when(F.trim(F.coalesce("title", F.lit(""))) == "", blank).otherwise(F.trim("title"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from notelake.functions import columns as C
+from notelake.operators.postings import intersect, record_terms
 from notelake.operators.search import top
+from notelake.sources.scratch import spread, written
 
 KEY = ["source_type", "source_id", "target_type", "target_id", "relation_type", "owner_id"]
 
@@ -38,22 +41,28 @@ def link_counts(links: DataFrame) -> DataFrame:
     return ends.groupBy("type", "id").agg(F.count("*").alias("total"), F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"))
 
 
-def suggest_links(knowledge: DataFrame, links: DataFrame, items: DataFrame, limit: int = 5) -> DataFrame:
-    """item_id, id, relation, preview, rank: records that hold all key terms of an item, not linked with it. The join starts from the two
-    rarest terms of an item, once for all items that share them; the others are verified on the record's own terms."""
-    words = knowledge.select("id", "type", "created_at", C.stems(F.concat_ws(" ", "title", "content")).alias("have"))
-    each = words.select("id", F.explode("have").alias("term"))
-    asked = knowledge.join(items, "id", "left_semi").select(F.col("id").alias("item_id"), F.col("type").alias("item_type"), F.array_distinct(F.transform(C.key_terms(F.col("title"), F.col("content")), C.stem)).alias("need")).filter("size(need) > 0")
-    terms = asked.select("item_id", F.explode("need").alias("term"))
-    rare = each.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").count()
-    two = top(terms.join(rare, "term"), ["item_id"], [F.asc("count"), F.asc("term")], 2)
-    start = two.groupBy("item_id").agg(F.min_by("term", "rank").alias("term"), F.max_by("term", "rank").alias("second"))
-    held = each.join(start.select("term", "second").distinct(), "term")
-    held = held.join(each.select("id", F.col("term").alias("second")), ["id", "second"]).select("id", "term", "second")
-    met = asked.join(start, "item_id").join(held, ["term", "second"]).filter("id <> item_id").join(words, "id").filter("size(array_except(need, have)) = 0")
+def suggest_links(knowledge: DataFrame, links: DataFrame, items: DataFrame, limit: int = 5, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """item_id, id, relation, preview, rank: the newest records that hold all key terms of an item, without itself and those linked with it.
+
+    Items of the same terms are one set, whose records are found once, in posting lists (``index``, as ``read_index`` gives them; else made here). An item looks no further down its set's list than ``limit``, itself and its own links together
+    take, so a set that many items share isn't expanded into all pairs."""
+    need = F.array_sort(F.array_distinct(F.transform(C.key_terms(F.col("title"), F.col("content")), C.stem)))
+    own = spread(knowledge.select("id", "type", "title", F.substring("content", 1, 200).alias("content"))).join(items.select("id"), "id", "left_semi")
+    asked = written(own.select(F.col("id").alias("item_id"), F.col("type").alias("item_type"), need.alias("terms")).filter("size(terms) > 0").withColumn("set_id", F.array_join("terms", " ")))
+    forward, postings = index or (written(record_terms(knowledge, F.concat_ws(" ", "title", "content"))), None)
+    hits = written(intersect(asked.select("set_id", "terms").distinct(), forward, postings))
     ends = links.filter("source_type = 'knowledge' AND target_type = 'knowledge'")
     linked = ends.select(F.col("source_id").alias("item_id"), F.col("target_id").alias("id")).union(ends.select("target_id", "source_id"))
-    best = top(met.join(linked, ["item_id", "id"], "left_anti"), ["item_id"], [F.desc("created_at"), F.asc("id")], limit)
+    known = written(linked.join(asked.select("item_id", "set_id"), "item_id").join(hits, ["set_id", "id"]).select("item_id", "id").distinct())  # links that would be suggested
+    reach = asked.select("item_id", "item_type", "set_id").join(known.groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left")
+    reach = written(reach.withColumn("reach", limit + 1 + F.coalesce("n", F.lit(0))).drop("n"))
+    most = reach.groupBy("set_id").agg(F.max("reach").alias("most"))
+    order = [F.desc("created_at"), F.asc("id")]
+    dated = hits.join(knowledge.select("id", "type", "created_at"), "id").join(most, "set_id").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    thinned = dated.withColumn("place", F.row_number().over(W.partitionBy("set_id", "_salt").orderBy(*order))).filter("place <= most")  # before a long list meets in one task
+    placed = thinned.withColumn("place", F.row_number().over(W.partitionBy("set_id").orderBy(*order))).filter("place <= most")
+    wanted = reach.select("item_id", "item_type", "set_id", F.explode(F.sequence(F.lit(1), F.col("reach").cast("int"))).alias("place"))
+    met = wanted.join(placed.select("set_id", "place", "id", "type", "created_at"), ["set_id", "place"]).filter("id <> item_id").join(known, ["item_id", "id"], "left_anti")
+    best = top(met, ["item_id"], order, limit)
     preview = F.coalesce("summary", F.when(F.length("content") > 100, F.concat(F.substring("content", 1, 100), F.lit("..."))).otherwise(F.col("content")))
-    texts = knowledge.select("id", preview.alias("preview"))
-    return best.select("item_id", "id", C.relation_hint(F.col("item_type"), F.col("type")).alias("relation"), "rank").join(texts, "id")
+    return best.select("item_id", "id", C.relation_hint(F.col("item_type"), F.col("type")).alias("relation"), "rank").join(knowledge.select("id", preview.alias("preview")), "id")

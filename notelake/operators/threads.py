@@ -11,6 +11,10 @@ from notelake.operators.chunking import chunk_conversation, dedupe_titles, part_
 from notelake.operators.search import top
 from notelake.sources.scratch import written
 
+#: Edges beyond which a node is a hub, and hubs whose table is broadcast.
+HUB, MOST_HUBS = 100_000, 500_000
+
+
 def dedupe_messages(messages: DataFrame) -> DataFrame:
     """The first row of each message id; messages without any stay; blank body and subject together go."""
     full = messages.filter("trim(coalesce(body, '')) <> '' OR trim(coalesce(subject, '')) <> ''")
@@ -18,18 +22,40 @@ def dedupe_messages(messages: DataFrame) -> DataFrame:
     return named.unionByName(full.filter("message_id IS NULL"))
 
 
+def beside(rows: DataFrame, facts: DataFrame, key: str, n: int) -> DataFrame:
+    """``rows`` (n at most) joined with one row of ``facts`` a key, whose ``n`` is the number of rows of that key. Rows of a hub (over HUB of
+    them) get theirs from a small table and stay where they are; hubs are no more than n / HUB."""
+    if n <= HUB:
+        return rows.join(facts.drop("n"), key)
+    facts = written(facts)
+    hubs = facts.filter(F.col("n") > HUB).drop("n")
+    if not 0 < hubs.count() <= MOST_HUBS:
+        return rows.join(facts.drop("n"), key)
+    others = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(facts.filter(F.col("n") <= HUB).drop("n"), key)
+    return rows.join(F.broadcast(hubs), key).unionByName(others)
+
+
+def with_least(edges: DataFrame, n: int) -> DataFrame:
+    """(u, v, m) of n edges (u, v): each with the least of u and its neighbours."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return beside(edges, least, "u", n)
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, comp: the least node that edges (a, b) reach; least labels spread and jump until none changes."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = nodes.select("node", F.col("node").alias("comp"))
+    """node, comp: the least node that edges (a, b) reach.
+
+    Kiveris et al., "Connected Components in MapReduce and Beyond" (2014): a large-star round links each node's greater neighbours to the
+    least one near it, a small-star round its smaller ones, until only stars are left."""
+    star = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     while True:
-        seen = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("m"))
-        near = labels.join(seen, F.col("node") == F.col("a"), "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("m", "comp")).alias("comp"))
-        up = near.select(F.col("node").alias("r"), F.col("comp").alias("up"))
-        done = written(near.join(up, F.col("comp") == F.col("r"), "left").select("node", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
-        labels = done.select("node", "comp")
-        if done.filter("old <> comp").isEmpty():
-            return labels
+        both = star.select(F.col("a").alias("u"), F.col("b").alias("v")).union(star.select("b", "a"))
+        large = with_least(both, 2 * star.count()).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = written(large)
+        near = with_least(large, large.count())
+        star = written(near.select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").union(near.select("u", "m")).distinct())
+        twice = star.groupBy("a").count().filter("count > 1").isEmpty()
+        if twice and star.join(star.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
+            return nodes.join(star.select(F.col("a").alias("node"), F.col("b").alias("comp")), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
 def assign_threads(messages: DataFrame) -> DataFrame:
@@ -39,14 +65,14 @@ def assign_threads(messages: DataFrame) -> DataFrame:
     own = messages.select(F.col("pos").alias("node"), ids.alias("ids"), C.normalize_subject(F.coalesce("subject", F.lit(""))).alias("subject"), C.is_reply(F.col("subject")).alias("reply"))
     own = written(own)
     each = own.select("node", F.explode("ids").alias("name"))
-    hubs = each.groupBy("name").agg(F.min("node").alias("a"))
-    by_id = components(own, each.join(hubs, "name").filter("a <> node").select("a", F.col("node").alias("b")))
+    hubs = each.groupBy("name").agg(F.min("node").alias("a"), F.count("*").alias("n"))
+    by_id = written(components(own.select("node"), beside(each, hubs, "name", each.count()).filter("a <> node").select("a", F.col("node").alias("b"))))
     first = own.join(by_id.select(F.col("comp").alias("node")).distinct(), "node", "left_semi")
     attach = first.filter("(size(ids) = 0 OR reply) AND subject <> ''").select("node", "subject")
     # The earliest message of the subject is found for every thread that looks for one.
-    earliest = own.filter("subject <> ''").groupBy("subject").agg(F.min("node").alias("a"))
-    more = attach.join(earliest, "subject").filter("a < node").select("a", F.col("node").alias("b"))
-    joined = components(own, by_id.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
+    earliest = own.filter("subject <> ''").groupBy("subject").agg(F.min("node").alias("a"), F.count("*").alias("n"))
+    more = beside(attach, earliest, "subject", own.count()).filter("a < node").select("a", F.col("node").alias("b"))
+    joined = components(own.select("node"), by_id.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
     return messages.join(joined.select(F.col("node").alias("pos"), F.col("comp").alias("thread_id")), "pos")
 
 

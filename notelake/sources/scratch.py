@@ -29,6 +29,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where they come in fewer partitions, as those of a few files do; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def clear(spark: SparkSession) -> int:
     """Delete the tables that this process made so far; results that read them can't be computed any more. Gives their number."""
     gone = 0
