@@ -100,9 +100,8 @@ def meet(queries: DataFrame, rows: DataFrame, make: Callable, schema: str) -> Da
     """``make()`` runs once a task; ``make()(query table)`` gives a search with ``add(row table)`` and ``found() -> record batch``. Queries
     are (id, key, label, v) and may have more columns of their own; a search of a cell is made of its queries, gets its rows in blocks, and
     is asked at the end of the cell."""
-    counts = rows.agg(F.count("*").alias("n")).crossJoin(queries.agg(F.count("*").alias("q"))).first()  # one row each
-    n_rows = -(-max(1, counts["n"]) // min(MOST_GROUP, max(LEAST_GROUP, counts["n"] // GROUPS)))
-    n_queries = -(-max(1, counts["q"]) // QUERY_GROUP)
+    n = max(1, rows.count())
+    n_rows, n_queries = -(-n // min(MOST_GROUP, max(LEAST_GROUP, n // GROUPS))), -(-max(1, queries.count()) // QUERY_GROUP)
     group = lambda n, seed: F.pmod(F.xxhash64("id", "key", F.lit(seed)), F.lit(n))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.select("*", group(n_queries, 1).alias("_q"), F.lit(0).alias("kind")).select("*", each(n_rows).alias("_r"))
