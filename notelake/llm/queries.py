@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from notelake.llm import bpe, conversation_repair, hard_negatives as hard, lm, media, ngram_join, packing, pii, quality, secret_scan, sharding, topk_search, url_filter
 
-#: The list of op4: URLs of pages with such a title (a word with three symbols at its end).
+#: The list of op4: URLs of hosts that have another page with such a title (a word with three symbols at its end).
 LISTED_TITLE = "[a-z](%%%|###)"
 
 
@@ -38,7 +38,7 @@ def op3_quality_rules(spark, sf_dir):
 
 def op4_url_filter(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages")
-    return url_filter.url_verdicts(pages, url_filter.urls_of_pages(pages, LISTED_TITLE))
+    return url_filter.url_verdicts(pages, url_filter.urls_beside_marks(pages, LISTED_TITLE))
 
 
 def op5_secret_scan(spark, sf_dir):
@@ -98,7 +98,8 @@ with p as (
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) as title
   from pages),
 c as (select *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html|/)$', '') as canon from p),
-l as (select distinct canon from c where host <> '' and regexp_matches(title, '{LISTED_TITLE}')),
+g as (select regexp_replace(host, '^(www|m)\\.', '') as site, canon, max(case when regexp_matches(title, '{LISTED_TITLE}') then 1 else 0 end) as mark from c where host <> '' group by 1, 2),
+l as (select distinct canon from (select canon, sum(mark) over (partition by site) - mark as others from g) where others > 0),
 r as (
   select c.*, case when host = '' then false else l.canon is not null end as listed,
     case when (host = 'example.org' or suffix(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'

@@ -107,9 +107,13 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules=tuple(RULES)) -> Dat
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("_listed").alias("listed"))
 
 
-def urls_of_pages(pages: DataFrame, title: str) -> DataFrame:
-    """A list of canonical URLs: those under which some page was fetched whose title matches ``title``. Other pages of the same host, and
-    other addresses of the same page, need not match."""
+def urls_beside_marks(pages: DataFrame, title: str) -> DataFrame:
+    """A list of canonical URLs: those of hosts (without ``www.`` or ``m.``) on which some page under another canonical URL has a title that matches
+    ``title``. What a page says itself never lists it."""
     url = F.col("url").cast("string")
-    rows = pages.filter(F.regexp_extract(F.col("html").cast("string"), "(?is)<title>(.*?)</title>", 1).rlike(title)).select(host_of(url).alias("host"), path_of(url).alias("path"))
-    return rows.filter("host <> ''").select(canonical(F.col("host"), F.col("path")).alias("url")).distinct()
+    marked = F.coalesce(F.regexp_extract(F.col("html").cast("string"), "(?is)<title>(.*?)</title>", 1).rlike(title), F.lit(False)).cast("int")
+    rows = pages.select(host_of(url).alias("_h"), path_of(url).alias("_p"), marked.alias("_m")).filter("_h <> ''")
+    rows = rows.select(canonical(F.col("_h"), F.lit("")).alias("host"), canonical(F.col("_h"), F.col("_p")).alias("url"), "_m")
+    each = rows.groupBy("host", "url").agg(F.max("_m").alias("_m"))
+    hosts = each.groupBy("host").agg(F.sum("_m").alias("n")).filter("n > 0")
+    return each.join(hosts, "host").filter("n > _m").select("url").distinct()

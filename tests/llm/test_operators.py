@@ -189,10 +189,10 @@ def test_list_of_pages_and_both_ways_to_join_it(spark, monkeypatch):
         (1, "http://www.a.net/x.html?q=1", "<title>Bad### word</title>"), (2, "https://a.net/x/", "<title>fine</title>"), (3, "https://a.net/y", "<title>fine</title>"), (4, None, "<title>no### url</title>"),
         (5, "http://b.net/z", None), (6, "http://a.net/x", "<title>fine</title>"),
     ], "page_id long, url string, html string")
-    listed = url_filter.urls_of_pages(pages, "[a-z](%%%|###)")
-    assert [r.url for r in listed.collect()] == ["a.net/x"]
+    listed = url_filter.urls_beside_marks(pages, "[a-z](%%%|###)")
+    assert [r.url for r in listed.collect()] == ["a.net/y"]
     one = sorted(url_filter.url_verdicts(pages, listed).collect())
-    assert [r.listed for r in one] == [True, True, False, False, False, True]
+    assert [r.listed for r in one] == [False, False, True, False, False, False]
     monkeypatch.setattr(url_filter, "BROADCAST_KEYS", -1)
     monkeypatch.setattr(url_filter, "BITS", 1)  # a filter of one bit passes false hits, which the exact join takes out
     monkeypatch.setattr(url_filter, "BITS_PER_KEY", 1)
@@ -225,6 +225,21 @@ def test_media_round_trip(docs, empty):
     assert media.clips(media.films(docs)).count() >= docs.count()
 
 
+def test_url_list_follows_other_pages(spark, monkeypatch):
+    """A page is listed for what others of its host say: neither every marked page is listed, nor only those."""
+    title = lambda x: f"<title>{x}</title>"
+    rows = [(1, "http://a.net/1", title("bad%%%")), (2, "http://www.a.net/2/", title("fine")), (3, "http://b.net/1", title("bad###")), (4, "http://c.net/1", title("fine")), (5, "http://d.net/1", title("bad%%%")), (6, "http://m.d.net/1.html", title("bad%%%")), (7, "http://d.net/2", title("bad%%%")), (8, None, title("bad%%%")), (9, "http://e.net/1", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    listed = url_filter.urls_beside_marks(pages, "[a-z](%%%|###)")
+    want = {2, 5, 6, 7}
+    assert {r.page_id for r in url_filter.url_verdicts(pages, listed).filter("listed").collect()} == want
+    monkeypatch.setattr(url_filter, "BITS", 1)  # one block and one bit a key: pages that aren't listed hit the filter
+    monkeypatch.setattr(url_filter, "BITS_PER_KEY", 1)
+    more = spark.createDataFrame([(100 + k, f"http://x{k}.net/", None) for k in range(3000)], "page_id long, url string, html string")
+    own = url_filter.url_verdicts(pages.unionByName(more), listed)
+    assert {r.page_id for r in own.filter("listed").collect()} == want and "_w0" in own._jdf.queryExecution().toString()
+
+
 def slow_frame(frame):
     """The bytes behind a frame by the book: segments, then bits one by one, then amplitudes of size class 8."""
     at, tables, restart = 2, [], 0
