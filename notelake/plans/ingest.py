@@ -74,23 +74,34 @@ def slack_items(files: DataFrame) -> DataFrame:
     return items.join(each.select("path", "channel", "day").distinct(), ["channel", "day"]).select("path", F.col("part").alias("pos"), "title", "content", F.lit("reference").alias("type"), tags.alias("tags"), meta.alias("source_meta"), F.lit("slack").alias("format"))
 
 
-def mail_items(spark: SparkSession, files: DataFrame, root: str, include_bulk: bool) -> DataFrame:
-    """Thread records of all mail files together; an item belongs to the file of its oldest message."""
-    eml = files.filter("format = 'eml'").select("path", F.lit(1).cast("long").alias("pos"), F.col("text").alias("raw"))
-    raw, block, paths = eml, [], files.filter("format = 'mbox' AND status IS NULL").select("path")
-    for row in paths.toLocalIterator():
+def raw_mail(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """path, pos, raw of all mail files."""
+    raw, block = files.filter("format = 'eml'").select("path", F.lit(1).cast("long").alias("pos"), F.col("text").alias("raw")), []
+    for row in files.filter("format = 'mbox' AND status IS NULL").select("path").toLocalIterator():
         block.append(row["path"])
         if len(block) == MAIL_BLOCK:
             raw, block = raw.unionByName(S.read_mbox(spark, block)), []
-    raw = raw.unionByName(S.read_mbox(spark, block)) if block else raw
-    parsed, _ = drop_bulk(S.parse_messages(raw), include_bulk)
-    unique = threads.dedupe_messages(parsed.filter("error IS NULL"))
-    numbered = unique.withColumn("pos", F.concat("path", F.lit("\x00"), F.lpad(F.col("pos").cast("string"), 12, "0")))  # files in order of path
-    placed = written(threads.assign_threads(numbered))
+    return raw.unionByName(S.read_mbox(spark, block)) if block else raw
+
+
+def mail_messages(raw: DataFrame, include_bulk: bool) -> DataFrame:
+    """Parsed messages, each once; ``pos`` orders them by file and place."""
+    unique = threads.dedupe_messages(drop_bulk(S.parse_messages(raw), include_bulk)[0].filter("error IS NULL"))
+    return unique.withColumn("pos", F.concat("path", F.lit("\x00"), F.lpad(F.col("pos").cast("string"), 12, "0")))  # files in order of path
+
+
+def thread_records(placed: DataFrame) -> DataFrame:
+    """Items of messages with their thread_id."""
     items, facts = threads.thread_items(placed), threads.thread_facts(placed)
     meta = F.create_map(F.lit("message_count"), F.col("message_count").cast("string"), F.lit("participants"), F.array_join("participants", ", "))
-    rows = items.join(facts, "thread_id")
-    return rows.select(F.col("origin").alias("path"), F.row_number().over(W.partitionBy("origin").orderBy("first_date", "thread_id", "part")).alias("pos"), "title", "content", F.lit("reference").alias("type"), F.array(F.lit("email")).alias("tags"), meta.alias("source_meta"), F.lit("eml").alias("format"))
+    pos = F.row_number().over(W.partitionBy("origin").orderBy("first_date", "thread_id", "part"))
+    return items.join(facts, "thread_id").select("thread_id", F.col("origin").alias("path"), pos.alias("pos"), "title", "content", F.lit("reference").alias("type"), F.array(F.lit("email")).alias("tags"), meta.alias("source_meta"), F.lit("eml").alias("format"))
+
+
+def mail_items(spark: SparkSession, files: DataFrame, root: str, include_bulk: bool) -> DataFrame:
+    """Thread records of all mail files together; an item belongs to the file of its oldest message."""
+    placed = written(threads.assign_threads(mail_messages(raw_mail(spark, files), include_bulk)))
+    return thread_records(placed).drop("thread_id")
 
 
 def parse_files(spark: SparkSession, files: DataFrame, root: str = "", include_bulk: bool = False, kind: str = "none") -> DataFrame:

@@ -22,11 +22,16 @@ def relative_path(root: str) -> Column:
     return F.regexp_replace(F.substring(plain, F.length(base) + 2, F.lit(1 << 30)), "%20", " ")
 
 
+def is_hidden(rel_path: Column) -> Column:
+    """Whether a file's name or one of its folders begins with a dot or is never looked into."""
+    names = "|".join(x.replace(".", r"\.") for x in SKIPPED_FOLDERS)
+    return rel_path.rlike(rf"(^|/)(\.[^/]*|{names})(/|$)")
+
+
 def scan_files(spark: SparkSession, root: str, limit: int | None = None, content: bool = True) -> DataFrame:
     """path, rel_path, base_name, length, content, status (skipped_too_large or null). Files over their limit aren't carried along."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    names = "|".join(x.replace(".", r"\.") for x in SKIPPED_FOLDERS)
-    df = df.withColumn("rel_path", relative_path(root)).filter(~F.col("rel_path").rlike(rf"(^|/)(\.[^/]*|{names})(/|$)"))
+    df = df.withColumn("rel_path", relative_path(root)).filter(~is_hidden(F.col("rel_path")))
     file = F.element_at(F.split("rel_path", "/"), -1)
     size_ok = F.col("length") <= C.size_limit(F.col("path"))
     out = df.select("path", "rel_path", F.regexp_replace(file, r"(?<=.)\.[^.]*$", "").alias("base_name"), "length", F.when(size_ok, F.col("content")).alias("content"), F.when(~size_ok, "skipped_too_large").alias("status"))
@@ -135,5 +140,6 @@ def render_markdown(df: DataFrame, body: str = "content") -> DataFrame:
 
 
 def write_collection(df: DataFrame, path: str, mode: str = "append", scoped: bool = False) -> None:
+    """Plain files, by owner where ``scoped``. Tables that are patched or merged are ``buckets.Buckets``."""
     writer = df.write.mode(mode)
     (writer.partitionBy("owner_id") if scoped else writer).parquet(path)

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from notelake.functions import columns as C
 from notelake.functions import helpers as H
-from notelake.operators import chunking, links, packing, postings, search, threads
+from notelake.operators import chunking, links, packing, postings, records, search, threads
+from notelake.sources import buckets
+from notelake.sources.buckets import Buckets
+from notelake.streaming.ingest import ingest_stream, read_store, state
 
 
 def plan(df):
@@ -140,3 +143,89 @@ def test_items_of_the_same_terms_are_not_paired(spark):
     for r in links.suggest_links(k, ends, k.select("id"), 3).collect():
         got.setdefault(r.item_id, {})[r["rank"]] = r.id
     assert got["1"] == {1: "51", 2: "49", 3: "47"} and got["59"] == {1: "57", 2: "55", 3: "53"} and got["0"] == {1: "58", 2: "56", 3: "54"} and "3" not in got
+
+
+RECORD = "id string, title string, status string, updated_at timestamp"
+
+
+def test_a_merge_rewrites_touched_buckets_and_switches_at_once(spark, tmp_path, monkeypatch):
+    table = Buckets(spark, f"{tmp_path}/t", RECORD, ["id"], 8)
+    assert table.read().count() == 0
+    rows = spark.range(200).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("t"), "id").alias("title"), F.lit("todo").alias("status"), F.lit(None).cast("timestamp").alias("updated_at"))
+    table.replace(None, rows)
+    patches = spark.createDataFrame([("3", "new three"), ("5", "new five"), ("999", "unknown")], "id string, title string")
+    change = lambda near: records.patch_records(near, patches, "tasks", F.lit("2024-01-01").cast("timestamp"))[0]
+    before, commit = table.manifest(), Buckets._commit
+    monkeypatch.setattr(Buckets, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        table.merge(patches, change)
+    assert table.manifest() == before and table.read().filter("title LIKE 'new%'").count() == 0  # the old version is readable
+    monkeypatch.setattr(Buckets, "_commit", commit)
+    touched = table.merge(patches, change)
+    after = table.manifest()[3]
+    assert len(touched) <= 3 and all(after[b] == own for b, own in before[3].items() if b not in touched)
+    got = {r.id: r.title for r in table.read().collect()}
+    assert len(got) == 200 and got["3"] == "new three" and got["4"] == "t4" and "999" not in got
+    people = spark.createDataFrame([("7", "T7", "done"), ("x", "added", "todo")], "id string, title string, status string").withColumn("updated_at", F.lit(None).cast("timestamp"))
+    table.merge(people, lambda near: records.upsert(near, people, "notes", ["id"]))
+    got = {r.id: (r.title, r.status) for r in table.read().collect()}
+    assert len(got) == 201 and got["7"] == ("T7", "done") and got["x"] == ("added", "todo")
+
+
+def test_buckets_grow_and_are_rewritten_after_many_additions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(buckets, "MOST_PARTS", 2)
+    table = Buckets(spark, f"{tmp_path}/t", "k long, v string", ["k"], 2)
+    for n in range(4):
+        table.add(spark.range(n * 20, n * 20 + 20).select(F.col("id").alias("k"), F.lit("v").alias("v")))
+    version, _, n, parts = table.manifest()
+    assert n == 4 and sorted(r.k for r in table.read().collect()) == list(range(80)) and all(len(x) <= 2 for x in parts.values())
+    table.replace(spark.range(10).select(F.col("id").alias("k")), spark.createDataFrame([(500, "w")], "k long, v string"))
+    assert sorted(r.k for r in table.read().collect()) == [*range(10, 80), 500]
+    assert [r.v for r in table.of(spark.createDataFrame([(500,), (11111,)], "k long")).collect()] == ["w"]
+
+
+def eml(n, subject, text, reply=None):
+    return f"From: Ana <a@x.org>\nTo: b@x.org\nSubject: {subject}\nMessage-ID: <{n}@x>\n" + (f"In-Reply-To: <{reply}@x>\n" if reply else "") + f"Date: Mon, 0{n} Jan 2024 10:00:00 +0000\n\n{text}\n"
+
+
+def test_a_reply_joins_the_thread_of_an_earlier_batch(spark, tmp_path):
+    root, store = tmp_path / "in", f"file://{tmp_path}/store"
+    root.mkdir()
+
+    def run():
+        ingest_stream(spark, f"file://{root}", store, f"file://{tmp_path}/ck", "alice", F.lit("2024-12-31").cast("timestamp")).awaitTermination(300)
+        return {r.title: r.content for r in read_store(spark, store).collect()}
+
+    (root / "1.eml").write_text(eml(1, "Plan", "first"))
+    (root / "2.eml").write_text(eml(2, "Other", "apart"))
+    (root / "big.txt").write_bytes(b"x" * ((10 << 20) + 1))
+    assert {t: c.count("From Ana") for t, c in run().items()} == {"Plan": 1, "Other": 1}  # a file over the limit isn't read
+    before = state(spark, store)["messages"].manifest()[3]
+    (root / "3.eml").write_text(eml(3, "Re: Plan", "second", 1))
+    (root / "a.txt").write_text("note")
+    got = run()
+    assert set(got) == {"Plan", "Other", "a"} and "first" in got["Plan"] and "second" in got["Plan"]
+    after = state(spark, store)["messages"].manifest()[3]
+    assert sum(after.get(b) == own for b, own in before.items()) >= len(before) - 1  # the other thread's bucket stays as it was, unless they share it
+    (root / "4.eml").write_text(eml(4, "Re: Plan", "third", 3))
+    (root / "5.eml").write_text(eml(5, "New", "both", 2).replace("Date", "References: <1@x>\nDate"))  # joins two threads
+    got = run()
+    assert len(got) == 2 and any(all(x in c for x in ("first", "second", "third", "apart", "both")) for c in got.values())
+    assert run() == got
+
+
+def test_a_batch_reads_the_buckets_of_its_titles_only(spark, tmp_path):
+    root, store = tmp_path / "in", f"file://{tmp_path}/store"
+    root.mkdir()
+    for k in range(40):
+        (root / f"n{k}.txt").write_text(f"text {k}")
+    run = lambda: ingest_stream(spark, f"file://{root}", store, f"file://{tmp_path}/ck", "alice", F.lit("2024-12-31").cast("timestamp")).awaitTermination(300)
+    run()
+    before = state(spark, store)["titles"].manifest()[3]
+    (root / "late.txt").write_text("late")
+    run()
+    after = state(spark, store)["titles"].manifest()[3]
+    assert sum(after[b] != own for b, own in before.items()) <= 1 and read_store(spark, store).count() == 41
+    rows = read_store(spark, store).groupBy("owner_id").count().collect()
+    assert [(r.owner_id, r["count"]) for r in rows] == [("alice", 41)]
