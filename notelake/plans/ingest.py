@@ -19,11 +19,12 @@ MAIL_BLOCK = 10_000
 ITEM = "path string, pos int, title string, content string, type string, tags array<string>, source_meta map<string,string>, format string"
 
 
-def export_kind(files: DataFrame) -> DataFrame:
-    """One row, ``kind``: slack, notion or none, from the relative paths (DET-4)."""
+def export_kind(files: DataFrame, *by: str) -> DataFrame:
+    """``kind``: slack, notion or none, from the relative paths (DET-4); one row, or one for each value of ``by`` where several exports are listed."""
     has = lambda p: F.coalesce(F.max(F.col("rel_path").rlike(p).cast("int")), F.lit(0)) == 1
     slack = has(r"^users\.json$") & has(r"^channels\.json$") & has(r"^[^/]+/\d{4}-\d{2}-\d{2}\.json$")
-    return files.agg(F.when(slack, "slack").when(has(r"(?i) [0-9a-f]{32}\.(md|csv)$"), "notion").otherwise("none").alias("kind"))
+    kind = F.when(slack, "slack").when(has(r"(?i) [0-9a-f]{32}\.(md|csv)$"), "notion").otherwise("none").alias("kind")
+    return files.groupBy(*by).agg(kind)
 
 
 def gated(files: DataFrame) -> DataFrame:

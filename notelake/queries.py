@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from notelake import file_queries
 from notelake.functions import columns as C
-from notelake.operators import chat, chunking, dedupe, filters, links, parsers, records, search, stats, threads
+from notelake.operators import chat, chunking, dedupe, filters, links, pages, parsers, records, search, stats, threads
 from notelake.plans import views as V
+from notelake.sources import scratch
 
 QUERIES, SQL = {}, {}
 K, L = V.SQL["knowledge"], V.SQL["links"]
@@ -133,6 +137,47 @@ def _(spark, sf_dir):
     return items.select("id")
 
 
+@query("srt2_deep_page", f"with k as ({K}), r as (select id, row_number() over (order by type nulls first, created_at desc, id) as n, count(*) over () as c from k) select id, n from r where n > c * 9 // 10 and n <= c * 9 // 10 + 50")
+def _(spark, sf_dir):
+    """The page at nine tenths of all rows, from stored ranges."""
+    k, path, order = V.knowledge(spark, sf_dir).select("id", "type", "created_at"), scratch.folder(spark), (("type", "asc"), ("created_at", "desc"))
+    pages.write_pages(k, path, order, rows=1_000)
+    at = k.count() * 9 // 10
+    rows = pages.read_page(spark, path, 50, at, order)
+    return rows.select("id", (F.row_number().over(W.orderBy(F.asc_nulls_first("type"), F.desc("created_at"), "id")) + at).alias("n"))  # a page
+
+
+@query("srt2_seek", f"with k as ({K}), r as (select id, row_number() over (order by type nulls first, created_at desc, id) as n from k), m as (select max(n) as place from r where id = '20') select id from r, m where n > place and n <= place + 50")
+def _(spark, sf_dir):
+    """The page after one record."""
+    k, order = V.knowledge(spark, sf_dir).select("id", "type", "created_at"), (("type", "asc"), ("created_at", "desc"))
+    last = k.filter("id = '20'").first()
+    return pages.page_after(k, last.asDict(), 50, order).select("id")
+
+
+_OPS = [
+    ("eq", "type", "fact", "type is not distinct from 'fact'"), ("neq", "last_validated_at", None, "last_validated_at is not null"), ("gt", "doc_id", 100, "doc_id > 100"), ("gte", "doc_id", 100, "doc_id >= 100"), ("lt", "doc_id", 50, "doc_id < 50"),
+    ("lte", "doc_id", 50, "doc_id <= 50"), ("like", "title", "THE%", "contains(lower(title), 'the%')"), ("in", "owner_id", ["bob", "carol"], "owner_id in ('bob', 'carol')"), ("contains", "tags", "fr", "list_contains(tags, 'fr')"),
+]
+
+
+@query("flt2_clauses", f"with k as ({K}) " + " union all ".join(f"select '{op}' as op, id from k where {sql}" for op, _, _, sql in _OPS))
+def _(spark, sf_dir):
+    """Each of the nine comparisons by itself."""
+    k = V.knowledge(spark, sf_dir)
+    return reduce(lambda a, b: a.unionByName(b), (filters.apply_filter(k, [[(f, op, v)]]).select(F.lit(op).alias("op"), "id") for op, f, v, _ in _OPS))
+
+
+_SCOPES = [("none", None, "owner_id in ('alice', 'firma')"), ("private", "private", "owner_id = 'alice'"), ("shared", "shared", "owner_id = 'firma'"), ("both", ["shared", "private"], "owner_id in ('alice', 'firma')")]
+
+
+@query("flt3_scope", f"with k as ({K}) " + " union all ".join(f"select '{n}' as scope, id from k where {sql}" for n, _, sql in _SCOPES) + " union all select 'unscoped', id from k")
+def _(spark, sf_dir):
+    k = V.knowledge(spark, sf_dir)
+    each = [filters.scope(k, "knowledge", V.OWNER, V.SHARED, s).select(F.lit(n).alias("scope"), "id") for n, s, _ in _SCOPES]
+    return reduce(lambda a, b: a.unionByName(b), [*each, filters.scope(k, "prospects", V.OWNER, V.SHARED).select(F.lit("unscoped").alias("scope"), "id")])
+
+
 _VALUES = ", ".join(f"({k}, '{v}')" for k, v in enumerate(NEEDLES))
 
 
@@ -327,6 +372,25 @@ _DDP = f"""with k as ({K}), i as (select owner_id || '/' || id as path, regexp_r
  c as (select i.path, row_number() over (partition by i.type, i.t order by path) = 1 and h.h is null as is_new, h.h is not null and h.h <> sha256(regexp_replace(content, {WS}, '', 'g')) as changed from i left join h on h.type = i.type and h.t = i.t)"""
 
 
+@query("ddp1_batch", f"""with k as ({K}), i as (select type, regexp_replace(title, {WS}, '', 'g') as t, case when doc_id % 3 = 0 then 'eml' else 'text' end as format, repeat('sub/', doc_id % 4) || 'f' || doc_id % 10 as path, doc_id as pos from k)
+ select path, pos, row_number() over (partition by type, t order by format = 'eml', length(path) - length(replace(path, '/', '')), path, pos) = 1 as is_first from i""")
+def _(spark, sf_dir):
+    """Mail comes last, then shallower folders, names and places."""
+    d = F.col("doc_id")
+    rows = V.knowledge(spark, sf_dir).select("type", C.ws_trim(F.col("title")).alias("title"), F.when(d % 3 == 0, "eml").otherwise("text").alias("format"), F.concat(F.repeat(F.lit("sub/"), (d % 4).cast("int")), F.lit("f"), (d % 10).cast("string")).alias("path"), d.alias("pos"))
+    return dedupe.dedupe_batch(rows).select("path", "pos", "is_first")
+
+
+@query("thr1_messages", """with m as (select 'p' || turn % 2 as path, conv_id * 100 + turn as pos, case when turn % 4 = 3 then null else 'm' || conv_id // 3 || '-' || turn % 4 end as mid, case when conv_id % 5 = 0 then ' ' else text end as body, case when conv_id % 2 = 0 then null else 'S' end as subject from conversations),
+ f as (select * from m where trim(coalesce(body, '')) <> '' or trim(coalesce(subject, '')) <> '') select path, pos from f where mid is null union all select path, pos from f where mid is not null qualify row_number() over (partition by mid order by path, pos) = 1""")
+def _(spark, sf_dir):
+    """Messages whose ids repeat over conversations, some without any, some blank."""
+    c, t = F.col("conv_id"), F.col("turn")
+    mid = F.when(t % 4 != 3, F.concat(F.lit("m"), F.floor(c / 3).cast("string"), F.lit("-"), (t % 4).cast("string")))
+    rows = V.table(spark, sf_dir, "conversations").select(F.concat(F.lit("p"), (t % 2).cast("string")).alias("path"), (c * 100 + t).alias("pos"), mid.alias("message_id"), F.when(c % 5 == 0, " ").otherwise(F.col("text")).alias("body"), F.when(c % 2 != 0, "S").alias("subject"))
+    return threads.dedupe_messages(rows).select("path", "pos")
+
+
 @query("ddp2_classify", _DDP + " select path, case when is_new then 'created' else 'duplicate' end as status, changed from c")
 def _(spark, sf_dir):
     return _items(spark, sf_dir).select("path", "status", "changed")

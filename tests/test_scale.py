@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions import columns as C
 from notelake.functions import helpers as H
-from notelake.operators import chunking, links, packing, postings, records, search, threads
+from notelake.operators import chunking, links, packing, pages, postings, records, search, threads
 from notelake.sources import buckets
 from notelake.sources.buckets import Buckets
 from notelake.streaming.ingest import ingest_stream, read_store, state
@@ -229,3 +229,20 @@ def test_a_batch_reads_the_buckets_of_its_titles_only(spark, tmp_path):
     assert sum(after[b] != own for b, own in before.items()) <= 1 and read_store(spark, store).count() == 41
     rows = read_store(spark, store).groupBy("owner_id").count().collect()
     assert [(r.owner_id, r["count"]) for r in rows] == [("alice", 41)]
+
+
+def test_deep_pages_read_one_range(spark, tmp_path):
+    n = 1_200_000
+    df = spark.range(n).select(F.col("id"), F.when(F.col("id") % 1000 == 0, None).otherwise(F.pmod(F.xxhash64("id"), F.lit(5000))).alias("created_at"))
+    pages.write_pages(df, f"{tmp_path}/p", rows=100_000)
+    got = pages.read_page(spark, f"{tmp_path}/p", 20, 10**6)
+    assert len({f.split("_range=")[1].split("/")[0] for f in got.inputFiles()}) == 1
+    want = sorted(((r.created_at is None, -(r.created_at or 0), r.id) for r in df.toLocalIterator()))[10**6 : 10**6 + 20]
+    assert [r.id for r in got.collect()] == [x[2] for x in want]
+    last = {"created_at": None if want[0][0] else -want[0][1], "id": want[0][2]}
+    assert [r.id for r in pages.page_after(df, last, 19).collect()] == [x[2] for x in want[1:]]
+    assert pages.read_page(spark, f"{tmp_path}/p", 20, n + 5).count() == 0 and pages.read_page(spark, f"{tmp_path}/p", 20, n - 3).count() == 3
+    small = spark.createDataFrame([("a", None), ("b", 1), ("c", None), ("d", 2)], "id string, k int")
+    for d, order in (("asc", "acbd"), ("desc", "dbac")):
+        rows = [small.filter(F.col("id") == x).first().asDict() for x in order]
+        assert ["".join(r.id for r in pages.page_after(small, x, 9, (("k", d),)).collect()) for x in [None, *rows]] == [order[k:] for k in range(5)]
