@@ -432,23 +432,59 @@ def record_stems(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.string()))], names=["id", "terms"])
 
 
-def vector_blocks(rows: int):
-    """For mapInPandas over (id, vector): blocks of at most ``rows`` vectors (ids, numbers of unit length as bytes)."""
+def _unit(vectors):
     import numpy as np
 
+    own = np.stack(vectors.to_numpy()).astype(float)
+    return own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+
+
+def far_apart(vectors: list, most: int):
+    """Up to ``most`` of some vectors, each the farthest from those before it, at unit length."""
+    import numpy as np
+
+    own = _unit(pd.Series(vectors))
+    chosen, near = [own[0]], np.full(len(own), np.inf)
+    while len(chosen) < most:
+        near = np.minimum(near, ((own - chosen[-1]) ** 2).sum(axis=1))
+        if near.max() <= 1e-12:
+            break
+        chosen.append(own[near.argmax()])
+    return np.stack(chosen)
+
+
+def _distances(own, pivots):
+    import numpy as np
+
+    return np.sqrt(np.maximum((own**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2 * own @ pivots.T, 0))
+
+
+def nearest_pivot(pivots):
+    """For mapInPandas over (id, vector): the same and ``cell``, the nearest pivot."""
+
     def run(frames):
-        for frame in frames:
-            for at in range(0, len(frame), rows):
-                part = frame.iloc[at : at + rows]
-                own = np.stack(part.vector.to_numpy()).astype(float)
-                own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-                yield pd.DataFrame({"ids": [part.id.to_numpy(np.int64).tobytes()], "numbers": [own.tobytes()]})
+        for f in frames:
+            if len(f):
+                yield f.assign(cell=_distances(_unit(f.vector), pivots).argmin(axis=1).astype("int32"))
+
+    return run
+
+
+def vector_block(pivots):
+    """For applyInPandas over the vectors of a block: (block, ids, numbers of unit length, low, high: the least and greatest distance to each pivot)."""
+    import numpy as np
+
+    def run(key, f):
+        own = _unit(f.vector)
+        far = _distances(own, pivots)
+        return pd.DataFrame({"cell": [key[0]], "part": [key[1]], "ids": [f.id.to_numpy(np.int64).tobytes()], "numbers": [own.tobytes()], "low": [far.min(axis=0)], "high": [far.max(axis=0)]})
 
     return run
 
 
-def block_neighbours(k: int):
-    """For mapInPandas over pairs of blocks (query_ids, query_numbers, ids, numbers): the k nearest of each query within the pair."""
+def block_neighbours(k: int, beside: list[str] | None = None):
+    """For mapInPandas over pairs of blocks (query_ids, query_numbers, ids, numbers): the k nearest of each query within the pair, with the
+    columns ``beside``."""
     import numpy as np
 
     def run(frames):
@@ -457,6 +493,6 @@ def block_neighbours(k: int):
                 names, ids = np.frombuffer(row.query_ids, np.int64), np.frombuffer(row.ids, np.int64)
                 near = np.round(np.frombuffer(row.numbers).reshape(len(ids), -1) @ np.frombuffer(row.query_numbers).reshape(len(names), -1).T, 9)
                 top = np.lexsort((np.broadcast_to(ids[:, None], near.shape), -near), axis=0)[:k]
-                yield pd.DataFrame({"query_id": np.repeat(names, len(top)), "id": ids[top].T.ravel(), "score": np.take_along_axis(near, top, 0).T.ravel()})
+                yield pd.DataFrame({"query_id": np.repeat(names, len(top)), "id": ids[top].T.ravel(), "score": np.take_along_axis(near, top, 0).T.ravel()}).assign(**{c: getattr(row, c) for c in beside or []})
 
     return run

@@ -246,3 +246,22 @@ def test_deep_pages_read_one_range(spark, tmp_path):
     for d, order in (("asc", "acbd"), ("desc", "dbac")):
         rows = [small.filter(F.col("id") == x).first().asDict() for x in order]
         assert ["".join(r.id for r in pages.page_after(small, x, 9, (("k", d),)).collect()) for x in [None, *rows]] == [order[k:] for k in range(5)]
+
+
+def test_far_blocks_are_skipped_and_neighbours_stay_the_same(spark, monkeypatch):
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 32)
+    rng = np.random.default_rng(7)
+    middle = rng.normal(0, 1, (12, 16))
+    own = np.concatenate([middle[k % 12] + rng.normal(0, 0.05, 16) for k in range(900)]).reshape(900, 16)
+    own[5], own[10] = 0, own[22]
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(own)], "id long, vector array<double>").repartition(3)
+    asked = vectors.filter("id % 20 = 0")
+    got = {}
+    for r in search.cosine_neighbours(vectors, asked, 4).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.id
+    unit = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+    assert got == {q: dict(enumerate(sorted(range(900), key=lambda k: (-round(float(unit[k] @ unit[q]), 9), k))[:4], 1)) for q in range(0, 900, 20)}
+    pivots = H.far_apart(own.tolist(), 24)
+    pairs = search.neighbour_pairs(search._blocks(asked, pivots), search._blocks(vectors, pivots), 4)
+    n = {r.skipped: r["count"] for r in pairs.groupBy("skipped").count().collect()}
+    assert n[True] > 5 * n[False]
