@@ -226,42 +226,122 @@ def trained(seed: int = 3) -> Field:
     return part(w)
 
 
+_INNER, _TAIL, _HEAD, _BARE = re.compile(r"[0-9][)./-]+[0-9]"), re.compile(r"[0-9][)./-]*$"), re.compile(r"[)./-]*[0-9]"), re.compile(r"[)./-]+$")
+
+
+@lru_cache(1 << 16)
+def word_facts(word: str) -> tuple[int, ...]:
+    """What a word adds to the features of its segments: digits, letters, groups of digits, groups that are no byte, groups not of two to four digits,
+    dots, a stretch within, a digit at the end and at the start but for marks, a plus or bracket first, a hook, and whether only the plain
+    way holds (an ``@``, a spelt-out mark, marks alone)."""
+    groups = re.findall(r"[0-9]+", word)
+    return (
+        sum(map(len, groups)), sum(c.isalpha() for c in word), len(groups), sum(len(g) > 3 or int(g) > 255 for g in groups), sum(not 2 <= len(g) <= 4 for g in groups), word.count(".") + word.lower().count("[.]"),
+        bool(_INNER.search(word)), bool(_TAIL.search(word)), bool(_HEAD.match(word)), word[0] in "+(", bool(_HOOK.search(word)), "@" in word or bool(_AT.match(word) or _DOT.match(word) or _BARE.match(word)),
+    )
+
+
+def segment_scores(words: list[str], field: Field) -> list[np.ndarray]:
+    """By length from 1: the scores of all labels for the segments that begin at each word. Features come from running sums over the words; segments
+    with a word that sums can't hold are looked at one by one."""
+    facts = np.array([word_facts(w) for w in words]).reshape(len(words), 12)
+    sums = np.concatenate([np.zeros((1, 12), int), facts.cumsum(axis=0)])
+    meets = np.concatenate([[0, 0], (facts[:-1, 7] & facts[1:, 8]).cumsum()])[: len(words) + 1]  # stretches over the blank before a word
+    out = []
+    for size in range(1, min(LONGEST, len(words)) + 1):
+        n = len(words) - size + 1
+        digits, letters, groups, large, odd_groups, dots, inner, _, _, _, hooks, plain = (sums[size:] - sums[:n]).T
+        bare = (letters == 0) & (digits > 0)
+        card = bare & (digits >= 13) & (digits <= 19)
+        x = np.zeros((n, _N_FEATURES))
+        x[:, 0], x[:, 1], x[:, 2] = 1, size == 1, (size - 1) / LONGEST
+        x[:, 3], x[:, 4], x[:, 5], x[:, 6] = digits == 0, bare, bare & (digits >= 9) & (digits <= 12), card
+        for k in np.flatnonzero(card & (hooks > 0)):
+            x[k, 7] = luhn(only_digits("".join(words[k : k + size])))
+        x[:, 8] = bare & (digits >= 9) & (facts[:n, 9] > 0)
+        x[:, 9] = bare & ((inner > 0) | (meets[size : size + n] - meets[1 : n + 1] > 0))
+        x[:, 10] = bare & (groups == 4) & (large == 0) & (dots >= 3)
+        x[:, 14] = bare & (groups >= 3) & (groups <= 5) & (digits >= 10) & (digits <= 12) & (odd_groups == 0)
+        x[:, 15] = (letters > 0) & (digits > 0)
+        for k in np.flatnonzero((plain > 0) & ((hooks > 0) | (size == 1))):
+            x[k] = features(tuple(words[k : k + size]))
+        scores = x @ field.segment.T
+        scores[hooks == 0, 1:] = -np.inf
+        out.append(scores)
+    return out
+
+
+#: Scores are whole multiples of 2**-SCALE in the decoding, so that equal ones are equal however they are summed.
+SCALE, NEVER = 32, -(1 << 60)
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    return np.where(np.isfinite(x), np.rint(np.ldexp(np.where(np.isfinite(x), x, 0), SCALE)), NEVER).astype(np.int64)
+
+
 def decoded(words: list[str], field: Field) -> list[tuple[int, int, int]]:
     """The best segmentation's entities (first word, end, label), each with a hook and at least MARGIN better than leaving its words
-    outside; before and after the words lies "outside"."""
-    hooks = list(accumulate((bool(_HOOK.search(w)) for w in words), initial=0))
-    t, n = field.sequence, len(words)
-    outside = features_of([tuple(words[j : j + 1]) for j in range(n)]) @ field.segment[0]
-    where = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j) if hooks[j] > hooks[i]]
-    kinds = features_of([tuple(words[i:j]) for i, j in where]) @ field.segment[1:].T
-    by_end: dict[int, list] = {}
-    for (i, j), scores in zip(where, kinds):
-        by_end.setdefault(j, []).append((i, scores))
-    best, back = np.full((n + 1, len(t)), -np.inf), {}
-    best[0, 0] = 0.0
-    for j in range(1, n + 1):
-        came = best[j - 1] + t[:, 0]
-        p = int(came.argmax())
-        best[j, 0], back[j, 0] = came[p] + outside[j - 1], (j - 1, p, outside[j - 1])
-        for i, scores in by_end.get(j, ()):
-            came = best[i][:, None] + t[:, 1:]
-            p = came.argmax(0)
-            value = came.max(0) + scores
-            for k in np.flatnonzero(value > best[j, 1:]).tolist():
-                best[j, k + 1], back[j, k + 1] = value[k], (i, int(p[k]), scores[k])
-    out, j, label, after = [], n, int((best[n] + t[:, 0]).argmax()), 0
+    outside; before and after the words lies "outside". A segment that loses against "outside" whatever stands beside it is left out
+    beforehand, and the words between those that are left are stepped over at once."""
+    pairs, n, labels = _whole(field.sequence), len(words), len(KINDS) + 1
+    scores = [_whole(x) for x in segment_scores(words, field)]
+    run = np.concatenate([[0], scores[0][:, 0].cumsum()])
+    most = (pairs[:, 1:] - pairs[:, :1]).max(axis=0) + (pairs[1:] - pairs[:1]).max(axis=1)  # that its neighbours may add to a label against "outside"
+    one, two = pairs[:, 1:], pairs[1:]
+    against = np.array([[(one[:, k] - one[:, h]).max() + (two[k] - two[h]).max() for k in range(len(KINDS))] for h in range(len(KINDS))])
+    found = []
+    for size, own in enumerate(scores, 1):
+        alone = run[size:] - run[: len(own)] + (size - 1) * pairs[0, 0]
+        keep = own[:, 1:] + most > alone[:, None]
+        for k in range(len(KINDS)):  # nor labels that another one beats by more than neighbours can make up for
+            keep[:, k] &= ~(own[:, 1:] - own[:, k + 1 : k + 2] > against[:, k]).any(axis=1)
+        i, k = np.nonzero(keep)
+        found.append(np.stack([i + size, i, k + 1, own[i, k + 1]]))
+    left = np.concatenate(found, axis=1)
+    left = left[:, np.lexsort((left[2], left[1], left[0]))]
+    ends, starts, kinds, values = left.tolist()
+    t, sums, at = pairs.tolist(), run.tolist(), 0
+    best, into, back = {}, {}, {}
+
+    def reached(j, here):
+        """Keep the best score of each label that ends at j, and what each label that begins there gets from them."""
+        best[j] = here
+        there = [a for a in range(labels) if here[a] > NEVER]
+        into[j] = [max([(here[a] + t[a][b], -a) for a in there]) for b in range(labels)] if len(there) > 1 else [(here[there[0]] + x, -there[0]) for x in t[there[0]]]
+
+    reached(0, [0] + [NEVER] * len(KINDS))
+    p = 0
+    for j in sorted({n, *ends, *starts} - {0}):
+        value, a = into[p][0]
+        here = [value + sums[j] - sums[p] + (j - p - 1) * t[0][0]] + [NEVER] * len(KINDS)
+        back[j, 0] = (p, -a, 0)
+        while at < len(ends) and ends[at] == j:
+            i, k, own = starts[at], kinds[at], values[at]
+            value, a = into[i][k]
+            if value + own > here[k]:
+                here[k], back[j, k] = value + own, (i, -a, own)
+            at += 1
+        reached(j, here)
+        p = j
+    out, j, label, after = [], n, -into[n][0][1], 0
     while j:
-        i, before, score = back[j, label]
+        i, before, own = back[j, label]
         if label:
-            alone = t[before, 0] + outside[i:j].sum() + (j - i - 1) * t[0, 0] + t[0, after]
-            if t[before, label] + score + t[label, after] - alone >= MARGIN:
+            alone = t[before][0] + sums[j] - sums[i] + (j - i - 1) * t[0][0] + t[0][after]
+            if t[before][label] + own + t[label][after] - alone >= MARGIN * (1 << SCALE):
                 out.append((i, j, label))
         j, label, after = i, before, label
     return out[::-1]
 
 
-def features_of(segments: list[tuple[str, ...]]) -> np.ndarray:
-    return np.array([features(x) for x in segments]).reshape(len(segments), _N_FEATURES)
+_DATE = re.compile(r"(?<![0-9])(?:19|20)[0-9]{2}[-/.](?:0?[1-9]|1[0-2])[-/.][0-3]?[0-9](?![0-9])|(?<![0-9])[0-3]?[0-9][-/.](?:0?[1-9]|1[0-2])[-/.](?:19|20)[0-9]{2}(?![0-9])")
+
+
+def plausible(kind: int, span: str) -> bool:
+    """What a span of the field must be besides: a card passes its check sum, and neither a card nor a phone number holds a date."""
+    if KINDS[kind] == "card" and not (13 <= len(d := only_digits(span)) <= 19 and luhn(d)):
+        return False
+    return KINDS[kind] not in ("card", "phone") or not _DATE.search(span)
 
 
 def field_spans(text: str, weights: Field, reach: int = LONGEST - 1) -> list[tuple[int, int, int]]:
@@ -306,6 +386,8 @@ class Finder:
         starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
         extra = set()
         for kind, a, b in field_spans(text, self.weights):
+            if not plausible(kind, text[a:b]):
+                continue
             before = bisect_left(starts, b)  # base spans that begin before this one ends
             if not before or ends[before - 1] <= a:
                 extra.add((kind, a, b))
