@@ -110,7 +110,9 @@ def test_stems_of_words_are_those_of_columns(spark):
     assert {w: H.stem(w) for w in words if w not in C.STOP_WORDS and len(w) > 2} == {w: s for w, s in got.items() if w not in C.STOP_WORDS and len(w) > 2}
 
 
-def test_substring_search_has_no_nested_loops(spark):
+@pytest.mark.parametrize("few", [0, 32])
+def test_substring_search_has_no_nested_loops(spark, monkeypatch, few):
+    monkeypatch.setattr(search, "FEW", few)
     rows = [(str(k), f"Title {k} über", "text é" * (k % 3) + f" needle{k % 10} straße\nend") for k in range(300)]
     recs = spark.createDataFrame(rows, "id string, title string, content string")
     asked = [(1, "NEEDLE7"), (2, "über"), (3, "é"), (4, "e"), (5, "title 12"), (6, "nowhere"), (7, "straße\nend"), (8, "needle7")]
