@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from notelake.functions import columns as C
 from notelake.functions import helpers as H
-from notelake.operators import chat, chunking, filters, parsers
+from notelake.operators import chat, chunking, filters, parsers, records
 from notelake.plans import ingest as I
 from notelake.plans import views as V
 from notelake.sources import files as S
 from notelake.sources import scratch
+from notelake.sources.buckets import Buckets
 from notelake.streaming.ingest import ingest_stream
 
 QUERIES, SQL = {}, {}
@@ -152,6 +153,19 @@ def _(spark, sf_dir):
     return spark.read.parquet(path).select("id", "owner_id", sha(F.col("content")).alias("hash"))
 
 
+@query("snk2_merge", f"""with k as ({K}) select id, case when doc_id % 10 = 0 then 'patched ' || id else title end as title, owner_id from k where doc_id % 7 <> 3 union all select 'new ' || id, title, owner_id from k where doc_id % 50 = 1""")
+def _(spark, sf_dir):
+    """A stored table after a merge of patches, one of removals and one of new rows, each of which rewrites its own buckets."""
+    k = V.knowledge(spark, sf_dir)
+    table = Buckets(spark, scratch.folder(spark), "id string, title string, owner_id string, updated_at timestamp", ["id"], 8)
+    table.replace(None, k.withColumn("updated_at", F.lit(None).cast("timestamp")))
+    patches = k.filter("doc_id % 10 = 0").select("id", F.concat(F.lit("patched "), "id").alias("title"))
+    table.merge(patches, lambda near: records.patch_records(near, patches, "tasks", V.as_of())[0])
+    table.replace(k.filter("doc_id % 7 = 3").select("id"), k.limit(0).withColumn("updated_at", F.lit(None).cast("timestamp")))
+    table.add(k.filter("doc_id % 50 = 1").select(F.concat(F.lit("new "), "id").alias("id"), "title", "owner_id", F.lit(None).cast("timestamp").alias("updated_at")))
+    return table.read().select("id", "title", "owner_id")
+
+
 # Detection
 
 _SHAPES = ['{"userEditedTimestampUsec": 1, "t": "', '[{"mapping": {}, "current_node": "', '[{"chat_messages": [], "t": "', '[1, {"mapping": 1, "current_node": "', '{"mapping": 1, "current_node": "']

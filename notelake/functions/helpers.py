@@ -356,7 +356,7 @@ def automaton_hits(needles: list[str], worth: list[int], limit: int):
                     seen |= new
                     for k in new:
                         hits.setdefault(k, []).append((-score, id))
-            kept = [(needles[k], id, -score) for k, own in hits.items() for score, id in sorted(own)[:limit]]
+            kept = [(needles[k], id, -score) for k, own in hits.items() for score, id in sorted(own, key=lambda x: (x[0], x[1] is not None, x[1] if x[1] is not None else 0))[:limit]]
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), (pa.string(), batch.schema.field(0).type, pa.int32()))], names=["needle", "id", "score"])
 

@@ -97,7 +97,7 @@ def thread_facts(messages: DataFrame) -> DataFrame:
     people = messages.select("thread_id", F.explode(C.addresses(F.col("sender"), F.col("recipient"))).alias("p")).groupBy("thread_id").agg(F.array_sort(F.collect_set("p")).alias("participants"))
     facts = messages.groupBy("thread_id").agg(
         F.count("*").alias("message_count"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("date", "pos", "attachments"))), lambda x: F.coalesce(x["attachments"], F.array().cast("array<string>")))).alias("attachments"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("attachments") > 0, F.struct("date", "pos", "attachments")))), lambda x: x["attachments"])).alias("attachments"),
         F.min_by("path", F.struct("date", "pos")).alias("origin"),
     )
     return facts.join(people, "thread_id", "left").withColumn("participants", F.coalesce("participants", F.array().cast("array<string>")))

@@ -75,10 +75,13 @@ def slack_items(files: DataFrame) -> DataFrame:
     return items.join(each.select("path", "channel", "day").distinct(), ["channel", "day"]).select("path", F.col("part").alias("pos"), "title", "content", F.lit("reference").alias("type"), tags.alias("tags"), meta.alias("source_meta"), F.lit("slack").alias("format"))
 
 
-def raw_mail(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """path, pos, raw of all mail files."""
-    raw, block = files.filter("format = 'eml'").select("path", F.lit(1).cast("long").alias("pos"), F.col("text").alias("raw")), []
-    for row in files.filter("format = 'mbox' AND status IS NULL").select("path").toLocalIterator():
+def raw_mail(spark: SparkSession, files: DataFrame, root: str = "") -> DataFrame:
+    """path, pos, raw of all mail files. Archives below ``root`` are read as a tree; without a root, those of a batch by name in blocks."""
+    raw, block = files.filter("format = 'eml' AND status IS NULL").select("path", F.lit(1).cast("long").alias("pos"), F.col("text").alias("raw")), []
+    boxes = files.filter("format = 'mbox' AND status IS NULL").select("path")
+    if root:
+        return raw.unionByName(S.read_mbox(spark, root, tree=True).join(boxes, "path", "left_semi"))
+    for row in boxes.toLocalIterator():
         block.append(row["path"])
         if len(block) == MAIL_BLOCK:
             raw, block = raw.unionByName(S.read_mbox(spark, block)), []
@@ -101,7 +104,7 @@ def thread_records(placed: DataFrame) -> DataFrame:
 
 def mail_items(spark: SparkSession, files: DataFrame, root: str, include_bulk: bool) -> DataFrame:
     """Thread records of all mail files together; an item belongs to the file of its oldest message."""
-    placed = written(threads.assign_threads(mail_messages(raw_mail(spark, files), include_bulk)))
+    placed = written(threads.assign_threads(mail_messages(raw_mail(spark, files, root), include_bulk)))
     return thread_records(placed).drop("thread_id")
 
 

@@ -43,10 +43,12 @@ def size_gate(files: DataFrame) -> DataFrame:
     return files.withColumn("status", F.when(F.col("length") > C.size_limit(F.col("path")), "skipped_too_large"))
 
 
-def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """path, pos, raw: one row a message. The file is read in splits at lines that begin with ``From ``; a piece that is no envelope is
+def read_mbox(spark: SparkSession, path: str | list[str], tree: bool = False) -> DataFrame:
+    """path, pos, raw: one row a message of some files, or of all archives below a folder (``tree``). A file is read in splits at lines that begin with ``From ``; a piece that is no envelope is
     glued to the one before. A message's place is that within its split plus the counts of earlier splits of the file."""
-    rows = spark.read.option("lineSep", "\nFrom ").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    reader = spark.read.option("lineSep", "\nFrom ")
+    reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][bB][oO][xX]") if tree else reader
+    rows = reader.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
     first = F.row_number().over(W.partitionBy("path", "block").orderBy("id"))
     rows = rows.select("path", "block", first.alias("n"), F.regexp_replace("value", "\r", "").alias("v"))
     body = F.when((F.col("block") == 0) & (F.col("n") == 1) & F.col("v").startswith("From "), F.substring("v", F.lit(6), F.lit(1 << 30))).otherwise(F.col("v"))

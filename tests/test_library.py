@@ -368,8 +368,9 @@ def test_mail_of_every_block_of_archives(spark, tmp_path, monkeypatch):
     for k in range(5):
         (tmp_path / f"box{k}.mbox").write_text(f"From a@x.org Mon Jan  1 00:00:00 2024\nFrom: a@x.org\nSubject: topic {k}\nMessage-ID: <m{k}@x>\nDate: Mon, 01 Jan 2024 00:00:00 +0000\n\nbody of box {k}\n")
     files = I.gated(S.scan_files(spark, f"file://{tmp_path}"))
-    items = I.mail_items(spark, files, f"file://{tmp_path}", False).collect()
-    assert sorted(r.content[-13:].strip()[-1] for r in items) == ["0", "1", "2", "3", "4"]
+    for root in ("", f"file://{tmp_path}"):  # by name in blocks, and as a tree
+        items = I.mail_items(spark, files, root, False).collect()
+        assert sorted(r.content[-13:].strip()[-1] for r in items) == ["0", "1", "2", "3", "4"]
 
 
 def test_stream_knows_slack_exports(spark, tmp_path):
