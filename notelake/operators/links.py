@@ -48,7 +48,8 @@ def suggest_links(knowledge: DataFrame, links: DataFrame, items: DataFrame, limi
     take, so a set that many items share isn't expanded into all pairs."""
     need = F.array_sort(F.array_distinct(F.transform(C.key_terms(F.col("title"), F.col("content")), C.stem)))
     own = spread(knowledge.select("id", "type", "title", F.substring("content", 1, 200).alias("content"))).join(items.select("id"), "id", "left_semi")
-    asked = written(own.select(F.col("id").alias("item_id"), F.col("type").alias("item_type"), need.alias("terms")).filter("size(terms) > 0").withColumn("set_id", F.array_join("terms", " ")))
+    keyed = written(own.select(F.col("id").alias("item_id"), F.col("type").alias("item_type"), need.alias("terms")))  # so that terms are made once
+    asked = keyed.filter("size(terms) > 0").withColumn("set_id", F.array_join("terms", " "))
     forward, postings = index or (written(record_terms(knowledge, F.concat_ws(" ", "title", "content"))), None)
     hits = written(intersect(asked.select("set_id", "terms").distinct(), forward, postings))
     ends = links.filter("source_type = 'knowledge' AND target_type = 'knowledge'")

@@ -40,18 +40,19 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def intersect(sets: DataFrame, forward: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """(set_id, id): the records that hold all terms of a set (set_id, terms: distinct), a row each, from a written table (id, terms) and, where
-    it is stored, the same by term (term, id, df). A set's two rarest lists are met; the records in both are held against the whole set."""
+    it is stored, the same by term (term, id, df). A set's rarest list gives candidates, which meet the records once and are held against the
+    set's other terms, the rarer ones first; that is part of the join, so only records that hold the whole set leave it."""
     each = sets.select("set_id", F.explode("terms").alias("term"))
     asked = each.select("term").distinct()
     df = postings.join(asked, "term", "left_semi").groupBy("term").agg(F.first("df").alias("df")) if postings is not None else posting_rows(forward, asked).groupBy("term").agg(F.count("*").alias("df"))
-    rare = each.join(df, "term", "left").groupBy("set_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "term"))), 1, 2).alias("r"))  # an unknown term comes first, with null
-    known = written(sets.join(rare.filter("r[0].df IS NOT NULL"), "set_id").select("set_id", "terms", F.col("r")[0]["term"].alias("first"), F.get("r", F.lit(1))["term"].alias("second")))
-    ends = known.select(F.explode(F.array_compact(F.array("first", "second"))).alias("term"))
-    lists = written(postings.select("term", "id").join(ends.distinct(), "term", "left_semi") if postings is not None else posting_rows(forward, ends))
-    one = known.join(lists.withColumnRenamed("term", "first"), "first")
-    two = one.filter("second IS NOT NULL").join(lists.withColumnRenamed("term", "second"), ["second", "id"], "left_semi")
-    rest = two.filter("size(terms) > 2").join(forward.withColumnRenamed("terms", "have"), "id").filter("size(array_except(terms, have)) = 0")
-    return one.filter("second IS NULL").select("set_id", "id").unionByName(two.filter("size(terms) = 2").select("set_id", "id")).unionByName(rest.select("set_id", "id"))
+    rare = each.join(df, "term", "left").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("r"))  # an unknown term comes first, with null
+    known = written(rare.filter("r[0].df IS NOT NULL").select("set_id", F.transform("r", lambda x: x["term"]).alias("r")).withColumn("term", F.col("r")[0]))
+    ends = known.select("term").distinct()
+    lists = postings.select("term", "id").join(ends, "term", "left_semi") if postings is not None else posting_rows(forward, ends)
+    one = written(known.join(lists, "term").select("set_id", "id", F.slice("r", 2, 1 << 20).alias("rest")))
+    holds = (F.col("_id") == F.col("id")) & F.forall("rest", lambda t: F.array_contains("have", t))
+    met = one.filter("size(rest) > 0").withColumnRenamed("id", "_id").join(forward.withColumnRenamed("terms", "have"), holds)
+    return one.filter("size(rest) = 0").select("set_id", "id").unionByName(met.select("set_id", "id"))
 
 
 def containing(records: DataFrame, needles: DataFrame, text: str) -> DataFrame:
