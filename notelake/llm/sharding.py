@@ -20,6 +20,8 @@ from notelake.llm.text import written
 #: Rows that a bucket holds about; buckets grow in number with the table.
 BUCKET_ROWS = 1 << 17
 LEAST_BUCKETS = 64
+#: How many times larger than BUCKET_ROWS a bucket is let become.
+SPLIT = 2
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -56,23 +58,41 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.n
     return out
 
 
+def bucketed(rows: DataFrame, identity: list[str], seed: int, bucket_rows: int) -> tuple[DataFrame, list[int]]:
+    """(rows with _bucket and _copy, the number of rows of each bucket). Buckets are told by a hash of the identity; one that a row repeated very often makes
+    larger than SPLIT times ``bucket_rows`` is split into buckets of that size by _copy, a number that is stored with each row and null elsewhere."""
+    kept = written(rows.withColumn("_copy", F.monotonically_increasing_id()))  # read several times, with the same numbers
+    total = kept.count()
+    n = max(LEAST_BUCKETS, math.ceil(total / bucket_rows))
+    first = kept.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(n)).cast("int"))
+    count = lambda df: dict(df.groupBy("_bucket").count().collect())  # noqa: E731  one number a bucket
+    found, split, upto = count(first), [], n
+    for b, size in sorted(found.items()):
+        if size > SPLIT * bucket_rows:
+            split.append((b, upto, math.ceil(size / bucket_rows)))
+            upto += split[-1][2]
+    if not split:
+        return first.withColumn("_copy", F.lit(None).cast("long")), [found.get(b, 0) for b in range(n)]
+    parts = kept.sparkSession.createDataFrame(split, "_bucket int, _from int, _k int")  # one row for SPLIT * bucket_rows rows at least
+    at = F.col("_from") + F.pmod(F.xxhash64(F.lit(seed), "_copy"), F.col("_k")).cast("int")
+    dealt = first.join(F.broadcast(parts), "_bucket", "left").withColumn("_copy", F.when(F.col("_k").isNotNull(), F.col("_copy"))).withColumn("_bucket", F.coalesce(at, "_bucket")).drop("_from", "_k")
+    found = count(dealt)
+    return dealt, [found.get(b, 0) for b in range(upto)]
+
+
 def shards(rows: DataFrame, identity: list[str], n_shards: int = 16, seed: int = 11, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``rows`` and their shard and slot; counts of shards differ by one at most, slots run from 0 without a gap.
 
     ``identity``: columns that tell rows apart. Rows equal in all of them are alike and may change places; nulls count as values.
-    Columns named _bucket, _at, _part or _order aren't allowed in ``rows``. An empty table stays empty.
+    Columns named _bucket, _at, _part, _order or _copy aren't allowed in ``rows``. An empty table stays empty.
     """
-    rows = written(rows)  # read several times
-    keyed: list[Column] = [F.col(c) for c in identity]
-    total = rows.count()
-    n_buckets = max(LEAST_BUCKETS, math.ceil(total / bucket_rows))
+    held, found = bucketed(rows, identity, seed, bucket_rows)
+    keyed: list[Column] = [*(F.col(c) for c in identity), F.col("_copy")]
+    total = sum(found)
     n_parts = max(LEAST_BUCKETS // n_shards, math.ceil(total / n_shards / bucket_rows))
-    held = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), *keyed), F.lit(n_buckets)).cast("int"))
-    found = dict(held.groupBy("_bucket").count().collect())  # one number a bucket
     sizes = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    counts = [found.get(b, 0) for b in range(n_buckets)]
-    upto = communication_matrix(counts, sizes, seed).cumsum(axis=1).tolist()
-    matrix = rows.sparkSession.createDataFrame([(b, row) for b, row in enumerate(upto)], "_bucket int, _upto array<long>")
+    upto = communication_matrix(found, sizes, seed).cumsum(axis=1).tolist()
+    matrix = held.sparkSession.createDataFrame([(b, row) for b, row in enumerate(upto)], "_bucket int, _upto array<long>")
     local = W.partitionBy("_bucket").orderBy(F.xxhash64(F.lit(seed + 1), *keyed), *keyed)
     dealt = (
         held.withColumn("_at", F.row_number().over(local).cast("long"))
@@ -89,7 +109,7 @@ def shards(rows: DataFrame, identity: list[str], n_shards: int = 16, seed: int =
         dealt.withColumn("_at", F.row_number().over(again))
         .join(starts, ["shard", "_part"])
         .withColumn("slot", (F.col("_first") + F.col("_at") - 1).cast("long"))
-        .drop("_part", "_order", "_at", "_first")
+        .drop("_part", "_order", "_at", "_first", "_copy")
     )
 
 

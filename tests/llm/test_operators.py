@@ -394,6 +394,18 @@ def test_long_documents_are_scored_like_short_ones():
     assert sorted(r[0] for p in parts for r in p) == [0, 1, 2, 3, 4] and len(parts) == 2
 
 
+def test_a_repeated_row_is_split_over_buckets(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.lit("x").alias("note"))
+    held, found = sharding.bucketed(rows, ["doc_id"], 11, 250)
+    seen = {r._bucket: r["count"] for r in held.groupBy("_bucket").count().collect()}
+    assert [seen.get(b, 0) for b in range(len(found))] == found and sum(found) == 20_000 and max(found) < 500
+    got = sharding.shards(rows, ["doc_id"], 16, 11, 250).toPandas()
+    assert set(got.columns) == {"doc_id", "note", "shard", "slot"} and Counter(got.doc_id) == Counter(r.doc_id for r in rows.collect())
+    assert set(got.shard.value_counts()) == {1250} and all(sorted(own.slot) == list(range(1250)) for _, own in got.groupby("shard"))
+    hot = got[got.doc_id == 7]
+    assert 450 < hot.shard.value_counts().min() and 500 < hot.slot.mean() < 750  # neither in few shards nor at one end of them
+
+
 def test_shards_are_exact_and_uniform(spark, docs, empty):
     rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))
     got = sharding.shuffled_documents(rows).toPandas()
