@@ -336,68 +336,164 @@ def parse_messages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def automaton_hits(needles: list[str], worth: list[int], limit: int):
-    """For mapInArrow over (id, texts in order): (needle, id, score), the best ``limit`` of each needle in a batch. A text is read once for all
-    needles; the first text that holds one decides what it is worth."""
-    import ahocorasick
-    import pyarrow as pa
+#: Widths in bytes of the windows that needles are found by.
+WIDTHS = (1, 2, 3, 4, 8, 16, 32, 64)
+#: Bytes of text that one numpy step looks at, how far from its window a needle is checked there, and hits that a task holds.
+PIECE, REACH, HELD = 1 << 18, 2048, 1 << 17
+_BASE = 0x9E3779B97F4A7C15
 
-    def run(batches):
-        machine = ahocorasick.Automaton()
-        for k, x in enumerate(needles):
-            machine.add_word(x, k)
-        machine.make_automaton()
-        for batch in batches:
-            hits: dict[int, list] = {}
-            for id, *texts in zip(*(c.to_pylist() for c in batch.columns)) if needles else ():
-                seen: set[int] = set()
-                for text, score in zip(texts, worth):
-                    new = {k for _, k in machine.iter(text)} - seen
-                    seen |= new
-                    for k in new:
-                        hits.setdefault(k, []).append((-score, id))
-            kept = [(needles[k], id, -score) for k, own in hits.items() for score, id in sorted(own, key=lambda x: (x[0], x[1] is not None, x[1] if x[1] is not None else 0))[:limit]]
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), (pa.string(), batch.schema.field(0).type, pa.int32()))], names=["needle", "id", "score"])
 
-    return run
+def _window_sums(b, most: int):
+    """(width, a number of each window of that width) of bytes, for WIDTHS up to ``most``; up to 8 bytes the number is the window itself."""
+    import numpy as np
 
+    sums = {1: b.astype(np.uint64)}
+    for w in WIDTHS:
+        if w > most or w > len(b):
+            return
+        if w > 1:
+            left, right = (2, 1) if w == 3 else (w // 2, w // 2)
+            n = len(b) - w + 1
+            sums[w] = sums[left][:n] * np.uint64(1 << 8 * right if w <= 8 else _BASE) + sums[right][left : left + n]
+        yield w, sums[w]
 
-def _codes(text: bytes):
+
+def _spots(sums, bits: int):
     import numpy as np
 
-    b = np.frombuffer(text, np.uint8).astype(np.int32)
-    return (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
+    return (sums * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
 
 
-def grams_of(batches):
-    """For mapInArrow over (needle): (needle, term), its distinct trigrams of bytes as numbers below 2**24."""
+def needle_windows(needles: list[bytes]) -> dict:
+    """By width: the needles whose longest window has it, each by the one of a few windows that the fewest of them share, and a second
+    window, at its other end, that tells most of them apart."""
     import numpy as np
-    import pyarrow as pa
 
-    for batch in batches:
-        for needle in batch.column(0).to_pylist():
-            own = np.unique(_codes(needle.encode()))
-            yield pa.RecordBatch.from_arrays([pa.array([needle] * len(own)), pa.array(own, pa.int32())], names=["needle", "term"])
+    sizes, out = np.array([len(x) for x in needles]), {}
+    widths = np.array(WIDTHS)[np.searchsorted(WIDTHS, sizes, "right") - 1]
+    for w in map(int, np.unique(widths)):
+        own = np.flatnonzero(widths == w)
+        n = sizes[own]
+        begin = np.cumsum(n) - n
+        sums = dict(_window_sums(np.frombuffer(b"".join(needles[k] for k in own), np.uint8), w))[w]
+        places = np.stack([(n - w) * k // 4 for k in ((0, 4) if w <= 8 else range(5))])  # short needles: both ends hold all of it
+        values, inverse, shared = np.unique(sums[begin + places], return_inverse=True, return_counts=True)
+        chosen = shared[inverse.reshape(places.shape)].argmin(axis=0)
+        at = places[chosen, np.arange(len(own))]
+        check = np.where(at * 2 >= n - w, np.maximum(at - REACH, 0), np.minimum(at + REACH, n - w))
+        order = np.argsort(sums[begin + at], kind="stable")
+        keys, first, many = np.unique(sums[begin + at][order], return_index=True, return_counts=True)
+        out[w] = {"keys": keys, "first": first, "many": many, "own": own[order], "at": at[order], "check": check[order], "sum": sums[begin + check][order], "size": n[order]}
+    return out
 
 
-def grams_met(terms):
-    """For mapInArrow over (id, text): (id, terms), those of ``terms`` that a text holds."""
+def _found(column, needles: list[bytes], index: dict, filters: dict):
+    """(needle, row) of the texts of an Arrow column that hold needles, each once. Numbers of windows give candidates, bytes decide."""
     import numpy as np
     import pyarrow as pa
 
-    bits = np.zeros(1 << 24, bool)
-    bits[terms] = True
-    packed_bits, piece = np.packbits(bits), 1 << 20
+    texts = column.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = memoryview(texts.buffers()[2] or b"").cast("B")[int(ends[0]) : int(ends[-1])]
+    data, ends, most, pairs = np.frombuffer(raw, np.uint8), ends - ends[0], max(index, default=0), [np.empty(0, np.int64)]
+    for start in range(0, len(data), PIECE):
+        low, high = max(0, start - REACH), min(len(data), start + PIECE + REACH + most)
+        stop = min(start + PIECE, len(data))
+        for w, sums in _window_sums(data[low:high], most):
+            if w not in index:
+                continue
+            x, (bits, met) = index[w], filters[w]
+            new = sums[start - low : stop - low]
+            at = np.flatnonzero(met[_spots(new, bits)])
+            near = np.minimum(np.searchsorted(x["keys"], new[at]), len(x["keys"]) - 1)
+            same = x["keys"][near] == new[at]
+            at, near = at[same] + start, near[same]
+            many = x["many"][near]
+            k = np.repeat(x["first"][near] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            at = np.repeat(at, many)
+            begin = at - x["at"][k]
+            row = np.searchsorted(ends, at, "right") - 1
+            fits = (begin >= ends[row]) & (begin + x["size"][k] <= ends[row + 1])
+            k, begin, row = k[fits], begin[fits], row[fits]
+            fits = sums[begin + x["check"][k] - low] == x["sum"][k]
+            k, begin, row = x["own"][k[fits]], begin[fits], row[fits]
+            key = k * len(texts) + row
+            if w <= 8:  # two windows hold the whole needle
+                pairs.append(np.unique(key))
+                continue
+            key, one = np.unique(key, return_index=True)
+            same = [raw[b : b + len(needles[n])] == needles[n] for n, b in zip(k[one].tolist(), begin[one].tolist())]
+            if not all(same):  # equal numbers of different windows: every place decides by itself
+                same = [raw[b : b + len(needles[n])] == needles[n] for n, b in zip(k.tolist(), begin.tolist())]
+                key = np.unique((k * len(texts) + row)[np.array(same, bool)])
+            pairs.append(key)
+    return np.divmod(np.unique(np.concatenate(pairs)), len(texts))
+
+
+def _order(rows, first: list[tuple[str, str]]):
+    """Row numbers of an Arrow table by ``first``, newest, id; undated ones last, ids that are null first."""
+    import pyarrow.compute as pc
+
+    keys = [*first, *([("created_at", "descending")] if "created_at" in rows.column_names else []), ("_named", "ascending"), ("id", "ascending")]
+    return pc.sort_indices(rows.append_column("_named", pc.cast(pc.is_valid(rows["id"]), "int8")), sort_keys=keys)
+
+
+def _first_of(values, limit: int):
+    """Which of sorted values are among the first ``limit`` equal ones."""
+    import numpy as np
+
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])[: len(values)]
+    return np.arange(len(values)) - np.repeat(first, np.diff(np.r_[first, len(values)])) < limit
+
+
+def _best(hits, limit: int):
+    hits = hits.take(_order(hits, [("number", "ascending"), ("score", "descending")]))
+    return hits.filter(_first_of(hits["number"].to_numpy(), limit))
+
+
+def automaton_hits(needles: list[str], numbers: list[int], worth: list[int], limit: int):
+    """For mapInArrow over (id, created_at where it counts, texts in order): (number of the needle, score, id, created_at), the best ``limit`` of each
+    needle that a task holds at once. A text is read once for all needles; the first text that holds one decides what it is worth. It takes
+    sums of windows of the texts, so that a needle costs some bytes and no states."""
+    import numpy as np
+
+    own, index = [x.encode() for x in needles], needle_windows([x.encode() for x in needles]) if needles else {}
 
     def run(batches):
-        asked = np.unpackbits(packed_bits).view(bool)
+        import pyarrow as pa
+
+        filters, names = {}, np.array(numbers, np.int64)
+        worths = np.array(sorted(set(worth), reverse=True), np.int32)
+        level = np.searchsorted(-worths, -np.array(worth, np.int32))
+        for w, x in index.items():
+            bits = min(24, max(10, int(len(x["keys"]) * 16).bit_length()))
+            filters[w] = bits, np.zeros(1 << bits, bool)
+            filters[w][1][_spots(x["keys"], bits)] = True
+        held, n = [], 0
         for batch in batches:
-            found = []
-            for text in batch.column(1).cast(pa.large_binary()).to_pylist():
-                held = [np.unique(c[asked[c]]) for at in range(0, len(text or b"") - 2, piece) for c in [_codes(text[at : at + piece + 2])]]
-                found.append(held[0] if len(held) == 1 else np.unique(np.concatenate(held)) if held else np.empty(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["id", "terms"])
+            beside = batch.num_columns - len(worth)
+            rows, found = batch.num_rows, [_found(batch.column(beside + k), own, index, filters) for k in range(len(worth))] if index and batch.num_rows else []
+            if sum(len(f[0]) for f in found):
+                known = pa.Table.from_batches([batch]).select(list(range(beside)))
+                order = _order(known, []).to_numpy()
+                place = np.empty(rows, np.int64)
+                place[order] = np.arange(rows)
+                key = np.sort(np.concatenate([(f[0] * rows + place[f[1]]) * len(worth) + k for k, f in enumerate(found)]))
+                key, field = np.divmod(key[_first_of(key // len(worth), 1)], len(worth))  # of several fields the first
+                key = np.sort((key // rows * len(worths) + level[field]) * rows + key % rows)
+                key = key[_first_of(key // (rows * len(worths)), limit)]
+                key, at = np.divmod(key, rows)
+                columns = [pa.array(names[key // len(worths)]), pa.array(worths[key % len(worths)]), *known.take(pa.array(order[at])).columns]
+                held.append(pa.Table.from_arrays(columns, names=["number", "score", *known.column_names]))
+                n += len(at)
+            if n > HELD:
+                held = [_best(pa.concat_tables(held), limit)]
+                n = len(held[0])
+                if n > HELD // 2:
+                    yield from held[0].to_batches()
+                    held, n = [], 0
+        if held:
+            yield from _best(pa.concat_tables(held), limit).combine_chunks().to_batches()
 
     return run
 

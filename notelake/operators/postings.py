@@ -1,16 +1,13 @@
-"""Posting lists: the terms or trigrams of records, and the records that hold all terms of a set, from the rarest list on."""
+"""Posting lists: the terms of records, and the records that hold all terms of a set, from the rarest list on."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.functions.helpers import grams_met, grams_of, record_stems
+from notelake.functions.helpers import record_stems
 from notelake.sources.scratch import spread, written
 
-#: Trigrams of a needle that find its candidates; records that frequencies are told from.
-RAREST, SAMPLE = 3, 5_000
-
 
 def record_terms(records: DataFrame, text: Column) -> DataFrame:
     """(id, terms: the distinct stemmed words of each record)."""
@@ -53,21 +50,3 @@ def intersect(sets: DataFrame, forward: DataFrame, postings: DataFrame | None =
     holds = (F.col("_id") == F.col("id")) & F.forall("rest", lambda t: F.array_contains("have", t))
     met = one.filter("size(rest) > 0").withColumnRenamed("id", "_id").join(forward.withColumnRenamed("terms", "have"), holds)
     return one.filter("size(rest) = 0").select("set_id", "id").unionByName(met.select("set_id", "id"))
-
-
-def containing(records: DataFrame, needles: DataFrame, text: str) -> DataFrame:
-    """needle and the columns of records whose ``text`` holds it, for needles (needle) of three bytes or more. Trigrams are of UTF-8
-    bytes, so a set of them takes at most 2 MB as bits. Of each needle the rarest trigrams give the candidates, which are verified. How
-    rare a trigram is, is told from about SAMPLE records chosen by a hash of their ids; this decides how many candidates there are, not what is found."""
-    needles = written(needles.select("needle").distinct())
-    every = written(needles.mapInArrow(grams_of, "needle string, term int"))
-    bits = lambda terms: terms.select("term").distinct().toArrow()["term"].to_numpy()  # noqa: E731  numbers below 2**24
-    part = max(1, records.count() // SAMPLE)
-    sample = records.filter(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).select(F.lit(0).alias("id"), text)
-    told = sample.mapInArrow(grams_met(bits(every)), "id int, terms array<int>").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    best = every.join(told, "term", "left").groupBy("needle").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))), 1, RAREST).alias("x"))
-    sets = written(best.select(F.col("needle").alias("set_id"), F.transform("x", lambda x: x["term"]).alias("terms")))
-    chosen = grams_met(bits(sets.select(F.explode("terms").alias("term"))))
-    forward = written(spread(records.select("id", text)).mapInArrow(chosen, f"id {dict(records.dtypes)['id']}, terms array<int>"))
-    met = intersect(sets, forward).withColumnRenamed("set_id", "needle")
-    return met.join(records, "id").filter(F.contains(text, F.col("needle")))

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,3 +268,19 @@ def test_far_blocks_are_skipped_and_neighbours_stay_the_same(spark, monkeypatch)
     pairs = search.neighbour_pairs(search._blocks(asked, pivots), search._blocks(vectors, pivots), 4)
     n = {r.skipped: r["count"] for r in pairs.groupBy("skipped").count().collect()}
     assert n[True] > 5 * n[False]
+
+
+@pytest.mark.parametrize("piece", [64, 1 << 18])
+def test_windows_find_what_a_scan_finds(monkeypatch, piece):
+    """Needles of all lengths, shared prefixes, letters of several bytes, and pieces that cut texts; the hits of a task stay within ``limit`` a needle."""
+    monkeypatch.setattr(H, "PIECE", piece)
+    rng = np.random.default_rng(7)
+    texts = ["".join("abé "[int(x)] for x in rng.integers(0, 4, n)) for n in (0, 1, 2, 5, 40, 300, 900)] + ["customer#0000000%d" % (k % 30) + " of the same long beginning that many needles share, %d" % k for k in range(40)]
+    needles = sorted({t[a : a + n] for t in texts for n in (1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 33, 70, 200) for a in (0, 3, len(t) - n) if 0 <= a and n <= len(t)} - {""} | {"zzz", texts[-1] + "x"})
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(len(texts))]), pa.array(["é" if k % 3 == 0 else "" for k in range(len(texts))]), pa.array(texts)], names=["id", "_t0", "_t1"])
+    got = {}
+    for out in H.automaton_hits(needles, list(range(len(needles))), [2, 1], 5)(iter([batch])):
+        for n, score, i in zip(*(c.to_pylist() for c in out.columns)):
+            got.setdefault(needles[n], []).append((-score, i))
+    want = {n: sorted((-(2 if n == "é" and k % 3 == 0 else 1), str(k)) for k, t in enumerate(texts) if n in t or (n == "é" and k % 3 == 0))[:5] for n in needles}
+    assert {n: sorted(x) for n, x in got.items()} == {n: x for n, x in want.items() if x}
