@@ -154,9 +154,9 @@ def markdown_sections(s: pd.Series) -> pd.Series:
     return s.map(lambda x: [{"heading": h, "text": t} for h, t in sections_of(x or "")])
 
 
-def packed(keys: list[str], most: int):
+def packed(keys: list[str], most: int, whole: bool = False):
     """For mapInPandas over (keys, text) sorted by keys and place: (keys, part, content). Whole messages are packed up to ``most`` characters
-    and joined by two line ends, an oversized one is chunked on its own; only the current chunk is held."""
+    and joined by two line ends, an oversized one is chunked on its own (or stays ``whole``); only the current chunk is held."""
 
     def run(frames):
         key, part, held = None, 0, ""
@@ -177,7 +177,7 @@ def packed(keys: list[str], most: int):
                     done(held)
                     held = ""
                 if len(text) > most:
-                    for piece in chunks(text, most):
+                    for piece in [text] if whole else chunks(text, most):
                         done(piece)
                 else:
                     held = f"{held}\n\n{text}" if held else text

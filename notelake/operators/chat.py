@@ -49,11 +49,11 @@ def collapse_tool_runs(messages: DataFrame) -> DataFrame:
     return rows.join(talk, "conv", "left_semi").withColumn("text", F.when(F.col("_tool"), "[tool use]").otherwise(F.col("text"))).drop("_tool", "_again")
 
 
-def conversation_items(messages: DataFrame, facts: DataFrame, vendor: str, most: int = 8000) -> DataFrame:
-    """conv, title, part, n_parts, content, type, tags of (conv, pos, role, text) and (conv, title)."""
+def conversation_items(messages: DataFrame, facts: DataFrame, vendor: str, most: int = 8000, whole: bool = False) -> DataFrame:
+    """conv, title, part, n_parts, content, type, tags of (conv, pos, role, text) and (conv, title). Messages of over ``most`` characters are cut, or stay ``whole``."""
     who = F.when(F.col("role").isin("user", "human"), "User").otherwise("Assistant")
     text = messages.filter("trim(coalesce(text, '')) <> ''").select("conv", "pos", F.concat(who, F.lit(": "), C.ws_trim(F.col("text"))).alias("text"))
-    parts = chunk_conversation(text, ["conv"], most).join(facts.select("conv", "title"), "conv")
+    parts = chunk_conversation(text, ["conv"], most, whole).join(facts.select("conv", "title"), "conv")
     tags = F.array(F.lit(vendor), F.lit("conversation"))
     return parts.select("conv", part_title(F.col("title"), F.col("part"), F.col("n_parts")).alias("title"), "part", "n_parts", "content", F.lit("reference").alias("type"), tags.alias("tags"))
 

@@ -25,20 +25,20 @@ def part_title(title: Column, part: Column, n: Column) -> Column:
     return F.when(n > 1, F.concat(title, F.lit(" (part "), part.cast("string"), F.lit("/"), n.cast("string"), F.lit(")"))).otherwise(title)
 
 
-def chunk_conversation(messages: DataFrame, keys: list[str], most: int = 8000) -> DataFrame:
-    """keys, part, n_parts, content of (keys, pos, text): whole messages are packed, an oversized one is cut on its own. A key's messages
+def chunk_conversation(messages: DataFrame, keys: list[str], most: int = 8000, whole: bool = False) -> DataFrame:
+    """keys, part, n_parts, content of (keys, pos, text): whole messages are packed, an oversized one is cut on its own, or stays ``whole``. A key's messages
     stream through one task in order, which holds only the current chunk; a key of more than LONG is packed in segments over many tasks."""
     rows = written(messages.filter("trim(text) <> ''").select(*keys, "pos", "text"))
     kinds = dict(messages.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", part int, content string"
-    ordinary = lambda own: own.repartition(*keys).sortWithinPartitions(*keys, "pos", "text").select(*keys, "text").mapInPandas(packed(keys, most), schema)
+    ordinary = lambda own: own.repartition(*keys).sortWithinPartitions(*keys, "pos", "text").select(*keys, "text").mapInPandas(packed(keys, most, whole), schema)
     long = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > LONG).drop("_n")
     if rows.count() <= LONG or long.isEmpty():
         parts = written(ordinary(rows))
     else:
         long = written(long.select(*(F.col(k).alias(f"_l_{k}") for k in keys)))
         same = [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys]
-        parts = written(ordinary(rows.join(long, same, "left_anti")).unionByName(pack_long(rows.join(long, same, "left_semi"), keys, most)))
+        parts = written(ordinary(rows.join(long, same, "left_anti")).unionByName(pack_long(rows.join(long, same, "left_semi"), keys, most, whole)))
     return parts.join(parts.groupBy(*keys).agg(F.count("*").alias("n_parts")), keys)
 
 

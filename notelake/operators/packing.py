@@ -78,9 +78,10 @@ def step(held: int, part: int, room, left, closed, total: int, n: int) -> tuple[
     return (held + total, part) if k == n else (int(left[k]), part + 1 + int(closed[k]))
 
 
-def pack_long(messages: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """keys, part, content of (keys, pos, text): whole messages packed up to ``most`` characters, an oversized one cut on its own."""
-    cut = F.when(F.length("text") > most, F.size(chunk_text(F.col("text"), most))).otherwise(0)
+def pack_long(messages: DataFrame, keys: list[str], most: int, whole: bool = False) -> DataFrame:
+    """keys, part, content of (keys, pos, text): whole messages packed up to ``most`` characters, an oversized one cut on its own, or left ``whole``."""
+    own = F.array("text") if whole else chunk_text(F.col("text"), most)
+    cut = F.when(F.length("text") > most, F.size(own)).otherwise(0)
     placed = written(ranked(messages, keys, [F.asc("pos"), F.asc(F.substring("text", 1, 256)), F.asc(F.xxhash64("text"))], "_n").withColumn("_pieces", cut).withColumn("_key", F.xxhash64(*keys)))
     seg = F.floor((F.col("_n") - 1) / SEGMENT).alias("_seg")
     lists = placed.select(*keys, "_n", F.length("text").alias("l"), F.col("_pieces").alias("p"), seg).groupBy(*keys, "_seg").agg(F.array_sort(F.collect_list(F.struct("_n", "l", "p"))).alias("m"))
@@ -122,5 +123,5 @@ def pack_long(messages: DataFrame, keys: list[str], most: int) -> DataFrame:
     for k in keys:
         met = met.filter(F.col(k).eqNullSafe(F.col(f"_k_{k}")))
     whole = met.filter("NOT alone").groupBy(*keys, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "text"))), lambda x: x["text"]), "\n\n").alias("content"))
-    alone = met.filter("alone").select(*keys, "part", F.posexplode(chunk_text(F.col("text"), most)).alias("_i", "content"))
+    alone = met.filter("alone").select(*keys, "part", F.posexplode(own).alias("_i", "content"))
     return whole.select(*keys, F.col("part").cast("int").alias("part"), "content").unionByName(alone.select(*keys, (F.col("part") + F.col("_i")).cast("int").alias("part"), "content"))

@@ -284,3 +284,19 @@ def test_windows_find_what_a_scan_finds(monkeypatch, piece):
             got.setdefault(needles[n], []).append((-score, i))
     want = {n: sorted((-(2 if n == "é" and k % 3 == 0 else 1), str(k)) for k, t in enumerate(texts) if n in t or (n == "é" and k % 3 == 0))[:5] for n in needles}
     assert {n: sorted(x) for n, x in got.items()} == {n: x for n, x in want.items() if x}
+
+
+@pytest.mark.parametrize("long", [100_000, 2])
+def test_transcripts_of_long_messages_equal_the_sql(spark, tmp_path, monkeypatch, long):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(chunking, "LONG", long)
+    sizes = [[10, 2500, 20, 30], [1994, 5, 1995], [4100], [900, 1200, 2001, 7, 1980]]
+    rows = [(c, t, "assistant" if t % 2 else "user", f"{c}-{t} " + "x y" * (n // 3) + "z" * (n % 3)) for c, own in enumerate(sizes) for t, n in enumerate(own)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, entry.queries()["par16_transcripts"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == sorted(con.execute(entry.oracle_sql()["par16_transcripts"]).fetchall())
