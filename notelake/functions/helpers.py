@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions.columns import HTML_STEPS, SQUEEZE_STEPS
@@ -26,9 +27,23 @@ STOP_WORDS = frozenset(_STOPPED)
 BODY_MOST, HTML_MOST, HEADER_MOST, REFERENCES_MOST = 16 << 10, 64 << 10, 1024, 50
 
 
+def small_batches() -> None:
+    """Bound what a Python worker holds at once: at most 512 rows, and about 8 MB, an Arrow batch. Without it a batch has 10,000 rows of any size."""
+    conf = SparkSession.getActiveSession().conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def vectorized(kind: str):
     """A function of series as one of columns; the UDF is made where it is called, as workers import this module without a session."""
-    return lambda f: lambda *columns: F.pandas_udf(f, kind)(*columns)
+    def named(f):
+        def column(*columns):
+            small_batches()
+            return F.pandas_udf(f, kind)(*columns)
+
+        return column
+
+    return named
 
 
 def _code_point(number: int, whole: str) -> str:
@@ -457,6 +472,7 @@ def automaton_hits(needles: list[str], numbers: list[int], worth: list[int], lim
     sums of windows of the texts, so that a needle costs some bytes and no states."""
     import numpy as np
 
+    small_batches()
     own, index = [x.encode() for x in needles], needle_windows([x.encode() for x in needles]) if needles else {}
 
     def run(batches):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.functions.helpers import chunk_text, packed
+from notelake.functions.helpers import chunk_text, packed, small_batches
 from notelake.operators.packing import pack_long
 from notelake.operators.ranks import ranked
 from notelake.sources.scratch import written
@@ -28,6 +28,7 @@ def part_title(title: Column, part: Column, n: Column) -> Column:
 def chunk_conversation(messages: DataFrame, keys: list[str], most: int = 8000, whole: bool = False) -> DataFrame:
     """keys, part, n_parts, content of (keys, pos, text): whole messages are packed, an oversized one is cut on its own, or stays ``whole``. A key's messages
     stream through one task in order, which holds only the current chunk; a key of more than LONG is packed in segments over many tasks."""
+    small_batches()
     rows = written(messages.filter("trim(text) <> ''").select(*keys, "pos", "text"))
     kinds = dict(messages.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", part int, content string"

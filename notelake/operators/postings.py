@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.functions.helpers import record_stems
+from notelake.functions.helpers import record_stems, small_batches
 from notelake.sources.scratch import spread, written
 
 
 def record_terms(records: DataFrame, text: Column) -> DataFrame:
     """(id, terms: the distinct stemmed words of each record)."""
+    small_batches()
     return spread(records.select("id", text.alias("text"))).mapInArrow(record_stems, f"id {dict(records.dtypes)['id']}, terms array<string>")
 
 

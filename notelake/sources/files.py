@@ -65,6 +65,7 @@ def read_mbox(spark: SparkSession, path: str | list[str], tree: bool = False) ->
 
 def parse_messages(raw: DataFrame) -> DataFrame:
     """Parsed mail fields of (path, pos, raw)."""
+    H.small_batches()
     return raw.select("path", "pos", "raw").mapInPandas(H.parse_messages, H.MESSAGE)
 
 

@@ -300,3 +300,13 @@ def test_transcripts_of_long_messages_equal_the_sql(spark, tmp_path, monkeypatch
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     assert got == sorted(con.execute(entry.oracle_sql()["par16_transcripts"]).fetchall())
+
+
+def test_workers_get_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    size = H.vectorized("int")(lambda s: s.map(lambda _: len(s)))
+    large = spark.range(0, 3000, 1, 1).select(size(F.repeat(F.lit("x"), 100)).alias("n")).agg(F.max("n")).first()[0]
+    assert large <= 512
+    few = spark.range(0, 60, 1, 1).select(size(F.repeat(F.lit("x"), 1 << 20)).alias("n")).agg(F.max("n")).first()[0]
+    assert few <= 16
