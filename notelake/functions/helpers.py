@@ -544,6 +544,99 @@ def record_stems(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.string()))], names=["id", "terms"])
 
 
+def term_blocks(size: int):
+    """For mapInArrow over (id, terms) in order: (part, at, ids, words, ends, rows), blocks of ``size`` records of a partition with the places of the records
+    of each word."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def block(held, at):
+        ids, terms = (pa.concat_arrays([b.column(k) for b in held]) for k in range(2))
+        words = terms.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), terms.value_lengths().fill_null(0).to_numpy())
+        number = words.indices.to_numpy()
+        ends = np.cumsum(np.bincount(number, minlength=len(words.dictionary)))
+        rows = row[np.argsort(number, kind="stable")]
+        columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([at], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, words.dictionary)), pa.array([ends.astype(np.int64).tobytes()]), pa.array([rows.tobytes()])]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "at", "ids", "words", "ends", "rows"])
+
+    def run(batches):
+        held, n, at = [], 0, 0
+        for batch in batches:
+            while n + batch.num_rows >= size:
+                yield block([*held, batch.slice(0, size - n)], at)
+                batch, held, n, at = batch.slice(size - n), [], 0, at + 1
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+        if held:
+            yield block(held, at)
+
+    return run
+
+
+def holding_sets(size: int):
+    """For cogrouped applyInArrow over sets (set_no, terms, most) and blocks (``term_blocks``): (set_no, id), the first ``most`` records in the order of blocks
+    that hold all terms of a set. In each block the places of a word are bits, and sets are conjunctions of them."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(sets, blocks):
+        numbers, ids = [np.empty(0, np.int64)], [pa.array([], blocks.schema.field("ids").type.value_type)]
+        if len(sets) and len(blocks):
+            terms = pa.concat_arrays(sets["terms"].chunks)
+            words = terms.flatten().dictionary_encode()
+            many, own, asked = terms.value_lengths().to_numpy(), words.indices.to_numpy(), words.dictionary
+            order = np.argsort(-many, kind="stable")  # so that those with a further term are the first
+            starts = np.cumsum(many) - many
+            first, many = starts[order], many[order]
+            number, left = sets["set_no"].to_numpy()[order], sets["most"].to_numpy()[order].copy()
+            for b in _block_rows(blocks):
+                place = pc.index_in(asked, value_set=b["words"]).fill_null(-1).to_numpy(zero_copy_only=False)
+                known = np.logical_and.reduceat(place[own] >= 0, starts)[order]
+                todo = np.flatnonzero((left > 0) & known)
+                asks = np.zeros(len(asked), bool)
+                for j in range(many[todo].max(initial=0)):
+                    asks[own[first[todo[many[todo] > j]] + j]] = True
+                met = np.flatnonzero(asks)
+                bits, spot = np.zeros((len(met), size // 8), np.uint8), np.full(len(asked), -1)
+                spot[met] = np.arange(len(met))
+                begin = np.r_[0, b["ends"][:-1]]
+                for k in range(0, len(met), 1024):
+                    at = place[met[k : k + 1024]]
+                    n = b["ends"][at] - begin[at]
+                    flags = np.zeros((len(at), size), bool)
+                    flags[np.repeat(np.arange(len(at)), n), b["rows"][np.repeat(begin[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+                    bits[k : k + 1024] = np.packbits(flags, axis=1)
+                for k in range(0, len(todo), 4096):
+                    s = todo[k : k + 4096]
+                    held = bits[spot[own[first[s]]]]
+                    for j in range(1, many[s[0]]):
+                        n = np.searchsorted(-many[s], -j)  # those of more than j terms
+                        held[:n] &= bits[spot[own[first[s[:n]] + j]]]
+                    some = np.flatnonzero(held.view(np.uint64).any(axis=1))
+                    row, doc = np.nonzero(np.unpackbits(held[some], axis=1))
+                    n = np.bincount(row, minlength=len(some))
+                    fits = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) < left[s[some]][row]
+                    left[s[some]] -= np.minimum(n, left[s[some]])
+                    numbers.append(number[s[some[row[fits]]]])
+                    ids.append(b["ids"].take(pa.array(doc[fits])))
+        return pa.table({"set_no": np.concatenate(numbers), "id": pa.concat_arrays(ids)})
+
+    return run
+
+
+def _block_rows(blocks):
+    import numpy as np
+
+    for batch in blocks.sort_by([("part", "ascending"), ("at", "ascending")]).to_batches():
+        for k in range(batch.num_rows):
+            own = {c: batch.column(c)[k] for c in ("ids", "words", "ends", "rows")}
+            yield {"ids": own["ids"].values, "words": own["words"].values, "ends": np.frombuffer(own["ends"].as_buffer(), np.int64), "rows": np.frombuffer(own["rows"].as_buffer(), np.int32)}
+
+
 def _unit(vectors):
     import numpy as np
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from notelake.functions import columns as C
-from notelake.operators.postings import intersect, record_terms
+from notelake.operators.postings import newest_holding, record_terms
 from notelake.operators.search import top
 from notelake.sources.scratch import spread, written
 
@@ -44,20 +44,21 @@ def link_counts(links: DataFrame) -> DataFrame:
 def suggest_links(knowledge: DataFrame, links: DataFrame, items: DataFrame, limit: int = 5, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """item_id, id, relation, preview, rank: the newest records that hold all key terms of an item, without itself and those linked with it.
 
-    Items of the same terms are one set, whose records are found once, in posting lists (``index``, as ``read_index`` gives them; else made here). An item looks no further down its set's list than ``limit``, itself and its own links together
+    Items of the same terms are one set, whose newest records are found once, from terms (``index``, as ``read_index`` gives them; else made here). An item looks no further down its set's list than ``limit``, itself and its own links together
     take, so a set that many items share isn't expanded into all pairs."""
     need = F.array_sort(F.array_distinct(F.transform(C.key_terms(F.col("title"), F.col("content")), C.stem)))
     own = spread(knowledge.select("id", "type", "title", F.substring("content", 1, 200).alias("content"))).join(items.select("id"), "id", "left_semi")
     keyed = written(own.select(F.col("id").alias("item_id"), F.col("type").alias("item_type"), need.alias("terms")))  # so that terms are made once
     asked = keyed.filter("size(terms) > 0").withColumn("set_id", F.array_join("terms", " "))
-    forward, postings = index or (written(record_terms(knowledge, F.concat_ws(" ", "title", "content"))), None)
-    hits = written(intersect(asked.select("set_id", "terms").distinct(), forward, postings))
+    forward = index[0] if index else written(record_terms(knowledge, F.concat_ws(" ", "title", "content")))
     ends = links.filter("source_type = 'knowledge' AND target_type = 'knowledge'")
     linked = ends.select(F.col("source_id").alias("item_id"), F.col("target_id").alias("id")).union(ends.select("target_id", "source_id"))
-    known = written(linked.join(asked.select("item_id", "set_id"), "item_id").join(hits, ["set_id", "id"]).select("item_id", "id").distinct())  # links that would be suggested
+    known = written(linked.distinct().join(asked.select("item_id"), "item_id", "left_semi").join(knowledge.select("id"), "id", "left_semi").select("item_id", "id"))
     reach = asked.select("item_id", "item_type", "set_id").join(known.groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left")
     reach = written(reach.withColumn("reach", limit + 1 + F.coalesce("n", F.lit(0))).drop("n"))
     most = reach.groupBy("set_id").agg(F.max("reach").alias("most"))
+    sets = asked.select("set_id", "terms").distinct().join(most, "set_id")
+    hits = written(newest_holding(sets, forward, knowledge.select("id", "created_at")))
     order = [F.desc("created_at"), F.asc("id")]
     dated = hits.join(knowledge.select("id", "type", "created_at"), "id").join(most, "set_id").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     thinned = dated.withColumn("place", F.row_number().over(W.partitionBy("set_id", "_salt").orderBy(*order))).filter("place <= most")  # before a long list meets in one task

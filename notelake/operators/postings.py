@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.functions.helpers import record_stems, small_batches
+from notelake.functions.helpers import holding_sets, record_stems, small_batches, term_blocks
 from notelake.sources.scratch import spread, written
 
+#: Records of a block (a multiple of 64), blocks that one task holds, and sets that it holds against them.
+BLOCK, BLOCKS, SETS = 4_096, 32, 1 << 17
+
 
 def record_terms(records: DataFrame, text: Column) -> DataFrame:
     """(id, terms: the distinct stemmed words of each record)."""
@@ -51,3 +54,21 @@ def intersect(sets: DataFrame, forward: DataFrame, postings: DataFrame | None =
     holds = (F.col("_id") == F.col("id")) & F.forall("rest", lambda t: F.array_contains("have", t))
     met = one.filter("size(rest) > 0").withColumnRenamed("id", "_id").join(forward.withColumnRenamed("terms", "have"), holds)
     return one.filter("size(rest) = 0").select("set_id", "id").unionByName(met.select("set_id", "id"))
+
+
+def newest_holding(sets: DataFrame, forward: DataFrame, dated: DataFrame) -> DataFrame:
+    """(set_id, id): of each set (set_id, terms: distinct and some, most) at least its ``most`` newest records (fewer where fewer hold all its terms), from
+    (id, terms) and (id, created_at). Records are cut into blocks by time, and groups of blocks meet groups of sets, where a set costs some bits
+    of each record and leaves no more than ``most`` rows."""
+    sets = written(sets.select("set_id", "terms", F.col("most").cast("long").alias("most"), F.monotonically_increasing_id().alias("set_no")))
+    n, records = sets.count(), dated.count()
+    parts, ranges = max(1, -(-n // SETS)), max(1, -(-records // (BLOCK * BLOCKS)))
+    order = [F.desc("created_at"), F.asc("id")]
+    kind = dict(forward.dtypes)["id"]
+    ordered = forward.join(dated, "id").repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("id", "terms")
+    blocks = written(ordered.mapInArrow(term_blocks(BLOCK), f"part int, at int, ids array<{kind}>, words array<string>, ends binary, rows binary"))
+    every = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
+    own = sets.select("set_no", "terms", "most", F.pmod(F.xxhash64("set_no"), F.lit(parts)).cast("int").alias("_sets")).select("*", every(ranges, "_range"))
+    held = blocks.select("*", F.col("part").alias("_range")).select("*", every(parts, "_sets"))
+    met = own.groupBy("_sets", "_range").cogroup(held.groupBy("_sets", "_range")).applyInArrow(holding_sets(BLOCK), f"set_no long, id {kind}")
+    return met.join(sets.select("set_no", "set_id"), "set_no").select("set_id", "id")
