@@ -310,3 +310,22 @@ def test_workers_get_small_batches(spark):
     assert large <= 512
     few = spark.range(0, 60, 1, 1).select(size(F.repeat(F.lit("x"), 1 << 20)).alias("n")).agg(F.max("n")).first()[0]
     assert few <= 16
+
+
+def test_newest_records_of_all_terms_leave_few_rows(spark, monkeypatch):
+    """Blocks and groups of sets of any size find the same, and a set leaves no more rows than asked in a group of blocks."""
+    monkeypatch.setattr(postings, "BLOCK", 64)
+    monkeypatch.setattr(postings, "BLOCKS", 2)
+    monkeypatch.setattr(postings, "SETS", 5)
+    rng = np.random.default_rng(3)
+    held = {str(k): sorted({f"w{int(x)}" for x in rng.zipf(1.4, 12) % 40}) for k in range(300)} | {"none": []}
+    when = {i: int(rng.integers(0, 50)) for i in held}
+    forward = spark.createDataFrame(list(held.items()), "id string, terms array<string>")
+    dated = spark.createDataFrame(list(when.items()), "id string, created_at int")
+    sets = [(k, [f"w{int(x)}" for x in rng.choice(8, 1 + k % 4, False)], 1 + k % 7) for k in range(20)] + [(20, ["w1", "unknown"], 5)]
+    got = {}
+    for k, i in postings.newest_holding(spark.createDataFrame(sets, "set_id int, terms array<string>, most int"), forward, dated).collect():
+        got.setdefault(k, []).append(i)
+    for k, terms, most in sets:
+        want = sorted((i for i, h in held.items() if set(terms) <= set(h)), key=lambda i: (-when[i], i))
+        assert sorted(got.get(k, []), key=lambda i: (-when[i], i))[:most] == want[:most] and len(got.get(k, [])) <= 3 * most and len(set(got.get(k, []))) == len(got.get(k, []))
