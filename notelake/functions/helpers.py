@@ -544,9 +544,9 @@ def record_stems(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.string()))], names=["id", "terms"])
 
 
-def term_blocks(size: int):
-    """For mapInArrow over (id, terms) in order: (part, at, ids, words, ends, rows), blocks of ``size`` records of a partition with the places of the records
-    of each word."""
+def term_blocks(size: int, entries: int):
+    """For mapInArrow over (id, terms) in order: (part, at, ids, words, word_ends, ends, rows), blocks of at most ``size`` records, and about ``entries`` terms of
+    records, of a partition: words one after another, where each ends in bytes, and where its records end among the places of records in ``rows``."""
     import numpy as np
     import pyarrow as pa
     from pyspark import TaskContext
@@ -554,87 +554,117 @@ def term_blocks(size: int):
     def block(held, at):
         ids, terms = (pa.concat_arrays([b.column(k) for b in held]) for k in range(2))
         words = terms.flatten().dictionary_encode()
-        row = np.repeat(np.arange(len(ids), dtype=np.int32), terms.value_lengths().fill_null(0).to_numpy())
+        row = np.repeat(np.arange(len(ids), dtype=np.uint16), terms.value_lengths().fill_null(0).to_numpy())
         number = words.indices.to_numpy()
         ends = np.cumsum(np.bincount(number, minlength=len(words.dictionary)))
         rows = row[np.argsort(number, kind="stable")]
-        columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([at], pa.int32()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, words.dictionary)), pa.array([ends.astype(np.int64).tobytes()]), pa.array([rows.tobytes()])]
-        return pa.RecordBatch.from_arrays(columns, names=["part", "at", "ids", "words", "ends", "rows"])
+        own = [x.encode() for x in words.dictionary.to_pylist()]
+        word_ends = np.cumsum([len(x) for x in own], dtype=np.int32)
+        columns = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([at], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x]) for x in (b"".join(own), word_ends.tobytes(), ends.astype(np.int32).tobytes(), rows.tobytes()))]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "at", "ids", "words", "word_ends", "ends", "rows"])
 
     def run(batches):
-        held, n, at = [], 0, 0
+        held, n, many, at = [], 0, 0, 0
         for batch in batches:
+            own = len(batch.column(1).flatten())
+            if held and many + own > entries:
+                yield block(held, at)
+                held, n, many, at = [], 0, 0, at + 1
             while n + batch.num_rows >= size:
                 yield block([*held, batch.slice(0, size - n)], at)
                 batch, held, n, at = batch.slice(size - n), [], 0, at + 1
+                many, own = 0, len(batch.column(1).flatten())
             if batch.num_rows:
                 held.append(batch)
-                n += batch.num_rows
+                n, many = n + batch.num_rows, many + own
         if held:
             yield block(held, at)
 
     return run
 
 
-def holding_sets(size: int):
-    """For cogrouped applyInArrow over sets (set_no, terms, most) and blocks (``term_blocks``): (set_no, id), the first ``most`` records in the order of blocks
-    that hold all terms of a set. In each block the places of a word are bits, and sets are conjunctions of them."""
+def holding_sets(size: int, most_words: int):
+    """For mapInArrow over rows sorted by key, kind and place, the sets (set_no, terms, most) of a key before its blocks (``term_blocks``): (set_no, id), the first
+    ``most`` records in the order of blocks that hold all terms of a set. Blocks are met one by one. In each the places of a word are bits, of
+    about ``most_words`` words at once, and sets are conjunctions of them."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    def run(sets, blocks):
-        numbers, ids = [np.empty(0, np.int64)], [pa.array([], blocks.schema.field("ids").type.value_type)]
-        if len(sets) and len(blocks):
-            terms = pa.concat_arrays(sets["terms"].chunks)
-            words = terms.flatten().dictionary_encode()
-            many, own, asked = terms.value_lengths().to_numpy(), words.indices.to_numpy(), words.dictionary
-            order = np.argsort(-many, kind="stable")  # so that those with a further term are the first
-            starts = np.cumsum(many) - many
-            first, many = starts[order], many[order]
-            number, left = sets["set_no"].to_numpy()[order], sets["most"].to_numpy()[order].copy()
-            for b in _block_rows(blocks):
-                place = pc.index_in(asked, value_set=b["words"]).fill_null(-1).to_numpy(zero_copy_only=False)
-                known = np.logical_and.reduceat(place[own] >= 0, starts)[order]
-                todo = np.flatnonzero((left > 0) & known)
-                asks = np.zeros(len(asked), bool)
-                for j in range(many[todo].max(initial=0)):
-                    asks[own[first[todo[many[todo] > j]] + j]] = True
-                met = np.flatnonzero(asks)
-                bits, spot = np.zeros((len(met), size // 8), np.uint8), np.full(len(asked), -1)
-                spot[met] = np.arange(len(met))
-                begin = np.r_[0, b["ends"][:-1]]
-                for k in range(0, len(met), 1024):
-                    at = place[met[k : k + 1024]]
-                    n = b["ends"][at] - begin[at]
-                    flags = np.zeros((len(at), size), bool)
-                    flags[np.repeat(np.arange(len(at)), n), b["rows"][np.repeat(begin[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
-                    bits[k : k + 1024] = np.packbits(flags, axis=1)
-                for k in range(0, len(todo), 4096):
-                    s = todo[k : k + 4096]
-                    held = bits[spot[own[first[s]]]]
-                    for j in range(1, many[s[0]]):
-                        n = np.searchsorted(-many[s], -j)  # those of more than j terms
-                        held[:n] &= bits[spot[own[first[s[:n]] + j]]]
-                    some = np.flatnonzero(held.view(np.uint64).any(axis=1))
-                    row, doc = np.nonzero(np.unpackbits(held[some], axis=1))
-                    n = np.bincount(row, minlength=len(some))
-                    fits = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) < left[s[some]][row]
-                    left[s[some]] -= np.minimum(n, left[s[some]])
-                    numbers.append(number[s[some[row[fits]]]])
-                    ids.append(b["ids"].take(pa.array(doc[fits])))
-        return pa.table({"set_no": np.concatenate(numbers), "id": pa.concat_arrays(ids)})
+    def gathered(held):
+        """Sets, those of more terms first: numbers, how many are wanted, how many terms, where these begin; that order, all terms as numbers of words, the words."""
+        own = pa.Table.from_batches(held)
+        terms = pa.concat_arrays(own["terms"].chunks)
+        many, words = terms.value_lengths().to_numpy(), terms.flatten().dictionary_encode()
+        order = np.argsort(-many, kind="stable")
+        return own["set_no"].to_numpy()[order], own["most"].to_numpy()[order].copy(), many[order], np.cumsum(many) - many, order, words.indices.to_numpy(), words.dictionary
+
+    def word_bits(b, at):
+        """A row of bits of records for each of the words at these places."""
+        bits, begin = np.zeros((len(at), size // 8), np.uint8), np.r_[0, b["ends"][:-1]].astype(np.int64)
+        for k in range(0, len(at), 1024):
+            own = at[k : k + 1024]
+            n = b["ends"][own] - begin[own]
+            flags = np.zeros((len(own), size), bool)
+            flags[np.repeat(np.arange(len(own)), n), b["rows"][np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+            bits[k : k + 1024] = np.packbits(flags, axis=1)
+        return bits
+
+    def held_by(b, sets):
+        number, left, many, starts, order, own, asked = sets
+        first = starts[order]
+        place = pc.index_in(asked, value_set=b["words"]).fill_null(-1).to_numpy(zero_copy_only=False)
+        known = np.logical_and.reduceat(place[own] >= 0, starts)[order]
+        todo = np.flatnonzero((left > 0) & known)
+        spot = np.full(len(asked), -1)
+        for part in np.split(todo, np.flatnonzero(np.diff(np.cumsum(many[todo]) // most_words)) + 1):
+            asks = np.zeros(len(asked), bool)
+            for j in range(many[part].max(initial=0)):
+                asks[own[first[part[many[part] > j]] + j]] = True
+            met = np.flatnonzero(asks)
+            bits, spot[met] = word_bits(b, place[met]), np.arange(len(met))
+            for k in range(0, len(part), 1024):
+                s = part[k : k + 1024]
+                held = bits[spot[own[first[s]]]]
+                for j in range(1, many[s[0]]):
+                    n = np.searchsorted(-many[s], -j)  # those of more than j terms
+                    held[:n] &= bits[spot[own[first[s[:n]] + j]]]
+                eights = held.view(np.uint64)
+                row, eight = np.nonzero(eights)
+                some, bit = np.nonzero(np.unpackbits(eights[row, eight].view(np.uint8).reshape(-1, 8), axis=1))
+                row, doc = row[some], eight[some] * 64 + bit
+                n = np.bincount(row, minlength=len(s))
+                fits = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) < left[s][row]
+                left[s] -= np.minimum(n, left[s])
+                if fits.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(number[s[row[fits]]]), b["ids"].take(pa.array(doc[fits]))], names=["set_no", "id"])
+
+    def run(batches):
+        key, held, sets = None, [], None
+        for batch in batches:
+            keys, kinds = batch["key"].to_numpy(), batch["kind"].to_numpy()
+            cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(kinds) != 0)) + 1
+            for k, end in zip([0, *cuts], [*cuts, batch.num_rows]) if batch.num_rows else ():
+                if keys[k] != key:
+                    key, held, sets = keys[k], [], None
+                if kinds[k] == 0:
+                    held.append(batch.slice(k, end - k).select(["set_no", "terms", "most"]))
+                elif held or sets:
+                    held, sets = [], sets or gathered(held)
+                    for j in range(k, end):
+                        yield from held_by(_block_row(batch, j), sets)
 
     return run
 
 
-def _block_rows(blocks):
+def _block_row(batch, k: int):
     import numpy as np
+    import pyarrow as pa
 
-    for batch in blocks.sort_by([("part", "ascending"), ("at", "ascending")]).to_batches():
-        for k in range(batch.num_rows):
-            own = {c: batch.column(c)[k] for c in ("ids", "words", "ends", "rows")}
-            yield {"ids": own["ids"].values, "words": own["words"].values, "ends": np.frombuffer(own["ends"].as_buffer(), np.int64), "rows": np.frombuffer(own["rows"].as_buffer(), np.int32)}
+    raw = {c: batch[c][k].as_buffer() for c in ("words", "word_ends", "ends", "rows")}
+    spots = np.r_[np.int32(0), np.frombuffer(raw["word_ends"], np.int32)]
+    words = pa.StringArray.from_buffers(len(spots) - 1, pa.py_buffer(spots), raw["words"])
+    return {"ids": batch["ids"][k].values, "words": words, "ends": np.frombuffer(raw["ends"], np.int32), "rows": np.frombuffer(raw["rows"], np.uint16)}
 
 
 def _unit(vectors):

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions.helpers import holding_sets, record_stems, small_batches, term_blocks
 from notelake.sources.scratch import spread, written
 
-#: Records of a block (a multiple of 64), blocks that one task holds, and sets that it holds against them.
-BLOCK, BLOCKS, SETS = 4_096, 32, 1 << 17
+#: Records of a block (a multiple of 64, at most 65,536) and terms of records in it; blocks of a range.
+BLOCK, ENTRIES, BLOCKS = 4_096, 1 << 21, 8
+#: Sets, and terms of sets, that a task holds against blocks; words that it holds as bits; tasks that share the ranges of a round; how much wider each round is.
+SETS, TERMS, WORDS, TASKS, WIDER = 1 << 17, 1 << 19, 1 << 16, 16, 3
 
 
 def record_terms(records: DataFrame, text: Column) -> DataFrame:
@@ -58,17 +62,32 @@ def intersect(sets: DataFrame, forward: DataFrame, postings: DataFrame | None =
 
 def newest_holding(sets: DataFrame, forward: DataFrame, dated: DataFrame) -> DataFrame:
     """(set_id, id): of each set (set_id, terms: distinct and some, most) at least its ``most`` newest records (fewer where fewer hold all its terms), from
-    (id, terms) and (id, created_at). Records are cut into blocks by time, and groups of blocks meet groups of sets, where a set costs some bits
-    of each record and leaves no more than ``most`` rows."""
+    (id, terms) and (id, created_at). Records are cut into blocks by time. Rounds go from the newest blocks to older and more of them, and sets that
+    have their records leave. A task holds a group of sets against one block after another, where a set costs some bits of each record and leaves
+    no more than ``most`` rows."""
+    small_batches()
     sets = written(sets.select("set_id", "terms", F.col("most").cast("long").alias("most"), F.monotonically_increasing_id().alias("set_no")))
-    n, records = sets.count(), dated.count()
-    parts, ranges = max(1, -(-n // SETS)), max(1, -(-records // (BLOCK * BLOCKS)))
+    ranges = max(1, -(-dated.count() // (BLOCK * BLOCKS)))
     order = [F.desc("created_at"), F.asc("id")]
     kind = dict(forward.dtypes)["id"]
     ordered = forward.join(dated, "id").repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("id", "terms")
-    blocks = written(ordered.mapInArrow(term_blocks(BLOCK), f"part int, at int, ids array<{kind}>, words array<string>, ends binary, rows binary"))
+    blocks = written(ordered.mapInArrow(term_blocks(BLOCK, ENTRIES), f"part int, at int, ids array<{kind}>, words binary, word_ends binary, ends binary, rows binary"), few=True)
     every = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
-    own = sets.select("set_no", "terms", "most", F.pmod(F.xxhash64("set_no"), F.lit(parts)).cast("int").alias("_sets")).select("*", every(ranges, "_range"))
-    held = blocks.select("*", F.col("part").alias("_range")).select("*", every(parts, "_sets"))
-    met = own.groupBy("_sets", "_range").cogroup(held.groupBy("_sets", "_range")).applyInArrow(holding_sets(BLOCK), f"set_no long, id {kind}")
-    return met.join(sets.select("set_no", "set_id"), "set_no").select("set_id", "id")
+    left, hits, low, wide = sets.drop("set_id"), [], 0, 1
+    while low < ranges:
+        size = left.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("terms")).first()
+        if hits and not size["n"]:
+            break
+        high = min(ranges, low + wide)
+        parts, span = max(1, -(-size["n"] // SETS), -(-(size["terms"] or 0) // TERMS)), -(-(high - low) // TASKS)
+        groups = -(-(high - low) // span)
+        own = left.select("*", F.pmod(F.xxhash64("set_no"), F.lit(parts)).cast("int").alias("_sets")).select("*", every(groups, "_group"), F.lit(0).alias("kind"))
+        held = blocks.filter((F.col("part") >= low) & (F.col("part") < high)).withColumn("_group", F.floor((F.col("part") - low) / span).cast("int")).select("*", every(parts, "_sets"), F.lit(1).alias("kind"))
+        rows = own.unionByName(held, allowMissingColumns=True).withColumn("key", F.col("_sets") * groups + F.col("_group")).drop("_sets", "_group")
+        rows = rows.repartition(parts * groups, "key").sortWithinPartitions("key", "kind", "part", "at")
+        hits.append(written(rows.mapInArrow(holding_sets(BLOCK, WORDS), f"set_no long, id {kind}")))
+        low, wide = high, wide * WIDER
+        if low < ranges:
+            n = hits[-1].groupBy("set_no").agg(F.count("*").alias("n"))
+            left = written(left.join(n, "set_no", "left").withColumn("most", F.col("most") - F.coalesce("n", F.lit(0))).filter("most > 0").drop("n"))
+    return reduce(DataFrame.union, hits).join(sets.select("set_no", "set_id"), "set_no").select("set_id", "id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from notelake.functions import columns as C
 from notelake.functions import helpers as H
 from notelake.operators import chunking, links, packing, pages, postings, records, search, threads
-from notelake.sources import buckets
+from notelake.sources import buckets, scratch
 from notelake.sources.buckets import Buckets
 from notelake.streaming.ingest import ingest_stream, read_store, state
 
@@ -329,3 +329,43 @@ def test_newest_records_of_all_terms_leave_few_rows(spark, monkeypatch):
     for k, terms, most in sets:
         want = sorted((i for i, h in held.items() if set(terms) <= set(h)), key=lambda i: (-when[i], i))
         assert sorted(got.get(k, []), key=lambda i: (-when[i], i))[:most] == want[:most] and len(got.get(k, [])) <= 3 * most and len(set(got.get(k, []))) == len(got.get(k, []))
+
+
+def test_sets_leave_with_their_newest_records(spark, monkeypatch):
+    """A set that has its records in the newest blocks isn't held against older ones, one that hasn't is found in the oldest."""
+    monkeypatch.setattr(postings, "BLOCK", 64)
+    monkeypatch.setattr(postings, "BLOCKS", 1)
+    forward = spark.createDataFrame([(k, ["a", "old"] if k == 0 else ["a"]) for k in range(640)], "id long, terms array<string>")
+    sets = spark.createDataFrame([(0, ["a"], 2), (1, ["a", "old"], 2), (2, ["a", "none"], 2)], "set_id int, terms array<string>, most int")
+    got = postings.newest_holding(sets, forward, forward.select("id", F.col("id").alias("created_at"))).collect()
+    assert sorted(map(tuple, got)) == [(0, 638), (0, 639), (1, 0)]
+
+
+def test_tasks_hold_one_block_at_a_time(spark):
+    """What is found in a block leaves before the next one is read; blocks end at many terms, and few words are bits at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    held = [(k, ["a", f"w{k}", *(["b"] if k % 3 else [])]) for k in range(200)]
+    kinds = "part int, at int, ids array<long>, words binary, word_ends binary, ends binary, rows binary"
+    blocks = spark.createDataFrame(held, "id long, terms array<string>").coalesce(1).mapInArrow(H.term_blocks(64, 100), kinds).toArrow().sort_by("at")
+    H.small_batches()
+    assert [len(x) for x in blocks["ids"].to_pylist()] == [32] * 6 + [8]
+    many = [[f"w{k}", "a"] for k in range(200)]
+    sets = pa.table({"key": [0] * 203, "kind": [0] * 203, "set_no": range(203), "terms": [["a", "b"], ["a"], ["none"], *many], "most": [150, 5, 5] + [9] * 200})
+    rest = blocks.append_column("key", pa.array([0] * 7)).append_column("kind", pa.array([1] * 7))
+    batches = [*sets.to_batches(), *rest.to_batches(max_chunksize=1)]
+    read, found, when = [], {}, []
+    for x in H.holding_sets(64, 8)(read.append(1) or b for b in batches):
+        when.append(len(read))
+        for s, i in zip(x["set_no"].to_pylist(), x["id"].to_pylist()):
+            found.setdefault(s, []).append(i)
+    assert when[0] == 2 and when[-1] == len(batches)
+    assert found[0] == [k for k in range(200) if k % 3][:150] and found[1] == list(range(5)) and 2 not in found and all(found[3 + k] == [k] for k in range(200))
+
+
+def test_few_large_rows_are_written_in_small_groups(spark):
+    import pyarrow.parquet as pq
+
+    large = spark.range(0, 24, 1, 1).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda k: F.sha2(F.concat(k, F.lit("-"), "id"), 256)), "").alias("x"))
+    table = scratch.written(large, few=True)
+    meta = pq.ParquetFile(table.inputFiles()[0].removeprefix("file://")).metadata
+    assert table.count() == 24 and max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 8
