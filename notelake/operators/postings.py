@@ -12,8 +12,10 @@ from notelake.sources.scratch import spread, written
 
 #: Records of a block (a multiple of 64, at most 65,536) and terms of records in it; blocks of a range.
 BLOCK, ENTRIES, BLOCKS = 4_096, 1 << 21, 8
-#: Sets, and terms of sets, that a task holds against blocks; words that it holds as bits; tasks that share the ranges of a round; how much wider each round is.
-SETS, TERMS, WORDS, TASKS, WIDER = 1 << 17, 1 << 19, 1 << 16, 16, 3
+#: Sets, and terms of sets, that a task holds against blocks at most; sets for which a task is worth while; words that a task holds as bits.
+SETS, TERMS, FEWEST, WORDS = 1 << 19, 1 << 21, 1 << 14, 1 << 16
+#: Tasks that share the ranges of a round for the same sets; how much wider each round is.
+TASKS, WIDER = 16, 3
 
 
 def record_terms(records: DataFrame, text: Column) -> DataFrame:
@@ -67,7 +69,7 @@ def newest_holding(sets: DataFrame, forward: DataFrame, dated: DataFrame) -> Dat
     no more than ``most`` rows."""
     small_batches()
     sets = written(sets.select("set_id", "terms", F.col("most").cast("long").alias("most"), F.monotonically_increasing_id().alias("set_no")))
-    ranges = max(1, -(-dated.count() // (BLOCK * BLOCKS)))
+    ranges, cores = max(1, -(-dated.count() // (BLOCK * BLOCKS))), sets.sparkSession.sparkContext.defaultParallelism
     order = [F.desc("created_at"), F.asc("id")]
     kind = dict(forward.dtypes)["id"]
     ordered = forward.join(dated, "id").repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("id", "terms")
@@ -79,8 +81,9 @@ def newest_holding(sets: DataFrame, forward: DataFrame, dated: DataFrame) -> Dat
         if hits and not size["n"]:
             break
         high = min(ranges, low + wide)
-        parts, span = max(1, -(-size["n"] // SETS), -(-(size["terms"] or 0) // TERMS)), -(-(high - low) // TASKS)
+        span = -(-(high - low) // TASKS)
         groups = -(-(high - low) // span)
+        parts = max(1, -(-size["n"] // SETS), -(-(size["terms"] or 0) // TERMS), min(-(-cores // groups), size["n"] // FEWEST))  # each gets the blocks of its own
         own = left.select("*", F.pmod(F.xxhash64("set_no"), F.lit(parts)).cast("int").alias("_sets")).select("*", every(groups, "_group"), F.lit(0).alias("kind"))
         held = blocks.filter((F.col("part") >= low) & (F.col("part") < high)).withColumn("_group", F.floor((F.col("part") - low) / span).cast("int")).select("*", every(parts, "_sets"), F.lit(1).alias("kind"))
         rows = own.unionByName(held, allowMissingColumns=True).withColumn("key", F.col("_sets") * groups + F.col("_group")).drop("_sets", "_group")

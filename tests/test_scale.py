@@ -369,3 +369,20 @@ def test_few_large_rows_are_written_in_small_groups(spark):
     table = scratch.written(large, few=True)
     meta = pq.ParquetFile(table.inputFiles()[0].removeprefix("file://")).metadata
     assert table.count() == 24 and max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 8
+
+
+def test_all_terms_are_found_by_any_groups(spark, monkeypatch):
+    """Sets of many terms are cut by their terms, ranges are shared by few tasks, and no set loses or repeats a record."""
+    words = lambda k: " ".join(f"word{x}" for x in range(1, 40) if k % x == 0)
+    rows = spark.range(400).select(F.col("id").cast("string").alias("id"), F.col("id").alias("created_at"), F.lit("").alias("title")).collect()
+    recs = spark.createDataFrame([(r.id, r.created_at, words(r.created_at)) for r in rows], "id string, created_at long, content string")
+    asked = spark.createDataFrame([(x, words(x)) for x in (6, 12, 36, 60, 97, 210)] + [(0, words(0)), (1, "the of")], "query_id int, query string")
+    for name, value in {"BLOCK": 64, "BLOCKS": 1, "TERMS": 9, "TASKS": 2, "FEWEST": 1, "ENTRIES": 300}.items():
+        monkeypatch.setattr(postings, name, value)
+    got = sorted(map(tuple, search.match_all_terms(recs, asked, ["content"], 5).collect()))
+    want = []
+    for q in (6, 12, 36, 60, 97, 210, 0):
+        need = {x for x in range(1, 40) if q % x == 0}
+        hits = [k for k in range(399, -1, -1) if all(k % x == 0 for x in need)]
+        want += [(q, str(k), n) for n, k in enumerate(hits[:5], 1)]
+    assert got == sorted(want)
